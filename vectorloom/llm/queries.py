@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vectorloom.llm import exact_dedup, fingerprints, mixing, packing, simhash_dedup, url_rules
+from vectorloom.llm import exact_dedup, fingerprints, mixing, packing, simhash_dedup, toxicity, url_rules
 from vectorloom.llm.common import table
 
 
@@ -22,6 +22,10 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -39,6 +43,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_source_mixing": op1_source_mixing,
         "op2_fingerprints": op2_fingerprints,
         "op3_exact_dedup": op3_exact_dedup,
+        "op4_toxicity": op4_toxicity,
         "op5_packing": op5_packing,
         "op6_url_filters": op6_url_filters,
         "op9_simhash_dedup": op9_simhash_dedup,
