@@ -203,7 +203,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     shards = -(-sum(p.slots for p in plans) // shard_slots)
     slots = spark.range(0, shards, 1, max(1, min(shards, 10_000))).withColumnRenamed("id", "shard")
     slots = slots.mapInPandas(_slots(plans, shards, shard_slots), "shard long, slot long, source_no int, pass long, block long, most long")
-    pieces = parts.join(slots, ["source_no", "block"]).withColumn("words", F.least(F.col("length"), F.greatest(F.lit(0), F.col("most") - F.col("inside"))))
+    # Spark takes what Python makes for small, whatever its size: without the hint it would broadcast all slots
+    pieces = parts.join(slots.hint("shuffle_merge"), ["source_no", "block"]).withColumn("words", F.least(F.col("length"), F.greatest(F.lit(0), F.col("most") - F.col("inside"))))
     pieces = pieces.filter("words > 0").select("row", "id", "size", "shard", "slot", "pass", "start", "words")
     return documents, pieces
 
