@@ -31,7 +31,7 @@ from vectorloom.llm.common import as_bytes, cut
 from vectorloom.llm.components import connected_components
 
 SHINGLE, SEED, RADIUS = 3, 42, 3  # fixed values of the contract
-GROUP_SIZE = 1 << 15
+GROUP_SIZE = 1 << 17
 _STEP = 4  # bits by which one level of nodes is longer than the one above
 _FRONTIER = 1 << 20
 _RUN = 1 << 15
