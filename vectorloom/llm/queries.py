@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vectorloom.llm import exact_dedup, fingerprints, mixing, packing, simhash_dedup, toxicity, url_rules
+from vectorloom.llm import chat_repair, exact_dedup, fingerprints, mixing, packing, secrets, simhash_dedup, token_files, toxicity, url_rules
 from vectorloom.llm.common import table
 
 
@@ -34,10 +34,22 @@ def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge_urls(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
 
 
+def op7_chat_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_repair.repair_conversations(table(spark, sf_dir, "conversations"))
+
+
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan_documents(table(spark, sf_dir, "documents"))
+
+
 def op9_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup.near_duplicates(table(spark, sf_dir, "documents")).drop("kept")
 
 
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.count_document_tokens(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_source_mixing": op1_source_mixing,
@@ -46,7 +58,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_toxicity": op4_toxicity,
         "op5_packing": op5_packing,
         "op6_url_filters": op6_url_filters,
+        "op7_chat_repair": op7_chat_repair,
+        "op8_secret_scan": op8_secret_scan,
         "op9_simhash_dedup": op9_simhash_dedup,
+        "op10_token_counts": op10_token_counts,
     }
 
 
