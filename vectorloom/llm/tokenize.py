@@ -9,6 +9,8 @@ tokenizer. ``tests/llm`` compares both with the tokenizer run on whole texts.
 from __future__ import annotations
 
 import re
+import sys
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -17,7 +19,7 @@ import regex
 from tokenizers import Tokenizer
 
 WORD_BPE = "word_bpe_49k.json"
-CACHE_WORDS = 250_000
+CACHE_WORDS = 600_000  # about 130 MB a worker, and as much again at most for their pieces
 _PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")  # fixed value: the vocabulary's own rule
 _SPACES, _CONTROLS = re.compile(r"[\x20\x09-\x0D]+"), re.compile(r"[\x1c-\x1f]")
 _PLAIN = regex.compile(r"[\x21-\x7e\xa1-\xac\xae-\xff]*")
@@ -36,10 +38,11 @@ class WordEncoder:
     def __init__(self, path: str | None = None, width: int = 4, cache_words: int = CACHE_WORDS):
         self.tokenizer = Tokenizer.from_file(path or public_tokenizers.path(WORD_BPE))
         self.model, self.dtype, self.limit = self.tokenizer.model, f"<u{width}", cache_words
+        self.code = {2: "H", 4: "I"}[width]
         self.letters, self.words, self.pieces = _byte_letters(), {}, {}
 
     def _pack(self, ids: list[int]) -> bytes:
-        return np.array(ids, self.dtype).tobytes()
+        return array(self.code, ids).tobytes() if sys.byteorder == "little" else np.array(ids, self.dtype).tobytes()
 
     def _piece(self, piece: str) -> bytes:
         if (packed := self.pieces.get(piece)) is None:
