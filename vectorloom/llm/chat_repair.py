@@ -18,6 +18,8 @@ of the input are ignored. Equal costs are settled for keeping, then merging, the
 
 from __future__ import annotations
 
+from typing import Any
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -123,13 +125,13 @@ def segments(turns: DataFrame, conv_col: str, turn_col: str, role_col: str, text
     )
 
 
-def _costs(key, frame: pd.DataFrame) -> pd.DataFrame:
+def _costs(key: tuple[Any, ...], frame: pd.DataFrame) -> pd.DataFrame:
     # turns of one number are ordered by hash, so that runs of the hash are runs of the order
     total = segment_matrix(frame.sort_values(["turn", "h"], na_position="last", kind="stable")["state"].to_numpy())
     return frame.iloc[:1][["conv", "late", "seg", "sub"]].assign(costs=[total.ravel().tolist()])
 
 
-def _borders(key, frame: pd.DataFrame) -> pd.DataFrame:
+def _borders(key: tuple[Any, ...], frame: pd.DataFrame) -> pd.DataFrame:
     """The states at the borders of a conversation's segments, on its cheapest repair."""
     frame = frame.sort_values(["late", "seg", "sub"], na_position="last", kind="stable").reset_index(drop=True)
     mats = [np.array(c, np.int64).reshape(STATES, STATES) for c in frame["costs"]]
@@ -144,7 +146,7 @@ def _borders(key, frame: pd.DataFrame) -> pd.DataFrame:
     return frame[["conv", "late", "seg", "sub"]].assign(enter=enter, leave=leave, total=int(best[0, START]), place=range(len(frame)))
 
 
-def _repaired(key, frame: pd.DataFrame) -> pd.DataFrame:
+def _repaired(key: tuple[Any, ...], frame: pd.DataFrame) -> pd.DataFrame:
     frame = frame.assign(_r=frame["role"].fillna("")).sort_values(["turn", "h", "_r", "text"], na_position="last", kind="stable")
     enter, leave = int(frame["enter"].iloc[0]), int(frame["leave"].iloc[0])
     way = repair(frame["state"].tolist(), enter, leave)

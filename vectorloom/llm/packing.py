@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from typing import Any
 
 import numpy as np
 import pandas as pd
@@ -118,7 +119,7 @@ def _pack(id_type: pa.DataType, path: str | None, window: int, open_windows: int
 def _merge(window: int, open_windows: int, last: bool):
     """Pack a bounded group of leftover windows; what is still open stays left over, or is cut into powers of two."""
 
-    def run(key, frame: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple[Any, ...], frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(["sequence_id", "offset"])
         rows: list[tuple] = []
         task = int(frame["sequence_id"].min()) >> 33
