@@ -1,9 +1,392 @@
-"""Named queries over the driver's tables and their SQL."""
+"""Named queries over the driver's tables, with their SQL for DuckDB.
 
+Scores are computed in double precision, rounded to six places and ranked by the rounded score, then id, in both engines.
+"""
 
-def queries() -> dict:
-    return {}
+from __future__ import annotations
 
+from collections.abc import Callable
 
-def oracle_sql() -> dict:
-    return {}
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
+from pyspark.sql import functions as F
+
+from vectorloom.functions.chunkers import FixedSizeChunker, ParagraphChunker, SentenceChunker
+from vectorloom.functions.metadata import MetadataFilter, any_value_contains, preview
+from vectorloom.functions.vectors import l2_normalize, norm, validate_dimensions
+from vectorloom.operators import search, store
+from vectorloom.operators.embedders import LETTERS, ByteEmbedder, LetterEmbedder
+from vectorloom.operators.retriever import chunk_ids, chunk_rows
+from vectorloom.rpc import ToolServer
+from vectorloom.sources import codebase, pdf
+from vectorloom.types import DistanceMetric
+
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+WIDE = "double"
+METRICS = {"cosine": DistanceMetric.COSINE, "euclidean": DistanceMetric.EUCLIDEAN, "dot": DistanceMetric.DOT_PRODUCT, "manhattan": DistanceMetric.MANHATTAN}
+
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_SQL)
+
+
+def _query(name: str, sql: str | None = None):
+    def keep(f: Query) -> Query:
+        _QUERIES[name] = f
+        if sql is not None:
+            _SQL[name] = sql
+        return f
+
+    return keep
+
+
+def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``embeddings`` as documents: numeric ids, the label as metadata."""
+    e = _read(spark, sf_dir, "embeddings")
+    label = F.create_map(F.lit("label"), F.col("label").cast("string"))
+    return e.select(F.col("vec_id").alias("id"), F.lit("").alias("content"), label.alias("metadata"), "embedding")
+
+
+def _one(vectors: DataFrame) -> list[float]:
+    return vectors.filter("id = 0").head()["embedding"]
+
+
+def _score(column: str = "score") -> Column:
+    return F.round(F.col(column).cast("double"), 6).alias("score")
+
+
+def _ranked(found: DataFrame, *kept: str, by: str | None = None) -> DataFrame:
+    rounded = found.select("id", *kept, _score())
+    over = (Window.partitionBy(by) if by else Window.partitionBy(F.lit(0))).orderBy(F.desc("score"), "id")
+    return rounded.withColumn("rank", F.row_number().over(over).cast("long"))
+
+
+# Similarities in SQL, over lists of doubles a and b.
+_DOT = "list_sum(list_transform(list_zip({a}, {b}), lambda p: p[1] * p[2]))"
+_NORM = "sqrt(list_sum(list_transform({a}, lambda x: x * x)))"
+_SIM = {
+    "cosine": "CASE WHEN len({a}) <> len({b}) THEN 0 ELSE " + _DOT + " / (" + _NORM + " * " + _NORM.replace("{a}", "{b}") + ") END",
+    "dot": _DOT,
+    "euclidean": "1 / (1 + sqrt(list_sum(list_transform(list_zip({a}, {b}), lambda p: (p[1] - p[2]) * (p[1] - p[2])))))",
+    "manhattan": "1 / (1 + list_sum(list_transform(list_zip({a}, {b}), lambda p: abs(p[1] - p[2]))))",
+}
+_V = "CAST({} AS DOUBLE[])"
+
+
+def _sim(metric: str, a: str = "e.embedding", b: str = "q.embedding") -> str:
+    return f"round({_SIM[metric].format(a=_V.format(a), b=_V.format(b))}, 6)"
+
+
+def _sql_top(metric: str, k: int | str, where: str = "") -> str:
+    scored = f"SELECT e.vec_id AS id, {_sim(metric)} AS score FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q {where}"
+    return f"SELECT id, score, row_number() OVER (ORDER BY score DESC, id) AS rank FROM ({scored}) ORDER BY score DESC, id LIMIT {k}"
+
+
+def _register_metrics() -> None:
+    for name, metric in METRICS.items():
+
+        @_query(f"knn_{name}", _sql_top(name, 10))
+        def knn(spark: SparkSession, sf_dir: str, metric=metric) -> DataFrame:
+            v = _vectors(spark, sf_dir)
+            return _ranked(search.top_k(v, _one(v), 10, metric, WIDE))
+
+        pairs = f"SELECT q.vec_id AS query_id, e.vec_id AS id, {_sim(name)} AS score FROM embeddings e, embeddings q WHERE q.vec_id < 10"
+        batch_sql = f"SELECT * FROM (SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM ({pairs})) WHERE rank <= 5"
+
+        @_query(f"knn_batch_{name}", batch_sql)
+        def batch(spark: SparkSession, sf_dir: str, metric=metric) -> DataFrame:
+            v = _vectors(spark, sf_dir)
+            asked = v.filter("id < 10").select(F.col("id").alias("query_id"), F.col("embedding").alias("query_vec"))
+            return _ranked(search.top_k_batch(v, asked, 5, metric, WIDE), "query_id", by="query_id")
+
+        @_query(f"knn_blocks_{name}", batch_sql)
+        def blocks(spark: SparkSession, sf_dir: str, metric=metric) -> DataFrame:
+            v = _vectors(spark, sf_dir)
+            asked = v.filter("id < 10").select(F.col("id").alias("query_id"), F.col("embedding").alias("query_vec"))
+            return _ranked(search.top_k_blocks(v, asked, 5, metric, kind=WIDE), "query_id", by="query_id")
+
+        cut_sql = "(SELECT vec_id, CASE WHEN vec_id % 2 = 0 THEN embedding[1:32] ELSE embedding END AS embedding FROM embeddings)"
+        if name == "cosine":
+            score = _sim(name)
+        else:
+            n = "least(len(e.embedding), len(q.embedding))"
+            score = _sim(name, f"e.embedding[1:{n}]", f"q.embedding[1:{n}]")
+
+        @_query(f"knn_ragged_{name}", f"SELECT e.vec_id AS id, {score} AS score FROM {cut_sql} e, (SELECT embedding FROM embeddings WHERE vec_id = 1) q")
+        def ragged(spark: SparkSession, sf_dir: str, metric=metric) -> DataFrame:
+            v = _vectors(spark, sf_dir)
+            q = v.filter("id = 1").head()["embedding"]
+            uneven = v.withColumn("embedding", F.when(F.col("id") % 2 == 0, F.slice("embedding", 1, 32)).otherwise(F.col("embedding")))
+            return search.scored(uneven, q, metric, WIDE).select("id", _score())
+
+
+_register_metrics()
+
+
+@_query(
+    "knn_filtered_overfetch",
+    f"SELECT t.id, t.score FROM ({_sql_top('dot', 40)}) t JOIN embeddings e ON e.vec_id = t.id WHERE e.label = 2 ORDER BY t.score DESC, t.id LIMIT 10",
+)
+def knn_filtered_overfetch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = _vectors(spark, sf_dir)
+    return search.top_k_filtered(v, _one(v), 10, MetadataFilter().add("label", "2"), DistanceMetric.DOT_PRODUCT, kind=WIDE).select("id", _score())
+
+
+@_query("knn_prefiltered", _sql_top("dot", 10, "WHERE e.label = 2"))
+def knn_prefiltered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = _vectors(spark, sf_dir)
+    return _ranked(search.top_k_filtered(v, _one(v), 10, MetadataFilter().add("label", "2"), DistanceMetric.DOT_PRODUCT, prefilter=True, kind=WIDE))
+
+
+@_query(
+    "knn_filtered_substring",
+    f"SELECT t.id, t.score FROM ({_sql_top('cosine', 20)}) t JOIN embeddings e ON e.vec_id = t.id WHERE contains(CAST(e.label AS VARCHAR), '3') ORDER BY t.score DESC, t.id LIMIT 10",
+)
+def knn_filtered_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = _vectors(spark, sf_dir)
+    return search.top_k_containing(v, _one(v), 10, "3", kind=WIDE).select("id", _score())
+
+
+@_query("knn_k_zero", _sql_top("cosine", 0))
+def knn_k_zero(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = _vectors(spark, sf_dir)
+    return _ranked(search.top_k(v, _one(v), 0, kind=WIDE))
+
+
+@_query("knn_k_over_n", _sql_top("cosine", 100000))
+def knn_k_over_n(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = _vectors(spark, sf_dir)
+    return _ranked(search.top_k(v, _one(v), 100_000, kind=WIDE))
+
+
+@_query("knn_null_embedding", _sql_top("cosine", 10, "WHERE e.vec_id % 7 <> 0"))
+def knn_null_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = _vectors(spark, sf_dir)
+    holes = v.withColumn("embedding", F.when(F.col("id") % 7 == 0, None).otherwise(F.col("embedding")))
+    return _ranked(search.top_k(holes, _one(v), 10, kind=WIDE))
+
+
+_X = "CAST(embedding AS DOUBLE[])"
+_LEN = _NORM.format(a=_X)
+
+
+@_query(
+    "l2_normalize",
+    f"SELECT vec_id, round(embedding[1] * 3 / ({_LEN} * 3), 5) AS first, round(embedding[64] / {_LEN}, 5) AS last FROM embeddings",
+)
+def l2_normalized(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _read(spark, sf_dir, "embeddings")
+    longer = F.transform("embedding", lambda x: x.cast("double") * 3)
+    n = l2_normalize(longer, WIDE)
+    return e.select("vec_id", F.round(F.element_at(n, 1).cast("double"), 5).alias("first"), F.round(F.element_at(n, -1).cast("double"), 5).alias("last"))
+
+
+@_query("vector_norm", f"SELECT vec_id, round({_LEN}, 5) AS norm FROM embeddings")
+def vector_norm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _read(spark, sf_dir, "embeddings").select("vec_id", F.round(norm(F.col("embedding"), WIDE), 5).alias("norm"))
+
+
+@_query("dimension_check", "SELECT CAST(max(len(embedding)) AS BIGINT) AS dimension FROM embeddings")
+def dimension_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = validate_dimensions(_read(spark, sf_dir, "embeddings"), "embedding", "vec_id")
+    return spark.createDataFrame([(d,)], "dimension long")
+
+
+def _sql_fixed(size: int, overlap: int) -> str:
+    step = size - overlap
+    return (
+        "SELECT doc_id, i // {step} AS pos, array_to_string(ws[i + 1 : i + {size}], ' ') AS chunk FROM (SELECT doc_id, ws, unnest(range(0, len(ws), {step})) AS i "
+        "FROM (SELECT doc_id, list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '') AS ws FROM documents))"
+    ).format(step=step, size=size)
+
+
+def _chunked(df: DataFrame, chunker) -> DataFrame:
+    return chunker.explode(df).select("doc_id", F.col("pos").cast("long").alias("pos"), "chunk")
+
+
+@_query("chunk_fixed_500_50", _sql_fixed(500, 50))
+def chunk_fixed_500_50(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _chunked(_read(spark, sf_dir, "documents").select("doc_id", "text"), FixedSizeChunker())
+
+
+@_query("chunk_fixed_50_10", _sql_fixed(50, 10))
+def chunk_fixed_50_10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _chunked(_read(spark, sf_dir, "documents").select("doc_id", "text"), FixedSizeChunker(50, 10))
+
+
+def _sql_pieces(pieces: str, source: str = "documents") -> str:
+    trimmed = f"list_filter(list_transform({pieces}, lambda p: regexp_replace(p, '^\\s+|\\s+$', '', 'g')), lambda p: p <> '')"
+    return f"SELECT doc_id, {trimmed} AS ps FROM {source}"
+
+
+_SENTENCES = _sql_pieces(r"regexp_extract_all(text, '[^.!?\n]*[.!?\n]|[^.!?\n]+$')")
+
+
+@_query("chunk_paragraph", f"SELECT doc_id, unnest(range(0, len(ps))) AS pos, unnest(ps) AS chunk FROM ({_sql_pieces('string_split(replace(text, chr(10), chr(10) || chr(10)), chr(10) || chr(10))')})")
+def chunk_paragraph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = _read(spark, sf_dir, "documents").select("doc_id", F.replace("text", F.lit("\n"), F.lit("\n\n")).alias("text"))
+    return _chunked(d, ParagraphChunker())
+
+
+@_query("chunk_sentence_5", f"SELECT doc_id, i // 5 AS pos, array_to_string(ps[i + 1 : i + 5], ' ') AS chunk FROM (SELECT doc_id, ps, unnest(range(0, len(ps), 5)) AS i FROM ({_SENTENCES}))")
+def chunk_sentence_5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _chunked(_read(spark, sf_dir, "documents").select("doc_id", "text"), SentenceChunker())
+
+
+@_query("chunk_counts_by_lang", f"SELECT lang, count(*) AS chunks FROM ({_sql_fixed(500, 50)}) c JOIN documents USING (doc_id) GROUP BY lang")
+def chunk_counts_by_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = _read(spark, sf_dir, "documents").select("lang", F.size(FixedSizeChunker().chunks(F.col("text"))).alias("n"))
+    return d.groupBy("lang").agg(F.sum("n").alias("chunks"))
+
+
+def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``documents`` as documents: language and source as metadata."""
+    meta = F.create_map(F.lit("lang"), F.col("lang"), F.lit("source"), F.col("source"))
+    return _read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content"), meta.alias("metadata"))
+
+
+def _fresh(rows: DataFrame) -> DataFrame:
+    return rows.filter("id % 3 = 0").select((F.col("id") * 2).alias("id"), F.concat(F.lit("new "), "content").alias("content"), "metadata")
+
+
+_NEW = "(SELECT doc_id * 2 AS id, 'new ' || text AS content FROM documents WHERE doc_id % 3 = 0)"
+
+
+@_query("store_upsert", f"SELECT id, md5(content) AS content FROM {_NEW} UNION ALL SELECT doc_id, md5(text) FROM documents WHERE doc_id NOT IN (SELECT id FROM {_NEW})")
+def store_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _texts(spark, sf_dir)
+    return store.upsert(rows, _fresh(rows)).select("id", F.md5("content").alias("content"))
+
+
+@_query("store_delete_batch", "SELECT doc_id AS id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)")
+def store_delete_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    gone = _read(spark, sf_dir, "labels").filter("toxic = 1").select(F.col("doc_id").alias("id"))
+    return store.remove(_texts(spark, sf_dir), gone).select("id")
+
+
+@_query("store_delete_count", "SELECT count(*) AS deleted FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1)")
+def store_delete_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    gone = _read(spark, sf_dir, "labels").filter("toxic = 1").select(F.col("doc_id").alias("id"))
+    return _texts(spark, sf_dir).join(gone, "id", "left_semi").agg(F.count("*").alias("deleted"))
+
+
+def _loaded(spark: SparkSession, sf_dir: str) -> store.DataFrameStore:
+    s = store.DataFrameStore(spark)
+    rows = _texts(spark, sf_dir).withColumn("embedding", F.lit(None).cast("array<float>"))
+    s.add_batch(rows.select(F.col("id").cast("string").alias("id"), "content", "metadata", "embedding", F.col("id").alias("seq")))
+    return s
+
+
+@_query("store_get", "SELECT CAST(doc_id AS VARCHAR) AS id, md5(text) AS content FROM documents WHERE doc_id = 7")
+def store_get(spark: SparkSession, sf_dir: str) -> DataFrame:
+    row = _loaded(spark, sf_dir).get("7")
+    return spark.createDataFrame([(row["id"], row["content"])], "id string, content string").withColumn("content", F.md5("content"))
+
+
+@_query("store_count", "SELECT count(*) AS n FROM documents")
+def store_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.createDataFrame([(_loaded(spark, sf_dir).count(),)], "n long")
+
+
+@_query("store_list_page", "SELECT CAST(doc_id AS VARCHAR) AS id FROM documents ORDER BY doc_id LIMIT 10 OFFSET 20")
+def store_list_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _loaded(spark, sf_dir).list(10, 20).select("id")
+
+
+@_query("metadata_filter_and", "SELECT doc_id AS id FROM documents WHERE lang = 'en' AND source = 'src1'")
+def metadata_filter_and(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _texts(spark, sf_dir).filter(MetadataFilter().add("lang", "en").add("source", "src1").matches(F.col("metadata"))).select("id")
+
+
+@_query("metadata_any_contains", "SELECT doc_id AS id FROM documents WHERE contains(lang, 's') AND contains(lang, 'e') OR contains(source, '11')")
+def metadata_any_contains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _texts(spark, sf_dir).filter(any_value_contains(F.col("metadata"), "es") | any_value_contains(F.col("metadata"), "11")).select("id")
+
+
+@_query("list_preview", "SELECT doc_id AS id, substr(text, 1, 200) || '...' AS content FROM documents")
+def list_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _texts(spark, sf_dir).select("id", preview(F.col("content")).alias("content"))
+
+
+@_query("content_bytes", "SELECT source, CAST(sum(strlen(text)) AS BIGINT) AS bytes FROM documents GROUP BY source")
+def content_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _read(spark, sf_dir, "documents").groupBy("source").agg(F.sum(F.octet_length("text")).cast("long").alias("bytes"))
+
+
+_ASKED = "the nature of this and that"
+_LETTER_SQL = "[" + ", ".join(f"CAST(len(low) - len(replace(low, '{c}', '')) AS DOUBLE)" for c in LETTERS) + "]"
+
+
+def _sql_retrieve(limit: int) -> str:
+    rows = f"SELECT doc_id, lang, source, {_LETTER_SQL} AS v FROM (SELECT doc_id, lang, source, lower(text) AS low FROM documents)"
+    asked = f"SELECT {_LETTER_SQL} AS w FROM (SELECT '{_ASKED}' AS low)"
+    cosine = "CASE WHEN list_sum(list_transform(v, lambda x: x * x)) = 0 THEN 0 ELSE " + _DOT.format(a="v", b="w") + " / (" + _NORM.format(a="v") + " * " + _NORM.format(a="w") + ") END"
+    return f"SELECT doc_id AS id, lang, source, round({cosine}, 6) AS score FROM ({rows}), ({asked}) ORDER BY score DESC, id LIMIT {limit}"
+
+
+def _embedded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _texts(spark, sf_dir).withColumn("embedding", LetterEmbedder().column(F.col("content")))
+
+
+def _rounded_top(rows: DataFrame, k: int) -> DataFrame:
+    """Top-k by the rounded score, as the SQL ranks."""
+    scored = search.scored(rows, LetterEmbedder().embed_single(_ASKED), kind=WIDE).withColumn("score", F.round(F.col("score").cast("double"), 6))
+    return scored.orderBy(F.desc("score"), "id").limit(k)
+
+
+@_query("retrieve_with_scores", f"SELECT id, round(score, 5) AS score FROM ({_sql_retrieve(10)})")
+def retrieve_with_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded_top(_embedded(spark, sf_dir), 10).select("id", F.round("score", 5).alias("score"))
+
+
+@_query("retrieve_filtered", f"SELECT id, round(score, 5) AS score FROM ({_sql_retrieve(20)}) WHERE contains(lang, 'en') OR contains(source, 'en') ORDER BY score DESC, id LIMIT 10")
+def retrieve_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    near = _rounded_top(_embedded(spark, sf_dir), 20)
+    return near.filter(any_value_contains(F.col("metadata"), "en")).orderBy(F.desc("score"), "id").limit(10).select("id", F.round("score", 5).alias("score"))
+
+
+@_query("add_document_ids", f"SELECT doc_id, string_agg(doc_id || '#' || pos, ',' ORDER BY pos) AS ids FROM ({_sql_fixed(50, 10)}) GROUP BY doc_id")
+def add_document_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = chunk_rows(_read(spark, sf_dir, "documents").select("doc_id", "text"), FixedSizeChunker(50, 10), LetterEmbedder(), "text", "doc_id")
+    return chunk_ids(rows, "doc_id")
+
+
+_PATH = "regexp_replace(url, '^[a-z]+://', '/srv/') || CASE page_id % 4 WHEN 0 THEN '/main.rs' WHEN 1 THEN '/.git/x.py' WHEN 2 THEN '/.env' ELSE '/target/debug' END"
+
+
+@_query("ingest_code_predicates", f"SELECT page_id FROM (SELECT page_id, {_PATH} AS path FROM pages) WHERE NOT contains(path, '/.git/') AND NOT contains(path, '/target/') AND path LIKE '%/main.rs'")
+def ingest_code_predicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    end = F.element_at(F.array(*[F.lit(x) for x in ("/main.rs", "/.git/x.py", "/.env", "/target/debug")]), (F.col("page_id") % 4 + 1).cast("int"))
+    path = F.concat(F.regexp_replace("url", "^[a-z]+://", "/srv/"), end)
+    return _read(spark, sf_dir, "pages").filter(codebase.wanted(path)).select("page_id")
+
+
+@_query("byte_embedder", "SELECT item_id, CAST(strlen(text) AS BIGINT) AS dimension FROM benchmark")
+def byte_embedder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _read(spark, sf_dir, "benchmark").select("item_id", F.size(ByteEmbedder().column(F.col("text"))).cast("long").alias("dimension"))
+
+
+@_query("pdf_decode")
+def pdf_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cases = [b"hello\\nworld", b"a\\050b\\051", b"caf\\351", b"\\(x\\)"]
+    return spark.createDataFrame([(i, pdf.decode_string(c)) for i, c in enumerate(cases)], "case_no int, text string")
+
+
+@_query("rpc_session")
+def rpc_session(spark: SparkSession, sf_dir: str) -> DataFrame:
+    server = ToolServer(LetterEmbedder(), store.DataFrameStore(spark))
+    call = lambda i, name, args: {"jsonrpc": "2.0", "id": i, "method": "tools/call", "params": {"name": name, "arguments": args}}
+    texts = [r["text"] for r in _read(spark, sf_dir, "benchmark").orderBy("item_id").limit(3).collect()]
+    asked = [call(i, "add_document", {"content": t}) for i, t in enumerate(texts)] + [call(9, "query", {"query": texts[0], "top_k": 2}), call(10, "count", {})]
+    answers = [server.handle(a) for a in asked]
+    return spark.createDataFrame([Row(id=a["id"], ok=a["error"] is None, keys=",".join(sorted(a["result"] or {}))) for a in answers], "id long, ok boolean, keys string")
