@@ -149,7 +149,7 @@ def recipes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", dig
     id_type = body.schema["id"].dataType.simpleString()
     plain = cut(body.mapInArrow(_recipes(digest_bytes), f"row long, id {id_type}, text_sha256 string, recipe array<binary>"))
 
-    distinct = body.select("row", "body").mapInArrow(_chunks(digest_bytes, False), "digest binary, content binary").distinct()
+    distinct = body.mapInArrow(_chunks(digest_bytes, False), "digest binary, content binary").distinct()
     shared = cut(distinct.groupBy("digest").agg(F.count("*").alias("n")).filter("n > 1").select("digest"))
     if shared.isEmpty():
         return plain
@@ -158,9 +158,8 @@ def recipes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", dig
     told = Window.partitionBy("digest").orderBy("content")
     ranked = distinct.join(shared, "digest", "left_semi").withColumn("rank", F.row_number().over(told))
     hit = plain.select("row", F.explode("recipe").alias("digest")).join(shared, "digest", "left_semi").select("row").distinct()
-    places = body.select("row", "body").join(hit, "row", "left_semi").mapInArrow(
-        _chunks(digest_bytes, True), "row long, pos long, digest binary, content binary"
-    )
+    # all of ``body`` goes in each time: with other columns, a shuffled input might number its rows otherwise
+    places = body.mapInArrow(_chunks(digest_bytes, True), "row long, pos long, digest binary, content binary").join(hit, "row", "left_semi")
     named = places.join(ranked, ["digest", "content"], "left").select(
         "row", "pos", F.concat("digest", F.coalesce(F.concat(F.lit("#"), F.col("rank").cast("string")), F.lit("")).cast("binary")).alias("ident")
     )

@@ -53,13 +53,14 @@ def _encode(path: str | None):
     return run
 
 
-def write_token_files(docs: DataFrame, path: str, text_col: str = "text", tokenizer_path: str | None = None) -> None:
+def write_token_files(docs: DataFrame, path: str, text_col: str = "text", tokenizer_path: str | None = None, also: str | None = None) -> None:
     """Write the documents' tokens as flat files, one per task, by Spark's own text writer.
 
     A row's bytes are its tokens and the line separator is the end-of-document identifier, so the files hold nothing else
-    and any store that Spark writes to will do.
+    and any store that Spark writes to will do. ``also`` names a column to read along, so that the rows are those of
+    another reading with that column.
     """
-    packed = docs.select(F.col(text_col).alias("text")).mapInArrow(_encode(tokenizer_path), "tokens binary")
+    packed = docs.select(F.col(text_col).alias("text"), *([F.col(also).alias("_also")] if also else [])).mapInArrow(_encode(tokenizer_path), "tokens binary")
     separator = np.array([END_OF_DOCUMENT], DTYPE).tobytes().decode("latin-1")
     packed.select(F.col("tokens").cast("string").alias("value")).write.option("lineSep", separator).option("encoding", "ISO-8859-1").text(path)
 
@@ -119,16 +120,19 @@ def count_tokens(spark: SparkSession, path: str, block_bytes: int = BLOCK_BYTES)
 def count_document_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer_path: str | None = None, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Write ``docs`` as flat token files to the shared folder, count the documents in them, and remove the files.
 
-    One row per document: the id, ``file`` (its number in the name Spark gave it), ``doc_no``, ``start``, ``tokens``.
+    One row per document: the id, ``file`` (its number in the name Spark gave it), ``doc_no``, ``start``, ``tokens``,
+    ``n_chars``.
     The files know no ids: a document is told by its place, for a task's file holds the task's rows in their order.
     """
     spark = docs.sparkSession
     path = f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
-    write_token_files(docs, path, text_col, tokenizer_path)
+    write_token_files(docs, path, text_col, tokenizer_path, id_col)
     counted = cut(count_tokens(spark, path, block_bytes).select(F.regexp_extract("file", r"part-(\d+)", 1).cast("long").alias("file"), "doc_no", "start", "tokens"))
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
     place = F.monotonically_increasing_id()
-    ids = docs.select(F.col(id_col).alias("_id"), F.shiftright(place, 33).alias("_file"), place.bitwiseAND(F.lit((1 << 33) - 1)).alias("_no"))
-    found = counted.join(ids, (F.col("file") == F.col("_file")) & (F.col("doc_no") == F.col("_no")))
-    return found.select(F.col("_id").alias(id_col), "file", "doc_no", "start", "tokens")
+    # id and text are read again, the columns that were read for the files, so the rows stand where they stood then
+    rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.length(text_col), F.lit(0)).cast("long").alias("n_chars"), place.alias("_place"))
+    rows = rows.select("_id", "n_chars", F.shiftright("_place", 33).alias("_file"), F.col("_place").bitwiseAND(F.lit((1 << 33) - 1)).alias("_no"))
+    found = counted.join(rows, (F.col("file") == F.col("_file")) & (F.col("doc_no") == F.col("_no")))
+    return found.select(F.col("_id").alias(id_col), "file", "doc_no", "start", "tokens", "n_chars")
