@@ -5,7 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
-CLASHING = ["row", "id", "size", "fp", "body", "keep_id", "score", "_score", "group_size", "recipe", "sequence_id", "bucket", "edited", "spans", "kept", "a", "b"]
+CLASHING = ["row", "id", "size", "fp", "body", "keep_id", "score", "_score", "group_size", "recipe", "sequence_id", "bucket", "edited", "spans", "kept", "a", "b", "_loom", "_loom_sha", "_sha", "_n"]
 WORDS = [a + b for a in ("ba", "ce", "di", "fo", "gu", "ha", "ki") for b in ("ran", "sel", "tim", "von", "wus", "xy")]
 
 

@@ -49,3 +49,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def signed(x: int) -> int:
     """A 64-bit pattern as the signed value Spark's LONG holds."""
     return x - (1 << 64) if x >> 63 else x
+
+
+def private_prefix(df: DataFrame) -> str:
+    """A prefix that no column of ``df`` has, for columns added for a while."""
+    prefix = "_loom"
+    while any(c.lower().startswith(prefix) for c in df.columns):
+        prefix += "_"
+    return prefix

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vectorloom.llm.common import SPACE_RUN, as_bytes, cut
+from vectorloom.llm.common import SPACE_RUN, as_bytes, cut, private_prefix
 
 MIN_CHUNK, MAX_CHUNK, CUT_BITS = 512, 16384, 11
 DIGEST_BYTES = 16
@@ -192,11 +192,10 @@ def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     Where an id is unique, a semi join on id and text digest is all it takes. Rows that repeat both are reduced to one.
     """
     made = cut(exact_duplicates(docs, id_col, text_col))
-    key = [F.col(id_col).alias("_stay_id"), F.col("text_sha256").alias("_stay_sha")]
-    stays = made.filter("kept").select(*key)
+    p = private_prefix(docs)
+    stays = made.filter("kept").select(F.col(id_col).alias(f"{p}_id"), F.col("text_sha256").alias(f"{p}_kept"))
     sha = F.sha2(F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), SPACE_RUN, " "), 256)
-    marked = docs.withColumn("_sha", sha)
-    kept = marked.join(stays, marked[id_col].eqNullSafe(stays["_stay_id"]) & (marked["_sha"] == stays["_stay_sha"]), "left_semi")
+    kept = docs.withColumn(f"{p}_sha", sha).join(stays, F.col(id_col).eqNullSafe(F.col(f"{p}_id")) & (F.col(f"{p}_sha") == F.col(f"{p}_kept")), "left_semi")
     if not made.groupBy(id_col, "text_sha256").agg(F.count("*").alias("n")).filter("n > 1").isEmpty():
-        kept = kept.dropDuplicates([id_col, "_sha"])
+        kept = kept.dropDuplicates([id_col, f"{p}_sha"])
     return kept.select(*docs.columns)

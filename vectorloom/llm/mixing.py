@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Row, Window
 from pyspark.sql import functions as F
 
-from vectorloom.llm.common import count_words, cut
+from vectorloom.llm.common import SPACE_RUN, count_words, cut, private_prefix
 
 WEIGHTS, SHARE, CAP = (3, 1, 2), 1.5, 2.0  # fixed values of the contract
 BLOCK_WORDS = 64
@@ -223,14 +223,14 @@ def mix_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     where the words are cut and unchanged where the pass takes them all. Other columns stay; ids repeat with the passes.
     """
     _, pieces = mix(docs, id_col, text_col, source_col, block)
-    span = F.struct("start", "words")
-    takes = pieces.groupBy("id", "row", "size", "pass").agg(F.array_sort(F.collect_list(span)).alias("_spans"), F.sum("words").alias("_taken"))
-    takes = takes.select(F.col("row").alias("_row"), F.col("id").alias("_id"), F.col("size").alias("_size"), (F.col("_taken") == F.col("size")).alias("_whole"), "_spans")
-    words = F.filter(F.split(F.col(text_col), r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    cut_text = F.concat_ws(" ", F.flatten(F.transform("_spans", lambda s: F.slice(words, (s["start"] + 1).cast("int"), s["words"].cast("int")))))
+    p = private_prefix(docs)
+    takes = pieces.groupBy("id", "row", "size", "pass").agg(F.array_sort(F.collect_list(F.struct("start", "words"))).alias("spans"), F.sum("words").alias("taken"))
     # Rows that repeat an id and a size are numbered on both sides, so that each meets its own takes.
-    takes = takes.withColumn("_nth", F.dense_rank().over(Window.partitionBy("_id", "_size").orderBy("_row")))
-    same = Window.partitionBy(F.col(id_col), F.col("_n")).orderBy(F.xxhash64(F.col(text_col)))
-    counted = docs.withColumn("_n", count_words(F.col(text_col))).withColumn("_k", F.row_number().over(same))
-    joined = counted.join(takes, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_n") == F.col("_size")) & (F.col("_k") == F.col("_nth")))
-    return joined.withColumn(text_col, F.when(F.col("_whole"), F.col(text_col)).otherwise(cut_text)).select(*docs.columns)
+    nth = F.dense_rank().over(Window.partitionBy("id", "size").orderBy("row"))
+    takes = takes.select(F.col("id").alias(f"{p}_id"), F.col("size").alias(f"{p}_size"), nth.alias(f"{p}_nth"), (F.col("taken") == F.col("size")).alias(f"{p}_whole"), F.col("spans").alias(f"{p}_spans"))
+    counted = docs.withColumn(f"{p}_n", count_words(F.col(text_col)))
+    counted = counted.withColumn(f"{p}_k", F.row_number().over(Window.partitionBy(F.col(id_col), F.col(f"{p}_n")).orderBy(F.xxhash64(F.col(text_col)))))
+    same = F.col(id_col).eqNullSafe(F.col(f"{p}_id")) & (F.col(f"{p}_n") == F.col(f"{p}_size")) & (F.col(f"{p}_k") == F.col(f"{p}_nth"))
+    words = F.filter(F.split(F.col(text_col), SPACE_RUN), lambda w: w != "")
+    cut_text = F.concat_ws(" ", F.flatten(F.transform(f"{p}_spans", lambda s: F.slice(words, (s["start"] + 1).cast("int"), s["words"].cast("int")))))
+    return counted.join(takes, same).withColumn(text_col, F.when(F.col(f"{p}_whole"), F.col(text_col)).otherwise(cut_text)).select(*docs.columns)
