@@ -27,13 +27,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vectorloom.llm.common import as_bytes, cut
+from vectorloom.llm.common import as_bytes, cut, private_prefix
 from vectorloom.llm.components import connected_components
 
 SHINGLE, SEED, RADIUS = 3, 42, 3  # fixed values of the contract
 GROUP_SIZE = 1 << 17
 _STEP = 4  # bits by which one level of nodes is longer than the one above
-_FRONTIER = 1 << 20
+_FRONTIER = 1 << 19
 _RUN = 1 << 15
 
 
@@ -157,32 +157,32 @@ def near_pairs(left: np.ndarray, right: np.ndarray | None, radius: int) -> Itera
     depths = [*range(_STEP, min(max(told) + 1, 64), _STEP), 64]
     a = _Levels(left, depths)
     b = a if right is None else _Levels(right, depths)
+    last = len(depths) - 1
+
+    def near(level: int, x: np.ndarray, y: np.ndarray) -> tuple[int, np.ndarray, np.ndarray]:
+        keep = np.bitwise_count(a.pattern[level][x] ^ b.pattern[level][y]) <= radius
+        if right is None:
+            keep &= x < y if level == last else x <= y
+        return level, x[keep], y[keep]
+
     n, m = len(a.pattern[0]), len(b.pattern[0])
-    stack = [(0, np.repeat(np.arange(n), m), np.tile(np.arange(m), n))]
+    stack = [near(0, np.repeat(np.arange(n), m), np.tile(np.arange(m), n))]
     while stack:
         level, x, y = stack.pop()
-        near = np.bitwise_count(a.pattern[level][x] ^ b.pattern[level][y]) <= radius
-        if right is None:
-            near &= x <= y
-        x, y = x[near], y[near]
         if not len(x):
             continue
-        if level == len(depths) - 1:
-            if right is None:
-                x, y = x[x < y], y[x < y]
-            if len(x):
-                yield x, y
+        if level == last:
+            yield x, y
             continue
         width = b.child[level][y + 1] - b.child[level][y]
         size = (a.child[level][x + 1] - a.child[level][x]) * width
-        total = np.cumsum(size)
-        cuts = np.unique(np.searchsorted(total, np.arange(_FRONTIER, total[-1], _FRONTIER)))
-        for part in np.split(np.arange(len(x)), cuts):
-            if len(part):
-                n = size[part]
-                at = np.repeat(part, n)
-                k = np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n)
-                stack.append((level + 1, a.child[level][x[at]] + k // width[at], b.child[level][y[at]] + k % width[at]))
+        first = int(np.searchsorted(np.cumsum(size), _FRONTIER)) + 1  # at least one, however wide
+        if first < len(x):
+            stack.append((level, x[first:], y[first:]))
+        x, y, width, size = x[:first], y[:first], width[:first], size[:first]
+        at = np.repeat(np.arange(len(x)), size)
+        k = np.arange(len(at)) - np.repeat(np.cumsum(size) - size, size)
+        stack.append(near(level + 1, a.child[level][x[at]] + k // width[at], b.child[level][y[at]] + k % width[at]))
 
 
 def _hook(label: np.ndarray, x: np.ndarray, y: np.ndarray) -> None:
@@ -247,5 +247,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
     """The rows of ``docs`` that stay, one of each component, with all their columns. Ids are taken to be unique."""
-    stays = near_duplicates(docs, id_col, text_col, radius).filter("kept").select(F.col(id_col).alias("_stay"))
-    return docs.join(stays, docs[id_col].eqNullSafe(stays["_stay"]), "left_semi").select(*docs.columns)
+    stay = private_prefix(docs)
+    stays = near_duplicates(docs, id_col, text_col, radius).filter("kept").select(F.col(id_col).alias(stay))
+    return docs.join(stays, F.col(id_col).eqNullSafe(F.col(stay)), "left_semi").select(*docs.columns)
