@@ -18,19 +18,23 @@ of the input are ignored. Equal costs are settled for keeping, then merging, the
 
 from __future__ import annotations
 
-from typing import Any
+from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vectorloom.llm.common import cut
+
 ROLES = ("system", "user", "assistant")
 # States: what the last rendered turn was. START: nothing yet.
 START, SYSTEM, USER, ASSISTANT = range(4)
 STATES = 4
 MERGE, RELABEL, INSERT = 2, 3, 4  # costs of a repair; keeping a turn costs nothing
-SEGMENT_TURNS, SEGMENT_ROWS = 512, 4096
+SEGMENT_TURNS, SEGMENT_ROWS = 4096, 8192
+_PATTERNS = 50_000  # role sequences whose costs a worker remembers; most conversations share a few
 NEXT = {START: (SYSTEM, USER), SYSTEM: (USER,), USER: (ASSISTANT,), ASSISTANT: (USER,)}  # the legal turns
 _ALIASES = {"human": "user", "bot": "assistant", "model": "assistant", "gpt": "assistant"}
 _STATE = {"system": SYSTEM, "user": USER, "assistant": ASSISTANT}
@@ -72,7 +76,8 @@ def chain(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.minimum((a[:, :, None] + b[None, :, :]).min(axis=1), _INF)
 
 
-def segment_matrix(roles: np.ndarray) -> np.ndarray:
+@lru_cache(maxsize=_PATTERNS)
+def segment_matrix(roles: tuple[int, ...]) -> np.ndarray:
     total = np.full((STATES, STATES), _INF, np.int64)
     np.fill_diagonal(total, 0)
     for role in roles:
@@ -80,7 +85,8 @@ def segment_matrix(roles: np.ndarray) -> np.ndarray:
     return total
 
 
-def repair(roles: list[int], enter: int, leave: int) -> list[tuple[int, int, int]]:
+@lru_cache(maxsize=_PATTERNS)
+def repair(roles: tuple[int, ...], enter: int, leave: int) -> list[tuple[int, int, int]]:
     """(state after, inserted state or 0, cost) of each turn on the cheapest way from ``enter`` to ``leave``."""
     best = np.full((len(roles) + 1, STATES), _INF, np.int64)
     best[len(roles), leave] = 0
@@ -113,53 +119,103 @@ def segments(turns: DataFrame, conv_col: str, turn_col: str, role_col: str, text
     rows = rows.withColumns({"state": role_state(F.col("role")), "h": F.xxhash64("role", "text"), "seg": F.floor(F.col("turn") / SEGMENT_TURNS), "late": F.col("turn").isNull()})
     # Blocks of too many rows (turns that share a number) are cut finer: by number, then by leading bits of the hash.
     sizes = rows.groupBy("conv", "late", "seg").agg(F.count("*").alias("n")).filter(F.col("n") > SEGMENT_ROWS)
-    sizes = sizes.select(F.col("conv").alias("_c"), F.col("late").alias("_l"), F.col("seg").alias("_s"), "n")
+    sizes = cut(sizes.select(F.col("conv").alias("_c"), F.col("late").alias("_l"), F.col("seg").alias("_s"), "n"))
+    if sizes.isEmpty():
+        return rows.withColumns({"seg": F.col("seg") * SEGMENT_TURNS, "sub": F.lit(0).cast("long")})
     same = F.col("conv").eqNullSafe(F.col("_c")) & (F.col("late") == F.col("_l")) & F.col("seg").eqNullSafe(F.col("_s"))
-    rows = rows.join(sizes, same, "left")
-    bits = F.ceil(F.log2(F.col("n") / SEGMENT_ROWS)).cast("int")
-    # the hash in its signed order, cut into 2 ** bits runs
-    run = F.expr("shiftright(h, 64 - least(ceil(log2(n / %d)), 40))" % SEGMENT_ROWS)
-    heavy = F.col("n").isNotNull()
-    return rows.withColumns({"seg": F.when(heavy, F.col("turn")).otherwise(F.col("seg") * SEGMENT_TURNS), "sub": F.when(heavy & (bits > 0), run).otherwise(F.lit(0).cast("long"))}).select(
-        "conv", "late", "seg", "sub", "turn", "role", "text", "state", "h", "copies"
-    )
-
-
-def _costs(key: tuple[Any, ...], frame: pd.DataFrame) -> pd.DataFrame:
-    # turns of one number are ordered by hash, so that runs of the hash are runs of the order
-    total = segment_matrix(frame.sort_values(["turn", "h"], na_position="last", kind="stable")["state"].to_numpy())
-    return frame.iloc[:1][["conv", "late", "seg", "sub"]].assign(costs=[total.ravel().tolist()])
-
-
-def _borders(key: tuple[Any, ...], frame: pd.DataFrame) -> pd.DataFrame:
-    """The states at the borders of a conversation's segments, on its cheapest repair."""
-    frame = frame.sort_values(["late", "seg", "sub"], na_position="last", kind="stable").reset_index(drop=True)
-    mats = [np.array(c, np.int64).reshape(STATES, STATES) for c in frame["costs"]]
-    best = np.zeros((len(mats) + 1, STATES), np.int64)
-    for k in range(len(mats) - 1, -1, -1):
-        best[k] = np.minimum((mats[k] + best[k + 1][None, :]).min(axis=1), _INF)
-    enter, leave, state = [], [], START
-    for k, m in enumerate(mats):
-        enter.append(state)
-        state = int(np.argmin(m[state] + best[k + 1]))
-        leave.append(state)
-    return frame[["conv", "late", "seg", "sub"]].assign(enter=enter, leave=leave, total=int(best[0, START]), place=range(len(frame)))
-
-
-def _repaired(key: tuple[Any, ...], frame: pd.DataFrame) -> pd.DataFrame:
-    frame = frame.assign(_r=frame["role"].fillna("")).sort_values(["turn", "h", "_r", "text"], na_position="last", kind="stable")
-    enter, leave = int(frame["enter"].iloc[0]), int(frame["leave"].iloc[0])
-    way = repair(frame["state"].tolist(), enter, leave)
-    rows, before = [], enter
-    for (after, gap, cost), role in zip(way, frame["state"], strict=True):
-        merged = not gap and after == before and after != START
-        action = "merge" if merged else "insert" if gap else "keep" if after == role else "relabel"
-        rows.append((_NAME[after], action, _NAME.get(gap), cost, merged))
-        before = after
-    out = frame[["conv", "turn", "role", "text", "copies"]].copy()
-    out["new_role"], out["action"], out["inserted"], out["cost"], out["merged"] = zip(*rows, strict=True)
-    out["total"], out["seg_no"], out["pos"] = frame["total"], frame["place"], range(len(out))
-    return out
+    heavy, bits = F.col("n").isNotNull(), F.ceil(F.log2(F.col("n") / SEGMENT_ROWS))
+    run = F.when(bits > 0, F.expr(f"shiftright(h, 64 - cast(least(ceil(log2(n / {SEGMENT_ROWS})), 40) as int))")).otherwise(F.lit(0))
+    cut_finer = {"seg": F.when(heavy, F.col("turn")).otherwise(F.col("seg") * SEGMENT_TURNS), "sub": F.when(heavy, run).otherwise(F.lit(0)).cast("long")}
+    return rows.join(sizes, same, "left").withColumns(cut_finer).drop("_c", "_l", "_s", "n")
+
+
+def _groups(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
+    """Batches of a partition sorted by ``keys`` as frames of whole groups, with ``_group`` numbered in each."""
+    held: list[pd.DataFrame] = []
+    for batch in batches:
+        if not len(batch):
+            continue
+        held.append(batch)
+        # only what comes after the last change of a key may go on in the next batch
+        first = held[0].iloc[:1][keys]
+        if len(held) > 1 and _equal(first, batch.iloc[-1:][keys]):
+            continue
+        whole = _numbered(pd.concat(held, ignore_index=True), keys)
+        last = whole["_group"].iloc[-1]
+        if last:
+            yield whole[whole["_group"] < last]
+        held = [whole[whole["_group"] == last].drop(columns="_group")]
+    if held:
+        yield _numbered(pd.concat(held, ignore_index=True), keys)
+
+
+def _equal(a: pd.DataFrame, b: pd.DataFrame) -> bool:
+    return all((x is y) or x == y or (pd.isna(x) and pd.isna(y)) for x, y in zip(a.iloc[0], b.iloc[0], strict=True))
+
+
+def _numbered(frame: pd.DataFrame, keys: list[str]) -> pd.DataFrame:
+    new = np.zeros(len(frame), bool)
+    for k in keys:
+        now, was = frame[k], frame[k].shift()
+        new |= ((now != was) & ~(now.isna() & was.isna())).to_numpy()
+    new[0] = False
+    return frame.assign(_group=np.cumsum(new))
+
+
+def _ranges(group: np.ndarray) -> list[tuple[int, int]]:
+    edges = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(group)]
+    return list(zip(edges, edges[1:], strict=False))
+
+
+KEYS = ["conv", "late", "seg", "sub"]
+
+
+def _costs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for frame in _groups(batches, KEYS):
+        ranges, states = _ranges(frame["_group"].to_numpy()), frame["state"].tolist()
+        heads = frame.iloc[[a for a, _ in ranges]][KEYS]
+        yield heads.assign(costs=[segment_matrix(tuple(states[a:b])).ravel().tolist() for a, b in ranges])
+
+
+def _borders(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The states at the borders of each conversation's segments, on its cheapest repair."""
+    for frame in _groups(batches, ["conv"]):
+        enter, leave, total, place = [], [], [], []
+        costs = frame["costs"].tolist()
+        for a, b in _ranges(frame["_group"].to_numpy()):
+            mats = [np.array(c, np.int64).reshape(STATES, STATES) for c in costs[a:b]]
+            best = np.zeros((len(mats) + 1, STATES), np.int64)
+            for k in range(len(mats) - 1, -1, -1):
+                best[k] = np.minimum((mats[k] + best[k + 1][None, :]).min(axis=1), _INF)
+            state = START
+            for k, m in enumerate(mats):
+                enter.append(state)
+                state = int(np.argmin(m[state] + best[k + 1]))
+                leave.append(state)
+                total.append(int(best[0, START]))
+                place.append(k)
+        yield frame[KEYS].assign(enter=enter, leave=leave, total=total, place=place)
+
+
+OUT = ["conv", "turn", "role", "text", "copies", "new_role", "action", "inserted", "cost", "merged", "total", "seg_no", "pos"]
+
+
+def _repaired(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """A segment's first row is its border, the others are its turns."""
+    for frame in _groups(batches, KEYS):
+        states, parts, keep = frame["state"].tolist(), [], []
+        enters, leaves, totals, places = (frame[c].tolist() for c in ("enter", "leave", "total", "place"))
+        for a, b in _ranges(frame["_group"].to_numpy()):
+            before = int(enters[a])
+            way = repair(tuple(int(x) for x in states[a + 1 : b]), before, int(leaves[a]))
+            keep += range(a + 1, b)
+            for pos, (after, gap, cost) in enumerate(way):
+                merged = not gap and after == before and after != START
+                action = "merge" if merged else "insert" if gap else "keep" if after == states[a + 1 + pos] else "relabel"
+                parts.append((_NAME[after], action, _NAME.get(gap), cost, merged, int(totals[a]), int(places[a]), pos))
+                before = after
+        out = frame.iloc[keep][["conv", "turn", "role", "text", "copies"]].reset_index(drop=True)
+        yield pd.concat([out, pd.DataFrame(parts, columns=OUT[5:])], axis=1)
 
 
 def repair_conversations(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
@@ -175,13 +231,17 @@ def repair_conversations(turns: DataFrame, conv_col: str = "conv_id", turn_col:
     conv = rows.schema["conv"].dataType.simpleString()
     turn = rows.schema["turn"].dataType.simpleString()
     seg = rows.schema["seg"].dataType.simpleString()
-    keys = ["conv", "late", "seg", "sub"]
-    mats = rows.select(*keys, "turn", "state", "h").groupBy(*keys).applyInPandas(_costs, f"conv {conv}, late boolean, seg {seg}, sub long, costs array<long>")
-    borders = mats.groupBy("conv").applyInPandas(_borders, f"conv {conv}, late boolean, seg {seg}, sub long, enter int, leave int, total long, place long")
-    borders = borders.select(*[F.col(k).alias(f"_{k}") for k in keys], "enter", "leave", "total", "place")
-    on = [rows[k].eqNullSafe(borders[f"_{k}"]) for k in keys]
-    with_borders = rows.join(borders.hint("shuffle_merge"), on[0] & on[1] & on[2] & on[3]).drop(*[f"_{k}" for k in keys])
-    out = with_borders.groupBy(*keys).applyInPandas(
+    keys = KEYS
+    # a segment's turns stand in one partition, in order; turns of one number by hash, so that runs of the hash are runs of the order
+    skinny = rows.select(*keys, "turn", "state", "h").repartition(*keys).sortWithinPartitions(*keys, F.col("turn").asc_nulls_last(), "h")
+    place = f"conv {conv}, late boolean, seg {seg}, sub long"
+    mats = skinny.mapInPandas(_costs, f"{place}, costs array<long>").repartition("conv").sortWithinPartitions(*keys)
+    borders = mats.mapInPandas(_borders, f"{place}, enter long, leave long, total long, place long")
+    # each segment's border travels with its turns and stands first, so turns are moved once and no join is needed
+    turn_rows = rows.withColumn("border", F.lit(1))
+    both = turn_rows.unionByName(borders.withColumn("border", F.lit(0)), allowMissingColumns=True)
+    both = both.repartition(*keys).sortWithinPartitions(*keys, "border", F.col("turn").asc_nulls_last(), "h", "role", "text")
+    out = both.mapInPandas(
         _repaired,
         f"conv {conv}, turn {turn}, role string, text string, copies long, new_role string, action string, inserted string, cost long, merged boolean, total long, seg_no long, pos long",
     )
