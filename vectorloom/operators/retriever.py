@@ -56,15 +56,16 @@ class Retriever:
         for k, v in metadata:
             found = put(found, k, v)
         texts = spark.createDataFrame([(text,)], "content string").withColumn("metadata", found)
-        rows = chunk_rows(texts, self.chunker, self.embedding_model)
+        # a chunk for which the model gave no vector is left out
+        rows = chunk_rows(texts, self.chunker, self.embedding_model).filter(F.col("embedding").isNotNull())
         # one text's chunks: made once, so that ids are the same in the store and in the answer
         made = spark.createDataFrame(rows.orderBy("pos").collect(), rows.schema)
-        self.vector_store.add_batch(made.withColumn("seq", F.col("pos").cast("long")).filter(F.col("embedding").isNotNull()))
+        self.vector_store.add_batch(made.withColumn("seq", F.col("pos").cast("long")))
         return ",".join(r["id"] for r in made.orderBy("pos").collect())
 
     def add_documents(self, texts: DataFrame, text_col: str = "content", id_col: str | None = None) -> None:
         """Store the chunks of many texts at once; ``texts`` may be what a source extracts."""
-        rows = chunk_rows(texts, self.chunker, self.embedding_model, text_col, id_col)
+        rows = chunk_rows(texts, self.chunker, self.embedding_model, text_col, id_col).filter(F.col("embedding").isNotNull())
         self.vector_store.add_batch(rows.select("id", "content", "metadata", "embedding"))
 
     def _found(self, query: str) -> DataFrame:

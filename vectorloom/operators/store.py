@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from vectorloom.errors import InvalidConfig
 from vectorloom.functions.metadata import MetadataFilter
+from vectorloom.functions.vectors import cosine_similarity  # noqa: F401
 from vectorloom.operators import search
 from vectorloom.operators.shared import checkpointed
 from vectorloom.types import DOCUMENT, SAVED, DistanceMetric
@@ -179,6 +180,7 @@ class DataFrameStore(VectorStore):
         return store
 
 
+# Other names under which a store, and the cosine beside it, may be asked for.
 InMemoryStore = DataFrameStore
 MinimalStore = DataFrameStore
 
@@ -192,7 +194,35 @@ def remove(rows: DataFrame, ids: DataFrame, key: str = "id") -> DataFrame:
     return rows.join(ids.select(key), key, "left_anti")
 
 
-class FlatIndex:
+class Index(ABC):
+    """What an index over documents can do; other indexes than the exact one may stand behind it."""
+
+    @abstractmethod
+    def add(self, document: Row) -> None: ...
+
+    @abstractmethod
+    def remove(self, id: str) -> bool: ...
+
+    @abstractmethod
+    def search(self, query: list[float], k: int) -> DataFrame: ...
+
+    @abstractmethod
+    def search_batch(self, queries: DataFrame, k: int) -> DataFrame: ...
+
+    @abstractmethod
+    def clear(self) -> None: ...
+
+    @abstractmethod
+    def __len__(self) -> int: ...
+
+    def is_empty(self) -> bool:
+        return len(self) == 0
+
+    def dimension(self) -> int | None:
+        return None
+
+
+class FlatIndex(Index):
     """Exact index: adding, removing and searching documents, by way of a store. ``capacity`` is a hint and not needed."""
 
     def __init__(self, spark: SparkSession, metric: DistanceMetric = DistanceMetric.COSINE, capacity: int | None = None):
@@ -219,9 +249,6 @@ class FlatIndex:
     def is_empty(self) -> bool:
         return self.store.is_empty()
 
-    def dimension(self) -> int | None:
-        return None
-
     @property
     def metric(self) -> DistanceMetric:
         return self.store.metric
