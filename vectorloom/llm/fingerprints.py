@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from vectorloom.llm.common import SPACE_RUN, cut
 
 BITS, RADIUS = 64, 3
-MAX_BUCKETS = 10_000
+MAX_BUCKETS = 100_000
 _BUCKET_ROWS = 2_000
 _LANES = 0x0000000100000001
 

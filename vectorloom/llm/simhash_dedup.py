@@ -43,16 +43,17 @@ def fingerprint(raw: bytes, shingle: int = SHINGLE) -> int:
     if not words:
         return 0
     text, digest = b" ".join(words), xxhash.xxh64_digest
-    if len(words) < shingle:
-        hashes = [digest(text, SEED)]
-    else:
-        ends = list(accumulate([len(w) + 1 for w in words]))
-        hashes = [digest(text[a : b - 1], SEED) for a, b in zip([0, *ends], ends[shingle - 1 :], strict=False)]
+    ends = list(accumulate([len(w) + 1 for w in words]))
+    size = min(shingle, len(words))
+    count = len(words) - size + 1
     votes = np.zeros(64, np.int64)
-    for k in range(0, len(hashes), _RUN):
-        bits = np.unpackbits(np.frombuffer(b"".join(hashes[k : k + _RUN]), np.uint8).reshape(-1, 8), axis=1)
+    for k in range(0, count, _RUN):  # long texts a run at a time
+        stop = min(k + _RUN, count)
+        starts = [ends[k - 1] if k else 0, *ends[k : stop - 1]]
+        hashes = [digest(text[a : b - 1], SEED) for a, b in zip(starts, ends[k + size - 1 : stop + size - 1], strict=True)]
+        bits = np.unpackbits(np.frombuffer(b"".join(hashes), np.uint8).reshape(-1, 8), axis=1)
         votes += bits.sum(axis=0, dtype=np.uint32)
-    return int.from_bytes(np.packbits(votes * 2 > len(hashes)).tobytes(), "big", signed=True)
+    return int.from_bytes(np.packbits(votes * 2 > count).tobytes(), "big", signed=True)
 
 
 def _fingerprints(shingle: int):
