@@ -109,7 +109,26 @@ def test_batch_equals_single_and_blocks(spark, metric):
     one = {(q, r["id"]) for q, v in enumerate(asked[:2]) for r in store.search(v, 4).collect()}
     batch = {(r["query_id"], r["id"]) for r in store.search_batch(queries, 4).collect()}
     blocks = {(r["query_id"], r["id"]) for r in search.top_k_blocks(store.frame, queries, 4, metric, block_rows=300, query_rows=2).collect()}
-    assert batch == blocks and len(batch) == 24 and {p for p in batch if p[0] < 2} == one
+    scan = {(r["query_id"], r["id"]) for r in search.top_k_scan(store.frame, queries, 4, metric).collect()}
+    assert batch == blocks == scan and len(batch) == 24 and {p for p in batch if p[0] < 2} == one
+
+
+@pytest.mark.parametrize("metric", list(M))
+def test_ragged_batches(spark, metric):
+    docs = [doc(f"{i:02}", [math.sin(i + j) for j in range(1 + i % 4)]) for i in range(40)] + [doc("n", [math.nan]), doc("none")]
+    queries = spark.createDataFrame([(0, [1.0, -0.5]), (1, [0.3]), (2, [0.1] * 6)], "query_id long, query_vec array<float>")
+    frame = filled(spark, docs, metric).frame
+    ways = [search.top_k_batch(frame, queries, 50, metric, "double"), search.top_k_scan(frame, queries, 50, metric, "double")]
+    one, two = ({(r["query_id"], r["id"]): r["score"] for r in w.collect()} for w in ways)
+    assert one.keys() == two.keys() and len(one) == 3 * 41
+    assert all(two[k] == pytest.approx(v, abs=1e-9, nan_ok=True) for k, v in one.items())
+
+
+def test_many_queries_bring_their_documents(spark):
+    store = filled(spark, TRI)
+    queries = spark.createDataFrame([(i, [1.0, i / 100, 0.0]) for i in range(70)], "query_id long, query_vec array<float>")
+    rows = store.search_batch(queries, 2).collect()
+    assert len(rows) == 140 and {r["content"] for r in rows} <= {"1", "2", "3"}
 
 
 def test_save_and_load(spark, tmp_path):

@@ -92,6 +92,58 @@ def _scores(metric: DistanceMetric, docs: np.ndarray, queries: np.ndarray) -> np
     return np.stack([1 / (1 + np.abs(docs - q).sum(1)) for q in queries], axis=1)
 
 
+def _with_nan(found: DataFrame, kind: str) -> DataFrame:
+    """pandas hands a score that is not a number over as null."""
+    return found.withColumn("score", F.coalesce("score", F.lit(float("nan")).cast(kind)))
+
+
+def _ragged_scores(metric: DistanceMetric, docs: pd.Series, queries: list[np.ndarray]) -> np.ndarray:
+    """Scores of vectors of any lengths: by groups of equal length, the common prefix only (cosine: 0 across lengths)."""
+    lengths = docs.str.len().to_numpy()
+    out = np.zeros((len(docs), len(queries)))
+    for m in {len(q) for q in queries}:
+        columns = [i for i, q in enumerate(queries) if len(q) == m]
+        q = np.stack([queries[i] for i in columns])
+        for n in np.unique(lengths):
+            if metric is DistanceMetric.COSINE and n != m:
+                continue
+            rows = np.flatnonzero(lengths == n)
+            x = np.stack(docs.iloc[rows].to_numpy()).astype(np.float64)
+            common = min(n, m)
+            out[np.ix_(rows, columns)] = _scores(metric, x[:, :common], q[:, :common])
+    return out
+
+
+def _best_of_batch(metric: DistanceMetric, k: int, names: list, queries: list[np.ndarray]):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if not len(batch) or not k:
+                continue
+            batch = batch.sort_values("id", kind="stable")  # ties go to the smaller id
+            s = _ragged_scores(metric, batch["embedding"], queries)
+            best = np.argsort(np.where(np.isnan(s), np.inf, -s), axis=0, kind="stable")[:k]
+            yield pd.DataFrame({"query_id": np.repeat(names, len(best)), "id": batch["id"].to_numpy()[best.T.ravel()], "score": np.take_along_axis(s, best, 0).T.ravel()})
+
+    return run
+
+
+def top_k_scan(docs: DataFrame, queries: DataFrame, k: int, metric: DistanceMetric = DistanceMetric.COSINE, kind: str = "float") -> DataFrame:
+    """(query_id, rank, id, score): documents stay where they are, queries go to every task, and a matrix product in double
+    precision scores a batch of documents against all queries. Only k rows a query leave a batch. The queries' size is
+    checked; beyond BROADCAST_QUERY_VALUES numbers :func:`top_k_blocks` takes over.
+    """
+    size = queries.agg(F.sum(F.size("query_vec"))).first()[0] or 0
+    if size > BROADCAST_QUERY_VALUES:
+        return top_k_blocks(docs, queries, k, metric, kind=kind)
+    asked = queries.select("query_id", "query_vec").collect()
+    run = _best_of_batch(metric, _checked(k) if asked else 0, [r["query_id"] for r in asked], [np.array(r["query_vec"], np.float64) for r in asked])
+    rows = docs.filter(F.col("embedding").isNotNull()).select("id", "embedding")
+    id_type, query_type = rows.schema["id"].dataType.simpleString(), queries.schema["query_id"].dataType.simpleString()
+    near = _with_nan(rows.mapInPandas(run, f"query_id {query_type}, id {id_type}, score {kind}"), kind)
+    best = Window.partitionBy("query_id").orderBy(*_order())
+    return near.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
+
+
 def _best_of_block(metric: DistanceMetric, k: int):
     """A task's block of documents against a block of queries: the k best ids of each query."""
 
@@ -123,5 +175,6 @@ def top_k_blocks(docs: DataFrame, queries: DataFrame, k: int, metric: DistanceMe
     right = deal(queries, "query_id", "q").withColumn("d", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
     id_type, query_type = rows.schema["id"].dataType.simpleString(), queries.schema["query_id"].dataType.simpleString()
     near = left.groupBy("d", "q").cogroup(right.groupBy("d", "q")).applyInPandas(_best_of_block(metric, _checked(k)), f"query_id {query_type}, id {id_type}, score {kind}")
+    near = _with_nan(near, kind)
     best = Window.partitionBy("query_id").orderBy(*_order())
     return near.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)

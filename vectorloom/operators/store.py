@@ -23,6 +23,7 @@ from vectorloom.operators.shared import checkpointed
 from vectorloom.types import DOCUMENT, SAVED, DistanceMetric
 
 CHECKPOINT_EVERY = 8
+MANY_QUERIES = 64
 _SEQ = "_seq"
 
 
@@ -118,7 +119,11 @@ class DataFrameStore(VectorStore):
         return search.top_k_filtered(self.frame, query, k, where, self._metric, prefilter)
 
     def search_batch(self, queries: DataFrame, k: int) -> DataFrame:
-        return search.top_k_batch(self.frame, queries, k, self._metric)
+        """A few queries by expressions, many by matrix products; both rank alike."""
+        if queries.limit(MANY_QUERIES + 1).count() <= MANY_QUERIES:
+            return search.top_k_batch(self.frame, queries, k, self._metric)
+        found = search.top_k_scan(self.frame, queries, k, self._metric)
+        return found.join(self.frame, "id")
 
     def get(self, id: str) -> Row | None:
         return self.frame.filter(F.col("id") == id).head()

@@ -109,6 +109,12 @@ def _register_metrics() -> None:
             asked = v.filter("id < 10").select(F.col("id").alias("query_id"), F.col("embedding").alias("query_vec"))
             return _ranked(search.top_k_batch(v, asked, 5, metric, WIDE), "query_id", by="query_id")
 
+        @_query(f"knn_scan_{name}", batch_sql)
+        def scan(spark: SparkSession, sf_dir: str, metric=metric) -> DataFrame:
+            v = _vectors(spark, sf_dir)
+            asked = v.filter("id < 10").select(F.col("id").alias("query_id"), F.col("embedding").alias("query_vec"))
+            return _ranked(search.top_k_scan(v, asked, 5, metric, WIDE), "query_id", by="query_id")
+
         @_query(f"knn_blocks_{name}", batch_sql)
         def blocks(spark: SparkSession, sf_dir: str, metric=metric) -> DataFrame:
             v = _vectors(spark, sf_dir)
