@@ -186,7 +186,7 @@ def test_chat_repair(spark, monkeypatch, small):
     names = ["system", "user", "assistant", "tool", None, "Human", "USER "]
     rows = [(int(c), int(t), names[k], f"{c}-{t}") for c in range(30) for t, k in enumerate(rng.choice(7, rng.integers(1, 9), p=[0.1, 0.3, 0.3, 0.1, 0.1, 0.05, 0.05]))]
     rows += [(100, 0, "user", f"tie {k}") for k in range(20)] + [(101, None, "assistant", "late"), (101, 5, "user", None), (None, 1, "user", "x")]
-    rows += [(102, 0, "user", "same")] * 3
+    rows += [(102, 0, "user", "same")] * 3 + [((1 << 62) + 1, (1 << 61) + 1, "assistant", "large numbers")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumns({c: F.lit("clash") for c in [*CLASHING, "conv", "seg", "sub", "state", "h", "late", "copies", "cost"]})
     by = defaultdict(list)
     for r in collect(chat_repair.repair_conversations(df)):

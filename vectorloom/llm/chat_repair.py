@@ -168,6 +168,7 @@ def _ranges(group: np.ndarray) -> list[tuple[int, int]]:
 
 
 KEYS = ["conv", "late", "seg", "sub"]
+_CARRIED = ("conv", "turn", "seg", "sub")
 
 
 def _costs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -228,23 +229,30 @@ def repair_conversations(turns: DataFrame, conv_col: str = "conv_id", turn_col:
     that part knows whether it is merged into the turn.
     """
     rows = segments(turns, conv_col, turn_col, role_col, text_col)
-    conv = rows.schema["conv"].dataType.simpleString()
-    turn = rows.schema["turn"].dataType.simpleString()
-    seg = rows.schema["seg"].dataType.simpleString()
     keys = KEYS
+    types = {f.name: f.dataType for f in rows.schema if f.name in _CARRIED}
+
+    def carried(df: DataFrame) -> DataFrame:
+        # as text, for pandas would make nullable integers floating-point numbers
+        return df.select(*[F.col(c).cast("string").alias(c) if c in _CARRIED else F.col(c) for c in df.columns])
+
+    def restored(df: DataFrame) -> DataFrame:
+        return df.select(*[F.col(c).cast(types[c]).alias(c) if c in types else F.col(c) for c in df.columns])
+
+    place = "conv string, late boolean, seg string, sub string"
     # a segment's turns stand in one partition, in order; turns of one number by hash, so that runs of the hash are runs of the order
     skinny = rows.select(*keys, "turn", "state", "h").repartition(*keys).sortWithinPartitions(*keys, F.col("turn").asc_nulls_last(), "h")
-    place = f"conv {conv}, late boolean, seg {seg}, sub long"
-    mats = skinny.mapInPandas(_costs, f"{place}, costs array<long>").repartition("conv").sortWithinPartitions(*keys)
-    borders = mats.mapInPandas(_borders, f"{place}, enter long, leave long, total long, place long")
+    mats = restored(carried(skinny.select(*keys, "state")).mapInPandas(_costs, f"{place}, costs array<long>"))
+    mats = mats.repartition("conv").sortWithinPartitions(*keys)
+    borders = restored(carried(mats).mapInPandas(_borders, f"{place}, enter long, leave long, total long, place long"))
     # each segment's border travels with its turns and stands first, so turns are moved once and no join is needed
-    turn_rows = rows.withColumn("border", F.lit(1))
-    both = turn_rows.unionByName(borders.withColumn("border", F.lit(0)), allowMissingColumns=True)
+    both = rows.withColumn("border", F.lit(1)).unionByName(borders.withColumn("border", F.lit(0)), allowMissingColumns=True)
     both = both.repartition(*keys).sortWithinPartitions(*keys, "border", F.col("turn").asc_nulls_last(), "h", "role", "text")
-    out = both.mapInPandas(
+    out = carried(both.drop("border", "h")).mapInPandas(
         _repaired,
-        f"conv {conv}, turn {turn}, role string, text string, copies long, new_role string, action string, inserted string, cost long, merged boolean, total long, seg_no long, pos long",
+        "conv string, turn string, role string, text string, copies long, new_role string, action string, inserted string, cost long, merged boolean, total long, seg_no long, pos long",
     )
+    out = restored(out)
     position = (F.col("seg_no") * F.lit(1 << 32) + F.col("pos")).alias("position")
     empty = F.when(F.col("inserted").isNotNull(), F.concat(F.lit("<|"), "inserted", F.lit("|>\n<|end|>\n"))).otherwise(F.lit(""))
     opens = F.concat(empty, F.lit("<|"), "new_role", F.lit("|>\n"), "text")
