@@ -15,7 +15,7 @@ table gives an empty result; other columns of the input are ignored by :func:`ex
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +27,7 @@ from vectorloom.llm.common import SPACE_RUN, as_bytes, cut, private_prefix
 MIN_CHUNK, MAX_CHUNK, CUT_BITS = 512, 16384, 11
 DIGEST_BYTES = 16
 _WINDOW_STEPS = 4  # doublings: the rolling hash covers 2 ** 4 bytes
-_SLICE = 8 << 20
+_SLICE = 2 << 20
 
 
 def normalise(raw: bytes) -> bytes:
@@ -67,8 +67,8 @@ def chunk_bounds(length: int, cuts: list[int]) -> list[tuple[int, int]]:
     return bounds
 
 
-def _slices(raws: list[bytes]) -> Iterator[tuple[int, list[bytes]]]:
-    """Runs of normalised texts of about 8 MB, with the index of the first."""
+def _slices(raws: Iterable[bytes]) -> Iterator[tuple[int, list[bytes]]]:
+    """Runs of normalised texts of about 2 MB, with the index of the first."""
     first, held, size = 0, [], 0
     for i, raw in enumerate(raws):
         held.append(normalise(raw))
@@ -80,8 +80,8 @@ def _slices(raws: list[bytes]) -> Iterator[tuple[int, list[bytes]]]:
         yield first, held
 
 
-def _chunked(raws: list[bytes], gear: np.ndarray) -> Iterator[tuple[int, bytes, list[tuple[int, int]]]]:
-    """(index, normalised text, chunk bounds) of each text; the hash runs over many texts at once.
+def _chunked(raws: Iterable[bytes], gear: np.ndarray) -> Iterator[list[tuple[int, bytes, list[tuple[int, int]]]]]:
+    """(index, normalised text, chunk bounds) of each text, in runs; the hash runs over all texts of a run at once.
 
     A window that reaches into the text before matters to no cut, for no cut falls within MIN_CHUNK bytes of a start.
     """
@@ -90,8 +90,7 @@ def _chunked(raws: list[bytes], gear: np.ndarray) -> Iterator[tuple[int, bytes,
         ends = np.cumsum([len(t) for t in texts])
         begins = ends - np.array([len(t) for t in texts])
         low, high = np.searchsorted(cuts, begins, "right"), np.searchsorted(cuts, ends, "left")
-        for k, text in enumerate(texts):
-            yield first + k, text, chunk_bounds(len(text), (cuts[low[k] : high[k]] - begins[k]).tolist())
+        yield [(first + k, text, chunk_bounds(len(text), (cuts[low[k] : high[k]] - begins[k]).tolist())) for k, text in enumerate(texts)]
 
 
 def _digest(chunk: bytes, size: int) -> bytes:
@@ -103,9 +102,10 @@ def _recipes(size: int):
         gear = _gear()
         for batch in batches:
             recipes, shas = [], []
-            for _, text, bounds in _chunked(batch.column("body").to_pylist(), gear):
-                shas.append(hashlib.sha256(text).hexdigest())
-                recipes.append([_digest(text[a:b], size) for a, b in bounds])
+            for texts in _chunked((x.as_py() for x in batch.column("body")), gear):
+                for _, text, bounds in texts:
+                    shas.append(hashlib.sha256(text).hexdigest())
+                    recipes.append([_digest(text[a:b], size) for a, b in bounds])
             yield pa.RecordBatch.from_arrays(
                 [batch.column("row"), batch.column("id"), pa.array(shas, pa.string()), pa.array(recipes, pa.list_(pa.binary()))],
                 ["row", "id", "text_sha256", "recipe"],
@@ -115,26 +115,28 @@ def _recipes(size: int):
 
 
 def _chunks(size: int, with_place: bool):
+    names = ["row", "pos", "digest", "content"] if with_place else ["digest", "content"]
+    kinds = {"row": pa.int64(), "pos": pa.int64(), "digest": pa.binary(), "content": pa.binary()}
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gear = _gear()
         for batch in batches:
             rows = batch.column("row").to_pylist()
-            out: dict[str, list] = {"row": [], "pos": [], "digest": [], "content": []}
-            seen: set[bytes] = set()
-            for i, text, bounds in _chunked(batch.column("body").to_pylist(), gear):
-                for pos, (a, b) in enumerate(bounds):
-                    content = text[a:b]
-                    if not with_place:
-                        if content in seen:
-                            continue
-                        seen.add(content)
-                    out["row"].append(rows[i])
-                    out["pos"].append(pos)
-                    out["digest"].append(_digest(content, size))
-                    out["content"].append(content)
-            names = ["row", "pos", "digest", "content"] if with_place else ["digest", "content"]
-            kinds = {"row": pa.int64(), "pos": pa.int64(), "digest": pa.binary(), "content": pa.binary()}
-            yield pa.RecordBatch.from_arrays([pa.array(out[n], kinds[n]) for n in names], names)
+            for texts in _chunked((x.as_py() for x in batch.column("body")), gear):
+                out: dict[str, list] = {n: [] for n in kinds}
+                seen: set[bytes] = set()
+                for i, text, bounds in texts:
+                    for pos, (a, b) in enumerate(bounds):
+                        content = text[a:b]
+                        if not with_place:
+                            if content in seen:
+                                continue
+                            seen.add(content)
+                        out["row"].append(rows[i])
+                        out["pos"].append(pos)
+                        out["digest"].append(_digest(content, size))
+                        out["content"].append(content)
+                yield pa.RecordBatch.from_arrays([pa.array(out[n], kinds[n]) for n in names], names)
 
     return run
 
@@ -171,12 +173,12 @@ def recipes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", dig
 def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest_bytes: int = DIGEST_BYTES) -> DataFrame:
     """One row per input row: the id, ``keep_id``, ``group_size``, ``kept`` and ``text_sha256``.
 
-    Groups are counted before they are joined back, so a hot group costs one row per task; Spark may split its side of
-    the join, whose other side has one row per recipe.
+    Groups are counted before they are joined back, so a hot group costs one row per task there. They are cut off from
+    the join that follows, so that Spark may split a hot group's rows in it; its other side has one row per recipe.
     """
     made = recipes(docs, id_col, text_col, digest_bytes)
     first = F.min(F.struct(F.col("id").isNull().alias("last"), F.col("id"), F.col("row")))
-    groups = made.groupBy("recipe").agg(first.alias("first"), F.count("*").alias("group_size"))
+    groups = cut(made.groupBy("recipe").agg(first.alias("first"), F.count("*").alias("group_size")))
     return made.join(groups, "recipe").select(
         F.col("id").alias(id_col),
         F.col("first.id").alias("keep_id"),
