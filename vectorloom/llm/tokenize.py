@@ -19,7 +19,7 @@ import regex
 from tokenizers import Tokenizer
 
 WORD_BPE = "word_bpe_49k.json"
-CACHE_WORDS = 600_000  # about 130 MB a worker, and as much again at most for their pieces
+CACHE_WORDS = 300_000  # about 65 MB a worker, and half as much again at most for their pieces
 _PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")  # fixed value: the vocabulary's own rule
 _SPACES, _CONTROLS = re.compile(r"[\x20\x09-\x0D]+"), re.compile(r"[\x1c-\x1f]")
 _PLAIN = regex.compile(r"[\x21-\x7e\xa1-\xac\xae-\xff]*")
@@ -48,7 +48,7 @@ class WordEncoder:
         if (packed := self.pieces.get(piece)) is None:
             spelled = piece.encode().decode("latin-1").translate(self.letters)
             packed = self._pack([t.id for t in self.model.tokenize(spelled)])
-            if len(self.pieces) < self.limit:
+            if len(self.pieces) < self.limit // 2:
                 self.pieces[piece] = packed
         return packed
 
