@@ -81,6 +81,19 @@ def test_cycles_end():
         secrets.scan_layers(text)
 
 
+def test_repeated_layers_are_reported_at_each_place():
+    line = "password%3Dhunter22\n"
+    told = [(k * len(line), 0, (k + 1) * len(line) - 1) for k in range(2000)]
+    assert secrets.scan_layers(line * 6)[1] == told[:6]
+    assert secrets.scan_layers(line * 2000)[1] == told
+    once = b64("a password=hunter2222 b")
+    text = "\n".join([once] * 50)
+    assert {text[a:b] for a, _, b in secrets.scan_layers(text)[1]} == {text[2:28]}
+    assert len(secrets.scan_layers(text)[1]) == 50
+    inner = secrets.scan_layers(b64(line * 6))[1]
+    assert len(inner) == 6 and all(a[2] <= b[0] + 1 for a, b in itertools.pairwise(inner))
+
+
 def test_secret_query(spark):
     rows = odd_rows() + [(500 + i, t, "s") for i, t in enumerate(PLAIN)] + [(600 + i, t, "s") for i, t in enumerate(LAYERS.values())]
     got = collect(secrets.scan_documents(frame(spark, rows)))

@@ -3,8 +3,9 @@
 A worklist unwraps a text's layers: percent-encoded runs, Unicode escapes and character references, base64 runs, and
 compressed data inside any of them. Each decoded run becomes a layer of its own, together with a little of the text
 before it (so ``password =`` still meets a decoded value), and every layer is scanned and unwrapped again until nothing
-new appears; a layer already seen is not taken again, so cycles end. Each character of a layer knows which characters of
-the text it came from, and what is found in a layer is reported at that place in the text.
+new appears; a layer that is one of those around it is not taken again, so cycles end. Each character of a layer knows
+which characters of the layer around it it came from, and what is found in a layer is reported at that place in the text,
+at each of its places if the layer occurs more than once.
 
 Defined cases: null text is empty and has no secrets; positions are code points, ends exclusive; a layer's find at the
 place and of the kind of another is one find; decoded data that is neither text nor compressed is dropped; a compressed
@@ -21,6 +22,7 @@ import lzma
 import re
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -179,29 +181,59 @@ def unwrap(text: str) -> Iterator[tuple[int, int, Decoded]]:
                             yield at + m.start() + p.start(), at + m.start() + p.end(), layer
 
 
+@dataclass
+class _Layer:
+    key: tuple[str, int]  # its text, and how much of that stands before the run
+    spans: set[Span]  # found in it and in the layers below it, at their places in its text
+    runs: Iterator[tuple[int, int, Decoded]]
+    starts: np.ndarray | None = None  # for each character, where it came from in the layer above
+    ends: np.ndarray | None = None
+    partial: bool = False  # a layer below was not taken, as it is one of those above
+
+    def take(self, spans: set[Span], starts: np.ndarray, ends: np.ndarray) -> None:
+        self.spans.update((int(starts[a]), kind, int(ends[a:b].max())) for a, kind, b in spans)
+
+
+def _layer(text: str, ahead: int, starts: np.ndarray | None = None, ends: np.ndarray | None = None) -> _Layer:
+    # what ends in the part before the run is the upper layer's
+    return _Layer((text, ahead), {s for s in scan(text) if s[2] > ahead}, unwrap(text), starts, ends)
+
+
 def scan_layers(text: str) -> tuple[list[Span], list[Span]]:
     """(spans in the text itself, spans in it and all its layers), each in order."""
-    base = scan(text)
-    spans, seen = set(base), {text}
-    work: list[tuple[str, np.ndarray | None, np.ndarray | None]] = [(text, None, None)]
-    while work:
-        layer, begin, end = work.pop()
-        for start, stop, (inside, starts, ends) in unwrap(layer):
-            left = max(start - CONTEXT, 0)
-            before = layer[left:start]
-            whole = before + inside
-            if whole in seen or inside == layer[start:stop]:
-                continue
-            seen.add(whole)
-            own_starts = np.concatenate([np.arange(left, start), start + starts])
-            own_ends = np.concatenate([np.arange(left, start) + 1, start + ends])
-            if begin is not None:  # to places in the text
-                own_starts, own_ends = begin[own_starts], end[own_ends - 1]
-            for a, kind, b in scan(whole):
-                if b > len(before):  # else it lies in what stands before the run
-                    spans.add((int(own_starts[a]), kind, int(own_ends[a:b].max())))
-            work.append((whole, own_starts, own_ends))
-    return sorted(base), sorted(spans)
+    top = _layer(text, 0)
+    base = sorted(top.spans)
+    chain, depth = [top], {top.key: 0}  # the open layers, each inside the one before it
+    done: dict[tuple[str, int], set[Span]] = {}  # equal layers are scanned once and reported at each of their places
+    while chain:
+        layer = chain[-1]
+        run = next(layer.runs, None)
+        if run is None:
+            chain.pop()
+            del depth[layer.key]
+            if not layer.partial:
+                done[layer.key] = layer.spans
+            if chain:
+                chain[-1].take(layer.spans, layer.starts, layer.ends)
+            continue
+        start, stop, (inside, starts, ends) = run
+        around, ahead = layer.key
+        if stop <= ahead or inside == around[start:stop]:
+            continue
+        left = max(start - CONTEXT, 0)
+        key = around[left:start] + inside, start - left
+        if key in depth:
+            for between in chain[depth[key] + 1 :]:
+                between.partial = True
+            continue
+        own_starts = np.concatenate([np.arange(left, start), start + starts])
+        own_ends = np.concatenate([np.arange(left, start) + 1, start + ends])
+        if key in done:
+            layer.take(done[key], own_starts, own_ends)
+        else:
+            depth[key] = len(chain)
+            chain.append(_layer(*key, own_starts, own_ends))
+    return base, sorted(top.spans)
 
 
 def render(spans: list[Span]) -> str:
