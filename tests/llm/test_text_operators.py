@@ -94,6 +94,34 @@ def test_repeated_layers_are_reported_at_each_place():
     assert len(inner) == 6 and all(a[2] <= b[0] + 1 for a, b in itertools.pairwise(inner))
 
 
+def found_in(text):
+    return {text[a:b] for a, _, b in secrets.scan_layers(text)[1]}
+
+
+def test_finds_that_cross_words_and_lines():
+    for text in ("\\u0022password\\u0022: \\u0022hunter22\\u0022", "passwor%64 = hunter22", "password%3A hunter22", "x%ff password%20=%20 hunter22 %zz", "&#112;assword&#32;= hunter22", "passwor%2564 %3d hunter22"):
+        for t in (text, f"Text über 100%\n{text} end"):
+            assert any("hunter22" in x and len(x) < len(text) + 1 for x in found_in(t)), t
+    assert "passwor%64 = hunter22" in found_in("is passwor%64 = hunter22 so")
+
+
+def wrapped(data, width, end="\n"):
+    return end.join(re.findall(f".{{1,{width}}}", b64(data)))
+
+
+@pytest.mark.parametrize("width, end", [(64, "\n"), (76, "\r\n"), (76, "\n  "), (17, "\n")])
+def test_base64_over_lines(width, end):
+    for data in (prose(1, 30) + f" token={'q' * 60} " + prose(2, 30), "日本語" * 40 + f"password=hunter22 {KEY * 3} " + "漢字" * 40, gzip.compress((prose(3, 90) + f" secret=abcdefgh {KEY}").encode(), mtime=0)):
+        block = wrapped(data, width, end)
+        kinds = {0} if b"token" in str(data).encode() else {0, 1}
+        for before, after in (("", ""), ("-----BEGIN CERTIFICATE-----\n", "\n-----END CERTIFICATE-----\n"), ("see: ", "\nThe rest of it"), ("internationalization\n", "\nover\nand out")):
+            spans = secrets.scan_layers(before + block + after)[1]
+            assert {k for a, k, b in spans if len(before) <= a and b <= len(before) + len(block)} >= kinds
+            if not isinstance(data, bytes) and "token" in data:
+                longest = max(b - a for a, _, b in spans)
+                assert longest >= 66 * 4 // 3  # not cut at a line's end
+
+
 def test_secret_query(spark):
     rows = odd_rows() + [(500 + i, t, "s") for i, t in enumerate(PLAIN)] + [(600 + i, t, "s") for i, t in enumerate(LAYERS.values())]
     got = collect(secrets.scan_documents(frame(spark, rows)))

@@ -1,7 +1,8 @@
 """Secret scans over text and whatever is encoded in it.
 
-A worklist unwraps a text's layers: percent-encoded runs, Unicode escapes and character references, base64 runs, and
-compressed data inside any of them. Each decoded run becomes a layer of its own, together with a little of the text
+A worklist unwraps a text's layers: percent-encoded runs, Unicode escapes and character references, base64 runs (also
+over several lines), and compressed data inside any of them. A layer's text with all its percent-encoded runs decoded,
+or all its escapes and references, is a layer, so finds may cross from one run or word to the next. Each decoded run becomes a layer of its own, together with a little of the text
 before it (so ``password =`` still meets a decoded value), and every layer is scanned and unwrapped again until nothing
 new appears; a layer that is one of those around it is not taken again, so cycles end. Each character of a layer knows
 which characters of the layer around it it came from, and what is found in a layer is reported at that place in the text,
@@ -41,8 +42,11 @@ MAX_LAYER = 1 << 24
 CONTEXT = 48
 _KEYWORDS = ("passw", "secret", "token", "api")
 _PERCENT = re.compile(r"%[0-9A-Fa-f]{2}")
+_PERCENTS = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _ESCAPE = re.compile(r"\\u\{([0-9A-Fa-f]{1,6})\}|\\u([0-9A-Fa-f]{4})|\\x([0-9A-Fa-f]{2})|&#x([0-9A-Fa-f]{1,6});|&#([0-9]{1,7});")
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+_LINES = [re.compile(rf"[{c}]{{16,}}(?:[ \t]*(?:\r\n|\n|\r)[ \t]*[{c}]+)+={{0,2}}") for c in ("A-Za-z0-9+/", "A-Za-z0-9_-")]
+_LINE = re.compile(r"[A-Za-z0-9+/_=-]+")
 _PARTS = re.compile(r"[A-Za-z0-9+/]{16,}={0,2}")
 
 Span = tuple[int, int, int]  # start, kind, end
@@ -133,21 +137,7 @@ def _percent(run: str) -> Decoded | None:
 
 
 def _escapes(run: str) -> Decoded | None:
-    out, starts, ends, at = [], [], [], 0
-    for m in [*_ESCAPE.finditer(run), None]:
-        stop = m.start() if m else len(run)
-        out += run[at:stop]
-        starts += range(at, stop)
-        ends += range(at + 1, stop + 1)
-        if m:
-            code = int(m[5]) if m[5] else int(next(g for g in m.groups() if g), 16)
-            if code > 0x10FFFF or 0xD800 <= code < 0xE000:
-                code = 0xFFFD
-            out.append(chr(code))
-            starts.append(m.start())
-            ends.append(m.end())
-            at = m.end()
-    return "".join(out), np.array(starts), np.array(ends)
+    return _replaced(run, _escape_pieces(run))
 
 
 def _base64(run: str) -> Decoded | None:
@@ -163,9 +153,78 @@ def _base64(run: str) -> Decoded | None:
     return _from_bytes(data, at * 8 // 6, np.minimum(-(-(at + 1) * 8 // 6), len(run)))
 
 
+def _replaced(text: str, pieces: Iterator[tuple[int, int, str, list[int], list[int]]]) -> Decoded:
+    """A text in which pieces (start, end, what stands for it, where each character of that came from) are replaced."""
+    out, starts, ends, at = [], [], [], 0
+    for start, stop, inside, begun, ended in pieces:
+        plain = np.arange(at, start)
+        out += [text[at:start], inside]
+        starts += [plain, np.array(begun, np.int64)]
+        ends += [plain + 1, np.array(ended, np.int64)]
+        at = stop
+    plain = np.arange(at, len(text))
+    return "".join([*out, text[at:]]), np.concatenate([*starts, plain]), np.concatenate([*ends, plain + 1])
+
+
+def _percent_pieces(text: str) -> Iterator[tuple[int, int, str, list[int], list[int]]]:
+    """Percent-encoded runs; bytes that are not UTF-8 stay as they are."""
+    for m in _PERCENTS.finditer(text):
+        out, starts, ends, at = [], [], [], m.start()
+        for c in bytes.fromhex(m[0].replace("%", "")).decode("utf-8", "surrogateescape"):
+            if "\udc80" <= c <= "\udcff":
+                out.append(text[at : at + 3])
+                starts += range(at, at + 3)
+                ends += range(at + 1, at + 4)
+                at += 3
+            else:
+                out.append(c)
+                starts.append(at)
+                at += 3 * len(c.encode())
+                ends.append(at)
+        yield m.start(), m.end(), "".join(out), starts, ends
+
+
+def _escape_pieces(text: str) -> Iterator[tuple[int, int, str, list[int], list[int]]]:
+    for m in _ESCAPE.finditer(text):
+        code = int(m[5]) if m[5] else int(next(g for g in m.groups() if g), 16)
+        yield m.start(), m.end(), chr(code) if code <= 0x10FFFF and not 0xD800 <= code < 0xE000 else "\ufffd", [m.start()], [m.end()]
+
+
+def _joined(text: str) -> Iterator[tuple[int, int, Decoded]]:
+    """(start, end, layer) of base64 that goes over several lines.
+
+    Words beside it may look like more of it, so it is also tried without the first or the last line, and where it goes on
+    in lines of one length and a last one that is not longer.
+    """
+    groups = {(m.start(), m.end()) for kind in _LINES for m in kind.finditer(text)}
+    for first, end in sorted(groups):
+        lines = [(first + m.start(), first + m.end()) for m in _LINE.finditer(text[first:end])]
+        n = len(lines)
+        tried = {(0, n), (1, n), (0, n - 1), (1, n - 1)}
+        width, k = [b - a for a, b in lines], 0
+        while k < n:
+            j = k + 1
+            while j < n and width[j] == width[k]:
+                j += 1
+            tried |= {(k, j), (k, j + (j < n and width[j] < width[k]))}
+            k = j
+        for i, j in sorted(tried):
+            if j - i < 2:
+                continue
+            place = np.concatenate([np.arange(a, b) for a, b in lines[i:j]])
+            if layer := _base64("".join(text[a:b] for a, b in lines[i:j])):
+                inside, starts, ends = layer
+                at = lines[i][0]
+                yield at, lines[j - 1][1], (inside, place[starts] - at, place[ends - 1] + 1 - at)
+
+
 def unwrap(text: str) -> Iterator[tuple[int, int, Decoded]]:
-    """(start, end, layer) of each encoded run of one text."""
-    percent, escaped = "%" in text, "\\" in text or "&#" in text
+    """(start, end, layer) of each encoded run of one text, and of the whole text with all its escapes of a sort decoded."""
+    percent, escaped, long = "%" in text, "\\" in text or "&#" in text, False
+    if percent and _PERCENT.search(text):
+        yield 0, len(text), _replaced(text, _percent_pieces(text))
+    if escaped and _ESCAPE.search(text):
+        yield 0, len(text), _replaced(text, _escape_pieces(text))
     for at, part in _tokens(text, 3 if percent or escaped else 16):
         if percent and _PERCENT.search(part) and (layer := _percent(part)):
             yield at, at + len(part), layer
@@ -173,12 +232,15 @@ def unwrap(text: str) -> Iterator[tuple[int, int, Decoded]]:
             yield at, at + len(part), layer
         if len(part) >= 16:
             for m in _BASE64.finditer(part):
+                long = True
                 if layer := _base64(m[0]):
                     yield at + m.start(), at + m.end(), layer
                 elif not m[0].isalnum():
                     for p in _PARTS.finditer(m[0]):
                         if p[0] != m[0] and (layer := _base64(p[0])):
                             yield at + m.start() + p.start(), at + m.start() + p.end(), layer
+    if long and ("\n" in text or "\r" in text):
+        yield from _joined(text)
 
 
 @dataclass
@@ -191,7 +253,7 @@ class _Layer:
     partial: bool = False  # a layer below was not taken, as it is one of those above
 
     def take(self, spans: set[Span], starts: np.ndarray, ends: np.ndarray) -> None:
-        self.spans.update((int(starts[a]), kind, int(ends[a:b].max())) for a, kind, b in spans)
+        self.spans.update((int(starts[a]), kind, int(ends[b - 1])) for a, kind, b in spans)  # neither ever falls
 
 
 def _layer(text: str, ahead: int, starts: np.ndarray | None = None, ends: np.ndarray | None = None) -> _Layer:
@@ -221,7 +283,8 @@ def scan_layers(text: str) -> tuple[list[Span], list[Span]]:
         if stop <= ahead or inside == around[start:stop]:
             continue
         left = max(start - CONTEXT, 0)
-        key = around[left:start] + inside, start - left
+        before = start - left if start else int(np.searchsorted(ends, ahead, "right"))  # of the whole text, what came from there
+        key = around[left:start] + inside, before
         if key in depth:
             for between in chain[depth[key] + 1 :]:
                 between.partial = True
