@@ -1,7 +1,9 @@
 import base64
+import bz2
 import gzip
 import hashlib
 import itertools
+import lzma
 import re
 import zlib
 from collections import defaultdict
@@ -122,6 +124,33 @@ def test_base64_over_lines(width, end):
                 assert longest >= 66 * 4 // 3  # not cut at a line's end
 
 
+PACKERS = {"gzip": lambda x: gzip.compress(x, mtime=0), "bz2": bz2.compress, "xz": lzma.compress, "zstd": zstandard.compress, "zlib": zlib.compress}
+
+
+@pytest.mark.parametrize("how", PACKERS)
+def test_compressed_data_is_read_to_its_end(how):
+    pack = PACKERS[how]
+    log = "a line of the log, über\n".encode() * 700_000  # more than 16 MB
+    text = b64(pack(log + SECRET.encode()))
+    assert {k for _, k, _ in secrets.scan_layers(text)[1]} >= {0, 1}
+    text = b64(pack(b"nothing in the first member\n" * 3) + pack(SECRET.encode()))
+    assert {k for _, k, _ in secrets.scan_layers(text)[1]} >= {0, 1}
+
+
+def test_windows_cut_nothing():
+    text = prose(5, 90_000) + " " + wrapped(prose(6, 6_000), 76) + "\n" + "x" * 200_000 + " é " + prose(7, 90_000)
+    data = text.encode()
+    for step in (7_001, 65_536):
+        got = list(secrets._windows(data[k : k + step] for k in range(0, len(data), step)))
+        assert len(got) > 2 and wrapped(prose(6, 6_000), 76) in max(got, key=lambda w: wrapped(prose(6, 6_000), 76) in w)
+        at = 0
+        for w in got:  # each goes on where the one before ended, or earlier
+            begin = text.find(w[:2000])
+            assert begin <= at and text[begin : begin + len(w)] == w
+            at = begin + len(w)
+        assert at == len(text)
+
+
 def test_secret_query(spark):
     rows = odd_rows() + [(500 + i, t, "s") for i, t in enumerate(PLAIN)] + [(600 + i, t, "s") for i, t in enumerate(LAYERS.values())]
     got = collect(secrets.scan_documents(frame(spark, rows)))

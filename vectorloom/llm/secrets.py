@@ -9,8 +9,8 @@ which characters of the layer around it it came from, and what is found in a lay
 at each of its places if the layer occurs more than once.
 
 Defined cases: null text is empty and has no secrets; positions are code points, ends exclusive; a layer's find at the
-place and of the kind of another is one find; decoded data that is neither text nor compressed is dropped; a compressed
-layer is read up to ``MAX_LAYER`` bytes; repeated rows are scanned each; an empty table gives an empty result; other
+place and of the kind of another is one find; decoded data that is neither text nor compressed is dropped; compressed
+data is read to its end, over all its members, in windows that overlap; where it is damaged, as far as it is sound; repeated rows are scanned each; an empty table gives an empty result; other
 columns of the input are ignored.
 """
 
@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import base64
 import bz2
+import codecs
 import hashlib
 import lzma
 import re
@@ -38,7 +39,8 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]+")
 LEAST = {"assign": 6, "access": 20, "hex": 24}
 
-MAX_LAYER = 1 << 24
+STEP, OVERLAP = 1 << 20, 1 << 16  # bytes inflated at a time; characters that windows over them share
+MAX_DONE = 100_000
 CONTEXT = 48
 _KEYWORDS = ("passw", "secret", "token", "api")
 _PERCENT = re.compile(r"%[0-9A-Fa-f]{2}")
@@ -47,6 +49,8 @@ _ESCAPE = re.compile(r"\\u\{([0-9A-Fa-f]{1,6})\}|\\u([0-9A-Fa-f]{4})|\\x([0-9A-F
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 _LINES = [re.compile(rf"[{c}]{{16,}}(?:[ \t]*(?:\r\n|\n|\r)[ \t]*[{c}]+)+={{0,2}}") for c in ("A-Za-z0-9+/", "A-Za-z0-9_-")]
 _LINE = re.compile(r"[A-Za-z0-9+/_=-]+")
+_BASE64_LINE = re.compile(r"[A-Za-z0-9+/_-]{16,}")
+_SURROGATES = re.compile("[\udc80-\udcff]")
 _PARTS = re.compile(r"[A-Za-z0-9+/]{16,}={0,2}")
 
 Span = tuple[int, int, int]  # start, kind, end
@@ -75,51 +79,99 @@ def scan(text: str) -> list[Span]:
     return found
 
 
-def _inflate(data: bytes) -> bytes | None:
-    """What compressed data holds, up to MAX_LAYER bytes; None if it is not compressed."""
-    try:
+def _members(data: bytes) -> Iterator[bytes]:
+    """What compressed data holds, member by member, in pieces of at most STEP bytes; nothing if it is not compressed."""
+    while data:
+        if data[:4] == b"\x28\xb5\x2f\xfd" or data[1:4] == b"\x2a\x4d\x18":
+            reader = zstandard.ZstdDecompressor().stream_reader(data, read_across_frames=True)
+            while piece := reader.read(STEP):
+                yield piece
+            return
         if data[:2] == b"\x1f\x8b":
-            return zlib.decompressobj(31).decompress(data, MAX_LAYER)
-        if data[:1] == b"\x78" and len(data) > 6 and int.from_bytes(data[:2], "big") % 31 == 0:
-            return zlib.decompressobj().decompress(data, MAX_LAYER)
-        if data[:3] == b"BZh":
-            return bz2.BZ2Decompressor().decompress(data, MAX_LAYER)
-        if data[:6] == b"\xfd7zXZ\x00":
-            return lzma.LZMADecompressor().decompress(data, MAX_LAYER)
-        if data[:4] == b"\x28\xb5\x2f\xfd":
-            return zstandard.ZstdDecompressor().decompressobj().decompress(data)[:MAX_LAYER]
+            unpack = zlib.decompressobj(31)
+        elif data[:1] == b"\x78" and len(data) > 6 and int.from_bytes(data[:2], "big") % 31 == 0:
+            unpack = zlib.decompressobj()
+        elif data[:3] == b"BZh":
+            unpack = bz2.BZ2Decompressor()
+        elif data[:6] == b"\xfd7zXZ\x00":
+            unpack = lzma.LZMADecompressor()
+        else:
+            return
+        while not unpack.eof:
+            piece = unpack.decompress(data, STEP)
+            data = getattr(unpack, "unconsumed_tail", b"")
+            if piece:
+                yield piece
+            elif not data and getattr(unpack, "needs_input", True):
+                return  # it breaks off
+        data = unpack.unused_data.lstrip(b"\0")
+
+
+def _inflate(data: bytes) -> Iterator[bytes]:
+    """What compressed data holds, as far as it is sound."""
+    try:
+        yield from _members(data)
     except (zlib.error, OSError, EOFError, lzma.LZMAError, zstandard.ZstdError, ValueError):
         pass
-    return None
 
 
-def _as_text(data: bytes) -> str | None:
-    """Data as text if it is text: UTF-8, and next to no control characters."""
-    try:
-        text = data.decode("utf-8")
-    except UnicodeDecodeError:
-        return None
+def _unit_start(text: str, at: int) -> int:
+    """Where the word at a place begins, or the lines of base64 that it goes on."""
+    while at:
+        begin = max(text.rfind(c, 0, at) for c in " \t\n\r") + 1
+        above = text[:begin].rstrip(" \t\r\n") if begin and text[begin - 1] in "\n\r" else ""
+        last = max(above.rfind(c) for c in " \t\n\r") + 1
+        if not above or not _BASE64_LINE.fullmatch(above, last):
+            return begin
+        at = len(above)
+    return 0
+
+
+def _windows(pieces: Iterator[bytes]) -> Iterator[str]:
+    """Text in windows that overlap. No word and no lines of base64 are cut: a window grows until they end."""
+    decoder = codecs.getincrementaldecoder("utf-8")("surrogateescape")
+    held, least = "", 0
+    for piece in pieces:
+        held += decoder.decode(piece)
+        if len(held) < max(least, 2 * OVERLAP):
+            continue
+        tail = _unit_start(held, len(held))
+        keep = _unit_start(held, max(tail - OVERLAP, 0))
+        if keep * 2 < len(held):
+            least = 2 * len(held)
+            continue
+        yield held[:tail]
+        held, least = held[keep:], 0
+    held += decoder.decode(b"", True)
+    if held:
+        yield held
+
+
+def _is_text(text: str) -> bool:
+    """Some text, with next to no control characters or bytes that were not UTF-8."""
     odd = sum(not (c.isprintable() or c in "\t\n\r") for c in text)
-    return text if text and odd * 20 <= len(text) else None
+    return bool(text) and odd * 20 <= len(text)
 
 
 Decoded = tuple[str, np.ndarray, np.ndarray]  # a layer's text; for each character, start and end in the text decoded
 
 
-def _from_bytes(data: bytes, starts: np.ndarray, ends: np.ndarray) -> Decoded | None:
-    """Decoded bytes as a layer, unpacked first if compressed. starts, ends: where each byte came from."""
-    inside = _inflate(data)
-    text = _as_text(data if inside is None else inside)
-    if text is None:
-        return None
-    if inside is not None:  # any character depends on the whole run
-        return text, np.full(len(text), starts[0]), np.full(len(text), ends[-1])
-    widths = np.array([len(c.encode()) for c in text])
-    stop = np.cumsum(widths)
-    return text, starts[stop - widths], ends[stop - 1]
+def _from_bytes(data: bytes, starts: np.ndarray, ends: np.ndarray) -> Iterator[Decoded]:
+    """Decoded bytes as a layer, and what they hold if compressed. starts, ends: where each byte came from."""
+    for text in _windows(_inflate(data)):
+        if _is_text(text):  # any character depends on the whole run
+            yield _SURROGATES.sub("\ufffd", text), np.broadcast_to(starts[0], len(text)), np.broadcast_to(ends[-1], len(text))
+    try:
+        text = data.decode("utf-8")
+    except UnicodeDecodeError:
+        return
+    if _is_text(text):
+        widths = np.array([len(c.encode()) for c in text])
+        stop = np.cumsum(widths)
+        yield text, starts[stop - widths], ends[stop - 1]
 
 
-def _percent(run: str) -> Decoded | None:
+def _percent(run: str) -> Iterator[Decoded]:
     data, starts, ends, at = bytearray(), [], [], 0
     for m in [*_PERCENT.finditer(run), None]:
         plain = run[at : m.start() if m else len(run)]
@@ -133,24 +185,24 @@ def _percent(run: str) -> Decoded | None:
             starts.append(m.start())
             ends.append(m.end())
             at = m.end()
-    return _from_bytes(bytes(data), np.array(starts), np.array(ends))
+    yield from _from_bytes(bytes(data), np.array(starts), np.array(ends))
 
 
-def _escapes(run: str) -> Decoded | None:
+def _escapes(run: str) -> Decoded:
     return _replaced(run, _escape_pieces(run))
 
 
-def _base64(run: str) -> Decoded | None:
+def _base64(run: str) -> Iterator[Decoded]:
     body = run.rstrip("=").replace("-", "+").replace("_", "/")
     body = body[: len(body) - (len(body) % 4 == 1)]
     try:
         data = base64.b64decode(body + "=" * (-len(body) % 4), validate=True)
     except ValueError:
-        return None
+        return
     if not data:
-        return None
+        return
     at = np.arange(len(data))
-    return _from_bytes(data, at * 8 // 6, np.minimum(-(-(at + 1) * 8 // 6), len(run)))
+    yield from _from_bytes(data, at * 8 // 6, np.minimum(-(-(at + 1) * 8 // 6), len(run)))
 
 
 def _replaced(text: str, pieces: Iterator[tuple[int, int, str, list[int], list[int]]]) -> Decoded:
@@ -212,8 +264,7 @@ def _joined(text: str) -> Iterator[tuple[int, int, Decoded]]:
             if j - i < 2:
                 continue
             place = np.concatenate([np.arange(a, b) for a, b in lines[i:j]])
-            if layer := _base64("".join(text[a:b] for a, b in lines[i:j])):
-                inside, starts, ends = layer
+            for inside, starts, ends in _base64("".join(text[a:b] for a, b in lines[i:j])):
                 at = lines[i][0]
                 yield at, lines[j - 1][1], (inside, place[starts] - at, place[ends - 1] + 1 - at)
 
@@ -226,18 +277,20 @@ def unwrap(text: str) -> Iterator[tuple[int, int, Decoded]]:
     if escaped and _ESCAPE.search(text):
         yield 0, len(text), _replaced(text, _escape_pieces(text))
     for at, part in _tokens(text, 3 if percent or escaped else 16):
-        if percent and _PERCENT.search(part) and (layer := _percent(part)):
-            yield at, at + len(part), layer
-        if escaped and _ESCAPE.search(part) and (layer := _escapes(part)):
-            yield at, at + len(part), layer
+        if percent and _PERCENT.search(part):
+            for layer in _percent(part):
+                yield at, at + len(part), layer
+        if escaped and _ESCAPE.search(part):
+            yield at, at + len(part), _escapes(part)
         if len(part) >= 16:
             for m in _BASE64.finditer(part):
-                long = True
-                if layer := _base64(m[0]):
+                long, whole = True, False
+                for layer in _base64(m[0]):
+                    whole = True
                     yield at + m.start(), at + m.end(), layer
-                elif not m[0].isalnum():
+                if not whole and not m[0].isalnum():
                     for p in _PARTS.finditer(m[0]):
-                        if p[0] != m[0] and (layer := _base64(p[0])):
+                        for layer in _base64(p[0]) if p[0] != m[0] else ():
                             yield at + m.start() + p.start(), at + m.start() + p.end(), layer
     if long and ("\n" in text or "\r" in text):
         yield from _joined(text)
@@ -245,7 +298,8 @@ def unwrap(text: str) -> Iterator[tuple[int, int, Decoded]]:
 
 @dataclass
 class _Layer:
-    key: tuple[str, int]  # its text, and how much of that stands before the run
+    key: tuple[str | bytes, int]  # its text (a long one's digest), and how much of that stands before the run
+    text: str
     spans: set[Span]  # found in it and in the layers below it, at their places in its text
     runs: Iterator[tuple[int, int, Decoded]]
     starts: np.ndarray | None = None  # for each character, where it came from in the layer above
@@ -256,9 +310,13 @@ class _Layer:
         self.spans.update((int(starts[a]), kind, int(ends[b - 1])) for a, kind, b in spans)  # neither ever falls
 
 
+def _key(text: str, ahead: int) -> tuple[str | bytes, int]:
+    return text if len(text) <= 4096 else hashlib.sha256(text.encode("utf-8", "surrogatepass")).digest(), ahead
+
+
 def _layer(text: str, ahead: int, starts: np.ndarray | None = None, ends: np.ndarray | None = None) -> _Layer:
     # what ends in the part before the run is the upper layer's
-    return _Layer((text, ahead), {s for s in scan(text) if s[2] > ahead}, unwrap(text), starts, ends)
+    return _Layer(_key(text, ahead), text, {s for s in scan(text) if s[2] > ahead}, unwrap(text), starts, ends)
 
 
 def scan_layers(text: str) -> tuple[list[Span], list[Span]]:
@@ -266,25 +324,28 @@ def scan_layers(text: str) -> tuple[list[Span], list[Span]]:
     top = _layer(text, 0)
     base = sorted(top.spans)
     chain, depth = [top], {top.key: 0}  # the open layers, each inside the one before it
-    done: dict[tuple[str, int], set[Span]] = {}  # equal layers are scanned once and reported at each of their places
+    done: dict[tuple[str | bytes, int], set[Span]] = {}  # equal layers are scanned once and reported at each of their places
     while chain:
         layer = chain[-1]
         run = next(layer.runs, None)
         if run is None:
             chain.pop()
             del depth[layer.key]
+            if len(done) >= MAX_DONE:
+                done.clear()
             if not layer.partial:
                 done[layer.key] = layer.spans
             if chain:
                 chain[-1].take(layer.spans, layer.starts, layer.ends)
             continue
         start, stop, (inside, starts, ends) = run
-        around, ahead = layer.key
+        around, ahead = layer.text, layer.key[1]
         if stop <= ahead or inside == around[start:stop]:
             continue
         left = max(start - CONTEXT, 0)
         before = start - left if start else int(np.searchsorted(ends, ahead, "right"))  # of the whole text, what came from there
-        key = around[left:start] + inside, before
+        whole = around[left:start] + inside
+        key = _key(whole, before)
         if key in depth:
             for between in chain[depth[key] + 1 :]:
                 between.partial = True
@@ -295,7 +356,7 @@ def scan_layers(text: str) -> tuple[list[Span], list[Span]]:
             layer.take(done[key], own_starts, own_ends)
         else:
             depth[key] = len(chain)
-            chain.append(_layer(*key, own_starts, own_ends))
+            chain.append(_layer(whole, before, own_starts, own_ends))
     return base, sorted(top.spans)
 
 
