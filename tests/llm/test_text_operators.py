@@ -221,6 +221,15 @@ def test_inverted_index_equals_trying_all_rules(spark):
             assert (matched[i]["confidence"], matched[i]["method_verdict"]) == (max(fits)[0], max(fits)[3])
 
 
+def test_small_hosts_give_rules(spark):
+    rows = [(i, f"http://h{i % 40}.example.xyz/p{i % 7}/{i}") for i in range(10_000)] + [(10_000 + i, f"http://bad.example.xyz/x/{i}") for i in range(60)] + [(20_000 + i, f"http://few.example.xyz/y/{i}") for i in range(20)]
+    told = [(i, 1, int(i >= 10_000 or i % 3 == 0)) for i, _ in rows]  # the bad host has 0.6 % of the pages
+    pages = spark.createDataFrame([*rows, (30_000, "http://bad.example.xyz/other"), (30_001, "http://h5.example.xyz/other")], "page_id long, url string")
+    got = {r["page_id"]: r["verdict"] for r in url_rules.judge_urls(pages, spark.createDataFrame(told, "doc_id long, quality int, toxic int")).collect()}
+    assert got[30_000] == "block" and got[30_001] == "allow"
+    assert {got[10_000 + i] for i in range(60)} == {"block"}
+
+
 # Chat repair
 
 

@@ -30,6 +30,7 @@ RULES = (
     ("block", "org", "/es/"),
 )
 MIN_SUPPORT, MIN_CONFIDENCE = 0.02, 0.8
+MIN_PAGES = 50  # so many labelled pages are enough for a rule, however small their share
 MAX_BROADCAST_RULES = 20_000
 _LABEL = "label="
 
@@ -75,11 +76,14 @@ def url_tokens(url: Column) -> Column:
 def mine_rules(labelled: DataFrame, url_col: str = "url", label_col: str = "label", min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
     """(tokens, verdict, confidence, support): rules that FP-growth finds in labelled URLs, pruned.
 
-    Frequent token sets are at most what the support allows whatever the number of rows, so the rules stay few.
+    A token set counts as frequent with a share of ``min_support`` or on ``MIN_PAGES`` labelled pages, whichever is less,
+    so what one host needs does not grow with the table.
     """
     label = F.concat(F.lit(_LABEL), F.col(label_col))
     baskets = labelled.filter(F.col(label_col).isNotNull()).select(F.concat(url_tokens(F.col(url_col)), F.array(label)).alias("items"))
-    model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(baskets)
+    # a little less, so that the share's rounding up to a count of pages does not ask for one page more
+    least = min(min_support, (MIN_PAGES - 0.5) / max(baskets.count(), 1))
+    model = FPGrowth(itemsCol="items", minSupport=least, minConfidence=min_confidence).fit(baskets)
     rules = model.associationRules.filter(F.col("consequent")[0].startswith(_LABEL)).select(
         F.array_sort("antecedent").alias("tokens"), F.expr(f"substring(consequent[0], {len(_LABEL) + 1})").alias("verdict"), "confidence", "support"
     )
