@@ -332,7 +332,106 @@ def test_toxicity_without_a_class(spark):
     assert toxicity.score_documents(frame(spark, []), spark.createDataFrame([], schema)).count() == 0
 
 
-def test_probabilities_sum_to_one(spark):
-    rows, labels = toxic_rows(60)
-    tables, _ = toxicity.train(frame(spark, rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
-    assert tables.word.sum(axis=1) == pytest.approx([1, 1], abs=1e-3)
+def kneser_ney(words, order, strength):
+    """{run: (p0, p1)} and {context: (left0, left1)} by their definitions, over runs as strings; words: {word: (n0, n1)}."""
+    n = [defaultdict(int), defaultdict(int)]
+    for w, counts in words.items():
+        spelled = f"\x02{w}\x03"
+        for i in range(1, len(spelled)):
+            for k in range(1, min(order, i + 1) + 1):
+                for c in (0, 1):
+                    n[c][spelled[i - k + 1 : i + 1]] += counts[c]
+    runs = set(n[0]) | set(n[1])
+    pool = {r: n[0][r] + n[1][r] if len(r) == order or r[0] == "\x02" else sum(x[1:] == r for x in runs) for r in runs}
+
+    def discount(counts, k):
+        ones, twos = (sum(counts[r] == v for r in runs if len(r) == k) for v in (1, 2))
+        return ones / (ones + 2 * twos) if ones else 0.5
+
+    by_context = defaultdict(list)
+    for r in runs:
+        by_context[len(r), r[:-1]].append(r)
+    shared, p, left = {}, {}, {}
+    for k in range(1, order + 1):
+        d, d0, d1 = (discount(c, k) for c in (pool, *n))
+        for (length, context), rs in by_context.items():
+            if length != k:
+                continue
+            total = sum(pool[r] for r in rs)
+            for r in rs:
+                low = shared[r[1:]] if k > 1 else 1 / (sum(len(x) == 1 for x in runs) + 1)
+                shared[r] = (max(pool[r] - d, 0) + d * len(rs) * low) / total
+            of_class = []
+            for c, dc in ((n[0], d0), (n[1], d1)):
+                whole, kinds = sum(c[r] for r in rs), sum(c[r] > 0 for r in rs)
+                rest = (strength + dc * kinds) / (strength + whole)
+                of_class.append((rest, {r: max(c[r] - dc, 0) / (strength + whole) + rest * shared[r] for r in rs}))
+            left[k, context] = tuple(x[0] for x in of_class)
+            p |= {r: tuple(x[1][r] for x in of_class) for r in rs}
+    return p, left
+
+
+def key_of(run):
+    """The key of a run of letters that stands inside a word, or begins it."""
+    word = run.strip("\x02\x03")
+    for piece in toxicity.letter_runs([word]):
+        spelled = f"\x02{word}\x03"
+        ends = list(range(1, len(spelled)))
+        at = ends.index(spelled.index(run) + len(run) - 1)
+        return int(piece.run[len(run)][at])
+
+
+def test_kneser_ney_against_brute_force(spark):
+    rows, labels = toxic_rows(80)
+    rows += [(1000 + i, rows[0][1], "s") for i in range(50)]  # copies count once
+    docs = frame(spark, [*rows, (2000, "ünï 12! abc abc", "s"), (2001, None, "s")])
+    told = {i: t for i, _, t in labels} | {1000 + i: labels[0][2] for i in range(50)} | {2000: 1, 2001: 0}
+    table = spark.createDataFrame(list(told.items()), "_id long, toxic int")
+    expected = defaultdict(lambda: [0, 0])
+    for text, toxic in {(t, told[i]) for i, t, _ in [*rows, (2000, "ünï 12! abc abc", "s")] if zlib.crc32(str(i).encode()) % 4 < 2}:
+        for w in {toxicity.word_of(p) for p in text.split()}:
+            expected[w][toxic] += 1
+    words = toxicity.count_words(docs, table, "doc_id", "text")
+    assert {r["word"]: [r["n0"], r["n1"]] for r in words.collect()} == dict(expected)
+
+    runs, contexts = toxicity.run_ratios(words, 7.0)
+    p, left = kneser_ney(expected, toxicity.ORDER, 7.0)
+    got = {r["run"]: (r["p0"], r["p1"]) for r in runs.collect()}
+    assert len(got) == len(p)
+    for r, both in p.items():
+        assert got[key_of(r)] == pytest.approx(both)
+    assert sorted((r["k"], round(r["left0"], 9), round(r["left1"], 9)) for r in contexts.collect()) == sorted((k, round(a, 9), round(b, 9)) for (k, _), (a, b) in left.items())
+    for context in {c for _, c in left}:  # a class's probabilities after a context leave the shared model what is left
+        assert all(sum(p[r][c] for r in p if r[:-1] == context) <= 1 + 1e-9 for c in (0, 1))
+
+    tables = toxicity.Tables(toxicity._table(runs, "run", F.col("n0") + F.col("n1"), 1 << 23), toxicity._table(contexts, "context", F.col("n"), 1 << 22))
+
+    def ratio(word):
+        spelled, total = f"\x02{word}\x03", 0.0
+        for i in range(1, len(spelled)):
+            for k in range(min(toxicity.ORDER, i + 1), 0, -1):
+                r = spelled[i - k + 1 : i + 1]
+                if r in p or (k, r[:-1]) in left:
+                    total += np.log(p[r][1] / p[r][0]) if r in p else np.log(left[k, r[:-1]][1] / left[k, r[:-1]][0])
+                    break
+        return total
+
+    asked = [*expected, "neverseen", "vilest", "ba", "日本"]
+    assert tables.ratios(asked) == pytest.approx([ratio(w) for w in asked], abs=0.02)
+
+
+def test_pieces_of_long_words(monkeypatch):
+    words = [prose(1, 300).replace(" ", ""), "a", "", "bc" * 40]
+    whole = list(toxicity.letter_runs(words))
+    monkeypatch.setattr(toxicity, "_PIECE", 17)
+    parts = list(toxicity.letter_runs(words))
+    assert len(parts) > 10
+    for name in ("word", "run", "context", "shorter", "initial"):
+        assert np.array_equal(np.concatenate([getattr(x, name) for x in whole], -1), np.concatenate([getattr(x, name) for x in parts], -1))
+
+
+def test_curve_without_its_fold(spark):
+    rows, labels = toxic_rows(200)
+    told = [x for x in labels if zlib.crc32(str(x[0]).encode()) % 4 < 2]
+    got = {r["doc_id"]: r["predicted"] for r in collect(toxicity.score_documents(frame(spark, rows), spark.createDataFrame(told, "doc_id long, quality int, toxic int")))}
+    assert np.mean([got[i] == int(i % 5 == 0) for i in got]) > 0.95
