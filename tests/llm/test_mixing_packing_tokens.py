@@ -5,6 +5,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tests.llm.helpers import collect, frame, odd_rows, prose
@@ -34,6 +35,20 @@ def test_shards_share_out_all_slots():
     assert [p[1].sum() for p in parts] == [100] * 17 + [80]
 
 
+def test_draw_is_uniform():
+    """Against the hypergeometric distribution's mean and spread, small and far beyond what numpy's own draw takes."""
+    rng = np.random.default_rng(8)
+    for counts, n in ((np.array([700, 40, 0, 260]), 300), (np.array([700, 40, 0, 260]), 900), (np.array([5 * 10**11, 3 * 10**9, 17, 10**12]), 4 * 10**11)):
+        draws = np.array([mixing.draw_without_replacement(counts, n, rng) for _ in range(2000)])
+        assert (draws.sum(1) == n).all() and (draws >= 0).all() and (draws <= counts).all()
+        total = counts.sum()
+        share = counts / total
+        spread = np.sqrt(n * share * (1 - share) * ((total - n) / (total - 1)))
+        wide = spread > 0
+        assert (np.abs(draws.mean(0) - n * share)[wide] < 5 * spread[wide] / np.sqrt(2000)).all()
+        assert draws.std(0)[wide] == pytest.approx(spread[wide], rel=0.15)
+
+
 def test_slots_meet_the_target_exactly():
     for size in (1, 63, 64, 65, 1000, 6401):
         for target in (0, 1, size // 2, size, size * 3 // 2, size * 2):
@@ -74,6 +89,53 @@ def test_mixed_texts_hold_what_is_taken(spark):
             assert not Counter(WORD.findall(r["text"])) - Counter(originals[r["doc_id"]])
 
 
+def spans_of(spark, docs, block):
+    """The mix told again by formula: which blocks of its source each row's words fill, and which slots take these."""
+    documents, _ = mixing.mix(docs, block=block)
+    rows = [r.asDict() for r in documents.collect()]
+    by = defaultdict(list)
+    for r in rows:
+        by[r["source_no"]].append(r)
+    taken = Counter()
+    for no, held in by.items():
+        held.sort(key=lambda r: (r["at"], r["size"]))
+        owner = [(r["row"], k) for r in held for k in range(r["size"])]
+        assert [r["at"] for r in held if r["size"]] == [sum(x["size"] for x in held[:k]) for k, r in enumerate(held) if r["size"]]
+        plan = mixing.plan_source(None, no, len(owner), held[0]["target"], block)
+        for j in range(plan.slots):
+            turn, place = divmod(j, plan.blocks)
+            b = int(mixing.permute(np.array([place]), plan.blocks, mixing._key(no, turn))[0])
+            words = owner[b * block : (b + 1) * block][: plan.last_words if j == plan.slots - 1 else None]
+            taken.update(row for row, _ in words)
+    return {r["row"]: taken[r["row"]] for r in rows}, rows
+
+
+def test_taken_words_against_brute_force(spark):
+    docs = frame(spark, odd_rows() + [(300, prose(1, 90), "src0")] * 3)
+    expected, rows = spans_of(spark, docs, 8)
+    got = mixing.mix_shares(docs, block=8).collect()
+    assert sorted((r["doc_id"] or -1, r["size"], r["taken"]) for r in got) == sorted((r["id"] or -1, r["size"], expected[r["row"]]) for r in rows)
+
+
+def test_repeated_rows_meet_their_own_takes(spark):
+    text = prose(1, 200)
+    rows = [(7, text, "a")] * 5 + [(7, prose(2, 200), "a"), (None, text, "a"), (8, prose(3, 30), "b")]
+    docs = frame(spark, rows, clash=False)
+    for block in (7, 64):
+        made = Counter()
+        for r in mixing.mix_texts(docs, block=block).collect():
+            made[r["doc_id"]] += len(r["text"].split())
+        told = Counter()
+        for r in mixing.mix_shares(docs, block=block).collect():
+            told[r["doc_id"]] += r["taken"]
+        assert made == +told
+
+
+def test_take_spans(spark):
+    df = spark.createDataFrame([(" a  b\nc d e ", [(0, 2), (3, 1)]), ("x", [])], "text string, spans array<struct<start:long,words:long>>")
+    assert [r[0] for r in df.select(mixing.take_spans(F.col("text"), F.col("spans"))).collect()] == ["a b d", ""]
+
+
 def test_multinomial_counts_differ_between_shards(spark):
     _, pieces = mixing.mix(frame(spark, [(i, prose(i, 500), f"s{i % 2}") for i in range(40)], clash=False), block=8, shard_slots=100)
     slots = pieces.select("shard", "slot").distinct()

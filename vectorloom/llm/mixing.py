@@ -4,7 +4,8 @@ Each source's documents form one stream of words, in an order fixed by hashed bu
 fixed number of words. The mix is a row of slots, one block each, dealt over output shards. How many slots a shard
 gives each source is a multinomial draw given the sources' totals (a multivariate hypergeometric one): the shards are
 halved again and again and each half's counts are drawn from a generator seeded by its place, so every shard finds its
-own counts without knowing another's, and all shards together meet the totals. A source's slot ``j`` takes the block at
+own counts without knowing another's, and all shards together meet the totals. The draw is exact at any size: every slot
+is taken with the same chance, and what is missing or too much after that is drawn in turn, a square root of it each time. A source's slot ``j`` takes the block at
 ``j`` mod its blocks under a pseudorandom permutation (a Feistel network that walks cycles), one permutation for each
 pass over the source, so no block is taken again before all were taken. Slots and documents meet in a join on source
 and block; a source's last slot is shortened so that its words come out at the target.
@@ -20,7 +21,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Row, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from vectorloom.llm.common import SPACE_RUN, count_words, cut, private_prefix
@@ -30,7 +31,7 @@ BLOCK_WORDS = 64
 SHARD_SLOTS = 1 << 15
 SEED = 11
 _BUCKET_DOCS = 8192
-_DRAW_LIMIT = 500_000_000  # numpy's exact draw takes fewer items than 1e9
+_FEW = 64
 
 
 def targets(sizes: list[int], weights: list[float], share: float = SHARE, cap: float = CAP) -> list[float]:
@@ -130,14 +131,29 @@ def split_counts(counts: np.ndarray, part: int, shards: int, shard_slots: int) -
 
 
 def _draw(counts: np.ndarray, n: int, seed: list[int]) -> np.ndarray:
-    total = int(counts.sum())
-    if total <= _DRAW_LIMIT:
-        return np.random.default_rng(seed).multivariate_hypergeometric(counts, n, method="marginals")
-    # Beyond the exact draw's range its spread is a ten-thousandth of the count: proportional parts, largest remainders first.
-    exact = counts * (n / total)
-    out = np.floor(exact).astype(np.int64)
-    out[np.argsort(out - exact, kind="stable")[: n - int(out.sum())]] += 1
-    return out
+    return draw_without_replacement(counts, n, np.random.default_rng(seed))
+
+
+def draw_without_replacement(counts: np.ndarray, n: int, rng: np.random.Generator) -> np.ndarray:
+    """How many of each kind a uniform draw of ``n`` of all items holds (multivariate hypergeometric), for counts of any size.
+
+    Items taken independently with one chance are, given how many they are, a uniform draw of so many; adding or removing
+    a uniform draw of the difference keeps them one.
+    """
+    counts, total = counts.copy(), int(counts.sum())
+    if n > total - n:
+        return counts - draw_without_replacement(counts, total - n, rng)
+    taken = np.zeros_like(counts)
+    if n <= _FEW:
+        for _ in range(n):
+            kind = int(np.searchsorted(np.cumsum(counts), rng.integers(total), "right"))
+            counts[kind], taken[kind], total = counts[kind] - 1, taken[kind] + 1, total - 1
+        return taken
+    taken = rng.binomial(counts, n / total)
+    missing = n - int(taken.sum())
+    if missing > 0:
+        return taken + draw_without_replacement(counts - taken, missing, rng)
+    return taken - draw_without_replacement(taken, -missing, rng)
 
 
 def _slots(plans: list[SourcePlan], shards: int, shard_slots: int):
@@ -164,8 +180,8 @@ def _slots(plans: list[SourcePlan], shards: int, shard_slots: int):
     return run
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block: int = BLOCK_WORDS, shard_slots: int = SHARD_SLOTS) -> tuple[DataFrame, DataFrame]:
-    """(documents, pieces).
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block: int = BLOCK_WORDS, shard_slots: int = SHARD_SLOTS, row_col: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(documents, pieces). ``row_col`` names a column of distinct numbers of the rows; without it they are numbered here.
 
     documents: ``row``, ``id``, ``source``, ``size``, ``source_size``, ``target``; one row per input row.
     pieces: ``row``, ``id``, ``size``, ``shard``, ``slot``, ``pass``, ``start`` (the document's words before it),
@@ -173,8 +189,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     The driver holds one row per source (a few numbers each), nothing per document, block or slot.
     """
     spark = docs.sparkSession
-    sized = docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), count_words(F.col(text_col)).alias("size"))
-    sized = cut(sized.withColumn("row", F.monotonically_increasing_id()))
+    row = F.col(row_col) if row_col else F.monotonically_increasing_id()
+    sized = cut(docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), count_words(F.col(text_col)).alias("size"), row.alias("row")))
     found = sized.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("docs")).collect()
     found.sort(key=lambda r: (r["source"] is None, r["source"] or ""))
     goals = targets([r["size"] for r in found], [WEIGHTS[i % len(WEIGHTS)] for i in range(len(found))])
@@ -218,19 +234,26 @@ def mix_shares(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
 
 
+def take_spans(text: Column, spans: Column) -> Column:
+    """The words of a text in some spans (``start``, ``words``; in order), single-spaced. The text is split once."""
+    words = F.filter(F.split(text, SPACE_RUN), lambda w: w != "")
+    # as a lambda's variable the words are made once; a plain column would be put in place of each use of it
+    taken = F.transform(F.array(words), lambda w: F.concat_ws(" ", F.flatten(F.transform(spans, lambda s: F.slice(w, (s["start"] + 1).cast("int"), s["words"].cast("int"))))))
+    return F.element_at(taken, 1)
+
+
 def mix_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block: int = BLOCK_WORDS) -> DataFrame:
     """The mix as documents: a row of ``docs`` for every pass that takes words of it, its text those words, single-spaced
     where the words are cut and unchanged where the pass takes them all. Other columns stay; ids repeat with the passes.
+
+    ``docs`` is written to the shared folder with row numbers first, so that each row, repeated or not, meets its own takes
+    in a join on that number: texts move once.
     """
-    _, pieces = mix(docs, id_col, text_col, source_col, block)
     p = private_prefix(docs)
-    takes = pieces.groupBy("id", "row", "size", "pass").agg(F.array_sort(F.collect_list(F.struct("start", "words"))).alias("spans"), F.sum("words").alias("taken"))
-    # Rows that repeat an id and a size are numbered on both sides, so that each meets its own takes.
-    nth = F.dense_rank().over(Window.partitionBy("id", "size").orderBy("row"))
-    takes = takes.select(F.col("id").alias(f"{p}_id"), F.col("size").alias(f"{p}_size"), nth.alias(f"{p}_nth"), (F.col("taken") == F.col("size")).alias(f"{p}_whole"), F.col("spans").alias(f"{p}_spans"))
-    counted = docs.withColumn(f"{p}_n", count_words(F.col(text_col)))
-    counted = counted.withColumn(f"{p}_k", F.row_number().over(Window.partitionBy(F.col(id_col), F.col(f"{p}_n")).orderBy(F.xxhash64(F.col(text_col)))))
-    same = F.col(id_col).eqNullSafe(F.col(f"{p}_id")) & (F.col(f"{p}_n") == F.col(f"{p}_size")) & (F.col(f"{p}_k") == F.col(f"{p}_nth"))
-    words = F.filter(F.split(F.col(text_col), SPACE_RUN), lambda w: w != "")
-    cut_text = F.concat_ws(" ", F.flatten(F.transform(f"{p}_spans", lambda s: F.slice(words, (s["start"] + 1).cast("int"), s["words"].cast("int")))))
-    return counted.join(takes, same).withColumn(text_col, F.when(F.col(f"{p}_whole"), F.col(text_col)).otherwise(cut_text)).select(*docs.columns)
+    docs_there = cut(docs.withColumn(f"{p}_row", F.monotonically_increasing_id()))
+    _, pieces = mix(docs_there, id_col, text_col, source_col, block, row_col=f"{p}_row")
+    takes = pieces.groupBy("row", "size", "pass").agg(F.array_sort(F.collect_list(F.struct("start", "words"))).alias("spans"), F.sum("words").alias("taken"))
+    whole = F.col("taken") == F.col("size")
+    takes = takes.select(F.col("row").alias(f"{p}_take"), whole.alias(f"{p}_whole"), F.when(~whole, F.col("spans")).alias(f"{p}_spans"))
+    mixed = docs_there.join(takes, F.col(f"{p}_row") == F.col(f"{p}_take"))
+    return mixed.withColumn(text_col, F.when(F.col(f"{p}_whole"), F.col(text_col)).otherwise(take_spans(F.col(text_col), F.col(f"{p}_spans")))).select(*docs.columns)
