@@ -98,6 +98,36 @@ def test_null_ids_and_drop(spark):
     assert kept.columns == docs.columns and {20} == {r["doc_id"] for r in kept.collect() if not normal(r["text"]).strip()}
 
 
+def test_drop_keeps_one_of_repeated_rows(spark):
+    rows = [(1, prose(1, 40), "s"), (1, prose(1, 40), "s"), (2, prose(2, 40), "s"), (None, prose(3, 40), "s"), (None, prose(3, 40), "s"), (1, prose(4, 40), "s")]
+    for drop in (simhash_dedup.drop_near_duplicates, exact_dedup.drop_exact_duplicates):
+        kept = [(r["doc_id"], r["text"]) for r in drop(frame(spark, rows)).collect()]
+        assert len(kept) == 4 and set(kept) == {(i, t) for i, t, _ in rows}
+
+
+def test_node_partners_against_all_pairs():
+    rng = np.random.default_rng(3)
+    nodes, open_ = [], [(5, p) for p in range(32)]
+    while open_:  # a tree with leaves of many depths
+        d, p = open_.pop()
+        if d < 12 and rng.random() < 0.6:
+            open_ += [(d + 1, 2 * p), (d + 1, 2 * p + 1)]
+        elif rng.random() < 0.9:
+            nodes.append((d, p))
+    nodes.sort(key=lambda n: n[1] << (64 - n[0]))
+    gray = [p ^ (p >> 1) for _, p in nodes]
+    for some in (np.arange(len(nodes)), np.arange(0, len(nodes), 3)):
+        asked, partners = simhash_dedup.NodePartners(nodes, 3).of(some)
+        found = list(zip(some[asked].tolist(), partners.tolist(), strict=True))
+        expected = set()
+        for i in some.tolist():
+            for j in range(len(nodes)):
+                both = min(nodes[i][0], nodes[j][0])
+                if bin((gray[i] >> (nodes[i][0] - both)) ^ (gray[j] >> (nodes[j][0] - both))).count("1") <= 3:
+                    expected.add((i, j))
+        assert len(found) == len(set(found)) and set(found) == expected and len(expected) < len(some) * len(nodes)
+
+
 @pytest.mark.parametrize("alone", [True, False])
 def test_tree_walk_finds_all_pairs(alone):
     rng = np.random.default_rng(5)

@@ -8,23 +8,26 @@ groups that survive are dealt to tasks, and each task walks the two groups' lowe
 the links it finds as a forest (a star for each connected set), so thousands of near copies yield as many rows, not
 their square. Stars of all tasks are joined to components by :func:`connected_components`.
 
-What the driver holds is one entry per group of about ``group_size`` fingerprints: a depth, a prefix, a count.
+What driver and tasks hold of the tree is one entry per group of at least ``group_size`` fingerprints, a depth and a
+prefix; groups grow with the table up to 8 times that. A fingerprint is sent once to each group whose prefix of ``b`` bits
+differs from its own in at most three: 42 of 64 groups at b = 6 (8 to 67 million texts), 299 of 4,096 at b = 12 (4 billion).
 
 Defined cases: null text counts as empty; a text without words has fingerprint zero and is linked like any other; a null
-id is the smallest of none (a component of null ids only has a null component id); repeated rows link; an empty table
-gives an empty result; other columns of the input are ignored, and kept by :func:`drop_near_duplicates`.
+id is the smallest of none (a component of null ids only has a null component id); repeated rows link, and
+:func:`drop_near_duplicates` keeps one of them; an empty table gives an empty result; other columns of the input are
+ignored, and kept by :func:`drop_near_duplicates`.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import accumulate
+from itertools import accumulate, combinations
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vectorloom.llm.common import as_bytes, cut, private_prefix
@@ -35,6 +38,7 @@ GROUP_SIZE = 1 << 17
 _STEP = 4  # bits by which one level of nodes is longer than the one above
 _FRONTIER = 1 << 19
 _RUN = 1 << 15
+_DEALT = 1 << 10
 
 
 def fingerprint(raw: bytes, shingle: int = SHINGLE) -> int:
@@ -60,15 +64,19 @@ def _fingerprints(shingle: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             prints = [fingerprint(x.as_py(), shingle) for x in batch.column("body")]
-            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("id"), pa.array(prints, pa.int64())], ["row", "id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("id"), batch.column("text_hash"), pa.array(prints, pa.int64())], ["row", "id", "text_hash", "fp"])
 
     return run
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """(row, id, fp), one row per input row."""
-    body = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), as_bytes(F.col(text_col)).alias("body"))
-    return body.mapInArrow(_fingerprints(shingle), f"row long, id {body.schema['id'].dataType.simpleString()}, fp long")
+    """(row, id, text_hash, fp), one row per input row."""
+    body = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), _text_hash(F.col(text_col)).alias("text_hash"), as_bytes(F.col(text_col)).alias("body"))
+    return body.mapInArrow(_fingerprints(shingle), f"row long, id {body.schema['id'].dataType.simpleString()}, text_hash long, fp long")
+
+
+def _text_hash(text: Column) -> Column:
+    return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
 def gray_rank(codes: np.ndarray) -> np.ndarray:
@@ -89,6 +97,7 @@ def upper_nodes(prints: DataFrame, group_size: int = GROUP_SIZE) -> list[tuple[i
     """(depth, Gray prefix) of the groups that the distinct fingerprints fall into, in Gray order."""
     ranked = prints.select(_rank_column(F.col("fp")).alias("rank"))
     total, depth, nodes = ranked.count(), 0, []
+    group_size = min(max(group_size, total >> 6), group_size << 3)
     while depth < 40 and total > group_size << depth:
         depth += 1
     while True:
@@ -103,34 +112,71 @@ def upper_nodes(prints: DataFrame, group_size: int = GROUP_SIZE) -> list[tuple[i
         depth += _STEP
 
 
-def node_partners(nodes: list[tuple[int, int]], radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """For every node, the nodes (itself included) whose shared pattern differs by at most ``radius`` bits: offsets, partners."""
-    depth = np.array([d for d, _ in nodes], np.int64)
-    gray = np.array([p ^ (p >> 1) for _, p in nodes], np.uint64)
-    offsets, partners = [0], []
-    for d, g in zip(depth, gray, strict=True):
-        both = np.minimum(d, depth)
-        differ = np.bitwise_count((g >> (d - both).astype(np.uint64)) ^ (gray >> (depth - both).astype(np.uint64)))
-        near = np.flatnonzero(differ <= radius)
-        partners.append(near)
-        offsets.append(offsets[-1] + len(near))
-    return np.array(offsets), np.concatenate(partners) if partners else np.zeros(0, np.int64)
+class NodePartners:
+    """For a node of the upper tree, the nodes (itself included) whose shared pattern differs by at most ``radius`` bits.
+
+    Nodes are looked up by their patterns with up to ``radius`` bits turned, so no two nodes are compared that are not near.
+    """
+
+    def __init__(self, nodes: list[tuple[int, int]], radius: int):
+        self.depth = np.array([d for d, _ in nodes], np.int64)
+        self.gray = np.array([p ^ (p >> 1) for _, p in nodes], np.uint64)
+        self.by_depth = {}
+        for d in np.unique(self.depth).tolist():
+            here = np.flatnonzero(self.depth == d)
+            here = here[np.argsort(self.gray[here])]
+            turned = [sum(1 << b for b in bits) for n in range(min(radius, d) + 1) for bits in combinations(range(d), n)]
+            self.by_depth[d] = (here, self.gray[here], np.array(turned, np.uint64))
+
+    def of(self, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place in ``asked``, partner), each near pair of nodes once."""
+        places, partners = [], []
+        for d, (here, patterns, turned) in self.by_depth.items():
+            # a node at least as deep finds those of depth d by its own leading bits
+            deep = np.flatnonzero(self.depth[asked] >= d)
+            lead = self.gray[asked[deep]] >> (self.depth[asked[deep]] - d).astype(np.uint64)
+            for k in range(0, len(deep), 256):
+                sought = lead[k : k + 256, None] ^ turned
+                at = np.minimum(np.searchsorted(patterns, sought), len(patterns) - 1)
+                i, j = np.nonzero(patterns[at] == sought)
+                places.append(deep[k + i])
+                partners.append(here[at[i, j]])
+            # a shorter one is looked up among the leading bits of those of depth d
+            for low in {x for x in self.depth[asked].tolist() if x < d}:
+                short = np.flatnonzero(self.depth[asked] == low)
+                leading = patterns >> np.uint64(d - low)  # still in order
+                for i in short:
+                    sought = self.gray[asked[i]] ^ self.by_depth[low][2]
+                    first, end = np.searchsorted(leading, sought, "left"), np.searchsorted(leading, sought, "right")
+                    found = np.repeat(first - np.concatenate([[0], np.cumsum(end - first)[:-1]]), end - first) + np.arange((end - first).sum())
+                    places.append(np.full(len(found), i))
+                    partners.append(here[found])
+        return np.concatenate(places), np.concatenate(partners)
 
 
 def _deal(nodes: list[tuple[int, int]], radius: int):
     """Send every fingerprint to each surviving pair of its group: (pair, second, fp)."""
     starts = np.array([p << (64 - d) for d, p in nodes], np.uint64)
-    offsets, partners = node_partners(nodes, radius)
+    near = NodePartners(nodes, radius)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             fp = batch["fp"].to_numpy()
+            if not len(fp):
+                continue
             own = np.searchsorted(starts, gray_rank(fp.view(np.uint64)), "right") - 1
-            n = offsets[own + 1] - offsets[own]
-            at = np.repeat(np.arange(len(fp)), n)
-            other = partners[np.repeat(offsets[own] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(len(at))]
-            low, high = np.minimum(own[at], other), np.maximum(own[at], other)
-            yield pd.DataFrame({"pair": low << 32 | high, "second": other < own[at], "fp": fp[at]})
+            groups, place = np.unique(own, return_inverse=True)
+            asked, partners = near.of(groups)
+            order = np.argsort(asked, kind="stable")
+            partners, count = partners[order], np.bincount(asked, minlength=len(groups))
+            offsets = np.cumsum(count) - count
+            for k in range(0, len(fp), _DEALT):  # bounded, as each fingerprint leaves many times
+                mine = place[k : k + _DEALT]
+                n = count[mine]
+                at = np.repeat(np.arange(len(mine)), n)
+                other = partners[np.repeat(offsets[mine] - (np.cumsum(n) - n), n) + np.arange(len(at))]
+                group = groups[mine][at]
+                yield pd.DataFrame({"pair": np.minimum(group, other) << 32 | np.maximum(group, other), "second": other < group, "fp": fp[k : k + _DEALT][at]})
 
     return run
 
@@ -229,8 +275,8 @@ def link_forest(prints: DataFrame, radius: int = RADIUS, group_size: int = GROUP
     return dealt.groupBy("pair").applyInPandas(links, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, shingle: int = SHINGLE, group_size: int = GROUP_SIZE) -> DataFrame:
-    """One row per input row: the id, ``fingerprint`` (hex), ``component_id`` and ``kept`` (one row of each component)."""
+def _classes(docs: DataFrame, id_col: str, text_col: str, radius: int = RADIUS, shingle: int = SHINGLE, group_size: int = GROUP_SIZE) -> DataFrame:
+    """(id, text_hash, fp, component_id, kept), one row per input row."""
     rows = cut(fingerprints(docs, id_col, text_col, shingle))
     best = F.min(F.struct(F.col("id").isNull().alias("last"), F.col("id"), F.col("row"))).alias("best")
     prints = cut(rows.groupBy("fp").agg(best))
@@ -238,16 +284,24 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rooted = prints.join(roots, prints["fp"] == roots["node"], "left").select("fp", "best", F.coalesce("root", "fp").alias("root"))
     named = rooted.groupBy("root").agg(F.min("best").alias("first"))
     classes = rooted.join(named, "root").select("fp", "first")
-    return rows.join(classes, "fp").select(
-        F.col("id").alias(id_col),
-        F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"),
-        F.col("first.id").alias("component_id"),
-        (F.col("row") == F.col("first.row")).alias("kept"),
-    )
+    return rows.join(classes, "fp").select("id", "text_hash", "fp", F.col("first.id").alias("component_id"), (F.col("row") == F.col("first.row")).alias("kept"))
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, shingle: int = SHINGLE, group_size: int = GROUP_SIZE) -> DataFrame:
+    """One row per input row: the id, ``fingerprint`` (hex), ``component_id`` and ``kept`` (one row of each component)."""
+    found = _classes(docs, id_col, text_col, radius, shingle, group_size)
+    return found.select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "kept")
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
-    """The rows of ``docs`` that stay, one of each component, with all their columns. Ids are taken to be unique."""
-    stay = private_prefix(docs)
-    stays = near_duplicates(docs, id_col, text_col, radius).filter("kept").select(F.col(id_col).alias(stay))
-    return docs.join(stays, F.col(id_col).eqNullSafe(F.col(stay)), "left_semi").select(*docs.columns)
+    """The rows of ``docs`` that stay, one of each component, with all their columns.
+
+    Where an id is unique, a semi join on id and text hash is all it takes. Rows that repeat both are reduced to one.
+    """
+    p = private_prefix(docs)
+    made = cut(_classes(docs, id_col, text_col, radius))
+    stays = made.filter("kept").select(F.col("id").alias(f"{p}_id"), F.col("text_hash").alias(f"{p}_kept"))
+    kept = docs.withColumn(f"{p}_hash", _text_hash(F.col(text_col))).join(stays, F.col(id_col).eqNullSafe(F.col(f"{p}_id")) & (F.col(f"{p}_hash") == F.col(f"{p}_kept")), "left_semi")
+    if not made.groupBy("id", "text_hash").agg(F.count("*").alias("n")).filter("n > 1").isEmpty():
+        kept = kept.dropDuplicates([id_col, f"{p}_hash"])
+    return kept.select(*docs.columns)
