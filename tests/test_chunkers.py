@@ -47,3 +47,12 @@ def test_bad_sizes():
 def test_explode_keeps_columns(spark):
     rows = FixedSizeChunker(1, 0).explode(spark.createDataFrame([(1, "a b")], "id int, text string"))
     assert [tuple(r) for r in rows.select("id", "pos", "chunk").collect()] == [(1, 0, "a"), (1, 1, "b")]
+
+
+def test_texts_are_split_once(spark):
+    """Time grows with a text's length, not with its square: the split stands outside of what is done for each chunk."""
+    df = spark.createDataFrame([("a. " * 20_000,)], "t string")
+    for chunker in (SentenceChunker(1), FixedSizeChunker(1, 0)):
+        assert len(df.select(chunker.chunks(F.col("t"))).head()[0]) == 20_000
+        plan = df.select(chunker.chunks(F.col("t")).alias("c"))._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("split(") == 1

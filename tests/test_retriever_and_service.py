@@ -6,7 +6,7 @@ import pytest
 from vectorloom import cli
 from vectorloom.errors import EmbeddingError, InvalidConfig
 from vectorloom.functions.chunkers import FixedSizeChunker, ParagraphChunker
-from vectorloom.operators.embedders import ByteEmbedder, LetterEmbedder, OllamaEmbedder, OpenAIEmbedder
+from vectorloom.operators.embedders import ByteEmbedder, Embedder, LetterEmbedder, OllamaEmbedder, OpenAIEmbedder
 from vectorloom.operators.retriever import Retriever, chunk_ids, chunk_rows
 from vectorloom.operators.store import DataFrameStore
 from vectorloom.rpc import ToolServer
@@ -42,6 +42,31 @@ def test_many_texts_and_ids(spark):
     assert [d["id"] for d in r.vector_store.list(5).collect()] == ["7#0"]
 
 
+class CountingEmbedder(LetterEmbedder):
+    """Counts in a file of this machine how many texts it was asked for, over all workers."""
+
+    def __init__(self, path):
+        self.path = path
+
+    def embed(self, texts):
+        with open(self.path, "a") as out:
+            out.write("x" * len(texts))
+        return super().embed(texts)
+
+    def column(self, text):
+        return Embedder.column(self, text)
+
+
+def test_chunks_are_embedded_once(spark, tmp_path):
+    path = tmp_path / "asked"
+    r = Retriever(CountingEmbedder(str(path)), DataFrameStore(spark), FixedSizeChunker(1, 0), 2)
+    r.add_documents(spark.createDataFrame([(1, "a b c"), (2, "d e")], "doc_id int, content string"), id_col="doc_id")
+    for _ in range(3):
+        r.retrieve("a").collect()
+        r.vector_store.count()
+    assert len(path.read_text()) == 5 + 3  # one for each chunk, one for each question
+
+
 def test_remote_models_map_requests_and_replies():
     asked = []
 

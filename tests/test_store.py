@@ -124,6 +124,28 @@ def test_ragged_batches(spark, metric):
     assert all(two[k] == pytest.approx(v, abs=1e-9, nan_ok=True) for k, v in one.items())
 
 
+@pytest.mark.parametrize("metric", list(M))
+def test_batches_give_the_same_rows_whatever_their_size(spark, monkeypatch, metric):
+    docs = [doc(f"{i:02}", [round(math.sin(i % 7 + j), 3) for j in range(1 + i % 3)], f"text {i}", kind=str(i % 2)) for i in range(50)] + [doc("n", [math.nan]), doc("none")]
+    queries = spark.createDataFrame([(0, [1.0, -0.5]), (1, [0.3]), (2, [0.1] * 6)], "query_id long, query_vec array<float>")
+    frame = filled(spark, docs, metric).frame
+
+    def rows(found):
+        return {(r["query_id"], r["rank"], r["id"], r["content"], str(r["metadata"]), str(r["embedding"]), round(r["score"], 5) if not math.isnan(r["score"]) else None) for r in found.collect()}
+
+    for k in (4, 60):
+        ways = [search.top_k_batch(frame, queries, k, metric, "double"), search.top_k_documents(frame, queries, k, metric, "double")]
+        columns, told = ways[0].columns, [rows(w) for w in ways]
+        with monkeypatch.context() as m:
+            m.setattr(search, "BROADCAST_QUERY_VALUES", 0)
+            m.setattr(search, "_QUERY_RUN", 2)
+            for way in (search.top_k_batch, search.top_k_documents):
+                found = way(frame, queries, k, metric, "double")
+                assert found.columns == columns
+                told.append(rows(found))
+        assert all(t == told[0] for t in told) and len(told[0]) == 3 * min(k, 51)
+
+
 def test_many_queries_bring_their_documents(spark):
     store = filled(spark, TRI)
     queries = spark.createDataFrame([(i, [1.0, i / 100, 0.0]) for i in range(70)], "query_id long, query_vec array<float>")

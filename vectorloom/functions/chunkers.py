@@ -19,10 +19,15 @@ def unicode_trim(text: Column) -> Column:
 
 def _runs(parts: Column, size: int, step: int) -> Column:
     """Runs of ``size`` parts, one every ``step`` parts, each joined by one space; no parts, no runs."""
-    n = F.size(parts)
-    starts = F.sequence(F.lit(0), n - 1, F.lit(step))
-    joined = F.transform(starts, lambda i: F.array_join(F.slice(parts, i + 1, F.lit(size)), " "))
-    return F.when(n == 0, F.array().cast("array<string>")).otherwise(joined)
+
+    def runs(all_parts: Column) -> Column:
+        n = F.size(all_parts)
+        starts = F.sequence(F.lit(0), n - 1, F.lit(step))
+        joined = F.transform(starts, lambda i: F.array_join(F.slice(all_parts, i + 1, F.lit(size)), " "))
+        return F.when(n == 0, F.array().cast("array<string>")).otherwise(joined)
+
+    # as a lambda's variable the parts are made once for a text; a plain column would be made again for every run
+    return F.element_at(F.transform(F.array(parts), runs), 1)
 
 
 class Chunker(ABC):

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from vectorloom.functions.chunkers import Chunker, FixedSizeChunker
 from vectorloom.operators import search
 from vectorloom.operators.embedders import Embedder
+from vectorloom.operators.shared import checkpointed
 from vectorloom.operators.store import DataFrameStore
 from vectorloom.types import empty_metadata, put
 
@@ -64,9 +65,12 @@ class Retriever:
         return ",".join(r["id"] for r in made.orderBy("pos").collect())
 
     def add_documents(self, texts: DataFrame, text_col: str = "content", id_col: str | None = None) -> None:
-        """Store the chunks of many texts at once; ``texts`` may be what a source extracts."""
-        rows = chunk_rows(texts, self.chunker, self.embedding_model, text_col, id_col).filter(F.col("embedding").isNotNull())
-        self.vector_store.add_batch(rows.select("id", "content", "metadata", "embedding"))
+        """Store the chunks of many texts at once; ``texts`` may be what a source extracts. The model is asked once for each
+        chunk: what it gave is written to the shared folder before it is stored.
+        """
+        rows = chunk_rows(texts, self.chunker, self.embedding_model, text_col, id_col)
+        made = checkpointed(rows.select("id", "content", "metadata", "embedding"))
+        self.vector_store.add_batch(made.filter(F.col("embedding").isNotNull()))
 
     def _found(self, query: str) -> DataFrame:
         return search.with_rank(self.vector_store.search(self.embedding_model.embed_single(query), self.top_k))

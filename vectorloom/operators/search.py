@@ -6,6 +6,7 @@ without an embedding are never found.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -65,19 +66,32 @@ def top_k_containing(docs: DataFrame, query: list[float], k: int, part: str, met
     return near.filter(any_value_contains(F.col("metadata"), part)).orderBy(*_order()).limit(k)
 
 
+def _asked_values(queries: DataFrame) -> int:
+    return queries.agg(F.sum(F.size("query_vec"))).first()[0] or 0
+
+
+def _with_documents(found: DataFrame, docs: DataFrame) -> DataFrame:
+    """The documents of (query_id, id, score, rank), found by their ids."""
+    return found.join(docs, "id").select("query_id", *docs.columns, "score", "rank")
+
+
 def top_k_batch(docs: DataFrame, queries: DataFrame, k: int, metric: DistanceMetric = DistanceMetric.COSINE, kind: str = "float") -> DataFrame:
-    """(query_id, rank, …document, score) for each row of ``queries`` (``query_id``, ``query_vec``), by expressions alone.
+    """(query_id, …document, score, rank) for each row of ``queries`` (``query_id``, ``query_vec``), by expressions alone.
 
     The query batch is what is asked, and its size is checked: it is sent to every task up to BROADCAST_QUERY_VALUES
-    numbers, and beyond that :func:`top_k_blocks` does the work. Each task keeps k rows a query before the shuffle.
+    numbers, and beyond that :func:`top_k_blocks` finds the same rows. Each task keeps k rows a query before the shuffle.
     """
-    size = queries.agg(F.sum(F.size("query_vec"))).first()[0] or 0
-    if size > BROADCAST_QUERY_VALUES:
-        return top_k_blocks(docs, queries, k, metric, kind=kind)
+    if _asked_values(queries) > BROADCAST_QUERY_VALUES:
+        return _with_documents(top_k_blocks(docs, queries, k, metric, kind=kind), docs)
     pairs = docs.filter(F.col("embedding").isNotNull()).join(F.broadcast(queries))
     pairs = pairs.withColumn("score", similarity(metric, F.col("embedding"), F.col("query_vec"), kind)).drop("query_vec")
     best = Window.partitionBy("query_id").orderBy(*_order())
-    return pairs.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= _checked(k))
+    return pairs.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= _checked(k)).select("query_id", *docs.columns, "score", "rank")
+
+
+def top_k_documents(docs: DataFrame, queries: DataFrame, k: int, metric: DistanceMetric = DistanceMetric.COSINE, kind: str = "float") -> DataFrame:
+    """The same rows as :func:`top_k_batch` by matrix products in double precision, for batches of any size."""
+    return _with_documents(top_k_scan(docs, queries, k, metric, kind), docs)
 
 
 def _scores(metric: DistanceMetric, docs: np.ndarray, queries: np.ndarray) -> np.ndarray:
@@ -103,7 +117,7 @@ def _ragged_scores(metric: DistanceMetric, docs: pd.Series, queries: list[np.nda
     out = np.zeros((len(docs), len(queries)))
     for m in {len(q) for q in queries}:
         columns = [i for i, q in enumerate(queries) if len(q) == m]
-        q = np.stack([queries[i] for i in columns])
+        q = np.stack([queries[i] for i in columns]).reshape(len(columns), m)
         for n in np.unique(lengths):
             if metric is DistanceMetric.COSINE and n != m:
                 continue
@@ -114,67 +128,75 @@ def _ragged_scores(metric: DistanceMetric, docs: pd.Series, queries: list[np.nda
     return out
 
 
+def _best(metric: DistanceMetric, k: int, ids: np.ndarray, vectors: pd.Series, names: list, queries: list[np.ndarray]) -> Iterator[pd.DataFrame]:
+    """The k best ids of each query among some documents, a bounded number of queries at a time. ``ids`` ascend: ties go to the smaller."""
+    for at in range(0, len(queries), _QUERY_RUN):
+        s = _ragged_scores(metric, vectors, queries[at : at + _QUERY_RUN])
+        lowest = np.where(np.isnan(s), -np.inf, s)
+        parts = []
+        for column, name in enumerate(names[at : at + _QUERY_RUN]):
+            score = lowest[:, column]
+            some = np.arange(len(score))
+            if k < len(score):  # all that are as good as the k-th, whatever their ids
+                some = np.flatnonzero(score >= np.partition(score, len(score) - k)[len(score) - k])
+            # a score that is not a number comes after any other
+            some = some[np.lexsort((some, -score[some], np.isnan(s[some, column])))][:k]
+            parts.append(pd.DataFrame({"query_id": name, "id": ids[some], "score": s[some, column]}))
+        yield pd.concat(parts)
+
+
 def _best_of_batch(metric: DistanceMetric, k: int, names: list, queries: list[np.ndarray]):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             if not len(batch) or not k:
                 continue
-            batch = batch.sort_values("id", kind="stable")  # ties go to the smaller id
-            s = _ragged_scores(metric, batch["embedding"], queries)
-            best = np.argsort(np.where(np.isnan(s), np.inf, -s), axis=0, kind="stable")[:k]
-            yield pd.DataFrame({"query_id": np.repeat(names, len(best)), "id": batch["id"].to_numpy()[best.T.ravel()], "score": np.take_along_axis(s, best, 0).T.ravel()})
+            batch = batch.sort_values("id", kind="stable")
+            yield from _best(metric, k, batch["id"].to_numpy(), batch["embedding"], names, queries)
 
     return run
 
 
 def top_k_scan(docs: DataFrame, queries: DataFrame, k: int, metric: DistanceMetric = DistanceMetric.COSINE, kind: str = "float") -> DataFrame:
-    """(query_id, rank, id, score): documents stay where they are, queries go to every task, and a matrix product in double
+    """(query_id, id, score, rank): documents stay where they are, queries go to every task, and a matrix product in double
     precision scores a batch of documents against all queries. Only k rows a query leave a batch. The queries' size is
     checked; beyond BROADCAST_QUERY_VALUES numbers :func:`top_k_blocks` takes over.
     """
-    size = queries.agg(F.sum(F.size("query_vec"))).first()[0] or 0
-    if size > BROADCAST_QUERY_VALUES:
+    if _asked_values(queries) > BROADCAST_QUERY_VALUES:
         return top_k_blocks(docs, queries, k, metric, kind=kind)
     asked = queries.select("query_id", "query_vec").collect()
     run = _best_of_batch(metric, _checked(k) if asked else 0, [r["query_id"] for r in asked], [np.array(r["query_vec"], np.float64) for r in asked])
     rows = docs.filter(F.col("embedding").isNotNull()).select("id", "embedding")
     id_type, query_type = rows.schema["id"].dataType.simpleString(), queries.schema["query_id"].dataType.simpleString()
-    near = _with_nan(rows.mapInPandas(run, f"query_id {query_type}, id {id_type}, score {kind}"), kind)
+    return _ranked_best(rows.mapInPandas(run, f"query_id {query_type}, id {id_type}, score {kind}"), k, kind)
+
+
+def _ranked_best(near: DataFrame, k: int, kind: str) -> DataFrame:
     best = Window.partitionBy("query_id").orderBy(*_order())
-    return near.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
+    return _with_nan(near, kind).withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
 
 
 def _best_of_block(metric: DistanceMetric, k: int):
     """A task's block of documents against a block of queries: the k best ids of each query."""
 
     def run(key: tuple, docs: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        parts = []
-        if len(docs) and len(queries) and k:
-            ids, order = docs["id"].to_numpy(), np.argsort(docs["id"].to_numpy(), kind="stable")
-            x = np.stack(docs["embedding"].to_numpy()).astype(np.float64)[order]
-            ids = ids[order]
-            q = np.stack(queries["query_vec"].to_numpy()).astype(np.float64)
-            names = queries["query_id"].to_numpy()
-            for at in range(0, len(q), _QUERY_RUN):
-                s = _scores(metric, x, q[at : at + _QUERY_RUN])
-                best = np.argsort(-s, axis=0, kind="stable")[:k]
-                parts.append(pd.DataFrame({"query_id": np.repeat(names[at : at + _QUERY_RUN], len(best)), "id": ids[best.T.ravel()], "score": np.take_along_axis(s, best, 0).T.ravel()}))
-        return pd.concat(parts) if parts else pd.DataFrame({"query_id": [], "id": [], "score": []})
+        if not len(docs) or not len(queries) or not k:
+            return pd.DataFrame({"query_id": [], "id": [], "score": []})
+        docs = docs.sort_values("id", kind="stable")
+        asked = [np.array(q, np.float64) for q in queries["query_vec"]]
+        return pd.concat(_best(metric, k, docs["id"].to_numpy(), docs["embedding"], queries["query_id"].tolist(), asked))
 
     return run
 
 
 def top_k_blocks(docs: DataFrame, queries: DataFrame, k: int, metric: DistanceMetric = DistanceMetric.COSINE, block_rows: int = 20_000, query_rows: int = 5_000, kind: str = "float") -> DataFrame:
-    """The same for large batches of vectors of one dimension: blocks of documents meet blocks of queries in tasks of
-    bounded size, a matrix product in double precision scores them, and only k rows a query leave a task. Returns (query_id, rank, id, score).
+    """The same for batches of any size: blocks of documents meet blocks of queries in tasks of bounded size, a matrix
+    product in double precision scores them, and only k rows a query leave a task. Returns (query_id, id, score, rank).
     """
     rows = docs.filter(F.col("embedding").isNotNull()).select("id", "embedding")
     n, m = max(1, -(-rows.count() // block_rows)), max(1, -(-queries.count() // query_rows))
     deal = lambda df, key, mine: df.withColumn(mine, F.pmod(F.xxhash64(key), F.lit(n if mine == "d" else m)).cast("int"))
     left = deal(rows, "id", "d").withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(m - 1))))
-    right = deal(queries, "query_id", "q").withColumn("d", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    right = deal(queries.select("query_id", "query_vec"), "query_id", "q").withColumn("d", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
     id_type, query_type = rows.schema["id"].dataType.simpleString(), queries.schema["query_id"].dataType.simpleString()
     near = left.groupBy("d", "q").cogroup(right.groupBy("d", "q")).applyInPandas(_best_of_block(metric, _checked(k)), f"query_id {query_type}, id {id_type}, score {kind}")
-    near = _with_nan(near, kind)
-    best = Window.partitionBy("query_id").orderBy(*_order())
-    return near.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
+    return _ranked_best(near, k, kind)

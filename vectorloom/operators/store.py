@@ -1,17 +1,21 @@
 """A keyed collection of documents over DataFrames.
 
 The store holds one immutable DataFrame and swaps it on each change, under a lock, so a reader sees a change whole or
-not at all. Rows keep the number of their insertion, so pages are stable. Single additions wait in a buffer of bounded
-size; every change after the first few is written to the shared checkpoint folder, so that plans stay short.
+not at all. Rows keep the number of their insertion, so pages are stable. A change joins the rows there are with the new
+ones, so many documents are best added in one batch; every eighth change is written to the shared checkpoint folder, so that
+plans stay short. A lazy DataFrame is computed anew by each search until then: what is dear to compute (a model's vectors)
+is to be written first, as the retriever does.
 """
 
 from __future__ import annotations
 
 import json
+import re
 import threading
 from abc import ABC, abstractmethod
 from collections.abc import Iterable
 
+from pyarrow import fs
 from pyspark.sql import DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -23,7 +27,6 @@ from vectorloom.operators.shared import checkpointed
 from vectorloom.types import DOCUMENT, SAVED, DistanceMetric
 
 CHECKPOINT_EVERY = 8
-MANY_QUERIES = 64
 _SEQ = "_seq"
 
 
@@ -119,11 +122,8 @@ class DataFrameStore(VectorStore):
         return search.top_k_filtered(self.frame, query, k, where, self._metric, prefilter)
 
     def search_batch(self, queries: DataFrame, k: int) -> DataFrame:
-        """A few queries by expressions, many by matrix products; both rank alike."""
-        if queries.limit(MANY_QUERIES + 1).count() <= MANY_QUERIES:
-            return search.top_k_batch(self.frame, queries, k, self._metric)
-        found = search.top_k_scan(self.frame, queries, k, self._metric)
-        return found.join(self.frame, "id")
+        """The k best rows of each query, with their documents: matrix products in double precision, whatever the batch's size."""
+        return search.top_k_documents(self.frame, queries, k, self._metric)
 
     def get(self, id: str) -> Row | None:
         return self.frame.filter(F.col("id") == id).head()
@@ -159,11 +159,12 @@ class DataFrameStore(VectorStore):
 
     def save_to_file(self, path: str) -> None:
         """All documents as one JSON array; embeddings and metric are not kept. Rows are streamed one partition at a time."""
-        with open(path, "w", encoding="utf-8") as out:
-            out.write("[")
+        with _open_to_write(path) as out:
+            out.write(b"[")
             for n, row in enumerate(self._rows.orderBy(_SEQ, "id").select("id", "content", "metadata").toLocalIterator()):
-                out.write(("," if n else "") + json.dumps({"id": row["id"], "content": row["content"], "metadata": row["metadata"]}, ensure_ascii=False))
-            out.write("]")
+                saved = json.dumps({"id": row["id"], "content": row["content"], "metadata": row["metadata"]}, ensure_ascii=False)
+                out.write((("," if n else "") + saved).encode())
+            out.write(b"]")
 
     @classmethod
     def load_from_file(cls, spark: SparkSession, path: str) -> DataFrameStore:
@@ -185,6 +186,14 @@ class DataFrameStore(VectorStore):
         return store
 
 
+def _open_to_write(path: str):
+    """A file on this machine, or one named by a URI in any store that Arrow knows."""
+    if not re.match(r"[a-z][a-z0-9+.-]*:", path):
+        return open(path, "wb")
+    filesystem, inner = fs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", path))
+    return filesystem.open_output_stream(inner)
+
+
 # Other names under which a store, and the cosine beside it, may be asked for.
 InMemoryStore = DataFrameStore
 MinimalStore = DataFrameStore

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -16,9 +17,10 @@ from vectorloom.functions.vectors import l2_normalize, norm, validate_dimensions
 from vectorloom.operators import search, store
 from vectorloom.operators.embedders import LETTERS, ByteEmbedder, LetterEmbedder
 from vectorloom.operators.retriever import chunk_ids, chunk_rows
+from vectorloom.operators.shared import shared_path
 from vectorloom.rpc import ToolServer
 from vectorloom.sources import codebase, pdf
-from vectorloom.types import DistanceMetric
+from vectorloom.types import DistanceMetric, empty_metadata
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -100,25 +102,25 @@ def _register_metrics() -> None:
             v = _vectors(spark, sf_dir)
             return _ranked(search.top_k(v, _one(v), 10, metric, WIDE))
 
-        pairs = f"SELECT q.vec_id AS query_id, e.vec_id AS id, {_sim(name)} AS score FROM embeddings e, embeddings q WHERE q.vec_id < 10"
+        pairs = f"SELECT q.vec_id AS query_id, e.vec_id AS id, {_sim(name)} AS score FROM embeddings e, embeddings q WHERE q.vec_id % 20 = 0"
         batch_sql = f"SELECT * FROM (SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM ({pairs})) WHERE rank <= 5"
 
         @_query(f"knn_batch_{name}", batch_sql)
         def batch(spark: SparkSession, sf_dir: str, metric=metric) -> DataFrame:
             v = _vectors(spark, sf_dir)
-            asked = v.filter("id < 10").select(F.col("id").alias("query_id"), F.col("embedding").alias("query_vec"))
+            asked = v.filter("id % 20 = 0").select(F.col("id").alias("query_id"), F.col("embedding").alias("query_vec"))
             return _ranked(search.top_k_batch(v, asked, 5, metric, WIDE), "query_id", by="query_id")
 
         @_query(f"knn_scan_{name}", batch_sql)
         def scan(spark: SparkSession, sf_dir: str, metric=metric) -> DataFrame:
             v = _vectors(spark, sf_dir)
-            asked = v.filter("id < 10").select(F.col("id").alias("query_id"), F.col("embedding").alias("query_vec"))
+            asked = v.filter("id % 20 = 0").select(F.col("id").alias("query_id"), F.col("embedding").alias("query_vec"))
             return _ranked(search.top_k_scan(v, asked, 5, metric, WIDE), "query_id", by="query_id")
 
         @_query(f"knn_blocks_{name}", batch_sql)
         def blocks(spark: SparkSession, sf_dir: str, metric=metric) -> DataFrame:
             v = _vectors(spark, sf_dir)
-            asked = v.filter("id < 10").select(F.col("id").alias("query_id"), F.col("embedding").alias("query_vec"))
+            asked = v.filter("id % 20 = 0").select(F.col("id").alias("query_id"), F.col("embedding").alias("query_vec"))
             return _ranked(search.top_k_blocks(v, asked, 5, metric, kind=WIDE), "query_id", by="query_id")
 
         cut_sql = "(SELECT vec_id, CASE WHEN vec_id % 2 = 0 THEN embedding[1:32] ELSE embedding END AS embedding FROM embeddings)"
@@ -382,17 +384,71 @@ def byte_embedder(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _read(spark, sf_dir, "benchmark").select("item_id", F.size(ByteEmbedder().column(F.col("text"))).cast("long").alias("dimension"))
 
 
-@_query("pdf_decode")
+@_query("store_delete", "SELECT CAST(doc_id AS VARCHAR) AS id, doc_id IS NOT NULL AS deleted FROM documents WHERE doc_id <> 7")
+def store_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = _loaded(spark, sf_dir)
+    there = s.delete("7")
+    return s.frame.select("id", F.lit(there).alias("deleted"))
+
+
+@_query("store_clear", "SELECT CAST(doc_id AS VARCHAR) AS id FROM documents WHERE doc_id = 3")
+def store_clear(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A store that is cleared and then filled with one document."""
+    s = _loaded(spark, sf_dir)
+    one = s.frame.filter("id = '3'")
+    s.clear()
+    s.add_batch(one)
+    return s.list(10).select("id")
+
+
+@_query("json_roundtrip", "SELECT CAST(doc_id AS VARCHAR) AS id, md5(text) AS content, lang, source FROM documents")
+def json_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents saved as one JSON array and loaded again."""
+    path = shared_path(spark, "store.json")
+    _loaded(spark, sf_dir).save_to_file(path)
+    back = store.DataFrameStore.load_from_file(spark, path).frame
+    return back.select("id", F.md5("content").alias("content"), F.col("metadata")["lang"].alias("lang"), F.col("metadata")["source"].alias("source"))
+
+
+@_query("retrieve", f"SELECT row_number() OVER (ORDER BY score DESC, id) AS rank, md5(text) AS content FROM ({_sql_retrieve(5)}) JOIN documents ON doc_id = id")
+def retrieve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    near = _rounded_top(_embedded(spark, sf_dir), 5)
+    over = Window.partitionBy(F.lit(0)).orderBy(F.desc("score"), "id")
+    return near.select(F.row_number().over(over).cast("long").alias("rank"), F.md5("content").alias("content"))
+
+
+@_query("list_documents_tool", "SELECT CAST(doc_id AS VARCHAR) AS id, substr(text, 1, 200) || '...' AS content, lang FROM documents ORDER BY doc_id LIMIT 15 OFFSET 5")
+def list_documents_tool(spark: SparkSession, sf_dir: str) -> DataFrame:
+    server = ToolServer(LetterEmbedder(), _loaded(spark, sf_dir))
+    call = {"jsonrpc": "2.0", "id": 1, "method": "tools/call", "params": {"name": "list_documents", "arguments": {"limit": 15, "offset": 5}}}
+    page = server.handle(call)["result"]["documents"]
+    return spark.createDataFrame([(d["id"], d["content"], d["metadata"]["lang"]) for d in page], "id string, content string, lang string")
+
+
+_LATIN = r"[^\x00-\xFF]"
+
+
+@_query("pdf_decode", "SELECT item_id, regexp_replace(text, '[^\\x00-\\xFF]', '?', 'g') AS text FROM benchmark")
 def pdf_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cases = [b"hello\\nworld", b"a\\050b\\051", b"caf\\351", b"\\(x\\)"]
-    return spark.createDataFrame([(i, pdf.decode_string(c)) for i, c in enumerate(cases)], "case_no int, text string")
+    """Every benchmark text written as a PDF literal string and read back."""
+    plain = F.regexp_replace("text", _LATIN, "?")
+    literal = F.regexp_replace(F.regexp_replace(plain, r"([\\()])", r"\\$1"), "\n", r"\\n")
+
+    @F.pandas_udf("string")
+    def decoded(raw: pd.Series) -> pd.Series:
+        return raw.map(pdf.decode_string)
+
+    return _read(spark, sf_dir, "benchmark").select("item_id", decoded(F.encode(literal, "ISO-8859-1")).alias("text"))
 
 
-@_query("rpc_session")
+@_query("rpc_session", "SELECT CAST(9 AS BIGINT) AS id, true AS ok, 5 AS results, CAST(count(*) AS BIGINT) AS total FROM benchmark")
 def rpc_session(spark: SparkSession, sf_dir: str) -> DataFrame:
-    server = ToolServer(LetterEmbedder(), store.DataFrameStore(spark))
-    call = lambda i, name, args: {"jsonrpc": "2.0", "id": i, "method": "tools/call", "params": {"name": name, "arguments": args}}
-    texts = [r["text"] for r in _read(spark, sf_dir, "benchmark").orderBy("item_id").limit(3).collect()]
-    asked = [call(i, "add_document", {"content": t}) for i, t in enumerate(texts)] + [call(9, "query", {"query": texts[0], "top_k": 2}), call(10, "count", {})]
-    answers = [server.handle(a) for a in asked]
-    return spark.createDataFrame([Row(id=a["id"], ok=a["error"] is None, keys=",".join(sorted(a["result"] or {}))) for a in answers], "id long, ok boolean, keys string")
+    """Tool calls over all benchmark texts: a search and a count."""
+    kept = store.DataFrameStore(spark)
+    texts = _read(spark, sf_dir, "benchmark").select(F.col("item_id").cast("string").alias("item_id"), F.col("text").alias("content"))
+    rows = texts.select(F.col("item_id").alias("id"), "content", empty_metadata().alias("metadata"), LetterEmbedder().column(F.col("content")).alias("embedding"))
+    kept.add_batch(rows)
+    server = ToolServer(LetterEmbedder(), kept)
+    call = lambda i, name, args: server.handle({"jsonrpc": "2.0", "id": i, "method": "tools/call", "params": {"name": name, "arguments": args}})
+    asked, counted = call(9, "query", {"query": _ASKED, "top_k": 5}), call(10, "count", {})
+    return spark.createDataFrame([Row(id=asked["id"], ok=asked["error"] is None, results=len(asked["result"]["results"]), total=counted["result"]["total_documents"])], "id long, ok boolean, results int, total long")
