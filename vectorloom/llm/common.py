@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
+from collections.abc import Callable, Iterable, Iterator
+from contextlib import suppress
+from functools import wraps
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,6 +25,8 @@ def shared_dir(spark: SparkSession) -> str:
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         current = sc._jsc.sc().getCheckpointDir()
+        if current.isEmpty() and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         path = current.get() if current.isDefined() else tempfile.mkdtemp(prefix="vectorloom-")
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(path)
@@ -57,3 +64,23 @@ def private_prefix(df: DataFrame) -> str:
     while any(c.lower().startswith(prefix) for c in df.columns):
         prefix += "_"
     return prefix
+
+
+def release_memory() -> None:
+    """Give memory that is free back to the system: Python workers live on, and share a machine with the executor."""
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):  # where there is no glibc
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def tidy(run: Callable[[Iterable], Iterator]) -> Callable[[Iterable], Iterator]:
+    """A task's function over batches that gives memory back at the task's end."""
+
+    @wraps(run)
+    def tidied(batches: Iterable) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            release_memory()
+
+    return tidied

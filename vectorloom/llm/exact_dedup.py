@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vectorloom.llm.common import SPACE_RUN, as_bytes, cut, private_prefix
+from vectorloom.llm.common import SPACE_RUN, as_bytes, cut, private_prefix, tidy
 
 MIN_CHUNK, MAX_CHUNK, CUT_BITS = 512, 16384, 11
 DIGEST_BYTES = 16
@@ -111,7 +111,7 @@ def _recipes(size: int):
                 ["row", "id", "text_sha256", "recipe"],
             )
 
-    return run
+    return tidy(run)
 
 
 def _chunks(size: int, with_place: bool):
@@ -138,7 +138,7 @@ def _chunks(size: int, with_place: bool):
                         out["content"].append(content)
                 yield pa.RecordBatch.from_arrays([pa.array(out[n], kinds[n]) for n in names], names)
 
-    return run
+    return tidy(run)
 
 
 def recipes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest_bytes: int = DIGEST_BYTES) -> DataFrame:

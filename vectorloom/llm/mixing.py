@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
-from vectorloom.llm.common import SPACE_RUN, count_words, cut, private_prefix
+from vectorloom.llm.common import SPACE_RUN, count_words, cut, private_prefix, tidy
 
 WEIGHTS, SHARE, CAP = (3, 1, 2), 1.5, 2.0  # fixed values of the contract
 BLOCK_WORDS = 64
@@ -177,7 +177,7 @@ def _slots(plans: list[SourcePlan], shards: int, shard_slots: int):
                     yield pd.DataFrame({"shard": int(shard), "slot": order[filled : filled + n], "source_no": i, "pass": taken, "block": block, "most": words})
                     filled += n
 
-    return run
+    return tidy(run)
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block: int = BLOCK_WORDS, shard_slots: int = SHARD_SLOTS, row_col: str | None = None) -> tuple[DataFrame, DataFrame]:

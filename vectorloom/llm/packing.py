@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from vectorloom.llm.common import cut
+from vectorloom.llm.common import cut, tidy
 from vectorloom.llm.tokenize import encoder
 
 WINDOW, END_ID = 4096, 2  # fixed values of the contract
@@ -113,7 +113,7 @@ def _pack(id_type: pa.DataType, path: str | None, window: int, open_windows: int
             emit(pieces, True)
         yield batch_of(rows)
 
-    return run
+    return tidy(run)
 
 
 def _merge(window: int, open_windows: int, last: bool):

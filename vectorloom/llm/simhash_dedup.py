@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vectorloom.llm.common import as_bytes, cut, private_prefix
+from vectorloom.llm.common import as_bytes, cut, private_prefix, release_memory, tidy
 from vectorloom.llm.components import connected_components
 
 SHINGLE, SEED, RADIUS = 3, 42, 3  # fixed values of the contract
@@ -66,7 +66,7 @@ def _fingerprints(shingle: int):
             prints = [fingerprint(x.as_py(), shingle) for x in batch.column("body")]
             yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("id"), batch.column("text_hash"), pa.array(prints, pa.int64())], ["row", "id", "text_hash", "fp"])
 
-    return run
+    return tidy(run)
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
@@ -178,7 +178,7 @@ def _deal(nodes: list[tuple[int, int]], radius: int):
                 group = groups[mine][at]
                 yield pd.DataFrame({"pair": np.minimum(group, other) << 32 | np.maximum(group, other), "second": other < group, "fp": fp[k : k + _DEALT][at]})
 
-    return run
+    return tidy(run)
 
 
 class _Levels:
@@ -270,7 +270,9 @@ def link_forest(prints: DataFrame, radius: int = RADIUS, group_size: int = GROUP
     run = _links(radius)
 
     def links(frame: pd.DataFrame) -> pd.DataFrame:
-        return run(frame)
+        found = run(frame)
+        release_memory()
+        return found
 
     return dealt.groupBy("pair").applyInPandas(links, "a long, b long")
 

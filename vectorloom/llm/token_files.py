@@ -25,7 +25,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from vectorloom.llm.common import cut, shared_dir
+from vectorloom.llm.common import cut, shared_dir, tidy
 from vectorloom.llm.tokenize import encoder
 
 END_OF_DOCUMENT = 49407  # the vocabulary's own end-of-text identifier
@@ -50,7 +50,7 @@ def _encode(path: str | None):
                 packed.append(data)
             yield pa.RecordBatch.from_arrays([pa.array(packed, pa.binary())], ["tokens"])
 
-    return run
+    return tidy(run)
 
 
 def write_token_files(docs: DataFrame, path: str, text_col: str = "text", tokenizer_path: str | None = None, also: str | None = None) -> None:

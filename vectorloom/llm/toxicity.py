@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vectorloom.llm.common import cut, private_prefix
+from vectorloom.llm.common import cut, private_prefix, tidy
 
 THRESHOLD, HELD_OUT = 0.3, 2  # fixed values of the contract
 ORDER, STRENGTH = 5, 60.0
@@ -45,7 +45,7 @@ SHARES = (0.01, 0.02, 0.05)  # the most toxic words that are looked at by themse
 EVIDENCE = len(SHARES) + 1
 _KNOWN_WORDS = 200_000
 _RUN_TEXT = 2 << 20
-_PIECE = 1 << 17
+_PIECE = 1 << 15
 _EDGES = re.compile(r"^[\W\d_]+|[\W\d_]+$")
 _BEGIN, _END = "\x02", "\x03"
 _NO_CONTEXT = 1
@@ -187,7 +187,7 @@ def count_words(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str)
     mine = labels.filter(_remainder(F.col("_id")).isin(0, 1))
     chosen = texts.select("_doc", "_hash").join(mine, F.col("_doc") == F.col("_id")).groupBy("_hash", "toxic").agg(F.min("_id").alias("_id"))
     rows = texts.join(cut(chosen).withColumnRenamed("_hash", "_chosen"), (F.col("_doc") == F.col("_id")) & (F.col("_hash") == F.col("_chosen")))
-    counted = rows.select("text", "toxic").mapInArrow(_count_words, "word string, n0 long, n1 long")
+    counted = rows.select("text", "toxic").mapInArrow(tidy(_count_words), "word string, n0 long, n1 long")
     return cut(counted.groupBy("word").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")))
 
 
@@ -200,7 +200,7 @@ def run_ratios(words: DataFrame, strength: float = STRENGTH) -> tuple[DataFrame,
     """(runs, contexts) with their keys, counts and probabilities: ``shared``, ``p0``, ``p1``, ``ratio`` of a run's last letter after
     the others; ``left0``, ``left1``, ``ratio`` of what a class leaves to the shared model after a context.
     """
-    runs = words.mapInArrow(_count_runs, "run long, context long, shorter long, initial boolean, k long, n0 long, n1 long")
+    runs = words.mapInArrow(tidy(_count_runs), "run long, context long, shorter long, initial boolean, k long, n0 long, n1 long")
     runs = runs.groupBy("run").agg(F.min("context").alias("context"), F.min("shorter").alias("shorter"), F.max("initial").alias("initial"), F.min("k").alias("k"), F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
     runs = cut(runs)
     follows = runs.filter("k > 1").groupBy(F.col("shorter").alias("run")).agg(F.count("*").alias("before"))
@@ -269,7 +269,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     for fold in ([3], [0, 1]):
         sample = _texts_of(docs, _sample(known, fold, CURVE_ROWS), id_col, text_col)
-        seen = sample.mapInArrow(evidence, ", ".join(f"{n} double" for n in names) + ", toxic int").toPandas()  # at most about CURVE_ROWS rows
+        seen = sample.mapInArrow(tidy(evidence), ", ".join(f"{n} double" for n in names) + ", toxic int").toPandas()  # at most about CURVE_ROWS rows
         if seen["toxic"].nunique() == 2:
             break
     shared.destroy()
@@ -321,7 +321,7 @@ def score_rows(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(1 / (1 + np.exp(-np.clip(z, -30, 30))))], [*batch.schema.names, score_col])
 
     schema = docs.select("*", F.lit(0.0).alias(score_col)).schema
-    return docs.mapInArrow(score, schema)
+    return docs.mapInArrow(tidy(score), schema)
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
