@@ -154,6 +154,55 @@ def test_components(spark):
     assert got == {k: 1 for k in range(1, 6)} | {7: 7, 8: 7, 9: 7} | {k: 100 for k in range(100, 140)} | {k: 200 for k in range(200, 231)}
 
 
+def voted(text):
+    """A text's fingerprint by its definition."""
+    words = [w for w in re.split(r"[\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text)) if w]
+    pairs = list(zip(words, words[1:])) or [(w, None) for w in words]  # noqa: RUF007
+    votes = np.zeros(64, np.int64)
+    for a, b in pairs:
+        h = xxhash.xxh64_intdigest(a.encode(), 42)
+        h = h if b is None else xxhash.xxh64_intdigest(b.encode(), h)
+        weight = min(fingerprints.MOST_WEIGHT, len(a) + len(b or ""))
+        votes += weight * np.array([1 if h >> k & 1 else -1 for k in range(64)])
+    return sum(1 << k for k in range(64) if votes[k] > 0)
+
+
+def test_votes_against_brute_force(spark):
+    texts = ["", "one", "One  two", " Über one\ttwo \n", "a b", "x" * 9 + " y", "  lead", "trail  ", *[prose(k, n) for k, n in enumerate((3, 4, 5, 8, 20, 60, 333))], "AÄÖ " * 30, prose(5, 40) + " ", "ab cd ef gh ij"]
+    rows = [(i, t, "s") for i, t in enumerate(texts)]
+    got = {r["doc_id"]: r for r in collect(fingerprints.fingerprint_documents(frame(spark, rows)))}
+    for i, t in enumerate(texts):
+        q = len(t) // 4
+        edited = t[: len(t) - q] + texts[(i + 1) % len(texts)][:q]
+        assert (got[i]["fingerprint"], got[i]["edited_fingerprint"]) == (f"{voted(t):016x}", f"{voted(edited):016x}"), (t, edited)
+
+
+def next_ones(rows):
+    """(id, text, next text) in order of id, nulls last, and of the text's hash."""
+
+    def order(r):
+        h = xxhash.xxh64_intdigest(r[1].encode(), 42)
+        return r[0] is None, r[0] or 0, h - (1 << 64) if h >> 63 else h
+
+    rows = sorted(rows, key=order)
+    return {(a[0], a[1], b[1]) for a, b in zip(rows, [*rows[1:], rows[0]], strict=True)}
+
+
+@pytest.mark.parametrize("kind", ["far", "clusters", "one id", "no id"])
+def test_next_rows_of_any_ids(spark, monkeypatch, kind):
+    monkeypatch.setattr(fingerprints, "_BUCKET_ROWS", 3)
+    ids = {
+        "far": [-(1 << 63), -(1 << 63) + 5, *range(50), 1 << 62, (1 << 63) - 1],
+        "clusters": [*range(20), *range(10**6, 10**6 + 30), *range(10**15, 10**15 + 25)],
+        "one id": [7] * 60 + [1, 9],
+        "no id": [None] * 60 + [3, 4],
+    }[kind]
+    rows = [(i, prose(k, 6), "s") for k, i in enumerate(ids)]
+    made = fingerprints.with_next(frame(spark, rows))
+    assert {(r["id"], r["text"], r["next_text"]) for r in made.filter("not ghost").collect()} == next_ones(rows)
+    assert max(r["count"] for r in made.groupBy("bucket").count().collect()) < 25  # no bucket holds most of the rows
+
+
 def test_fingerprints(spark):
     rows = sorted([r for r in odd_rows() if r[0] is not None and r[0] != 25], key=lambda r: r[0])
     got = {r["doc_id"]: r for r in collect(fingerprints.fingerprint_documents(frame(spark, rows)))}

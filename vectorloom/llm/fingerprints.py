@@ -16,28 +16,33 @@ only row of a table is its own next; an empty table gives an empty result; other
 
 from __future__ import annotations
 
+import string
 from functools import reduce
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vectorloom.llm.common import SPACE_RUN, cut
+from vectorloom.llm.common import SPACE_RUN, WORD_RUN, cut
 
 BITS, RADIUS = 64, 3
-MAX_BUCKETS = 100_000
-_BUCKET_ROWS = 2_000
+MOST_WEIGHT = 16
+_BUCKETS, _BUCKET_ROWS = 4_000, 2_000  # beyond so many buckets they grow to ten times so many rows
+_EXACT = "decimal(20,0)"  # holds differences of any two ids
 _LANES = 0x0000000100000001
 
 
-def term_votes(text: Column) -> Column:
-    """Array of (hash, weight), one for each pair of neighbouring words."""
-    words = F.filter(F.split(F.lower(text), SPACE_RUN), lambda w: w != "")
+def words_of(text: Column) -> Column:
+    return F.filter(F.split(F.translate(text, string.ascii_uppercase, string.ascii_lowercase), SPACE_RUN), lambda w: w != "")
+
+
+def term_votes(words: Column) -> Column:
+    """Array of (hash, weight), one for each pair of neighbouring words; a lone word votes by itself."""
     pairs = F.zip_with(words, F.slice(words, 2, F.greatest(F.size(words), F.lit(1))), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
     # the last word has no right neighbour: it votes alone only where it is the whole text
     kept = F.when(F.size(words) > 1, F.slice(pairs, 1, F.size(words) - 1)).otherwise(pairs)
     return F.transform(
-        kept, lambda p: F.struct(F.xxhash64(p["a"], p["b"]).alias("h"), F.least(F.lit(8), F.length(p["a"]) + F.coalesce(F.length(p["b"]), F.lit(0))).cast("long").alias("w"))
+        kept, lambda p: F.struct(F.xxhash64(p["a"], p["b"]).alias("h"), F.least(F.lit(MOST_WEIGHT), F.length(p["a"]) + F.coalesce(F.length(p["b"]), F.lit(0))).cast("long").alias("w"))
     )
 
 
@@ -68,37 +73,83 @@ def likeness(a: Column, b: Column) -> Column:
     return F.greatest(F.lit(0.0), F.cos(differ * F.lit(3.141592653589793 / BITS)))
 
 
-def fingerprint_texts(rows: DataFrame, keys: list[str], text_col: str = "text") -> DataFrame:
-    """``keys`` and ``fp``: the fingerprint of each row's text; ``keys`` name a row."""
-    votes = term_votes(F.coalesce(F.col(text_col), F.lit("")))
-    terms = rows.select(*keys, F.explode_outer(votes).alias("_t")).select(*keys, F.coalesce("_t.h", F.lit(0)).alias("_h"), F.coalesce("_t.w", F.lit(0)).alias("_w"))
-    sums = terms.groupBy(*keys).agg(*vote_sums(F.col("_h"), F.col("_w")))
-    return sums.select(*keys, signed_bits().alias("fp"))
+def _tail(words: Column, shared: Column) -> Column:
+    """Words from the last of the first ``shared`` ones on, so that their pairs are those that the shared words lack."""
+    first = F.greatest(shared, F.lit(1))
+    return F.slice(words, first, F.greatest(F.size(words) - first + 1, F.lit(0)))
+
+
+def fingerprint_pairs(rows: DataFrame, keys: list[str], text_col: str, edited_col: str, same_col: str) -> DataFrame:
+    """``keys``, ``fp``, ``edited_fp``: fingerprints of each row's two texts, whose first ``same_col`` code points are equal.
+
+    Terms of the equal part are hashed and summed once for both: a row's terms are three lists, of both texts, of the
+    first only and of the second only, and each list has its own sums.
+    """
+    text, edited = F.col(text_col), F.col(edited_col)
+    # a word at the end of the equal part may go on, so it is not counted among the shared ones
+    same = F.substring(text, F.lit(1), F.col(same_col))
+    shared = F.greatest(F.regexp_count(same, F.lit(WORD_RUN)) - 1, F.lit(0))
+    rows = rows.select(*keys, shared.alias("_shared"), words_of(text).alias("_words"), words_of(edited).alias("_edited"))
+    both = F.when(F.col("_shared") > 1, F.slice("_words", 1, F.col("_shared"))).otherwise(F.array().cast("array<string>"))
+    lists = [(0, both), (1, _tail(F.col("_words"), F.col("_shared"))), (2, _tail(F.col("_edited"), F.col("_shared")))]
+    rows = rows.select(*keys, F.explode(F.array(*[F.struct(F.lit(n).alias("of"), words.alias("words")) for n, words in lists])).alias("_l"))
+    terms = rows.select(*keys, F.col("_l.of").alias("_of"), F.explode_outer(term_votes(F.col("_l.words"))).alias("_t"))
+    terms = terms.select(*keys, "_of", F.coalesce("_t.h", F.lit(0)).alias("_h"), F.coalesce("_t.w", F.lit(0)).alias("_w"))
+    sums = terms.groupBy(*keys, "_of").agg(*vote_sums(F.col("_h"), F.col("_w")))
+    names = [f"_s{k}" for k in range(32)] + ["_all"]
+
+    in_text = [F.sum(F.when(F.col("_of") != 2, F.col(c))).alias(c) for c in names]
+    in_edited = [F.sum(F.when(F.col("_of") != 1, F.col(c))).alias(f"_e{c}") for c in names]
+    two = sums.groupBy(*keys).agg(*in_text, *in_edited)
+    first = two.select(*keys, signed_bits().alias("fp"), *[F.col(f"_e{c}").alias(c) for c in names])
+    return first.select(*keys, "fp", signed_bits().alias("edited_fp"))
+
+
+def _refined(rows: DataFrame, cell: list[str], name: str, bucket_rows: int) -> DataFrame:
+    """``rows`` with a finer cell: each cell of more than ``bucket_rows`` rows is cut into equal widths between its own least and
+    greatest id, or by the text's hash where all its ids are one. There are as many cells as buckets, so these may be broadcast.
+    """
+    wide = F.col("id").cast(_EXACT)
+    facts = rows.groupBy(*cell).agg(F.min("id").alias("_low"), F.max("id").alias("_high"), F.count("*").alias("_rows"))
+    facts = facts.filter(F.col("_rows") > bucket_rows).select(
+        *[F.col(c).alias(f"_{c}") for c in cell], F.col("_low").cast(_EXACT).alias("_low"), F.col("_high").cast(_EXACT).alias("_high"), F.ceil(F.col("_rows") / bucket_rows).alias("_parts")
+    )
+    same = reduce(lambda a, b: a & b, [F.col(c) == F.col(f"_{c}") for c in cell])
+    width = F.floor((F.col("_high") - F.col("_low")) / F.col("_parts")) + 1
+    by_id = F.floor((wide - F.col("_low")) / width.cast(_EXACT)).cast("long")
+    by_hash = F.floor((F.xxhash64("text") / F.lit(2.0**64) + 0.5) * F.col("_parts")).cast("long")
+    part = F.when(F.col("_parts").isNull(), F.lit(0)).when(F.col("_low").eqNullSafe(F.col("_high")), by_hash).otherwise(by_id)
+    return rows.join(F.broadcast(facts), same, "left").withColumn(name, part.cast("long")).select(*rows.columns, name)
 
 
 def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Every row with the next row's text: ``bucket``, ``nth``, ``id``, ``text``, ``next_text``, ``ghost``.
 
-    Rows are dealt to buckets of equal width in id and sorted there. The first row of each bucket stands once more at
-    the end of the bucket before it, as a ghost that is nobody's row, so no order over the whole table is needed.
+    Rows are dealt to buckets in order of id and text hash and sorted there: buckets of equal width in id, twice refined where
+    many rows fall into one, by the hash where they repeat an id or have none. The first row of each bucket stands once more at the end of the bucket
+    before it, as a ghost that is nobody's row, so no order over the whole table is needed.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     span = rows.agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count("*").alias("n")).first()
     low, high = span["low"] or 0, span["high"] or 0
-    buckets = max(1, min(MAX_BUCKETS, span["n"] // _BUCKET_ROWS))
-    width = (high - low) // buckets + 1
-    rows = rows.withColumn("bucket", F.coalesce(F.expr(f"(id - {low}L) div {width}L"), F.lit(buckets)))  # null ids: a last bucket
-    order = [F.col("id"), F.col("ghost"), F.xxhash64("text"), F.col("text")]
-
-    # at most MAX_BUCKETS + 1 firsts
-    firsts = rows.groupBy("bucket").agg(F.min("id").alias("first"))
+    bucket_rows = max(_BUCKET_ROWS, min(10 * _BUCKET_ROWS, span["n"] // _BUCKETS))
+    cells = max(1, span["n"] // bucket_rows)
+    width = (high - low) // cells + 1
+    first_cell = F.floor((F.col("id").cast(_EXACT) - F.lit(str(low)).cast(_EXACT)) / F.lit(str(width)).cast(_EXACT)).cast("long")
+    rows = rows.withColumn("_c0", F.coalesce(first_cell, F.lit(cells)))  # null ids: a last cell
+    rows = _refined(rows, ["_c0"], "_c1", 2 * bucket_rows)
+    rows = _refined(rows, ["_c0", "_c1"], "_c2", 2 * bucket_rows)
+    rows = rows.select(F.struct("_c0", "_c1", "_c2").alias("bucket"), F.xxhash64("text").alias("hash"), "id", "text")
+
+    # one row for each bucket: in order, each with the bucket before it
+    firsts = rows.groupBy("bucket").agg(F.min(F.struct("id", "hash")).alias("first"))
     around = Window.partitionBy(F.lit(0)).orderBy("bucket")
     firsts = firsts.select("bucket", "first", F.lag("bucket").over(around).alias("before"), F.max("bucket").over(Window.partitionBy(F.lit(0))).alias("end"))
     firsts = firsts.select(F.col("bucket").alias("_bucket"), F.col("first").alias("_first"), F.coalesce("before", "end").alias("_before"))
-    is_first = (F.col("bucket") == F.col("_bucket")) & F.col("id").eqNullSafe(F.col("_first"))
+    is_first = (F.col("bucket") == F.col("_bucket")) & F.col("id").eqNullSafe(F.col("_first.id")) & (F.col("hash") == F.col("_first.hash"))
     dealt = rows.join(F.broadcast(firsts), is_first, "left").withColumn("ghost", F.explode(F.when(F.col("_before").isNull(), F.array(F.lit(False))).otherwise(F.array(F.lit(False), F.lit(True)))))
     dealt = dealt.withColumn("home", F.when(F.col("ghost"), F.col("_before")).otherwise(F.col("bucket")))
-    last = Window.partitionBy("home").orderBy(F.col("ghost"), F.col("id").asc_nulls_last(), *order[2:])
+    last = Window.partitionBy("home").orderBy(F.col("ghost"), F.col("id").asc_nulls_last(), F.col("hash"), F.col("text"))
     return dealt.select(
         F.col("home").alias("bucket"), F.row_number().over(last).cast("long").alias("nth"), "id", "text", F.lead("text").over(last).alias("next_text"), "ghost"
     )
@@ -110,17 +161,12 @@ def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     The edited text has the last quarter of the code points replaced by as many from the start of the next document.
     """
     rows = with_next(docs, id_col, text_col)
-    n = F.length("text")
-    quarter = F.expr("length(text) div 4").cast("int")
-    edited = F.when(F.col("ghost"), F.lit("")).otherwise(F.concat(F.expr("substring(text, 1, length(text) - cast(length(text) div 4 as int))"), F.substring(F.coalesce("next_text", F.lit("")), 1, quarter)))
-    rows = rows.select("bucket", "nth", "id", "ghost", n.cast("long").alias("n_chars"), "text", edited.alias("edited"))
-    keys = ["bucket", "nth", "id", "ghost", "n_chars"]
-    both = rows.select(*keys, F.sha2("edited", 256).alias("edited_sha256"), F.explode(F.array(F.struct(F.lit(False).alias("is_edited"), F.col("text").alias("body")), F.struct(F.lit(True).alias("is_edited"), F.col("edited").alias("body")))).alias("v"))
-    both = both.select(*keys, "edited_sha256", "v.is_edited", "v.body")
-    prints = fingerprint_texts(both, [*keys, "edited_sha256", "is_edited"], "body")
-    one = prints.groupBy(*keys, "edited_sha256").agg(
-        F.max(F.when(~F.col("is_edited"), F.col("fp"))).alias("fp"), F.max(F.when(F.col("is_edited"), F.col("fp"))).alias("edited_fp")
-    )
+    same = F.expr("length(text) - cast(length(text) div 4 as int)")
+    quarter = F.expr("cast(length(text) div 4 as int)")
+    edited = F.when(F.col("ghost"), F.lit("")).otherwise(F.concat(F.substring(F.col("text"), F.lit(1), same), F.substring(F.coalesce("next_text", F.lit("")), F.lit(1), quarter)))
+    rows = rows.select("bucket", "nth", "id", "ghost", F.length("text").cast("long").alias("n_chars"), "text", F.when(F.col("ghost"), F.lit(0)).otherwise(same).alias("same"), edited.alias("edited"))
+    keys = ["bucket", "nth", "id", "ghost", "n_chars", "edited_sha256"]
+    one = fingerprint_pairs(rows.withColumn("edited_sha256", F.sha2("edited", 256)), keys, "text", "edited", "same")
     along = Window.partitionBy("bucket").orderBy("nth")
     return one.withColumn("next_fp", F.lead("fp").over(along)).filter(~F.col("ghost")).drop("ghost")
 
