@@ -221,6 +221,47 @@ def test_inverted_index_equals_trying_all_rules(spark):
             assert (matched[i]["confidence"], matched[i]["method_verdict"]) == (max(fits)[0], max(fits)[3])
 
 
+def told_by_rules(labelled, pages):
+    """Verdicts by the mined rules' definition, trying every set of tokens. Pages and labelled pages as (tokens, …)."""
+    sets = defaultdict(lambda: defaultdict(int))
+    for tokens, label in labelled:
+        for n in range(1, len(tokens) + 1):
+            for some in itertools.combinations(sorted(tokens), n):
+                sets[some][label] += 1
+    n = len(labelled)
+    least = int(np.ceil(min(url_rules.MIN_SUPPORT, (url_rules.MIN_PAGES - 0.5) / n) * n))
+    rules = {}
+    for some, counts in sets.items():
+        for verdict, c in counts.items():
+            if c >= least and c / sum(counts.values()) >= url_rules.MIN_CONFIDENCE:
+                rules[some, verdict] = (c / sum(counts.values()), c / n)
+    kept = {(t, v): cs for (t, v), cs in rules.items() if not any(rules.get((t[:i] + t[i + 1 :], v), (0,))[0] >= cs[0] for i in range(len(t)))}
+    out = []
+    for tokens in pages:
+        fits = [(*cs, len(t), v, list(t)) for (t, v), cs in kept.items() if set(t) <= tokens]
+        out.append((max(fits)[3], ",".join(max(fits)[4])) if fits else ("allow", None))
+    return out
+
+
+def test_verdicts_against_brute_force(spark):
+    rng = np.random.default_rng(6)
+    hosts = ["a.example.com", "spam.example.com", "b.example.net", "c.example.org", "spam.test"]
+    urls = [f"http://{hosts[rng.integers(5)]}/{('en', 'de', 'es', 'fr')[rng.integers(4)]}/{rng.integers(10000)}{('', '?q=1')[rng.integers(2)]}" for _ in range(300)]
+    labels = [(i, int(rng.random() < 0.9), int("spam" in urls[i] and rng.random() < 0.9)) for i in range(0, 300, 2)] + [(4, None, 1), (4, 1, 0), (9999, 0, 1), (None, 0, 1)]
+    df = pages(spark, urls)
+    got = {r["page_id"]: r for r in collect(url_rules.judge_urls(df, spark.createDataFrame(labels, "doc_id long, quality int, toxic int")))}
+    tokens = {r["page_id"]: set(r["t"]) for r in df.select("page_id", url_rules.url_tokens(F.col("url")).alias("t")).collect()}
+    bad = defaultdict(bool)
+    for i, quality, toxic in labels:
+        bad[i] |= toxic == 1 or quality == 0
+    listed = {i: judge(u)[3] for i, u in enumerate(urls)}
+    labelled = [(tokens[i], listed[i] or ("block" if bad[i] else "allow")) for i in range(300) if listed[i] or i in bad]
+    mined = told_by_rules(labelled, [tokens[i] for i in range(300)])
+    for i in range(300):
+        assert (got[i]["verdict"], got[i]["rule_tokens"]) == ((listed[i], None) if listed[i] else mined[i]), urls[i]
+    assert {got[i]["verdict"] for i in range(300) if not listed[i]} == {"allow", "block"}
+
+
 def test_small_hosts_give_rules(spark):
     rows = [(i, f"http://h{i % 40}.example.xyz/p{i % 7}/{i}") for i in range(10_000)] + [(10_000 + i, f"http://bad.example.xyz/x/{i}") for i in range(60)] + [(20_000 + i, f"http://few.example.xyz/y/{i}") for i in range(20)]
     told = [(i, 1, int(i >= 10_000 or i % 3 == 0)) for i, _ in rows]  # the bad host has 0.6 % of the pages

@@ -6,6 +6,8 @@ a shorter one with the same verdict and no less confidence covers. Each rule sta
 rarest token; a page looks up its tokens and keeps the rules whose other tokens it has too. The most confident rule
 decides, then the better supported, then the longer, then block before allow.
 
+What teaches are the rule list's own verdicts and the labels table.
+
 Defined cases: a null URL, or one without ``://``, has an empty host and path, no rule and the default verdict (allow)
 unless a mined rule says otherwise; repeated rows are judged each; an empty table gives an empty result; if no URL is
 labelled nothing is mined; other columns of the input are ignored.
@@ -114,24 +116,33 @@ def match_rules(pages: DataFrame, rules: DataFrame, row_col: str = "row", url_co
     return hits.groupBy("row").agg(best).select("row", F.col("best.verdict").alias("method_verdict"), F.col("best.confidence").alias("confidence"), F.col("best.needs").alias("rule_tokens"))
 
 
+def label_pages(pages: DataFrame, labels: DataFrame, label_id_col: str = "doc_id") -> DataFrame:
+    """(url, label) of the pages that teach: what the rule list says of a page (``list_verdict``), else what ``labels`` says of
+    the page of that id: to block if any of its rows is toxic or of no quality, else to allow. ``pages``: ``id``, ``url``, ``list_verdict``.
+    """
+    bad = (F.coalesce(F.col("toxic"), F.lit(0)) == 1) | (F.coalesce(F.col("quality"), F.lit(1)) == 0)
+    told = labels.groupBy(F.col(label_id_col).alias("id")).agg(F.max(bad).alias("bad"))
+    told = told.select("id", F.when(F.col("bad"), "block").otherwise("allow").alias("told"))
+    return pages.join(told, "id", "left").select("url", F.coalesce("list_verdict", "told").alias("label")).filter(F.col("label").isNotNull())
+
+
 def judge_urls(pages: DataFrame, labels: DataFrame, id_col: str = "page_id", url_col: str = "url", label_id_col: str = "doc_id", rules=RULES) -> DataFrame:
-    """One row per page: the id, ``host``, ``path``, ``rule``, ``verdict``, ``confidence`` of the mined rule that decided.
+    """One row per page: the id, ``host``, ``path``, ``rule``, ``verdict``, and of the mined rule that decided, if one did,
+    ``confidence`` and ``rule_tokens`` (comma-joined).
 
-    ``labels`` (an id, ``quality``, ``toxic``) teaches the mined rules: the page of the same id is to block if it is
-    labelled toxic or of no quality, else to allow; pages without a label teach nothing.
+    The rule list's verdicts and ``labels`` (an id, ``quality``, ``toxic``) teach the mined rules, see :func:`label_pages`: a
+    host whose pages the list mostly blocks is thus blocked beyond the list too. Pages without a label teach nothing.
     """
     url = F.col(url_col)
     seen = pages.select(F.col(id_col).alias("id"), url.alias("url"), host_of(url).alias("host"), path_of(url).alias("path"))
     rule, verdict = list_rule(F.col("host"), F.col("path"), rules)
     seen = cut(seen.withColumns({"row": F.monotonically_increasing_id(), "rule": rule, "list_verdict": verdict}))
-    bad = (F.coalesce(F.col("toxic"), F.lit(0)) == 1) | (F.coalesce(F.col("quality"), F.lit(1)) == 0)
-    told = labels.select(F.col(label_id_col).alias("id"), F.when(bad, "block").otherwise("allow").alias("label"))
-    labelled = seen.select("id", "url").join(told, "id").select("url", "label")
+    labelled = cut(label_pages(seen, labels, label_id_col))
     open_pages = seen.filter(F.col("rule").isNull())
     if labelled.isEmpty():
-        found = open_pages.select("row", F.lit(None).cast("string").alias("method_verdict"), F.lit(None).cast("double").alias("confidence"))
+        found = open_pages.select("row", *[F.lit(None).cast(kind).alias(c) for c, kind in (("method_verdict", "string"), ("confidence", "double"), ("rule_tokens", "array<string>"))])
     else:
-        found = match_rules(open_pages, mine_rules(labelled)).select("row", "method_verdict", "confidence")
+        found = match_rules(open_pages, mine_rules(labelled))
     return seen.join(found, "row", "left").select(
-        F.col("id").alias(id_col), "host", "path", "rule", F.coalesce("list_verdict", "method_verdict", F.lit("allow")).alias("verdict"), "confidence"
+        F.col("id").alias(id_col), "host", "path", "rule", F.coalesce("list_verdict", "method_verdict", F.lit("allow")).alias("verdict"), "confidence", F.array_join("rule_tokens", ",").alias("rule_tokens")
     )
