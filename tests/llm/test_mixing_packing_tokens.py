@@ -200,11 +200,20 @@ def test_token_counts(spark, tokenizer, block):
         rows = [(i, " ".join((t or "").split()[:20]), s) for i, t, s in rows]
     got = {r["doc_id"]: r for r in collect(token_files.count_document_tokens(frame(spark, rows), block_bytes=block))}
     for i, t, _ in rows:
-        ids = [x for x in tokenizer.encode(t or "", add_special_tokens=False).ids if x != token_files.END_OF_DOCUMENT]
-        assert got.pop(i)["tokens"] == len(ids)
+        assert got.pop(i)["tokens"] == len(tokenizer.encode(t or "", add_special_tokens=False).ids)
     assert not got
 
 
+def test_rows_behind_a_shuffle_are_settled_first(spark, tmp_path):
+    frame(spark, [(i, prose(i, i % 9), None) for i in range(60)], clash=False).write.parquet(str(tmp_path / "t"))
+    table = spark.read.parquet(str(tmp_path / "t"))
+    assert token_files._settled(table.select("doc_id", "text")) is not None
+    plain, shuffled = table.filter("doc_id < 50"), table.repartition(5).filter("doc_id < 50")
+    assert token_files._settled(plain) is plain and token_files._settled(shuffled) is not shuffled
+    one, two = ({r["doc_id"]: r["tokens"] for r in token_files.count_document_tokens(d).collect()} for d in (plain, shuffled))
+    assert one == two and len(one) == 50
+
+
 def test_flat_files(spark, tmp_path):
     end = token_files.END_OF_DOCUMENT
     files = {"a": [1, 2, end, end, 5], "b": [end], "c": [], "d": [7, 7, 7], "e": [*range(300), end] * 3}

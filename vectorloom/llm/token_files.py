@@ -10,11 +10,13 @@ runs, so that no task holds more than a run's blocks or a file's runs.
 
 Defined cases: a file may be empty; tokens after the last separator are an unfinished document, reported with
 ``ended`` false; two separators in a row enclose a document of no tokens; null text counts as empty; repeated rows are
-separate documents; an empty table gives no files with documents and an empty result; other columns are ignored.
+separate documents; a text that spells the end mark counts it as a token and goes on, for another identifier stands for it
+in the file; an empty table gives no files with documents and an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Iterator
 
@@ -29,6 +31,7 @@ from vectorloom.llm.common import cut, shared_dir, tidy
 from vectorloom.llm.tokenize import encoder
 
 END_OF_DOCUMENT = 49407  # the vocabulary's own end-of-text identifier
+SPELLED_OUT = 49406  # its start-of-text identifier: stands in the files for an end mark that a text spells out
 DTYPE = "<u2"
 WIDTH = 2
 BLOCK_BYTES = 1 << 21
@@ -43,10 +46,9 @@ def _encode(path: str | None):
             packed = []
             for text in batch.column("text"):
                 data = encode(text.as_py() or "")
-                # a text that spells the end mark must not end the document: the mark is left out of it
-                if mark in data:
+                if mark in data:  # perhaps: the two bytes may also stand across two tokens
                     ids = np.frombuffer(data, DTYPE)
-                    data = ids[ids != END_OF_DOCUMENT].tobytes()
+                    data = np.where(ids == END_OF_DOCUMENT, SPELLED_OUT, ids).astype(DTYPE).tobytes()
                 packed.append(data)
             yield pa.RecordBatch.from_arrays([pa.array(packed, pa.binary())], ["tokens"])
 
@@ -117,22 +119,36 @@ def count_tokens(spark: SparkSession, path: str, block_bytes: int = BLOCK_BYTES)
     return docs.unionByName(tails)
 
 
+def _settled(docs: DataFrame) -> DataFrame:
+    """``docs`` if its rows stand in the same places in every reading, else written to the shared folder, where they do.
+
+    A scan without any exchange reads the rows of its files in their order, also when a task is run again; behind a
+    shuffle rows come as the network brings them.
+    """
+    plan = docs._jdf.queryExecution().executedPlan().toString()
+    return cut(docs) if re.search(r"Exchange|ShuffleQueryStage|InMemoryTableScan", plan) else docs
+
+
 def count_document_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer_path: str | None = None, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Write ``docs`` as flat token files to the shared folder, count the documents in them, and remove the files.
 
     One row per document: the id, ``file`` (its number in the name Spark gave it), ``doc_no``, ``start``, ``tokens``,
     ``n_chars``.
-    The files know no ids: a document is told by its place, for a task's file holds the task's rows in their order.
+    The files know no ids: a document is told by its place, for a task's file holds the task's rows in their order. Both
+    readings are of the same files of a table, or of a copy that is written first if the rows come from a shuffle. That all
+    files have as many documents as their tasks had rows is checked.
     """
     spark = docs.sparkSession
+    docs = _settled(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")))
     path = f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
-    write_token_files(docs, path, text_col, tokenizer_path, id_col)
+    write_token_files(docs, path, "text", tokenizer_path, "_id")
     counted = cut(count_tokens(spark, path, block_bytes).select(F.regexp_extract("file", r"part-(\d+)", 1).cast("long").alias("file"), "doc_no", "start", "tokens"))
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
     place = F.monotonically_increasing_id()
     # id and text are read again, the columns that were read for the files, so the rows stand where they stood then
-    rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.length(text_col), F.lit(0)).cast("long").alias("n_chars"), place.alias("_place"))
+    rows = docs.select("_id", F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("n_chars"), place.alias("_place"))
     rows = rows.select("_id", "n_chars", F.shiftright("_place", 33).alias("_file"), F.col("_place").bitwiseAND(F.lit((1 << 33) - 1)).alias("_no"))
-    found = counted.join(rows, (F.col("file") == F.col("_file")) & (F.col("doc_no") == F.col("_no")))
-    return found.select(F.col("_id").alias(id_col), "file", "doc_no", "start", "tokens", "n_chars")
+    found = counted.join(rows, (F.col("file") == F.col("_file")) & (F.col("doc_no") == F.col("_no")), "full")
+    whole = F.when(F.col("file").isNotNull() & F.col("_file").isNotNull(), F.col("tokens")).otherwise(F.raise_error(F.lit("a token file and its task's rows differ in number")).cast("long"))
+    return found.select(F.col("_id").alias(id_col), "file", "doc_no", "start", whole.alias("tokens"), "n_chars")
