@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from vectorloom.llm import chat_repair, exact_dedup, fingerprints, mixing, packing, secrets, simhash_dedup, token_files, toxicity, url_rules
 from vectorloom.llm.common import table
@@ -50,6 +51,26 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.count_document_tokens(table(spark, sf_dir, "documents"))
 
 
+def mix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can say of op1: sizes and targets."""
+    return op1_source_mixing(spark, sf_dir).select("doc_id", "size", "source_size", F.round("target", 6).alias("target"))
+
+
+def edited_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can say of op2: lengths and edited texts."""
+    return op2_fingerprints(spark, sf_dir).select("doc_id", "n_chars", "edited_sha256")
+
+
+def url_rule_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can say of op6: hosts, paths and the list's rules."""
+    return op6_url_filters(spark, sf_dir).select("page_id", "host", "path", "rule")
+
+
+def secret_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can say of op8: how many secrets of each kind stand in the texts themselves."""
+    return op8_secret_scan(spark, sf_dir).select("doc_id", "n_assign", "n_access", "n_hex")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_source_mixing": op1_source_mixing,
@@ -62,6 +83,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_secret_scan": op8_secret_scan,
         "op9_simhash_dedup": op9_simhash_dedup,
         "op10_token_counts": op10_token_counts,
+        "mix_targets": mix_targets,
+        "edited_texts": edited_texts,
+        "url_rule_list": url_rule_list,
+        "secret_counts": secret_counts,
     }
 
 
@@ -77,5 +102,54 @@ FROM norm
 """
 
 
+# Sources at their cap are those whose cap per weight is below the common level; the level is the greatest that any
+# number of capped sources gives.
+_MIX_SQL = r"""
+WITH sized AS (SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size FROM documents),
+sources AS (
+  SELECT source, source_size, [3, 1, 2][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3] AS w
+  FROM (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM sized GROUP BY source)
+),
+capped AS (
+  SELECT sum(2 * source_size) OVER before AS caps, sum(w) OVER (ORDER BY 2.0 * source_size / w, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS open
+  FROM sources WINDOW before AS (ORDER BY 2.0 * source_size / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+),
+level AS (SELECT max((1.5 * (SELECT sum(source_size) FROM sources) - coalesce(caps, 0)) / open) AS level FROM capped)
+SELECT doc_id, size, source_size, round(CAST(least(2.0 * source_size, level * w) AS DOUBLE), 6) AS target
+FROM sized JOIN sources ON sized.source IS NOT DISTINCT FROM sources.source, level
+"""
+
+_EDITED_SQL = """
+WITH rows AS (SELECT doc_id, coalesce(text, '') AS text, row_number() OVER (ORDER BY doc_id) AS nth, count(*) OVER () AS n FROM documents)
+SELECT a.doc_id, CAST(length(a.text) AS BIGINT) AS n_chars,
+       sha256(substr(a.text, 1, length(a.text) - length(a.text) // 4) || substr(b.text, 1, length(a.text) // 4)) AS edited_sha256
+FROM rows a JOIN rows b ON b.nth = a.nth % a.n + 1
+"""
+
+_URL_SQL = r"""
+WITH after AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+parts AS (
+  SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path
+  FROM after
+)
+SELECT page_id, host, path, CASE
+    WHEN (host = 'example.com' OR ends_with(host, '.example.com')) AND starts_with(path, '/en/7') THEN 'example.com/en/7'
+    WHEN (host = 'example.net' OR ends_with(host, '.example.net')) AND starts_with(path, '/de/8') THEN 'example.net/de/8'
+    WHEN (host = 'com' OR ends_with(host, '.com')) AND starts_with(path, '/en/') THEN 'com/en/'
+    WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/de/') THEN 'net/de/'
+    WHEN (host = 'org' OR ends_with(host, '.org')) AND starts_with(path, '/es/') THEN 'org/es/'
+  END AS rule
+FROM parts
+"""
+
+_SECRET_SQL = r"""
+SELECT doc_id,
+       CAST(len(list_filter(regexp_extract_all(t, '(?i)(password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 2), lambda v: length(v) >= 6)) AS BIGINT) AS n_assign,
+       CAST(len(list_filter(regexp_extract_all(t, 'AKIA[A-Z0-9]+'), lambda v: length(v) >= 20)) AS BIGINT) AS n_access,
+       CAST(len(list_filter(regexp_extract_all(t, '[0-9a-f]+'), lambda v: length(v) >= 24)) AS BIGINT) AS n_hex
+FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_exact_dedup": _OP3_SQL}
+    return {"op3_exact_dedup": _OP3_SQL, "mix_targets": _MIX_SQL, "edited_texts": _EDITED_SQL, "url_rule_list": _URL_SQL, "secret_counts": _SECRET_SQL}
