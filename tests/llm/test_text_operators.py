@@ -111,6 +111,13 @@ def wrapped(data, width, end="\n"):
     return end.join(re.findall(f".{{1,{width}}}", b64(data)))
 
 
+def test_values_far_from_their_names():
+    for gap in ("=", " : ", " " * 300 + '= "', "='" ):
+        text = f"my password{gap}{b64('hunter2222-and-more')}"
+        spans = secrets.scan_layers(text)[1]
+        assert (text.index("password"), 0, len(text)) in spans
+
+
 @pytest.mark.parametrize("width, end", [(64, "\n"), (76, "\r\n"), (76, "\n  "), (17, "\n")])
 def test_base64_over_lines(width, end):
     for data in (prose(1, 30) + f" token={'q' * 60} " + prose(2, 30), "日本語" * 40 + f"password=hunter22 {KEY * 3} " + "漢字" * 40, gzip.compress((prose(3, 90) + f" secret=abcdefgh {KEY}").encode(), mtime=0)):

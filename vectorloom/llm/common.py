@@ -33,6 +33,12 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of intermediate results, wherever it is."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Compute ``df`` now and keep it in the shared folder, so that a lost executor costs no recomputation."""
     shared_dir(df.sparkSession)

@@ -2,7 +2,7 @@
 
 A worklist unwraps a text's layers: percent-encoded runs, Unicode escapes and character references, base64 runs (also
 over several lines), and compressed data inside any of them. A layer's text with all its percent-encoded runs decoded,
-or all its escapes and references, is a layer, so finds may cross from one run or word to the next. Each decoded run becomes a layer of its own, together with a little of the text
+or all its escapes and references, is a layer, so finds may cross from one run or word to the next. Each decoded run becomes a layer of its own, together with the name, if any, and a little of the text
 before it (so ``password =`` still meets a decoded value), and every layer is scanned and unwrapped again until nothing
 new appears; a layer that is one of those around it is not taken again, so cycles end. Each character of a layer knows
 which characters of the layer around it it came from, and what is found in a layer is reported at that place in the text,
@@ -42,6 +42,7 @@ LEAST = {"assign": 6, "access": 20, "hex": 24}
 STEP, OVERLAP = 1 << 20, 1 << 16  # bytes inflated at a time; characters that windows over them share
 MAX_DONE = 100_000
 CONTEXT = 48
+_BETWEEN = " :=\"'"  # what the contract's first kind has between name and value
 _KEYWORDS = ("passw", "secret", "token", "api")
 _PERCENT = re.compile(r"%[0-9A-Fa-f]{2}")
 _PERCENTS = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
@@ -342,7 +343,10 @@ def scan_layers(text: str) -> tuple[list[Span], list[Span]]:
         around, ahead = layer.text, layer.key[1]
         if stop <= ahead or inside == around[start:stop]:
             continue
-        left = max(start - CONTEXT, 0)
+        left = start
+        while left and around[left - 1] in _BETWEEN:  # however far a value stands from its name
+            left -= 1
+        left = max(left - CONTEXT, 0)
         before = start - left if start else int(np.searchsorted(ends, ahead, "right"))  # of the whole text, what came from there
         whole = around[left:start] + inside
         key = _key(whole, before)

@@ -27,7 +27,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from vectorloom.llm.common import cut, shared_dir, tidy
+from vectorloom.llm.common import cut, remove, shared_dir, tidy
 from vectorloom.llm.tokenize import encoder
 
 END_OF_DOCUMENT = 49407  # the vocabulary's own end-of-text identifier
@@ -143,8 +143,7 @@ def count_document_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str
     path = f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
     write_token_files(docs, path, "text", tokenizer_path, "_id")
     counted = cut(count_tokens(spark, path, block_bytes).select(F.regexp_extract("file", r"part-(\d+)", 1).cast("long").alias("file"), "doc_no", "start", "tokens"))
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    remove(spark, path)
     place = F.monotonically_increasing_id()
     # id and text are read again, the columns that were read for the files, so the rows stand where they stood then
     rows = docs.select("_id", F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("n_chars"), place.alias("_place"))
