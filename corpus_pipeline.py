@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vectorloom.llm import exact_dedup, mixing, packing, simhash_dedup, toxicity
-from vectorloom.llm.common import shared_dir, table
+from vectorloom.llm.common import remove, shared_dir, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,10 +46,14 @@ ORACLE_SQL = None  # the toxicity model and SimHash are beyond SQL; tests/llm ho
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; what passes between them is kept as Parquet in the shared folder."""
+    """All stages over ``documents``; what passes between them is Parquet in the shared folder, kept until the next stage has
+    written its own. The last stage's input stays, for its rows are computed when they are asked for.
+    """
     folder = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES[:-1]):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
         docs = spark.read.parquet(f"{folder}/{k}")
+        if k:
+            remove(spark, f"{folder}/{k - 1}")
     return STAGES[-1][1](spark, docs, sf_dir)
