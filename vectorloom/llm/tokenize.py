@@ -19,7 +19,7 @@ import regex
 from tokenizers import Tokenizer
 
 WORD_BPE = "word_bpe_49k.json"
-CACHE_WORDS = 80_000  # and as many older ones: about 35 MB a worker, and half as much again at most for their pieces
+CACHE_WORDS = 300_000  # about 65 MB a worker, and half as much again at most for their pieces
 _PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")  # fixed value: the vocabulary's own rule
 _LONG = 64  # longer words are not kept
 _SPACES, _CONTROLS = re.compile(r"[\x20\x09-\x0D]+"), re.compile(r"[\x1c-\x1f]")
@@ -41,39 +41,28 @@ class WordEncoder:
         self.model, self.dtype, self.limit = self.tokenizer.model, f"<u{width}", cache_words
         self.code = {2: "H", 4: "I"}[width]
         self.letters, self.words, self.pieces = _byte_letters(), {}, {}
-        self.old_words: dict[str, bytes] = {}
-        self.old_pieces: dict[str, bytes] = {}
 
     def _pack(self, ids: list[int]) -> bytes:
         return array(self.code, ids).tobytes() if sys.byteorder == "little" else np.array(ids, self.dtype).tobytes()
 
     def _piece(self, piece: str) -> bytes:
         if (packed := self.pieces.get(piece)) is None:
-            if (packed := self.old_pieces.get(piece)) is None:
-                spelled = piece.encode().decode("latin-1").translate(self.letters)
-                packed = self._pack([t.id for t in self.model.tokenize(spelled)])
-            if len(piece) <= _LONG:
+            spelled = piece.encode().decode("latin-1").translate(self.letters)
+            packed = self._pack([t.id for t in self.model.tokenize(spelled)])
+            if len(self.pieces) < self.limit // 2 and len(piece) <= _LONG:
                 self.pieces[piece] = packed
         return packed
 
     def _word(self, word: str) -> bytes:
-        if (packed := self.old_words.get(word)) is not None:
-            self.words[word] = packed
-            return packed
         if "<|" in word or not _PLAIN.fullmatch(word):
             packed = self._pack(self.tokenizer.encode(word, add_special_tokens=False).ids)
         else:
             packed = b"".join([self._piece(p) for p in _PIECES.findall(word.lower())])
-        if len(word) <= _LONG:
+        if len(self.words) < self.limit and len(word) <= _LONG:
             self.words[word] = packed
         return packed
 
     def encode(self, text: str) -> bytes:
-        # words met since the last turn stay when the caches turn over, so frequent ones stay for good
-        if len(self.words) >= self.limit:
-            self.old_words, self.words = self.words, {}
-        if len(self.pieces) >= self.limit // 2:
-            self.old_pieces, self.pieces = self.pieces, {}
         known, encode = self.words.get, self._word
         # str.split() also drops U+001C to U+001F, which the vocabulary keeps
         parts = _SPACES.split(text) if _CONTROLS.search(text) else text.split()
