@@ -134,11 +134,13 @@ class Evidence:
         return np.array([*out, *self._rows(parts)]).reshape(-1, EVIDENCE)
 
     def _rows(self, texts: list[list[str]]) -> list[list[float]]:
-        if len(self.known) > _KNOWN_WORDS:
-            self.known.clear()
-        new = list({p for parts in texts for p in parts if p not in self.known})
-        self.known.update(zip(new, self.tables.ratios([word_of(p) for p in new]).tolist(), strict=True))
-        return [self._row(np.array([self.known[p] for p in parts])) for parts in texts]
+        known = self.known.get
+        new = list({p for parts in texts for p in parts if known(p) is None})
+        fresh = dict(zip(new, self.tables.ratios([word_of(p) for p in new]).tolist(), strict=True))
+        out = [self._row(np.array([r if (r := known(p)) is not None else fresh[p] for p in parts])) for parts in texts]
+        if len(self.known) < _KNOWN_WORDS:  # the first words met stay: frequent ones are among them
+            self.known.update(fresh)
+        return out
 
     @staticmethod
     def _row(ratios: np.ndarray) -> list[float]:
