@@ -166,9 +166,11 @@ def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     edited = F.when(F.col("ghost"), F.lit("")).otherwise(F.concat(F.substring(F.col("text"), F.lit(1), same), F.substring(F.coalesce("next_text", F.lit("")), F.lit(1), quarter)))
     rows = rows.select("bucket", "nth", "id", "ghost", F.length("text").cast("long").alias("n_chars"), "text", F.when(F.col("ghost"), F.lit(0)).otherwise(same).alias("same"), edited.alias("edited"))
     keys = ["bucket", "nth", "id", "ghost", "n_chars", "edited_sha256"]
-    one = fingerprint_pairs(rows.withColumn("edited_sha256", F.sha2("edited", 256)), keys, "text", "edited", "same")
+    # as bytes, half as long, while it is shuffled
+    one = fingerprint_pairs(rows.withColumn("edited_sha256", F.unhex(F.sha2("edited", 256))), keys, "text", "edited", "same")
     along = Window.partitionBy("bucket").orderBy("nth")
-    return one.withColumn("next_fp", F.lead("fp").over(along)).filter(~F.col("ghost")).drop("ghost")
+    one = one.withColumn("next_fp", F.lead("fp").over(along)).filter(~F.col("ghost")).drop("ghost")
+    return one.withColumn("edited_sha256", F.lower(F.hex("edited_sha256")))
 
 
 def block_bounds(radius: int = RADIUS) -> list[tuple[int, int]]:
