@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vectorloom.llm import chat_repair, exact_dedup, fingerprints, mixing, packing, secrets, simhash_dedup, token_files, toxicity, url_rules
+from vectorloom.llm import chat_repair, exact_dedup, fingerprints, merkle, mixing, packing, ranked_search, secrets, simhash_dedup, token_files, toxicity, url_rules, warc
 from vectorloom.llm.common import table
 
 
@@ -51,6 +51,18 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.count_document_tokens(table(spark, sf_dir, "documents"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.verify_documents(table(spark, sf_dir, "documents"))
+
+
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_pages(table(spark, sf_dir, "pages"))
+
+
 def mix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What SQL can say of op1: sizes and targets."""
     return op1_source_mixing(spark, sf_dir).select("doc_id", "size", "source_size", F.round("target", 6).alias("target"))
@@ -83,6 +95,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_secret_scan": op8_secret_scan,
         "op9_simhash_dedup": op9_simhash_dedup,
         "op10_token_counts": op10_token_counts,
+        "op11_merkle_manifest": op11_merkle_manifest,
+        "op12_ranked_search": op12_ranked_search,
+        "op13_warc": op13_warc,
         "mix_targets": mix_targets,
         "edited_texts": edited_texts,
         "url_rule_list": url_rule_list,
@@ -151,5 +166,82 @@ FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)
 """
 
 
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def _tree_sql(name: str, levels: int) -> str:
+    """The levels above ``name``0 (g, i, node, n) as ``name``1 and so on: (g, i, digits of the run below, node, n).
+
+    A level that a group does not have repeats its last node, without digits.
+    """
+    return "".join(
+        f"""
+{name}{k + 1} AS (
+  SELECT g, i // 8 AS i, CASE WHEN n > 1 THEN string_agg(node, '' ORDER BY i) END AS digits, CASE WHEN n > 1 THEN sha256(string_agg(node, '' ORDER BY i)) ELSE max(node) END AS node, (n + 7) // 8 AS n
+  FROM {name}{k} GROUP BY g, i // 8, n
+),"""
+        for k in range(levels)
+    )
+
+
+def _way_sql(leaf: str, tree: str, levels: int, group: str, place: str) -> str:
+    """A chain of tables that follow ``leaf`` up the tree, with what lies beside the way and what the claimed leaf folds to."""
+    left, right = f"coalesce(substr(t.digits, 1, 64 * CAST(a.{place} % 8 AS INT)), '')", f"coalesce(substr(t.digits, 64 * CAST(a.{place} % 8 AS INT) + 65), '')"
+    return "".join(
+        f"""
+{leaf}{k + 1} AS (
+  SELECT a.* REPLACE (a.{place} // 8 AS {place}, a.beside || {left} || {right} AS beside, CASE WHEN t.digits IS NULL THEN a.folded ELSE sha256({left} || a.folded || {right}) END AS folded)
+  FROM {leaf}{k} a JOIN {tree}{k + 1} t ON t.g = a.{group} AND t.i = a.{place} // 8
+),"""
+        for k in range(levels)
+    )
+
+
+_LEVELS, _ROOT_LEVELS = 8, 3  # of 8 nodes a run: more rows and more languages than the tables have
+_SPELLED = "sha256(" + " || ".join(f"coalesce(strlen({c}) || ':' || {c}, '-')" for c in ("CAST(doc_id AS VARCHAR)", "source", "lang", "CAST(n_chars AS VARCHAR)", "{text}")) + ")"
+# crc32 bit by bit: the polynomial, from 2^32 - 1 and back
+_CRC = "xor(list_reduce(list_prepend(4294967295, list_transform(range(1, length({s}) + 1), lambda k: CAST(ascii(substr({s}, k, 1)) AS BIGINT))), lambda c, b: list_reduce(list_prepend(xor(c, b), [0, 0, 0, 0, 0, 0, 0, 0]), lambda x, z: xor(x >> 1, CASE WHEN x & 1 = 1 THEN 3988292384 ELSE 0 END))), 4294967295)"
+_MERKLE_SQL = f"""
+WITH leaves AS (
+  SELECT doc_id, lang, {_SPELLED.format(text="text")} AS leaf, {_SPELLED.format(text=f"translate(text, '{_UPPER}', '{_LOWER}')")} AS lower_leaf, {_CRC.format(s="CAST(doc_id AS VARCHAR)")} % 3 = 0 AS tampered
+  FROM documents
+),
+groups AS (SELECT lang, count(*) AS n, row_number() OVER (ORDER BY encode(lang) NULLS FIRST) - 1 AS g FROM leaves GROUP BY lang),
+tree0 AS (
+  SELECT g, row_number() OVER (PARTITION BY g ORDER BY doc_id) - 1 AS i, leaf AS node, n, doc_id, CASE WHEN tampered THEN lower_leaf ELSE leaf END AS claimed
+  FROM leaves JOIN groups ON leaves.lang IS NOT DISTINCT FROM groups.lang
+),{_tree_sql("tree", _LEVELS)}
+top0 AS (SELECT 0 AS g, g AS i, node, count(*) OVER () AS n FROM tree{_LEVELS}),{_tree_sql("top", _ROOT_LEVELS)}
+way0 AS (SELECT doc_id, node AS leaf, g, i, '' AS beside, claimed AS folded FROM tree0),{_way_sql("way", "tree", _LEVELS, "g", "i")}
+on0 AS (SELECT w.doc_id, w.leaf, s.node AS subroot, w.g AS i, 0 AS g, beside, folded FROM way{_LEVELS} w JOIN top0 s ON s.i = w.g),{_way_sql("on", "top", _ROOT_LEVELS, "g", "i")}
+root AS (SELECT node FROM top{_ROOT_LEVELS})
+SELECT doc_id, leaf, subroot, root.node AS root, sha256(beside) AS proof_sha256, folded AS folded_root, folded = root.node AS verified FROM on{_ROOT_LEVELS}, root
+"""
+
+# The contract's terms and constants.
+_TERMS = rf"unnest(regexp_extract_all(translate(text, '{_UPPER}', '{_LOWER}'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term"
+_SEARCH_SQL = f"""
+WITH tokens AS (SELECT doc_id, {_TERMS} FROM documents),
+lengths AS (SELECT doc_id, count(*) AS n FROM tokens GROUP BY doc_id),
+corpus AS (SELECT CAST(count(*) AS BIGINT) AS docs, CAST(sum(n) AS BIGINT) AS terms FROM lengths),
+postings AS (SELECT doc_id, term, count(*) AS tf FROM tokens GROUP BY doc_id, term),
+asked AS (SELECT item_id, term, count(*) AS times FROM (SELECT item_id, {_TERMS} FROM benchmark) GROUP BY item_id, term),
+weights AS (SELECT term, CAST(floor(1000 * ln((2 * docs + 2) / CAST(2 * count(*) + 1 AS DOUBLE))) AS BIGINT) AS w FROM postings, corpus GROUP BY term, docs),
+scored AS (
+  SELECT item_id, doc_id, CAST(sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * (100 - 25 + (25 * n * docs) // terms)))) AS BIGINT) AS score
+  FROM asked JOIN postings USING (term) JOIN weights USING (term) JOIN lengths USING (doc_id), corpus GROUP BY item_id, doc_id
+),
+ranked AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM scored WHERE score > 0)
+SELECT * FROM ranked WHERE rank <= 20
+"""
+
+_WARC_SQL = """
+WITH sized AS (SELECT page_id, coalesce(html, '') AS payload, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes FROM pages),
+first AS (SELECT *, CASE WHEN payload_bytes >= 1000 THEN max(page_id) OVER (PARTITION BY payload) ELSE page_id END AS response FROM sized)
+SELECT page_id, payload_bytes, sha1(payload) AS payload_digest, CASE WHEN page_id = response THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> response THEN response END AS refers_to
+FROM first
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_exact_dedup": _OP3_SQL, "mix_targets": _MIX_SQL, "edited_texts": _EDITED_SQL, "url_rule_list": _URL_SQL, "secret_counts": _SECRET_SQL}
+    return {"op3_exact_dedup": _OP3_SQL, "op11_merkle_manifest": _MERKLE_SQL, "op12_ranked_search": _SEARCH_SQL, "op13_warc": _WARC_SQL, "mix_targets": _MIX_SQL, "edited_texts": _EDITED_SQL, "url_rule_list": _URL_SQL, "secret_counts": _SECRET_SQL}
