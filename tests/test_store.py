@@ -3,6 +3,7 @@ import math
 
 import pytest
 from pyspark.sql import Row
+from pyspark.sql import functions as F
 
 from vectorloom.errors import DocumentNotFound, EmbeddingError, InvalidConfig
 from vectorloom.functions.metadata import MetadataFilter
@@ -137,7 +138,7 @@ def test_batches_give_the_same_rows_whatever_their_size(spark, monkeypatch, metr
         ways = [search.top_k_batch(frame, queries, k, metric, "double"), search.top_k_documents(frame, queries, k, metric, "double")]
         columns, told = ways[0].columns, [rows(w) for w in ways]
         with monkeypatch.context() as m:
-            m.setattr(search, "BROADCAST_QUERY_VALUES", 0)
+            m.setattr(search, "BROADCAST_QUERY_VALUES", 3)
             m.setattr(search, "_QUERY_RUN", 2)
             for way in (search.top_k_batch, search.top_k_documents):
                 found = way(frame, queries, k, metric, "double")
@@ -146,6 +147,19 @@ def test_batches_give_the_same_rows_whatever_their_size(spark, monkeypatch, metr
         assert all(t == told[0] for t in told) and len(told[0]) == 3 * min(k, 51)
 
 
+@pytest.mark.parametrize("scale", [1.0, 1e4])
+def test_equal_vectors_are_at_distance_zero(spark, scale):
+    docs = [doc(f"{i:03}", [scale * math.sin(i * 7 + j) for j in range(16)]) for i in range(200)]
+    store = filled(spark, docs, M.EUCLIDEAN)
+    queries = store.frame.select(F.col("id").alias("query_id"), F.col("embedding").alias("query_vec"))
+    ways = [search.top_k_scan(store.frame, queries, 3, M.EUCLIDEAN, "double"), search.top_k_blocks(store.frame, queries, 3, M.EUCLIDEAN, 50, 30, "double"), search.top_k_batch(store.frame, queries, 3, M.EUCLIDEAN, "double")]
+    told = [{(r["query_id"], r["rank"]): (r["id"], r["score"]) for r in w.collect()} for w in ways]
+    for rows in told:
+        assert all(id == q and score == 1.0 for (q, rank), (id, score) in rows.items() if rank == 1)
+        assert all(rows[at][0] == id and rows[at][1] == pytest.approx(score, rel=1e-13) for at, (id, score) in told[2].items())
+    assert all(r["score"] == 1.0 for r in store.search_batch(queries, 1).collect())
+
+
 def test_many_queries_bring_their_documents(spark):
     store = filled(spark, TRI)
     queries = spark.createDataFrame([(i, [1.0, i / 100, 0.0]) for i in range(70)], "query_id long, query_vec array<float>")

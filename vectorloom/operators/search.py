@@ -6,6 +6,7 @@ without an embedding are never found.
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,7 +20,7 @@ from vectorloom.functions.vectors import similarity, vector
 from vectorloom.types import DistanceMetric
 
 OVERFETCH = 4  # a filtered search looks at so many times k rows before it filters
-BROADCAST_QUERY_VALUES = 4_000_000  # of a batch whose queries are sent to every task
+BROADCAST_QUERY_VALUES = 4_000_000  # of the part of a batch that is sent to every task at once
 _QUERY_RUN = 512
 
 
@@ -70,6 +71,22 @@ def _asked_values(queries: DataFrame) -> int:
     return queries.agg(F.sum(F.size("query_vec"))).first()[0] or 0
 
 
+def query_blocks(queries: DataFrame) -> list[DataFrame]:
+    """The batch in parts of about BROADCAST_QUERY_VALUES numbers each, so that a part can be sent to every task."""
+    n = -(-_asked_values(queries) // max(1, BROADCAST_QUERY_VALUES))
+    if n <= 1:
+        return [queries]
+    part = F.pmod(F.xxhash64("query_id", "query_vec"), F.lit(n))
+    return [queries.filter(part == i) for i in range(n)]
+
+
+def _all(parts: list[DataFrame]) -> DataFrame:
+    found = parts[0]
+    for more in parts[1:]:
+        found = found.unionByName(more)
+    return found
+
+
 def _with_documents(found: DataFrame, docs: DataFrame) -> DataFrame:
     """The documents of (query_id, id, score, rank), found by their ids."""
     return found.join(docs, "id").select("query_id", *docs.columns, "score", "rank")
@@ -78,15 +95,19 @@ def _with_documents(found: DataFrame, docs: DataFrame) -> DataFrame:
 def top_k_batch(docs: DataFrame, queries: DataFrame, k: int, metric: DistanceMetric = DistanceMetric.COSINE, kind: str = "float") -> DataFrame:
     """(query_id, …document, score, rank) for each row of ``queries`` (``query_id``, ``query_vec``), by expressions alone.
 
-    The query batch is what is asked, and its size is checked: it is sent to every task up to BROADCAST_QUERY_VALUES
-    numbers, and beyond that :func:`top_k_blocks` finds the same rows. Each task keeps k rows a query before the shuffle.
+    The query batch is what is asked, and its size is checked: it is sent to every task in parts of BROADCAST_QUERY_VALUES
+    numbers, and scores are of the same precision whatever the size. Only ids and scores are ranked, k rows a query leave a
+    task, and the documents of the best are fetched by their ids.
     """
-    if _asked_values(queries) > BROADCAST_QUERY_VALUES:
-        return _with_documents(top_k_blocks(docs, queries, k, metric, kind=kind), docs)
-    pairs = docs.filter(F.col("embedding").isNotNull()).join(F.broadcast(queries))
-    pairs = pairs.withColumn("score", similarity(metric, F.col("embedding"), F.col("query_vec"), kind)).drop("query_vec")
+    vectors = docs.filter(F.col("embedding").isNotNull()).select("id", "embedding")
+
+    def part(asked: DataFrame) -> DataFrame:
+        pairs = vectors.join(F.broadcast(asked.select("query_id", "query_vec")))
+        return pairs.select("query_id", "id", similarity(metric, F.col("embedding"), F.col("query_vec"), kind).alias("score"))
+
     best = Window.partitionBy("query_id").orderBy(*_order())
-    return pairs.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= _checked(k)).select("query_id", *docs.columns, "score", "rank")
+    ranked = _all([part(asked) for asked in query_blocks(queries)]).withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= _checked(k))
+    return _with_documents(ranked, docs)
 
 
 def top_k_documents(docs: DataFrame, queries: DataFrame, k: int, metric: DistanceMetric = DistanceMetric.COSINE, kind: str = "float") -> DataFrame:
@@ -94,16 +115,35 @@ def top_k_documents(docs: DataFrame, queries: DataFrame, k: int, metric: Distanc
     return _with_documents(top_k_scan(docs, queries, k, metric, kind), docs)
 
 
-def _scores(metric: DistanceMetric, docs: np.ndarray, queries: np.ndarray) -> np.ndarray:
+def exact_scores(metric: DistanceMetric, docs: np.ndarray, query: np.ndarray) -> np.ndarray:
+    """Scores of rows of doubles by their differences, so that equal vectors have distance 0."""
+    if metric is DistanceMetric.EUCLIDEAN:
+        return 1 / (1 + np.sqrt(((docs - query) ** 2).sum(1)))
+    if metric is DistanceMetric.MANHATTAN:
+        return 1 / (1 + np.abs(docs - query).sum(1))
+    if metric is DistanceMetric.DOT_PRODUCT:
+        return docs @ query
+    lengths = np.linalg.norm(docs, axis=1) * np.linalg.norm(query)
+    return np.divide(docs @ query, lengths, out=np.zeros(len(docs)), where=lengths != 0)
+
+
+def _score_bounds(metric: DistanceMetric, docs: np.ndarray, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The least and the most that each document's score can be for each query, by matrix products; but for the Euclidean
+    one, where digits cancel out, both are the score.
+    """
     if metric is DistanceMetric.DOT_PRODUCT:
-        return docs @ queries.T
-    if metric is DistanceMetric.COSINE:
+        score = docs @ queries.T
+    elif metric is DistanceMetric.COSINE:
         lengths = np.linalg.norm(docs, axis=1)[:, None] * np.linalg.norm(queries, axis=1)[None, :]
-        return np.divide(docs @ queries.T, lengths, out=np.zeros((len(docs), len(queries))), where=lengths != 0)
-    if metric is DistanceMetric.EUCLIDEAN:
-        square = (docs**2).sum(1)[:, None] + (queries**2).sum(1)[None, :] - 2 * docs @ queries.T
-        return 1 / (1 + np.sqrt(np.maximum(square, 0)))
-    return np.stack([1 / (1 + np.abs(docs - q).sum(1)) for q in queries], axis=1)
+        score = np.divide(docs @ queries.T, lengths, out=np.zeros((len(docs), len(queries))), where=lengths != 0)
+    elif metric is DistanceMetric.MANHATTAN:
+        score = np.stack([exact_scores(metric, docs, q) for q in queries], axis=1)
+    else:
+        sizes = (docs**2).sum(1)[:, None] + (queries**2).sum(1)[None, :]
+        square, error = sizes - 2 * (docs @ queries.T), 8 * (docs.shape[1] + 4) * np.finfo(float).eps * sizes
+        far, near = np.sqrt(np.maximum(square + error, 0)), np.sqrt(np.maximum(square - error, 0))
+        return 1 / (1 + far), 1 / (1 + near)
+    return score, score
 
 
 def _with_nan(found: DataFrame, kind: str) -> DataFrame:
@@ -111,66 +151,91 @@ def _with_nan(found: DataFrame, kind: str) -> DataFrame:
     return found.withColumn("score", F.coalesce("score", F.lit(float("nan")).cast(kind)))
 
 
-def _ragged_scores(metric: DistanceMetric, docs: pd.Series, queries: list[np.ndarray]) -> np.ndarray:
-    """Scores of vectors of any lengths: by groups of equal length, the common prefix only (cosine: 0 across lengths)."""
-    lengths = docs.str.len().to_numpy()
-    out = np.zeros((len(docs), len(queries)))
-    for m in {len(q) for q in queries}:
-        columns = [i for i, q in enumerate(queries) if len(q) == m]
-        q = np.stack([queries[i] for i in columns]).reshape(len(columns), m)
-        for n in np.unique(lengths):
-            if metric is DistanceMetric.COSINE and n != m:
-                continue
-            rows = np.flatnonzero(lengths == n)
-            x = np.stack(docs.iloc[rows].to_numpy()).astype(np.float64)
-            common = min(n, m)
-            out[np.ix_(rows, columns)] = _scores(metric, x[:, :common], q[:, :common])
-    return out
-
-
-def _best(metric: DistanceMetric, k: int, ids: np.ndarray, vectors: pd.Series, names: list, queries: list[np.ndarray]) -> Iterator[pd.DataFrame]:
-    """The k best ids of each query among some documents, a bounded number of queries at a time. ``ids`` ascend: ties go to the smaller."""
-    for at in range(0, len(queries), _QUERY_RUN):
-        s = _ragged_scores(metric, vectors, queries[at : at + _QUERY_RUN])
-        lowest = np.where(np.isnan(s), -np.inf, s)
-        parts = []
-        for column, name in enumerate(names[at : at + _QUERY_RUN]):
-            score = lowest[:, column]
-            some = np.arange(len(score))
-            if k < len(score):  # all that are as good as the k-th, whatever their ids
-                some = np.flatnonzero(score >= np.partition(score, len(score) - k)[len(score) - k])
-            # a score that is not a number comes after any other
-            some = some[np.lexsort((some, -score[some], np.isnan(s[some, column])))][:k]
-            parts.append(pd.DataFrame({"query_id": name, "id": ids[some], "score": s[some, column]}))
-        yield pd.concat(parts)
+class KeptBest:
+    """The k best (id, score) of each query of a batch, as a task comes across documents."""
+
+    def __init__(self, k: int, metric: DistanceMetric, names: list, queries: list[np.ndarray]):
+        self.k, self.metric, self.names, self.queries = k, metric, names, queries
+        self._rows: list[list[tuple]] = [[] for _ in names]
+
+    def least(self, column: int) -> float:
+        """A score below this is not among the k best; one as high may be."""
+        rows = self._rows[column]
+        return -rows[-1][1] if len(rows) == self.k and not rows[-1][0] else -np.inf
+
+    def offer(self, ids: np.ndarray, vectors: pd.Series, columns: list[int] | None = None) -> None:
+        """Some documents for the queries of these columns (None: all), a bounded number of queries at a time.
+
+        Vectors may be of any lengths: groups of equal length are compared by their common prefix (cosine: 0 across lengths).
+        """
+        columns = list(range(len(self.names))) if columns is None else columns
+        lengths = vectors.str.len().to_numpy()
+        groups = {n: np.flatnonzero(lengths == n) for n in np.unique(lengths)}
+        stacked = {n: np.stack(vectors.iloc[rows].to_numpy()).astype(np.float64).reshape(len(rows), n) for n, rows in groups.items()}
+        for m in {len(self.queries[c]) for c in columns}:
+            mine = [c for c in columns if len(self.queries[c]) == m]
+            for at in range(0, len(mine), _QUERY_RUN):
+                run = mine[at : at + _QUERY_RUN]
+                asked = np.stack([self.queries[c] for c in run]).reshape(len(run), m)
+                for n, rows in groups.items():
+                    if self.metric is DistanceMetric.COSINE and n != m:
+                        x, q = np.zeros((len(rows), 0)), asked[:, :0]
+                    else:
+                        x, q = stacked[n][:, : min(n, m)], asked[:, : min(n, m)]
+                    low, high = _score_bounds(self.metric, x, q)
+                    for i, column in enumerate(run):
+                        self._take(column, ids[rows], x, q[i], low[:, i], high[:, i])
+
+    def _take(self, column: int, ids: np.ndarray, x: np.ndarray, q: np.ndarray, low: np.ndarray, high: np.ndarray) -> None:
+        bar, n = self.least(column), len(ids)
+        low, most = np.where(np.isnan(low), -np.inf, low), np.where(np.isnan(high), -np.inf, high)
+        if self.k < n:
+            bar = max(bar, np.partition(low, n - self.k)[n - self.k])
+        some = np.flatnonzero(most >= bar)  # with all that are as good as the k-th, whatever their ids
+        if not len(some):
+            return
+        scores = exact_scores(self.metric, x[some], q) if self.metric is DistanceMetric.EUCLIDEAN else high[some]
+        # a score that is not a number comes after any other
+        found = [(s != s, -s if s == s else 0.0, i, s) for i, s in zip(ids[some].tolist(), scores.tolist(), strict=True)]
+        self._rows[column] = heapq.nsmallest(self.k, self._rows[column] + found, key=lambda r: r[:3])
+
+    def frames(self) -> Iterator[pd.DataFrame]:
+        for at in range(0, len(self.names), _QUERY_RUN):
+            rows = [(name, r[2], r[3]) for name, found in zip(self.names[at : at + _QUERY_RUN], self._rows[at : at + _QUERY_RUN], strict=True) for r in found]
+            if rows:
+                yield pd.DataFrame(rows, columns=["query_id", "id", "score"])
+
+
+def asked_vectors(queries: DataFrame) -> tuple[list, list[np.ndarray]]:
+    """A part of a batch, of checked size, on the driver."""
+    rows = queries.select("query_id", "query_vec").collect()
+    return [r["query_id"] for r in rows], [np.array(r["query_vec"], np.float64) for r in rows]
 
 
 def _best_of_batch(metric: DistanceMetric, k: int, names: list, queries: list[np.ndarray]):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        kept = KeptBest(k, metric, names, queries)
         for batch in batches:
-            if not len(batch) or not k:
-                continue
-            batch = batch.sort_values("id", kind="stable")
-            yield from _best(metric, k, batch["id"].to_numpy(), batch["embedding"], names, queries)
+            if len(batch) and k:
+                kept.offer(batch["id"].to_numpy(), batch["embedding"])
+        yield from kept.frames()
 
     return run
 
 
 def top_k_scan(docs: DataFrame, queries: DataFrame, k: int, metric: DistanceMetric = DistanceMetric.COSINE, kind: str = "float") -> DataFrame:
     """(query_id, id, score, rank): documents stay where they are, queries go to every task, and a matrix product in double
-    precision scores a batch of documents against all queries. Only k rows a query leave a batch. The queries' size is
-    checked; beyond BROADCAST_QUERY_VALUES numbers :func:`top_k_blocks` takes over.
+    precision scores a batch of documents against all queries. A task keeps the k best rows of each query from batch to batch,
+    and only these leave it. The queries' size is checked; larger batches are asked in parts.
     """
-    if _asked_values(queries) > BROADCAST_QUERY_VALUES:
-        return top_k_blocks(docs, queries, k, metric, kind=kind)
-    asked = queries.select("query_id", "query_vec").collect()
-    run = _best_of_batch(metric, _checked(k) if asked else 0, [r["query_id"] for r in asked], [np.array(r["query_vec"], np.float64) for r in asked])
     rows = docs.filter(F.col("embedding").isNotNull()).select("id", "embedding")
     id_type, query_type = rows.schema["id"].dataType.simpleString(), queries.schema["query_id"].dataType.simpleString()
-    return _ranked_best(rows.mapInPandas(run, f"query_id {query_type}, id {id_type}, score {kind}"), k, kind)
+    schema = f"query_id {query_type}, id {id_type}, score {kind}"
+    found = [rows.mapInPandas(_best_of_batch(metric, _checked(k), *asked_vectors(part)), schema) for part in query_blocks(queries)]
+    return ranked_best(_all(found), k, kind)
 
 
-def _ranked_best(near: DataFrame, k: int, kind: str) -> DataFrame:
+def ranked_best(near: DataFrame, k: int, kind: str) -> DataFrame:
     best = Window.partitionBy("query_id").orderBy(*_order())
     return _with_nan(near, kind).withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
 
@@ -179,11 +244,10 @@ def _best_of_block(metric: DistanceMetric, k: int):
     """A task's block of documents against a block of queries: the k best ids of each query."""
 
     def run(key: tuple, docs: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        if not len(docs) or not len(queries) or not k:
-            return pd.DataFrame({"query_id": [], "id": [], "score": []})
-        docs = docs.sort_values("id", kind="stable")
-        asked = [np.array(q, np.float64) for q in queries["query_vec"]]
-        return pd.concat(_best(metric, k, docs["id"].to_numpy(), docs["embedding"], queries["query_id"].tolist(), asked))
+        kept = KeptBest(k, metric, queries["query_id"].tolist(), [np.array(q, np.float64) for q in queries["query_vec"]])
+        if len(docs) and len(queries) and k:
+            kept.offer(docs["id"].to_numpy(), docs["embedding"])
+        return pd.concat(list(kept.frames()) or [pd.DataFrame({"query_id": [], "id": [], "score": []})])
 
     return run
 
@@ -199,4 +263,4 @@ def top_k_blocks(docs: DataFrame, queries: DataFrame, k: int, metric: DistanceMe
     right = deal(queries.select("query_id", "query_vec"), "query_id", "q").withColumn("d", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
     id_type, query_type = rows.schema["id"].dataType.simpleString(), queries.schema["query_id"].dataType.simpleString()
     near = left.groupBy("d", "q").cogroup(right.groupBy("d", "q")).applyInPandas(_best_of_block(metric, _checked(k)), f"query_id {query_type}, id {id_type}, score {kind}")
-    return _ranked_best(near, k, kind)
+    return ranked_best(near, k, kind)
