@@ -40,6 +40,7 @@ from vectorloom.llm.common import as_bytes, cut, remove, shared_dir, tidy
 MIN_PAYLOAD = 1000
 FRAME_BYTES = 1 << 20  # raw
 BUNDLE_BYTES = 1 << 30  # compressed
+READ_BYTES = 16 << 20  # compressed, that a task reads back
 LEVEL = 3
 DATE = "1970-01-01T00:00:00Z"  # the tables know no time of retrieval
 # The WARC profile of a revisit, and the numbers of the seekable Zstandard format.
@@ -263,9 +264,10 @@ def read_archives(spark: SparkSession, path: str, with_payload: bool = True) ->
 
     What a revisit refers to is left to :func:`resolved`. Checksums and digests are checked; a mismatch stops the job.
     """
-    bundles = read_index(spark, path).select("bundle").distinct()
-    frames = bundles.mapInPandas(_frames(path), "bundle string, frame int, at long, size long, raw long, checksum long")
-    return frames.repartition(F.xxhash64("bundle", "frame")).mapInPandas(_read(path, with_payload), PARSED)
+    bundles = read_index(spark, path).groupBy("bundle").agg(F.max(F.col("frame_at") + F.col("frame_size")).alias("bytes"))
+    tasks = -(-(bundles.agg(F.sum("bytes")).first()[0] or 0) // READ_BYTES)  # the rows of frames are small, what they stand for is not
+    frames = bundles.select("bundle").mapInPandas(_frames(path), "bundle string, frame int, at long, size long, raw long, checksum long")
+    return frames.repartition(max(1, tasks), F.xxhash64("bundle", "frame")).mapInPandas(_read(path, with_payload), PARSED)
 
 
 def _look_up(path: str):
@@ -284,7 +286,8 @@ def _look_up(path: str):
 def look_up(spark: SparkSession, path: str, ids: DataFrame) -> DataFrame:
     """The records (PARSED) of ``ids`` (``record_id``): of each bundle only the frames that hold one are read."""
     asked = read_index(spark, path).join(ids.select("record_id").distinct(), "record_id")
-    return asked.repartition("bundle", "frame").sortWithinPartitions("bundle", "frame").mapInPandas(_look_up(path), PARSED)
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))  # kept, however few bytes name the frames
+    return asked.repartition(tasks, "bundle", "frame").sortWithinPartitions("bundle", "frame").mapInPandas(_look_up(path), PARSED)
 
 
 def resolved(records: DataFrame) -> DataFrame:
