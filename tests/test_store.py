@@ -1,5 +1,6 @@
 import json
 import math
+import os
 
 import pytest
 from pyspark.sql import Row
@@ -181,6 +182,31 @@ def test_save_and_load(spark, tmp_path):
     assert len(ids(DataFrameStore.load_parquet(spark, str(tmp_path / "p")).search([1.0], 3))) == 3
 
 
+def test_a_saved_array_is_read_by_several_tasks_in_order(spark, tmp_path):
+    odd = 'quote " back \\ line\n, comma ,{ [ ] é 𝒳 \t'
+    docs = [doc(f"{i:04}", None, f"{odd}{i}", kind=odd, none=None) for i in range(400)]
+    store = DataFrameStore(spark)
+    store.add_batch(docs)
+    path, folder = str(tmp_path / "one.json"), str(tmp_path / "parts.json")
+    store.save_to_file(path)
+    store.save_to_file(folder, parts=True)
+    told = [{"id": d.id, "content": d.content, "metadata": d.metadata} for d in docs]
+    assert json.load(open(path)) == told
+    assert json.loads("".join(open(os.path.join(folder, f)).read() for f in sorted(os.listdir(folder)) if not f.startswith("."))) == told
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8k")
+    try:
+        for saved in (path, folder):
+            loaded = DataFrameStore.load_from_file(spark, saved)
+            assert [(r["id"], r["content"], r["metadata"]) for r in loaded.list(1000).collect()] == [(d.id, d.content, d.metadata) for d in docs]
+            assert spark.read.text(saved).rdd.getNumPartitions() > 3
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    (tmp_path / "other.json").write_text(json.dumps([*told[:3], told[0] | {"content": "later"}], indent=1))
+    assert [(r["id"], r["content"]) for r in DataFrameStore.load_from_file(spark, str(tmp_path / "other.json")).list(9).collect()] == [("0001", docs[1].content), ("0002", docs[2].content), ("0000", "later")]
+    DataFrameStore(spark).save_to_file(str(tmp_path / "none.json"))
+    assert json.load(open(tmp_path / "none.json")) == [] and DataFrameStore.load_from_file(spark, str(tmp_path / "none.json")).count() == 0
+
+
 def test_index(spark):
     index = FlatIndex(spark, M.EUCLIDEAN, capacity=10)
     for d in [doc("A", [0.0, 0.0, 0.0]), doc("B", [0.1, 0.1, 0.1]), doc("C", [10.0, 10.0, 10.0])]:

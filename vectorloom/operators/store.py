@@ -9,13 +9,12 @@ is to be written first, as the retriever does.
 
 from __future__ import annotations
 
-import json
-import re
 import threading
+import uuid
 from abc import ABC, abstractmethod
 from collections.abc import Iterable
 
-from pyarrow import fs
+from py4j.java_gateway import is_instance_of
 from pyspark.sql import DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -28,6 +27,7 @@ from vectorloom.types import DOCUMENT, SAVED, DistanceMetric
 
 CHECKPOINT_EVERY = 8
 _SEQ = "_seq"
+ONE_A_LINE = "[\t\n"  # how an array begins that has one element a line
 
 
 class VectorStore(ABC):
@@ -157,21 +157,39 @@ class DataFrameStore(VectorStore):
     def is_empty(self) -> bool:
         return self._rows.isEmpty()
 
-    def save_to_file(self, path: str) -> None:
-        """All documents as one JSON array; embeddings and metric are not kept. Rows are streamed one partition at a time."""
-        with _open_to_write(path) as out:
-            out.write(b"[")
-            for n, row in enumerate(self._rows.orderBy(_SEQ, "id").select("id", "content", "metadata").toLocalIterator()):
-                saved = json.dumps({"id": row["id"], "content": row["content"], "metadata": row["metadata"]}, ensure_ascii=False)
-                out.write((("," if n else "") + saved).encode())
-            out.write(b"]")
+    def save_to_file(self, path: str, parts: bool = False) -> None:
+        """All documents as one JSON array in order; embeddings and metric are not kept. Tasks write the elements, one a line; then
+        the parts are joined to a single file, byte by byte. With ``parts`` they stay a folder, whose files in the order of
+        their names are the array: nothing passes through one place then.
+        """
+        element = F.to_json(F.struct("id", "content", "metadata"), {"ignoreNullFields": "false"})
+        ordered = self._rows.orderBy(_SEQ, "id")
+        first = ordered.head()
+        rows = ordered if first is None else ordered.filter(F.col("id") != first["id"])
+        folder = path if parts else f"{path}.parts-{uuid.uuid4().hex}"
+        rows.select(F.concat(F.lit(","), element).alias("value")).write.text(folder)
+        files = _Files(self.spark)
+        opening = "" if first is None else self._rows.filter(F.col("id") == first["id"]).select(element).first()[0] + "\n"
+        files.write(f"{folder}/a-opening", ONE_A_LINE + opening)  # names in order: opening, part-…, then the end
+        files.write(f"{folder}/z-end", "]")
+        files.delete(f"{folder}/_SUCCESS")
+        if not parts:
+            files.join(files.list(folder), path)
+            files.delete(folder)
 
     @classmethod
     def load_from_file(cls, spark: SparkSession, path: str) -> DataFrameStore:
-        """A store from a JSON array: no embeddings, the default metric; of rows that repeat an id the last stays."""
-        store = cls(spark)
-        rows = spark.read.schema(SAVED).option("multiLine", True).json(path).filter(F.col("id").isNotNull())
-        store.add_batch(rows.withColumn("embedding", F.lit(None).cast("array<float>")))
+        """A store from a JSON array: no embeddings, the default metric; of rows that repeat an id the last stays.
+
+        What :meth:`save_to_file` wrote, file or folder, is split between tasks at its lines; any other array is one record.
+        """
+        store, files = cls(spark), _Files(spark)
+        head = next((f for f in files.list(path) if f.endswith("/a-opening")), path)
+        if files.start(head, len(ONE_A_LINE)) == ONE_A_LINE:
+            rows = _lines(spark, path)
+        else:
+            rows = spark.read.schema(SAVED).option("multiLine", True).json(path)
+        store.add_batch(rows.filter(F.col("id").isNotNull()).withColumn("embedding", F.lit(None).cast("array<float>")))
         return store
 
     def save_parquet(self, path: str) -> None:
@@ -186,12 +204,60 @@ class DataFrameStore(VectorStore):
         return store
 
 
-def _open_to_write(path: str):
-    """A file on this machine, or one named by a URI in any store that Arrow knows."""
-    if not re.match(r"[a-z][a-z0-9+.-]*:", path):
-        return open(path, "wb")
-    filesystem, inner = fs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", path))
-    return filesystem.open_output_stream(inner)
+def _lines(spark: SparkSession, path: str) -> DataFrame:
+    """The elements of an array with one a line, with their order as ``seq``. A split's place is told by its file and first byte."""
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("at"))
+    splits = sorted(tuple(r) for r in lines.select("file", "start").distinct().collect())  # a row a split
+    numbered = spark.createDataFrame([(file, start, n) for n, (file, start) in enumerate(splits)], "file string, start long, split long")
+    rows = lines.join(F.broadcast(numbered), ["file", "start"])
+    seq = F.shiftleft("split", 33) + F.col("at").bitwiseAND(F.lit((1 << 33) - 1))
+    element = F.from_json(F.ltrim(F.col("value"), F.lit(",")), SAVED)
+    return rows.filter(F.col("value").rlike("^,?[{]")).select(element.alias("row"), seq.alias("seq")).select("row.*", "seq")
+
+
+class _Files:
+    """Whole files by way of Hadoop's file systems: small ones, and the joining of parts."""
+
+    def __init__(self, spark: SparkSession):
+        self._jvm, self._conf, self._gateway = spark._jvm, spark._jsc.hadoopConfiguration(), spark.sparkContext._gateway
+
+    def _at(self, path: str):
+        where = self._jvm.org.apache.hadoop.fs.Path(path)
+        return where.getFileSystem(self._conf), where
+
+    def write(self, path: str, text: str) -> None:
+        files, where = self._at(path)
+        out = files.create(where, True)
+        out.write(bytearray(text.encode()))
+        out.close()
+
+    def start(self, path: str, size: int) -> str:
+        """Up to ``size`` ASCII characters."""
+        files, where = self._at(path)
+        file = files.open(where)
+        read = [file.read() for _ in range(size)]
+        file.close()
+        return "".join(chr(b) for b in read if b >= 0)
+
+    def list(self, path: str) -> list[str]:
+        """The files of a folder in the order of their names; a file itself."""
+        files, where = self._at(path)
+        return sorted(f.getPath().toString() for f in files.listStatus(where) if f.isFile())
+
+    def join(self, parts: list[str], path: str) -> None:
+        files, where = self._at(path)
+        out = files.create(where, True)
+        for part in parts:
+            file = files.open(self._jvm.org.apache.hadoop.fs.Path(part))
+            self._jvm.org.apache.hadoop.io.IOUtils.copyBytes(file, out, 1 << 20, False)
+            file.close()
+        out.close()
+        if is_instance_of(self._gateway, files, "org.apache.hadoop.fs.ChecksumFileSystem"):  # others may edit the file, who know nothing of its checksums
+            files.getRawFileSystem().delete(files.getChecksumFile(where), False)
+
+    def delete(self, path: str) -> None:
+        files, where = self._at(path)
+        files.delete(where, True)
 
 
 # Other names under which a store, and the cosine beside it, may be asked for.

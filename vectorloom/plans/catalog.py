@@ -8,15 +8,18 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vectorloom.functions.chunkers import FixedSizeChunker, ParagraphChunker, SentenceChunker
 from vectorloom.functions.metadata import MetadataFilter, any_value_contains, preview
 from vectorloom.functions.vectors import l2_normalize, norm, validate_dimensions
-from vectorloom.operators import search, store
+from vectorloom.operators import keyword, search, store
 from vectorloom.operators.embedders import LETTERS, ByteEmbedder, LetterEmbedder
-from vectorloom.operators.retriever import chunk_ids, chunk_rows
+from vectorloom.operators.ivf import InvertedLists
+from vectorloom.operators.keyword import KeywordIndex
+from vectorloom.operators.log_store import LogStore
+from vectorloom.operators.retriever import Retriever, chunk_ids, chunk_rows
 from vectorloom.operators.shared import shared_path
 from vectorloom.rpc import ToolServer
 from vectorloom.sources import codebase, pdf
@@ -123,6 +126,24 @@ def _register_metrics() -> None:
             asked = v.filter("id % 20 = 0").select(F.col("id").alias("query_id"), F.col("embedding").alias("query_vec"))
             return _ranked(search.top_k_blocks(v, asked, 5, metric, kind=WIDE), "query_id", by="query_id")
 
+        @_query(f"knn_lists_{name}", batch_sql)
+        def lists(spark: SparkSession, sf_dir: str, metric=metric) -> DataFrame:
+            """Exact results from inverted lists, those out of reach not read."""
+            v = _vectors(spark, sf_dir)
+            asked = v.filter("id % 20 = 0").select(F.col("id").alias("query_id"), F.col("embedding").alias("query_vec"))
+            index = InvertedLists.build(v, shared_path(spark, "lists"), metric)
+            return _ranked(index.search_batch(asked, 5, kind=WIDE), "query_id", by="query_id")
+
+        large = f"(SELECT vec_id, list_transform({_V.format('embedding')}, lambda x: CAST(CAST(x * 10000 AS FLOAT) AS DOUBLE)) AS embedding FROM embeddings)"
+        if name == "euclidean":
+
+            @_query("knn_self_scores", f"SELECT q.vec_id AS query_id, e.vec_id AS id, {_SIM[name].format(a='e.embedding', b='q.embedding')} AS score FROM {large} e JOIN {large} q ON e.vec_id = q.vec_id WHERE q.vec_id % 20 = 0")
+            def self_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+                """Long vectors against themselves, unrounded: each is at distance zero."""
+                v = _vectors(spark, sf_dir).withColumn("embedding", F.transform("embedding", lambda x: (x * 10000).cast("float")))
+                asked = v.filter("id % 20 = 0").select(F.col("id").alias("query_id"), F.col("embedding").alias("query_vec"))
+                return search.top_k_scan(v, asked, 1, DistanceMetric.EUCLIDEAN, WIDE).select("query_id", "id", "score")
+
         cut_sql = "(SELECT vec_id, CASE WHEN vec_id % 2 = 0 THEN embedding[1:32] ELSE embedding END AS embedding FROM embeddings)"
         if name == "cosine":
             score = _sim(name)
@@ -184,6 +205,30 @@ def knn_null_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _ranked(search.top_k(holes, _one(v), 10, kind=WIDE))
 
 
+@_query("knn_lists_probed")
+def knn_lists_probed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Approximate neighbours: as many lists as find 93 % of the exact ones on a sample. Its recall is measured in the tests."""
+    v = _vectors(spark, sf_dir)
+    asked = v.filter("id % 20 = 0").select(F.col("id").alias("query_id"), F.col("embedding").alias("query_vec"))
+    index = InvertedLists.build(v, shared_path(spark, "lists"))
+    return index.search_batch(asked, 10, index.probes_for(), WIDE)
+
+
+def _sql_batch_ids(metric: str, k: int) -> str:
+    pairs = f"SELECT q.vec_id AS query_id, CAST(e.vec_id AS VARCHAR) AS id, {_sim(metric)} AS score FROM embeddings e, embeddings q WHERE q.vec_id % 20 = 0"
+    return f"SELECT query_id, id, CAST(rank AS INTEGER) AS rank, round(score, 3) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM ({pairs})) WHERE rank <= {k}"
+
+
+@_query("store_search_batch", _sql_batch_ids("cosine", 5))
+def store_search_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A batch of queries through the store, in its own precision."""
+    kept = store.DataFrameStore(spark)
+    v = _vectors(spark, sf_dir)
+    kept.add_batch(v.withColumn("id", F.col("id").cast("string")))
+    asked = v.filter("id % 20 = 0").select(F.col("id").alias("query_id"), F.col("embedding").alias("query_vec"))
+    return kept.search_batch(asked, 5).select("query_id", "id", "rank", F.round(F.col("score").cast("double"), 3).alias("score"))
+
+
 _X = "CAST(embedding AS DOUBLE[])"
 _LEN = _NORM.format(a=_X)
 
@@ -295,6 +340,33 @@ def _loaded(spark: SparkSession, sf_dir: str) -> store.DataFrameStore:
     return s
 
 
+def _changed_log(spark: SparkSession, sf_dir: str) -> LogStore:
+    """A log-structured store of all documents, of which every third was overwritten and the toxic ones were deleted."""
+    log = LogStore(spark, shared_path(spark, "log"), buckets=16)
+    rows = _texts(spark, sf_dir).withColumn("embedding", F.lit(None).cast("array<float>")).withColumn("seq", F.col("id"))
+    named = rows.withColumn("id", F.col("id").cast("string"))
+    log.add_batch(named)
+    log.add_batch(named.filter("seq % 3 = 0").withColumn("content", F.concat(F.lit("new "), "content")))
+    log.delete_batch(_read(spark, sf_dir, "labels").filter("toxic = 1").select(F.col("doc_id").cast("string").alias("id")))
+    return log
+
+
+_LOG_SQL = "SELECT CAST(doc_id AS VARCHAR) AS id, md5(CASE WHEN doc_id % 3 = 0 THEN 'new ' ELSE '' END || text) AS content FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)"
+
+
+@_query("log_store_changes", _LOG_SQL)
+def log_store_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _changed_log(spark, sf_dir).frame.select("id", F.md5("content").alias("content"))
+
+
+@_query("log_store_compacted", _LOG_SQL)
+def log_store_compacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    log = _changed_log(spark, sf_dir)
+    log.compact()
+    log.vacuum()
+    return log.frame.select("id", F.md5("content").alias("content"))
+
+
 @_query("store_get", "SELECT CAST(doc_id AS VARCHAR) AS id, md5(text) AS content FROM documents WHERE doc_id = 7")
 def store_get(spark: SparkSession, sf_dir: str) -> DataFrame:
     row = _loaded(spark, sf_dir).get("7")
@@ -346,21 +418,36 @@ def _embedded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _texts(spark, sf_dir).withColumn("embedding", LetterEmbedder().column(F.col("content")))
 
 
-def _rounded_top(rows: DataFrame, k: int) -> DataFrame:
-    """Top-k by the rounded score, as the SQL ranks."""
-    scored = search.scored(rows, LetterEmbedder().embed_single(_ASKED), kind=WIDE).withColumn("score", F.round(F.col("score").cast("double"), 6))
-    return scored.orderBy(F.desc("score"), "id").limit(k)
+def _retriever(spark: SparkSession, sf_dir: str, k: int) -> Retriever:
+    """A retriever over all documents, each whole and with the letter model's vector."""
+    kept = store.DataFrameStore(spark)
+    kept.add_batch(_embedded(spark, sf_dir).withColumn("id", F.col("id").cast("string")))
+    return Retriever(LetterEmbedder(), kept, top_k=k)
+
+
+def _sql_hits(limit: int, where: str = "true", k: int | None = None) -> str:
+    near = f"SELECT s.*, md5(text) AS content FROM ({_sql_retrieve(limit)}) s JOIN documents ON doc_id = s.id"
+    return f"SELECT CAST(row_number() OVER (ORDER BY score DESC, CAST(id AS VARCHAR)) AS INTEGER) AS rank, content, score FROM ({near}) WHERE {where} ORDER BY score DESC, CAST(id AS VARCHAR) LIMIT {k or limit}"
 
 
-@_query("retrieve_with_scores", f"SELECT id, round(score, 5) AS score FROM ({_sql_retrieve(10)})")
+@_query("retrieve_with_scores", f"SELECT rank, content, round(score, 4) AS score FROM ({_sql_hits(10)})")
 def retrieve_with_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded_top(_embedded(spark, sf_dir), 10).select("id", F.round("score", 5).alias("score"))
+    found = _retriever(spark, sf_dir, 10).retrieve_with_scores(_ASKED)
+    return found.select("rank", F.md5("content").alias("content"), F.round(F.col("score").cast("double"), 4).alias("score"))
 
 
-@_query("retrieve_filtered", f"SELECT id, round(score, 5) AS score FROM ({_sql_retrieve(20)}) WHERE contains(lang, 'en') OR contains(source, 'en') ORDER BY score DESC, id LIMIT 10")
+@_query("retrieve_filtered", f"SELECT rank, content FROM ({_sql_hits(20, 'contains(lang, chr(101) || chr(110)) OR contains(source, chr(101) || chr(110))', 10)})")
 def retrieve_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    near = _rounded_top(_embedded(spark, sf_dir), 20)
-    return near.filter(any_value_contains(F.col("metadata"), "en")).orderBy(F.desc("score"), "id").limit(10).select("id", F.round("score", 5).alias("score"))
+    return _retriever(spark, sf_dir, 10).retrieve_filtered(_ASKED, "en").select("rank", F.md5("content").alias("content"))
+
+
+@_query("retriever_add_documents", f"SELECT doc_id || '#' || pos AS id, md5(chunk) AS content FROM ({_sql_fixed(50, 10)})")
+def retriever_add_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents added through the retriever: chunked, embedded and stored."""
+    kept = store.DataFrameStore(spark)
+    texts = _read(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), "text")
+    Retriever(LetterEmbedder(), kept, FixedSizeChunker(50, 10)).add_documents(texts, "text", "doc_id")
+    return kept.frame.select("id", F.md5("content").alias("content"))
 
 
 @_query("add_document_ids", f"SELECT doc_id, string_agg(doc_id || '#' || pos, ',' ORDER BY pos) AS ids FROM ({_sql_fixed(50, 10)}) GROUP BY doc_id")
@@ -410,11 +497,81 @@ def json_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("id", F.md5("content").alias("content"), F.col("metadata")["lang"].alias("lang"), F.col("metadata")["source"].alias("source"))
 
 
-@_query("retrieve", f"SELECT row_number() OVER (ORDER BY score DESC, id) AS rank, md5(text) AS content FROM ({_sql_retrieve(5)}) JOIN documents ON doc_id = id")
+@_query("retrieve", f"SELECT rank, content FROM ({_sql_hits(5)})")
 def retrieve(spark: SparkSession, sf_dir: str) -> DataFrame:
-    near = _rounded_top(_embedded(spark, sf_dir), 5)
-    over = Window.partitionBy(F.lit(0)).orderBy(F.desc("score"), "id")
-    return near.select(F.row_number().over(over).cast("long").alias("rank"), F.md5("content").alias("content"))
+    return _retriever(spark, sf_dir, 5).retrieve(_ASKED).select("rank", F.md5("content").alias("content"))
+
+
+_BM25_SQL = rf"""
+WITH tokens AS (SELECT doc_id AS id, unnest(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+')) AS term FROM documents),
+lengths AS (SELECT id, count(*) AS length FROM tokens GROUP BY id),
+corpus AS (SELECT count(*) AS n, avg(length) AS mean FROM lengths),
+postings AS (SELECT id, term, count(*) AS tf FROM tokens GROUP BY id, term),
+idf AS (SELECT term, ln(1 + (n - count(*) + 0.5) / (count(*) + 0.5)) AS idf FROM postings, corpus GROUP BY term, n),
+asked AS (SELECT item_id AS query_id, unnest(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+')) AS term FROM benchmark),
+scored AS (
+  SELECT query_id, id, round(sum(idf * tf * CAST({keyword.K1} + 1 AS DOUBLE) / (tf + CAST({keyword.K1} AS DOUBLE) * (1 - CAST({keyword.B} AS DOUBLE) + CAST({keyword.B} AS DOUBLE) * length / mean))), 6) AS score
+  FROM asked JOIN postings USING (term) JOIN idf USING (term) JOIN lengths USING (id), corpus GROUP BY query_id, id
+)
+SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM scored QUALIFY rank <= {{k}}
+"""
+
+
+def _asked_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query_text"))
+
+
+def _keyword_index(spark: SparkSession, sf_dir: str) -> KeywordIndex:
+    return KeywordIndex.build(_read(spark, sf_dir, "documents"), shared_path(spark, "keywords"), "doc_id", "text")
+
+
+@_query("keyword_search", _BM25_SQL.replace('{k}', '10'))
+def keyword_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents of each benchmark text by BM25."""
+    return _ranked(_keyword_index(spark, sf_dir).search_batch(_asked_items(spark, sf_dir), 10), "query_id", by="query_id")
+
+
+def _letter_lists(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
+    """The documents nearest to each benchmark text by the letter model, equal scores (to nine places) by id."""
+    model = LetterEmbedder()
+    asked = _asked_items(spark, sf_dir).select("query_id", model.column(F.col("query_text")).alias("query_vec"))
+    near = search.top_k_scan(_embedded(spark, sf_dir).select("id", "embedding"), asked, 2 * k, kind=WIDE)
+    best = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "id")
+    return near.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
+
+
+_LETTERS_OF = "SELECT {id} AS id, " + _LETTER_SQL + " AS v FROM (SELECT {id}, lower(text) AS low FROM {table})"
+_NEAR_SQL = (
+    "SELECT q.id AS query_id, d.id, row_number() OVER (PARTITION BY q.id ORDER BY round(CASE WHEN list_sum(d.v) = 0 OR list_sum(q.v) = 0 THEN 0 ELSE "
+    + _DOT.format(a="d.v", b="q.v") + " / (" + _NORM.format(a="d.v") + " * " + _NORM.format(a="q.v")
+    + ") END, 9) DESC, d.id) AS rank FROM (" + _LETTERS_OF.format(id="doc_id", table="documents") + ") d, (" + _LETTERS_OF.format(id="item_id", table="benchmark") + ") q QUALIFY rank <= 20"
+)
+
+
+@_query(
+    "hybrid_search",
+    f"""WITH parts AS (SELECT query_id, id, rank FROM ({_BM25_SQL.replace('{k}', '20')}) UNION ALL SELECT query_id, id, rank FROM ({_NEAR_SQL})),
+summed AS (SELECT query_id, id, round(sum(1 / CAST({keyword.RANK_CONSTANT} + rank AS DOUBLE)), 12) AS score FROM parts GROUP BY query_id, id)
+SELECT query_id, id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM summed QUALIFY rank <= 10""",
+)
+def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keywords and vectors: two ranked lists of twenty for each benchmark text, fused by reciprocal ranks."""
+    by_words = keyword_ranks(_keyword_index(spark, sf_dir).search_batch(_asked_items(spark, sf_dir), 20))
+    found = keyword.fused([by_words, _letter_lists(spark, sf_dir, 20)], 10)
+    return found.select("query_id", "id", _score(), F.col("rank").cast("long").alias("rank"))
+
+
+def keyword_ranks(found: DataFrame) -> DataFrame:
+    """Ranks by the score to six places, then id, as the SQL has them."""
+    return _ranked(found, "query_id", by="query_id")
+
+
+@_query("rerank_diverse")
+def rerank_diverse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each query's twenty nearest vectors five that differ among themselves; held against a plain choice in the tests."""
+    v = _vectors(spark, sf_dir)
+    asked = v.filter("id % 20 = 0").select(F.col("id").alias("query_id"), F.col("embedding").alias("query_vec"))
+    return keyword.diverse(search.top_k_scan(v, asked, 20, kind=WIDE).join(v.select("id", "embedding"), "id"), 5)
 
 
 @_query("list_documents_tool", "SELECT CAST(doc_id AS VARCHAR) AS id, substr(text, 1, 200) || '...' AS content, lang FROM documents ORDER BY doc_id LIMIT 15 OFFSET 5")
@@ -441,9 +598,12 @@ def pdf_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _read(spark, sf_dir, "benchmark").select("item_id", decoded(F.encode(literal, "ISO-8859-1")).alias("text"))
 
 
-@_query("rpc_session", "SELECT CAST(9 AS BIGINT) AS id, true AS ok, 5 AS results, CAST(count(*) AS BIGINT) AS total FROM benchmark")
+@_query(
+    "rpc_session",
+    f"SELECT CAST(9 AS BIGINT) AS call, true AS ok, rank, content, total FROM (SELECT row_number() OVER (ORDER BY score DESC, CAST(id AS VARCHAR)) AS rank, content, (SELECT count(*) FROM benchmark) AS total FROM (SELECT d.id, d.text AS content, round(CASE WHEN list_sum(d.v) = 0 THEN 0 ELSE {_DOT.format(a='d.v', b='q.w')} / ({_NORM.format(a='d.v')} * {_NORM.format(a='q.w')}) END, 9) AS score FROM (SELECT item_id AS id, text, {_LETTER_SQL} AS v FROM (SELECT item_id, text, lower(text) AS low FROM benchmark)) d, (SELECT {_LETTER_SQL} AS w FROM (SELECT '{_ASKED}' AS low)) q)) WHERE rank <= 5",
+)
 def rpc_session(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tool calls over all benchmark texts: a search and a count."""
+    """Tool calls over all benchmark texts: a search, with what it found in order, and a count."""
     kept = store.DataFrameStore(spark)
     texts = _read(spark, sf_dir, "benchmark").select(F.col("item_id").cast("string").alias("item_id"), F.col("text").alias("content"))
     rows = texts.select(F.col("item_id").alias("id"), "content", empty_metadata().alias("metadata"), LetterEmbedder().column(F.col("content")).alias("embedding"))
@@ -451,4 +611,6 @@ def rpc_session(spark: SparkSession, sf_dir: str) -> DataFrame:
     server = ToolServer(LetterEmbedder(), kept)
     call = lambda i, name, args: server.handle({"jsonrpc": "2.0", "id": i, "method": "tools/call", "params": {"name": name, "arguments": args}})
     asked, counted = call(9, "query", {"query": _ASKED, "top_k": 5}), call(10, "count", {})
-    return spark.createDataFrame([Row(id=asked["id"], ok=asked["error"] is None, results=len(asked["result"]["results"]), total=counted["result"]["total_documents"])], "id long, ok boolean, results int, total long")
+    total = counted["result"]["total_documents"]
+    found = [(asked["id"], asked["error"] is None, rank, hit["content"], total) for rank, hit in enumerate(asked["result"]["results"], 1)]
+    return spark.createDataFrame(found, "call long, ok boolean, rank long, content string, total long")
