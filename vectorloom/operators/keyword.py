@@ -1,36 +1,86 @@
 """Keyword search by BM25 over postings in blocks, and what is done with ranked lists: fusion and diverse choice.
 
-Postings are a Parquet table in folders by the hash of the term, sorted by term, so a query's terms open few folders and few
-row groups. Documents belong to blocks of about BLOCK_DOCS by the hash of their id; for each term and block the index has the
-greatest weight that the term has in any document of the block. A batch of queries is answered in two rounds: each query's
-most promising blocks give it a score that k documents reach, and only blocks whose sum of greatest weights can reach that
-score are scored at all. Common terms are spread over their blocks in every join.
+Documents are counted where they stand: a task closes a block after BLOCK_DOCS documents or BLOCK_POSTINGS postings and writes a
+row for each of its terms, with the documents that have it, how often, and how long they are. These rows are a Parquet table in
+folders by the hash of the term, sorted by term, so a query's terms open few folders and few row groups. For each term and
+block the index has the greatest weight that the term has in any document of the block. A batch of queries is answered in two
+rounds: each query's most promising blocks give it a score that k documents reach, and only blocks whose sum of greatest
+weights can reach that score are scored at all. Common terms are spread over their blocks in every join.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+import re
+from collections import Counter
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from vectorloom.errors import InvalidConfig
 from vectorloom.operators.shared import checkpointed
 
 K1, B = 1.2, 0.75
 BLOCK_DOCS = 1024
+BLOCK_POSTINGS = 1 << 19
 FOLDERS = 64
 FIRST_BLOCKS = 4
 RANK_CONSTANT = 60
 _SLACK = 1e-9
-_WORD = r"[\p{L}\p{N}]+"
+_STATS = -1  # the folder of the rows that count documents and words of a block
+_ROW = "block long, term string, docs long, words long, ids array<{id}>, tfs array<int>, lengths array<int>"
+_find = re.compile(r"[^\W_]+").findall
 
 
-def words(text: Column) -> Column:
+def words_of(text: str | None) -> list[str]:
     """The words of a text in lower case: runs of letters and digits. Null has none."""
-    return F.coalesce(F.regexp_extract_all(F.lower(text), F.lit(f"({_WORD})")), F.array().cast("array<string>"))
+    return _find(text.lower()) if text else []
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def words(texts: pd.Series) -> pd.Series:
+    return texts.map(words_of)
+
+
+def _count(id_type: pa.DataType, block_docs: int, block_postings: int):
+    types = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.list_(id_type), pa.list_(pa.int32()), pa.list_(pa.int32())]
+    names = [c.split()[0] for c in _ROW.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        base, made, docs, total, size, held = TaskContext.get().partitionId() << 33, 0, 0, 0, 0, {}
+
+        def closed() -> pa.RecordBatch:
+            block = base + made
+            rows = [(block, None, docs, total, None, None, None)]
+            rows += [(block, term, None, None, *map(list, zip(*held[term], strict=True))) for term in sorted(held)]
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names)
+
+        for batch in batches:
+            for doc, text in zip(batch.column("id").to_pylist(), batch.column("text"), strict=True):
+                found = words_of(text.as_py())
+                if not found:
+                    continue
+                counts = Counter(found)
+                docs, total, size = docs + 1, total + len(found), size + len(counts)
+                for term, tf in counts.items():
+                    held.setdefault(term, []).append((doc, tf, len(found)))
+                if docs >= block_docs or size >= block_postings:
+                    yield closed()
+                    made, docs, total, size, held = made + 1, 0, 0, 0, {}
+        if docs:
+            yield closed()
+
+    return run
+
+
+def _weight(tf: Column, length: Column, mean: float) -> Column:
+    return tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / F.lit(mean)))
 
 
 class KeywordIndex:
@@ -39,28 +89,25 @@ class KeywordIndex:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
         self.rows, self.mean, self.folders, id_type = spark.read.parquet(f"{path}/corpus").first()
-        self.postings = spark.read.schema(f"term string, block int, id {id_type}, weight double, folder int").parquet(f"{path}/postings")
-        self.maxima = spark.read.schema("term string, block int, most double, n long, folder int").parquet(f"{path}/maxima")
+        self.postings = spark.read.schema(f"{_ROW.format(id=id_type)}, folder int").parquet(f"{path}/postings")
+        self.maxima = spark.read.schema("term string, block long, most double, n long, folder int").parquet(f"{path}/maxima")
 
     @classmethod
-    def build(cls, docs: DataFrame, path: str, id_col: str = "id", text_col: str = "content", block_docs: int = BLOCK_DOCS, folders: int = FOLDERS) -> KeywordIndex:
+    def build(cls, docs: DataFrame, path: str, id_col: str = "id", text_col: str = "content", block_docs: int = BLOCK_DOCS, block_postings: int = BLOCK_POSTINGS, folders: int = FOLDERS) -> KeywordIndex:
         """Index the texts of ``docs``; texts without a word count for nothing and are never found. Ids should differ."""
-        spark = docs.sparkSession
-        texts = docs.select(F.col(id_col).alias("id"), words(F.col(text_col)).alias("words"))
-        texts = texts.withColumn("length", F.size("words").cast("long")).filter("length > 0")
-        n, mean = texts.agg(F.count("*"), F.avg("length")).first()
-        kind = docs.schema[id_col].dataType.simpleString()
-        spark.createDataFrame([(n, mean or 0.0, folders, kind)], "n long, mean double, folders int, id_type string").coalesce(1).write.parquet(f"{path}/corpus")
-        blocks = max(1, -(-n // block_docs))
-        words_of = texts.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).select("id", "length", "block", F.explode("words").alias("term"))
-        counted = words_of.groupBy("id", "length", "block", "term").agg(F.count("*").alias("tf"))
-        weight = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.lit(mean or 1.0)))
-        folder = F.pmod(F.xxhash64("term"), F.lit(folders)).cast("int")
-        rows = counted.select("term", "block", "id", weight.alias("weight"), folder.alias("folder"))
+        spark, kind = docs.sparkSession, docs.schema[id_col].dataType
+        row = _ROW.format(id=kind.simpleString())
+        counted = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(_count(to_arrow_type(kind), block_docs, block_postings), row)
+        folder = F.when(F.col("term").isNull(), _STATS).otherwise(F.pmod(F.xxhash64("term"), F.lit(folders))).cast("int")
+        rows = counted.withColumn("folder", folder)
         rows.hint("rebalance", "folder").sortWithinPartitions("folder", "term", "block").write.partitionBy("folder").parquet(f"{path}/postings")
-        held = spark.read.schema(rows.schema).parquet(f"{path}/postings")
-        most = held.groupBy("term", "block", "folder").agg(F.max("weight").alias("most"), F.count("*").alias("n"))
-        most.hint("rebalance", "folder").sortWithinPartitions("folder", "term").write.partitionBy("folder").parquet(f"{path}/maxima")
+        held = spark.read.schema(f"{row}, folder int").parquet(f"{path}/postings")
+        n, total = (v or 0 for v in held.filter(F.col("folder") == _STATS).agg(F.sum("docs"), F.sum("words")).first())
+        mean = total / n if n else 1.0
+        spark.createDataFrame([(n, mean, folders, kind.simpleString())], "n long, mean double, folders int, id_type string").coalesce(1).write.parquet(f"{path}/corpus")
+        most = F.array_max(F.zip_with("tfs", "lengths", lambda tf, length: _weight(tf, length, mean)))
+        maxima = held.filter(F.col("folder") != _STATS).select("term", "block", most.alias("most"), F.size("ids").cast("long").alias("n"), "folder")
+        maxima.hint("rebalance", "folder").sortWithinPartitions("folder", "term").write.partitionBy("folder").parquet(f"{path}/maxima")
         return cls(spark, path)
 
     def _asked(self, queries: DataFrame) -> tuple[DataFrame, list[int]]:
@@ -77,8 +124,10 @@ class KeywordIndex:
     def _scored(self, asked: DataFrame, opened: list[int], pairs: DataFrame) -> DataFrame:
         """(query_id, id, score) of all documents in pairs of (query_id, block) that have a term of the query."""
         wanted = pairs.join(asked, "query_id")
-        held = self.postings.filter(F.col("folder").isin(opened))
-        return held.join(wanted, ["term", "folder", "block"]).groupBy("query_id", "id").agg(F.sum(F.col("asked") * F.col("weight")).alias("score"))
+        held = self.postings.filter(F.col("folder").isin(opened)).select("term", "folder", "block", "ids", "tfs", "lengths")
+        found = held.join(wanted, ["term", "folder", "block"]).select("query_id", "asked", F.explode(F.arrays_zip("ids", "tfs", "lengths")).alias("p"))
+        part = F.col("asked") * _weight(F.col("p.tfs"), F.col("p.lengths"), self.mean)
+        return found.groupBy("query_id", F.col("p.ids").alias("id")).agg(F.sum(part).alias("score"))
 
     def reach(self, queries: DataFrame, k: int) -> tuple[DataFrame, DataFrame, list[int]]:
         """Blocks (query_id, block, bound, floor, open) with a term of the query, where ``open`` says that they may hold one of the k
