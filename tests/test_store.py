@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from vectorloom.errors import DocumentNotFound, EmbeddingError, InvalidConfig
 from vectorloom.functions.metadata import MetadataFilter
 from vectorloom.operators import search
+from vectorloom.operators import store as store_module
 from vectorloom.operators.store import DataFrameStore, FlatIndex
 from vectorloom.types import DOCUMENT
 from vectorloom.types import DistanceMetric as M
@@ -207,6 +208,24 @@ def test_a_saved_array_is_read_by_several_tasks_in_order(spark, tmp_path):
     assert json.load(open(tmp_path / "none.json")) == [] and DataFrameStore.load_from_file(spark, str(tmp_path / "none.json")).count() == 0
 
 
+def test_deep_pages_open_their_part_only(spark, monkeypatch):
+    monkeypatch.setattr(store_module, "PAGED", 5)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        store = filled(spark, [doc(f"{i * 7 % 500:03}", None, f"text {i}") for i in range(500)])
+        order = [f"{i * 7 % 500:03}" for i in range(500)]
+        for limit, offset in ((5, 0), (9, 0), (10, 120), (300, 100), (20, 490), (5, 500), (0, 30)):
+            assert ids(store.list(limit, offset)) == order[offset : offset + limit]
+        page = store.list(4, 251)
+        plan = page._jdf.queryExecution().executedPlan().toString()
+        assert "TakeOrderedAndProject" in plan and "Exchange" not in plan
+        assert page.select(F.input_file_name()).distinct().count() == 1 < store._listing._rows.select(F.input_file_name()).distinct().count()
+        store.delete("007")
+        assert ids(store.list(9, 0)) == [i for i in order if i != "007"][:9]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
 def test_index(spark):
     index = FlatIndex(spark, M.EUCLIDEAN, capacity=10)
     for d in [doc("A", [0.0, 0.0, 0.0]), doc("B", [0.1, 0.1, 0.1]), doc("C", [10.0, 10.0, 10.0])]:

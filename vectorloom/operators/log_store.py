@@ -1,7 +1,8 @@
 """A document store as a log of changes over a base, in files that all executors share.
 
 Rows live in buckets by the hash of their id. A change appends a segment: the new rows, or tombstones for ids that go, in the
-folders of their buckets and nothing else, so it costs what it brings and not what is there. Reading merges: base rows whose
+folders of their buckets and nothing else, so it costs what it brings and not what is there. Of rows that repeat an id within a
+change the last counts; that too is settled when they are read. Reading merges: base rows whose
 id no later segment has, and of the rest the last version that is not a tombstone. :meth:`compact` writes the merged rows of
 the buckets that changed as new base rows and leaves the other buckets' files as they are.
 
@@ -18,7 +19,7 @@ import threading
 from collections.abc import Iterable
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from vectorloom.errors import InvalidConfig
@@ -92,7 +93,7 @@ class LogStore(VectorStore):
         """``rows`` (of _ROW) as a segment; large buckets become several files, small ones share a task."""
         number = random.getrandbits(62)
         target = f"{self.path}/rows/segment={number}"
-        rows.withColumn("bucket", self._bucket(F.col("id"))).hint("rebalance", "bucket").write.partitionBy("bucket").parquet(target)
+        rows.withColumn("bucket", self._bucket(F.col("id"))).hint("rebalance", "bucket").write.partitionBy("bucket").option("compression", "zstd").parquet(target)
         counts = self.spark.read.schema(f"{_ROW}, bucket int").parquet(target).groupBy("bucket").count().collect()  # a row a bucket
         return Segment(number, version, base, sorted(r["bucket"] for r in counts), sum(r["count"] for r in counts), self.buckets)
 
@@ -144,12 +145,14 @@ class LogStore(VectorStore):
     def _append(self, new: DataFrame) -> None:
         with self._lock:
             segments, version = self._segments(), self.version() + 1
-            last = Window.partitionBy("id").orderBy(F.desc("seq"))
-            new = new.withColumn("_n", F.row_number().over(last)).filter("_n = 1").withColumn("version", F.lit(version).cast("long"))
+            new = new.withColumn("version", F.lit(version).cast("long"))
             segment = self._written(new.select(*[c.split()[0] for c in _ROW.split(", ")]), version, False)
+            if not any(s.buckets for s in segments):  # a first load whose ids differ is a base as it is
+                ids = self._rows([segment]).groupBy("id").count()
+                segment = segment._replace(base=ids.filter("count > 1").isEmpty())
             if segment.n:
                 self._commit(version, [*segments, segment])
-            if sum(not s.base for s in segments) + 1 >= self.compact_after:
+            if sum(not s.base for s in [*segments, segment]) >= self.compact_after:
                 self.compact()
 
     def delete(self, id: str) -> bool:

@@ -22,11 +22,12 @@ from vectorloom.errors import InvalidConfig
 from vectorloom.functions.metadata import MetadataFilter
 from vectorloom.functions.vectors import cosine_similarity  # noqa: F401
 from vectorloom.operators import search
-from vectorloom.operators.shared import checkpointed
+from vectorloom.operators.shared import checkpointed, shared_path
 from vectorloom.types import DOCUMENT, SAVED, DistanceMetric
 
 CHECKPOINT_EVERY = 8
-_SEQ = "_seq"
+PAGED = 10_000  # rows from the start that a page may reach to without a listing
+_SEQ, _PART, _PLACE = "_seq", "_part", "_place"
 ONE_A_LINE = "[\t\n"  # how an array begins that has one element a line
 
 
@@ -67,6 +68,32 @@ class VectorStore(ABC):
     def count(self) -> int: ...
 
 
+class Listing:
+    """Rows in an order, written as parts by range, with the number of rows before each part."""
+
+    def __init__(self, rows: DataFrame, order: list[str], path: str):
+        self._columns, spark = rows.columns, rows.sparkSession
+        place = F.monotonically_increasing_id()
+        placed = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumns({_PART: F.shiftright(place, 33), _PLACE: place.bitwiseAND(F.lit((1 << 33) - 1))})
+        placed.write.partitionBy(_PART).parquet(path)
+        self._rows = spark.read.schema(placed.schema).parquet(path)
+        self._starts, self.total = [], 0
+        for part, n in sorted(tuple(r) for r in self._rows.groupBy(_PART).count().collect()):  # a row a part
+            self._starts.append((part, self.total, n))
+            self.total += n
+
+    def page(self, limit: int, offset: int) -> DataFrame:
+        """``limit`` rows from the ``offset``-th on, in order: of the other parts no file is opened, and of these only the row
+        groups that hold such places.
+        """
+        here = F.lit(False)
+        for part, start, n in self._starts:
+            first, last = max(0, offset - start), min(n, offset + limit - start)
+            if first < last:
+                here = here | ((F.col(_PART) == part) & (F.col(_PLACE) >= first) & (F.col(_PLACE) < last))
+        return self._rows.filter(here).orderBy(_PART, _PLACE).limit(limit).select(*self._columns)
+
+
 class DataFrameStore(VectorStore):
     """A store whose rows are a DataFrame. The metric is chosen when the store is made."""
 
@@ -76,13 +103,13 @@ class DataFrameStore(VectorStore):
 
     def _empty(self) -> None:
         self._rows = self.spark.createDataFrame([], DOCUMENT).withColumn(_SEQ, F.lit(0).cast("long"))
-        self._next, self._changes = 0, 0
+        self._next, self._changes, self._listing = 0, 0, None
 
     def _swap(self, rows: DataFrame) -> None:
         self._changes += 1
         if self._changes % CHECKPOINT_EVERY == 0:
             rows = checkpointed(rows)
-        self._rows = rows
+        self._rows, self._listing = rows, None
 
     @property
     def metric(self) -> DistanceMetric:
@@ -146,10 +173,17 @@ class DataFrameStore(VectorStore):
             self._empty()
 
     def list(self, limit: int, offset: int = 0) -> DataFrame:
-        """A page in order of insertion, then id."""
+        """A page in order of insertion, then id. The first PAGED rows come from a top-k; for a deeper page the rows are listed
+        once, and each page then opens the parts of the listing it lies in.
+        """
         if limit < 0 or offset < 0:
             raise InvalidConfig("limit and offset must not be negative")
-        return self._rows.orderBy(_SEQ, "id").offset(offset).limit(limit).drop(_SEQ)
+        if offset + limit <= PAGED:
+            return self._rows.orderBy(_SEQ, "id").offset(offset).limit(limit).drop(_SEQ)
+        with self._lock:
+            if self._listing is None:
+                self._listing = Listing(self._rows, [_SEQ, "id"], shared_path(self.spark, "listing"))
+            return self._listing.page(limit, offset).drop(_SEQ)
 
     def count(self) -> int:
         return self._rows.count()
@@ -199,7 +233,7 @@ class DataFrameStore(VectorStore):
     @classmethod
     def load_parquet(cls, spark: SparkSession, path: str, metric: DistanceMetric = DistanceMetric.COSINE) -> DataFrameStore:
         store = cls(spark, metric)
-        store._rows = spark.read.parquet(path)
+        store._swap(spark.read.parquet(path))
         store._next = (store._rows.agg(F.max(_SEQ)).first()[0] or 0) + 1
         return store
 

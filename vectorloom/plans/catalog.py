@@ -383,6 +383,14 @@ def store_list_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _loaded(spark, sf_dir).list(10, 20).select("id")
 
 
+@_query("store_list_deep", "SELECT CAST(doc_id AS VARCHAR) AS id, md5(text) AS content FROM documents ORDER BY doc_id LIMIT 10 OFFSET (SELECT count(*) * 9 // 10 FROM documents)")
+def store_list_deep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page after nine tenths of all documents, from a listing of which it opens one part."""
+    s = _loaded(spark, sf_dir)
+    listing = store.Listing(s.frame.withColumn("number", F.col("id").cast("long")), ["number"], shared_path(spark, "listing"))
+    return listing.page(10, listing.total * 9 // 10).select("id", F.md5("content").alias("content"))
+
+
 @_query("metadata_filter_and", "SELECT doc_id AS id FROM documents WHERE lang = 'en' AND source = 'src1'")
 def metadata_filter_and(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _texts(spark, sf_dir).filter(MetadataFilter().add("lang", "en").add("source", "src1").matches(F.col("metadata"))).select("id")
