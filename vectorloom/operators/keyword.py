@@ -4,12 +4,14 @@ Documents are counted where they stand: a task closes a block after BLOCK_DOCS d
 row for each of its terms, with the documents that have it, how often, and how long they are. These rows are a Parquet table in
 folders by the hash of the term, sorted by term, so a query's terms open few folders and few row groups. For each term and
 block the index has the greatest weight that the term has in any document of the block. A batch of queries is answered in two
-rounds: each query's most promising blocks give it a score that k documents reach, and only blocks whose sum of greatest
-weights can reach that score are scored at all. Common terms are spread over their blocks in every join.
+rounds: each query's most promising block gives it a score that k documents reach, and only blocks whose sum of greatest
+weights can reach some query's score are gathered and scored. A block of documents is one task's work at a time, for all queries
+at once; a task keeps the k best of each query from block to block and skips the queries that a block has nothing for.
 """
 
 from __future__ import annotations
 
+import heapq
 import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
@@ -30,7 +32,7 @@ K1, B = 1.2, 0.75
 BLOCK_DOCS = 1024
 BLOCK_POSTINGS = 1 << 19
 FOLDERS = 64
-FIRST_BLOCKS = 4
+ASKED_ROWS = 1_000_000  # terms of the queries that every task gets at once
 RANK_CONSTANT = 60
 _SLACK = 1e-9
 _STATS = -1  # the folder of the rows that count documents and words of a block
@@ -88,8 +90,8 @@ class KeywordIndex:
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
-        self.rows, self.mean, self.folders, id_type = spark.read.parquet(f"{path}/corpus").first()
-        self.postings = spark.read.schema(f"{_ROW.format(id=id_type)}, folder int").parquet(f"{path}/postings")
+        self.rows, self.mean, self.folders, self._id = spark.read.parquet(f"{path}/corpus").first()
+        self.postings = spark.read.schema(f"{_ROW.format(id=self._id)}, folder int").parquet(f"{path}/postings")
         self.maxima = spark.read.schema("term string, block long, most double, n long, folder int").parquet(f"{path}/maxima")
 
     @classmethod
@@ -110,55 +112,161 @@ class KeywordIndex:
         maxima.hint("rebalance", "folder").sortWithinPartitions("folder", "term").write.partitionBy("folder").parquet(f"{path}/maxima")
         return cls(spark, path)
 
-    def _asked(self, queries: DataFrame) -> tuple[DataFrame, list[int]]:
-        """(query_id, term, idf-weighted times) of the terms that there are, and the folders they are in."""
+    def _asked(self, queries: DataFrame) -> DataFrame:
+        """(query_id, term, folder, asked) of the terms that there are; ``asked`` is idf times occurrences in the query."""
         terms = queries.select("query_id", F.explode(words(F.col("query_text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
-        folders = F.pmod(F.xxhash64("term"), F.lit(self.folders)).cast("int")
-        terms = checkpointed(terms.withColumn("folder", folders))
-        opened = sorted(r[0] for r in terms.select("folder").distinct().collect())  # as many as there are folders at most
-        found = self.maxima.filter(F.col("folder").isin(opened)).join(terms.select("term", "folder").distinct(), ["term", "folder"], "left_semi")
+        terms = checkpointed(terms.withColumn("folder", F.pmod(F.xxhash64("term"), F.lit(self.folders)).cast("int")))
+        found = self._of(self.maxima, terms).join(terms.select("term", "folder").distinct(), ["term", "folder"], "left_semi")
         df = found.groupBy("term").agg(F.sum("n").alias("df"))
         idf = F.log(1 + (F.lit(self.rows) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-        return checkpointed(terms.join(df, "term").select("query_id", "term", "folder", (F.col("times") * idf).alias("asked"))), opened
-
-    def _scored(self, asked: DataFrame, opened: list[int], pairs: DataFrame) -> DataFrame:
-        """(query_id, id, score) of all documents in pairs of (query_id, block) that have a term of the query."""
-        wanted = pairs.join(asked, "query_id")
-        held = self.postings.filter(F.col("folder").isin(opened)).select("term", "folder", "block", "ids", "tfs", "lengths")
-        found = held.join(wanted, ["term", "folder", "block"]).select("query_id", "asked", F.explode(F.arrays_zip("ids", "tfs", "lengths")).alias("p"))
-        part = F.col("asked") * _weight(F.col("p.tfs"), F.col("p.lengths"), self.mean)
-        return found.groupBy("query_id", F.col("p.ids").alias("id")).agg(F.sum(part).alias("score"))
-
-    def reach(self, queries: DataFrame, k: int) -> tuple[DataFrame, DataFrame, list[int]]:
-        """Blocks (query_id, block, bound, floor, open) with a term of the query, where ``open`` says that they may hold one of the k
-        best; the weights of the query's terms; and the folders these are in.
-        """
-        asked, opened = self._asked(queries)
-        held = self.maxima.filter(F.col("folder").isin(opened)).join(asked, ["term", "folder"])
-        bounds = checkpointed(held.groupBy("query_id", "block").agg(F.sum(F.col("asked") * F.col("most")).alias("bound")))
-        best = Window.partitionBy("query_id").orderBy(F.desc("bound"), "block")
-        first = bounds.withColumn("place", F.row_number().over(best)).filter(F.col("place") <= FIRST_BLOCKS)
-        ranked = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-        kth = self._scored(asked, opened, first.select("query_id", "block")).withColumn("rank", F.row_number().over(ranked)).filter(F.col("rank") == k)
-        floors = kth.select("query_id", (F.col("score") * (1 - _SLACK)).alias("floor"))
-        return bounds.join(floors, "query_id", "left").withColumn("open", F.col("bound") >= F.coalesce("floor", F.lit(0.0))), asked, opened
+        return checkpointed(terms.join(df, "term").select("query_id", "term", "folder", (F.col("times") * idf).alias("asked")))
+
+    def _of(self, rows: DataFrame, asked: DataFrame) -> DataFrame:
+        """The rows of folders that have a term that is asked for; other folders are not opened."""
+        opened = sorted(r[0] for r in asked.select("folder").distinct().collect())  # as many as there are folders at most
+        return rows.filter(F.col("folder").isin(opened))
+
+    def _parts(self, queries: DataFrame) -> Iterator[tuple[DataFrame, list, dict[str, list[tuple[int, float]]]]]:
+        """The batch in parts whose terms every task can hold: the part's terms, its query ids, and by term (query, asked)."""
+        asked = self._asked(queries)
+        n = max(1, -(-asked.count() // ASKED_ROWS))
+        for i in range(n):
+            part = asked if n == 1 else asked.filter(F.pmod(F.xxhash64("query_id"), F.lit(n)) == i)
+            names, terms = {}, {}
+            for r in part.orderBy("query_id", "term").collect():
+                terms.setdefault(r["term"], []).append((names.setdefault(r["query_id"], len(names)), r["asked"]))
+            if names:
+                yield part, list(names), terms
+
+    def _blocks_of(self, rows: DataFrame, part: DataFrame) -> DataFrame:
+        """The part's rows of ``rows``, block by block within a task."""
+        here = self._of(rows, part).join(part.select("term", "folder").distinct(), ["term", "folder"], "left_semi").drop("folder")
+        return here.repartition("block").sortWithinPartitions("block", "term")
+
+    def open_blocks(self, part: DataFrame, names: list, terms: dict, k: int) -> tuple[DataFrame, list[float]]:
+        """(block) where a document of the k best of some query may be, and for each query a score that k documents reach."""
+        maxima = self._blocks_of(self.maxima, part)
+        tops = maxima.mapInPandas(_best_blocks(terms, len(names)), "query long, bound double, block long")
+        first = tops.groupBy("query").agg(F.max_by("block", F.struct("bound", "block")).alias("block")).collect()  # one row a query
+        wanted: dict[int, set[int]] = {}
+        for r in first:
+            wanted.setdefault(r["block"], set()).add(r["query"])
+        chosen = self.postings.filter(F.col("block").isin(list(wanted)))
+        start = self._blocks_of(chosen, part).mapInPandas(_scores_of_blocks(terms, len(names), k, self.mean, wanted=wanted), f"query long, id {self._id}, score double")
+        reached = start.groupBy("query").agg(F.min("score").alias("score"), F.count("*").alias("n")).filter(F.col("n") == k).collect()
+        floors = [0.0] * len(names)
+        for r in reached:
+            floors[r["query"]] = r["score"] * (1 - _SLACK)
+        return maxima.mapInPandas(_blocks_in_reach(terms, floors), "block long"), floors
 
     def search_batch(self, queries: DataFrame, k: int) -> DataFrame:
         """(query_id, id, score, rank): the k best documents for each row of ``queries`` (``query_id``, ``query_text``) that have
-        one of its words; equal scores by id.
+        one of its words; equal scores by id. Query ids must differ.
         """
         if k < 1:
             raise InvalidConfig(f"k must be at least 1, got {k}")
-        blocks, asked, opened = self.reach(queries, k)
-        scored = self._scored(asked, opened, blocks.filter("open").select("query_id", "block"))
+        kind = queries.schema["query_id"].dataType.simpleString()
+        found = self.spark.createDataFrame([], f"query_id {kind}, id {self._id}, score double")
+        for part, names, terms in self._parts(queries):
+            blocks, floors = self.open_blocks(part, names, terms, k)
+            held = self.postings.join(checkpointed(blocks), "block", "left_semi")
+            best = self._blocks_of(held, part).mapInPandas(_scores_of_blocks(terms, len(names), k, self.mean, floors), f"query long, id {self._id}, score double")
+            numbers = self.spark.createDataFrame(list(enumerate(names)), f"query long, query_id {kind}")
+            found = found.unionByName(best.join(F.broadcast(numbers), "query").select("query_id", "id", "score"))  # a row a query of the part
         best = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-        return scored.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
+        return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
 
     def search(self, text: str, k: int) -> DataFrame:
         """(id, score, rank) for one query."""
         return self.search_batch(self.spark.createDataFrame([(0, text)], "query_id long, query_text string"), k).drop("query_id")
 
 
+def _by_block(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[int, pd.DataFrame]]:
+    """The rows of each block, which stand together but may begin in one batch and end in another."""
+    held: list[pd.DataFrame] = []
+    for batch in batches:
+        for block, rows in batch.groupby("block", sort=False):
+            if held and held[0]["block"].iloc[0] != block:
+                yield held[0]["block"].iloc[0], pd.concat(held)
+                held = []
+            held.append(rows)
+    if held:
+        yield held[0]["block"].iloc[0], pd.concat(held)
+
+
+def _bounds(terms: dict, n: int, names: Iterable[str], most: Iterable[float]) -> np.ndarray:
+    """What no document of a block scores above, for each query."""
+    out = np.zeros(n)
+    for term, highest in zip(names, most, strict=True):
+        for query, asked in terms[term]:
+            out[query] += asked * highest
+    return out
+
+
+def _best_blocks(terms: dict, n: int):
+    """Of each query the block of a task with the highest bound."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        best, where = np.zeros(n), np.zeros(n, np.int64)
+        for block, rows in _by_block(batches):
+            bounds = _bounds(terms, n, rows["term"], rows["most"])
+            higher = bounds > best
+            best[higher], where[higher] = bounds[higher], block
+        some = np.flatnonzero(best)
+        yield pd.DataFrame({"query": some, "bound": best[some], "block": where[some]})
+
+    return run
+
+
+def _blocks_in_reach(terms: dict, floors: list[float]):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        least = np.array(floors)
+        for block, rows in _by_block(batches):
+            bounds = _bounds(terms, len(floors), rows["term"], rows["most"])
+            if ((bounds >= least) & (bounds > 0)).any():
+                yield pd.DataFrame({"block": [block]})
+
+    return run
+
+
+def _scores_of_blocks(terms: dict, n: int, k: int, mean: float, floors: list[float] | None = None, wanted: dict[int, set[int]] | None = None):
+    """The k best documents a task has for each query; ``wanted`` names the queries of each block (None: all of all)."""
+    by_query: list[list[tuple[str, float]]] = [[] for _ in range(n)]
+    for term, asked in terms.items():
+        for query, weight in asked:
+            by_query[query].append((term, weight))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        best: list[list[tuple]] = [[] for _ in range(n)]
+        least = list(floors or [0.0] * n)
+        for block, rows in _by_block(batches):
+            counts = rows["ids"].str.len().to_numpy()
+            places, ids = pd.factorize(np.concatenate(rows["ids"].to_numpy()))
+            tf, length = (np.concatenate(rows[c].to_numpy()).astype(np.float64) for c in ("tfs", "lengths"))
+            weight = tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / mean))
+            ends = np.cumsum(counts)
+            held = {t: (places[e - c : e], weight[e - c : e]) for t, c, e in zip(rows["term"], counts, ends, strict=True)}
+            bounds = _bounds(terms, n, held, (w.max() for _, w in held.values()))
+            for query in sorted(wanted[block]) if wanted is not None else range(n):
+                if bounds[query] * (1 + _SLACK) < least[query] or not bounds[query]:
+                    continue
+                scores = np.zeros(len(ids))
+                for term, asked in by_query[query]:
+                    if term in held:
+                        at, w = held[term]
+                        scores[at] += asked * w
+                some = np.flatnonzero((scores >= least[query]) & (scores > 0))
+                if len(some) > k:
+                    some = some[scores[some] >= np.partition(scores[some], len(some) - k)[len(some) - k]]
+                best[query] = heapq.nsmallest(k, best[query] + list(zip((-scores[some]).tolist(), ids[some].tolist(), strict=True)))
+                if len(best[query]) == k:
+                    least[query] = max(least[query], -best[query][-1][0])
+        found = [(query, doc, -score) for query, rows in enumerate(best) for score, doc in rows]
+        yield pd.DataFrame(found, columns=["query", "id", "score"])
+
+    return run
+
+
 def fused(lists: Iterable[DataFrame], k: int, constant: int = RANK_CONSTANT) -> DataFrame:
     """(query_id, id, score, rank): the k best of several ranked lists (query_id, id, rank) by reciprocal ranks, 1 / (constant +
     rank) summed over the lists that have the row.
