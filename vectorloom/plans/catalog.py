@@ -11,11 +11,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from vectorloom.functions import tables
 from vectorloom.functions.chunkers import FixedSizeChunker, ParagraphChunker, SentenceChunker
 from vectorloom.functions.metadata import MetadataFilter, any_value_contains, preview
 from vectorloom.functions.vectors import l2_normalize, norm, validate_dimensions
 from vectorloom.operators import keyword, search, store
 from vectorloom.operators.embedders import LETTERS, ByteEmbedder, LetterEmbedder
+from vectorloom.operators.graph import NeighbourGraph
 from vectorloom.operators.ivf import InvertedLists
 from vectorloom.operators.keyword import KeywordIndex
 from vectorloom.operators.log_store import LogStore
@@ -214,6 +216,14 @@ def knn_lists_probed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.search_batch(asked, 10, index.probes_for(), WIDE)
 
 
+@_query("knn_graph")
+def knn_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Approximate neighbours by walks over a neighbour graph. Its recall is measured in the tests."""
+    v = _vectors(spark, sf_dir)
+    asked = v.filter("id % 20 = 0").select(F.col("id").alias("query_id"), F.col("embedding").alias("query_vec"))
+    return NeighbourGraph.build(v, shared_path(spark, "graph")).search_batch(asked, 10, kind=WIDE)
+
+
 def _sql_batch_ids(metric: str, k: int) -> str:
     pairs = f"SELECT q.vec_id AS query_id, CAST(e.vec_id AS VARCHAR) AS id, {_sim(metric)} AS score FROM embeddings e, embeddings q WHERE q.vec_id % 20 = 0"
     return f"SELECT query_id, id, CAST(rank AS INTEGER) AS rank, round(score, 3) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM ({pairs})) WHERE rank <= {k}"
@@ -296,6 +306,15 @@ def chunk_sentence_5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _chunked(_read(spark, sf_dir, "documents").select("doc_id", "text"), SentenceChunker())
 
 
+@_query("chunk_rows_sql", _sql_fixed(50, 10))
+def chunk_rows_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same windows by a table function, asked for in SQL."""
+    tables.register(spark)
+    _read(spark, sf_dir, "documents").createOrReplaceTempView("documents_to_chunk")
+    call = "chunk_rows(TABLE(SELECT doc_id, text FROM documents_to_chunk) PARTITION BY (doc_id), 'words', 50, 10)"
+    return spark.sql(f"SELECT doc_id, CAST(pos AS BIGINT) AS pos, chunk FROM {call}")
+
+
 @_query("chunk_counts_by_lang", f"SELECT lang, count(*) AS chunks FROM ({_sql_fixed(500, 50)}) c JOIN documents USING (doc_id) GROUP BY lang")
 def chunk_counts_by_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = _read(spark, sf_dir, "documents").select("lang", F.size(FixedSizeChunker().chunks(F.col("text"))).alias("n"))
