@@ -141,7 +141,8 @@ class KeywordIndex:
     def _blocks_of(self, rows: DataFrame, part: DataFrame) -> DataFrame:
         """The part's rows of ``rows``, block by block within a task."""
         here = self._of(rows, part).join(part.select("term", "folder").distinct(), ["term", "folder"], "left_semi").drop("folder")
-        return here.repartition("block").sortWithinPartitions("block", "term")
+        tasks = int(self.spark.conf.get("spark.sql.shuffle.partitions"))  # named, or a later rule may deal the rows otherwise
+        return here.repartition(tasks, "block").sortWithinPartitions("block", "term")
 
     def open_blocks(self, part: DataFrame, names: list, terms: dict, k: int) -> tuple[DataFrame, list[float]]:
         """(block) where a document of the k best of some query may be, and for each query a score that k documents reach."""

@@ -74,7 +74,8 @@ class Listing:
     def __init__(self, rows: DataFrame, order: list[str], path: str):
         self._columns, spark = rows.columns, rows.sparkSession
         place = F.monotonically_increasing_id()
-        placed = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumns({_PART: F.shiftright(place, 33), _PLACE: place.bitwiseAND(F.lit((1 << 33) - 1))})
+        tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        placed = rows.repartitionByRange(tasks, *order).sortWithinPartitions(*order).withColumns({_PART: F.shiftright(place, 33), _PLACE: place.bitwiseAND(F.lit((1 << 33) - 1))})
         placed.write.partitionBy(_PART).parquet(path)
         self._rows = spark.read.schema(placed.schema).parquet(path)
         self._starts, self.total = [], 0
