@@ -4,7 +4,9 @@ import gzip
 import hashlib
 import itertools
 import lzma
+import random
 import re
+import time
 import zlib
 from collections import defaultdict
 from urllib.parse import quote
@@ -484,3 +486,13 @@ def test_curve_without_its_fold(spark):
     told = [x for x in labels if zlib.crc32(str(x[0]).encode()) % 4 < 2]
     got = {r["doc_id"]: r["predicted"] for r in collect(toxicity.score_documents(frame(spark, rows), spark.createDataFrame(told, "doc_id long, quality int, toxic int")))}
     assert np.mean([got[i] == int(i % 5 == 0) for i in got]) > 0.95
+
+
+def test_long_blocks_of_base64_lines_take_time_in_proportion():
+    """A block of base64 lines is one window; where it begins is found without reading what stands above once a line."""
+    raw = base64.encodebytes(random.Random(1).randbytes(6_000_000)).decode()
+    pieces = [raw[i : i + (1 << 20)].encode() for i in range(0, len(raw), 1 << 20)]
+    began = time.process_time()
+    assert list(secrets._windows(iter(pieces))) == [raw]
+    assert time.process_time() - began < 20  # it was minutes
+    assert secrets._unit_start("a b " + raw, 3 + len(raw)) == 4 and secrets._unit_start("word", 4) == 0 and secrets._unit_start("x\ny", 3) == 2

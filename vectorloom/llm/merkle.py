@@ -52,7 +52,8 @@ def numbered(rows: DataFrame, order: Sequence[Column]) -> DataFrame:
 
     One sort by range; the driver sees one count per task. ``order`` should tell rows apart, as far as they differ.
     """
-    ranged = cut(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id()))
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # named, or a later rule may deal the rows otherwise
+    ranged = cut(rows.repartitionByRange(tasks, *order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id()))
     task, place = F.shiftright("_id", 33), F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))
     starts, total = [], 0
     for part, n in sorted(tuple(r) for r in ranged.groupBy(task.alias("part")).count().collect()):

@@ -116,15 +116,29 @@ def _inflate(data: bytes) -> Iterator[bytes]:
         pass
 
 
+def _word_start(text: str, at: int) -> int:
+    """Where the run without white space that ends at a place begins: looked for near to it first, so that it costs its length."""
+    size = 256
+    while True:
+        low = max(0, at - size)
+        last = max(text.rfind(c, low, at) for c in " \t\n\r")
+        if last >= 0 or not low:
+            return last + 1
+        size *= 2
+
+
 def _unit_start(text: str, at: int) -> int:
     """Where the word at a place begins, or the lines of base64 that it goes on."""
     while at:
-        begin = max(text.rfind(c, 0, at) for c in " \t\n\r") + 1
-        above = text[:begin].rstrip(" \t\r\n") if begin and text[begin - 1] in "\n\r" else ""
-        last = max(above.rfind(c) for c in " \t\n\r") + 1
-        if not above or not _BASE64_LINE.fullmatch(above, last):
+        begin = _word_start(text, at)
+        if not begin or text[begin - 1] not in "\n\r":
+            return begin
+        above = begin
+        while above and text[above - 1] in " \t\r\n":
+            above -= 1
+        if not above or not _BASE64_LINE.fullmatch(text, _word_start(text, above), above):
             return begin
-        at = len(above)
+        at = above
     return 0
 
 
