@@ -170,7 +170,8 @@ class KeywordIndex:
         found = self.spark.createDataFrame([], f"query_id {kind}, id {self._id}, score double")
         for part, names, terms in self._parts(queries):
             blocks, floors = self.open_blocks(part, names, terms, k)
-            held = self.postings.join(checkpointed(blocks), "block", "left_semi")
+            # written before its blocks are brought together: over joins the planner may take another dealing for that by block
+            held = checkpointed(self._of(self.postings, part).join(checkpointed(blocks), "block", "left_semi"))
             best = self._blocks_of(held, part).mapInPandas(_scores_of_blocks(terms, len(names), k, self.mean, floors), f"query long, id {self._id}, score double")
             numbers = self.spark.createDataFrame(list(enumerate(names)), f"query long, query_id {kind}")
             found = found.unionByName(best.join(F.broadcast(numbers), "query").select("query_id", "id", "score"))  # a row a query of the part
