@@ -5,12 +5,10 @@ from collections import Counter
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from vectorloom.errors import InvalidConfig
 from vectorloom.operators import keyword
 from vectorloom.operators.keyword import B, K1, KeywordIndex, diverse, fused
-from vectorloom.operators.shared import checkpointed
 
 WORDS = [a + b for a in ("ka", "lo", "mi", "nu", "pe") for b in ("ra", "st", "ü", "9", "x")]
 
@@ -51,11 +49,12 @@ def test_search_and_pruning(spark, tmp_path, monkeypatch):
         assert {(r["query_id"], r["rank"], r["id"]) for r in index.search_batch(queries, 5).collect()} == {(q, n + 1, i) for q, text in enumerate(asked) for n, (i, _) in enumerate(plain(docs, text, 5))}
     one = spark.createDataFrame([(0, "alpha kara lost beta")], "query_id long, query_text string")
     (part, names, terms), *_ = index._parts(one)
-    blocks, floors = index.open_blocks(part, names, terms, 1)
-    assert floors[0] > 0 and blocks.count() < index.maxima.select("block").distinct().count() / 10  # most blocks are never scored
-    all_parts = next(index._parts(queries))[0]
-    dealt = index._blocks_of(index.postings.join(checkpointed(index.maxima.select("block").distinct()), "block", "left_semi"), all_parts).select("block", F.spark_partition_id())
-    assert dealt.distinct().count() == dealt.select("block").distinct().count()  # a block is whole in its task
+    blocks, floors = index.blocks_in_reach(part, names, terms, 1)
+    assert floors[0] > 0 and blocks.count() < index.blocks.count() / 10  # most blocks are never scored
+    assert index.opened(blocks).count() == blocks.count()
+    with monkeypatch.context() as m:
+        m.setattr(keyword, "BROADCAST_BLOCKS", 0)  # a list of blocks too long to broadcast
+        assert {(r["query_id"], r["rank"], r["id"]) for r in index.search_batch(queries, 5).collect()} == {(q, n + 1, i) for q, text in enumerate(asked) for n, (i, _) in enumerate(plain(docs, text, 5))}
     assert [r["id"] for r in index.search("kara", 3).orderBy("rank").collect()] == [i for i, _ in plain(docs, "kara", 3)]
     with pytest.raises(InvalidConfig):
         index.search("x", 0)

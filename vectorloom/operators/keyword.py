@@ -1,12 +1,14 @@
-"""Keyword search by BM25 over postings in blocks, and what is done with ranked lists: fusion and diverse choice.
-
-Documents are counted where they stand: a task closes a block after BLOCK_DOCS documents or BLOCK_POSTINGS postings and writes a
-row for each of its terms, with the documents that have it, how often, and how long they are. These rows are a Parquet table in
-folders by the hash of the term, sorted by term, so a query's terms open few folders and few row groups. For each term and
-block the index has the greatest weight that the term has in any document of the block. A batch of queries is answered in two
-rounds: each query's most promising block gives it a score that k documents reach, and only blocks whose sum of greatest
-weights can reach some query's score are gathered and scored. A block of documents is one task's work at a time, for all queries
-at once; a task keeps the k best of each query from block to block and skips the queries that a block has nothing for.
+"""Keyword search by BM25 over blocks of documents, and what is done with ranked lists: fusion and diverse choice.
+
+Documents are indexed where they stand, without a shuffle: a task closes a block after BLOCK_DOCS documents or BLOCK_POSTINGS
+postings and writes it as one row: ids and lengths of its documents, its terms in order, and by term the places of the documents
+that have it and how often they do. Beside these stands a Parquet table in folders by the hash of the term, sorted by term, with a
+row for each term and block: the greatest weight of the term in the block and how many documents have it there. A query's terms
+open few folders of this table and few row groups, and it tells how many documents have a term and which blocks matter. A
+batch of queries is answered in two rounds: each query's most promising block gives it a score that k documents reach, and
+only blocks whose sum of greatest weights can reach some query's score are read and scored. A block is one task's work, for all
+queries at once; a task keeps the k best of each query from block to block and skips the queries that a block has nothing for.
+Only lists of blocks, weights of asked terms and k rows a query and task are ever shuffled.
 """
 
 from __future__ import annotations
@@ -15,12 +17,14 @@ import heapq
 import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
+from typing import Any
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
@@ -33,10 +37,12 @@ BLOCK_DOCS = 1024
 BLOCK_POSTINGS = 1 << 19
 FOLDERS = 64
 ASKED_ROWS = 1_000_000  # terms of the queries that every task gets at once
+BROADCAST_BLOCKS = 500_000  # numbers of blocks, 8 bytes each; a longer list is joined by a shuffle
+ROW_GROUP = 16 << 20  # bytes, so that one task's blocks are read by several
 RANK_CONSTANT = 60
 _SLACK = 1e-9
-_STATS = -1  # the folder of the rows that count documents and words of a block
-_ROW = "block long, term string, docs long, words long, ids array<{id}>, tfs array<int>, lengths array<int>"
+_BLOCK = "block long, words long, ids array<{id}>, lengths array<long>, terms array<string>, counts array<int>, places binary, tfs binary, folder int"
+_MOST = "term string, block long, most double, n long, folder int"
 _find = re.compile(r"[^\W_]+").findall
 
 
@@ -50,39 +56,79 @@ def words(texts: pd.Series) -> pd.Series:
     return texts.map(words_of)
 
 
-def _count(id_type: pa.DataType, block_docs: int, block_postings: int):
-    types = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.list_(id_type), pa.list_(pa.int32()), pa.list_(pa.int32())]
-    names = [c.split()[0] for c in _ROW.split(", ")]
+def _names(schema: str) -> list[str]:
+    return [c.split()[0] for c in schema.split(", ")]
+
+
+class _Block:
+    """A block while a task fills it."""
+
+    def __init__(self):
+        self.numbers: dict[str, int] = {}
+        self.ids, self.lengths, self.distinct, self.terms, self.tfs = [], [], [], [], []
+
+    def add(self, doc: Any, found: list[str]) -> None:
+        counts = Counter(found)
+        self.ids.append(doc)
+        self.lengths.append(len(found))
+        self.distinct.append(len(counts))
+        self.terms += [self.numbers.setdefault(t, len(self.numbers)) for t in counts]
+        self.tfs += counts.values()
+
+    def row(self, block: int, folders: int) -> tuple:
+        terms = sorted(self.numbers)
+        ranks = np.empty(len(terms), np.int64)
+        ranks[[self.numbers[t] for t in terms]] = np.arange(len(terms))
+        of = ranks[self.terms]
+        order = np.argsort(of, kind="stable")
+        places = np.repeat(np.arange(len(self.ids), dtype=np.uint32), self.distinct)[order]
+        counts = np.bincount(of, minlength=len(terms))
+        # a task's blocks share a folder, so that none writes more than one file
+        return block, sum(self.lengths), self.ids, self.lengths, terms, counts, places.tobytes(), np.array(self.tfs, np.uint32)[order].tobytes(), (block >> 33) % folders
+
+
+def _index(id_type: pa.DataType, block_docs: int, block_postings: int, folders: int):
+    types = [pa.int64(), pa.int64(), pa.list_(id_type), pa.list_(pa.int64()), pa.list_(pa.string()), pa.list_(pa.int32()), pa.binary(), pa.binary(), pa.int32()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        base, made, docs, total, size, held = TaskContext.get().partitionId() << 33, 0, 0, 0, 0, {}
+        number, block = TaskContext.get().partitionId() << 33, _Block()
 
         def closed() -> pa.RecordBatch:
-            block = base + made
-            rows = [(block, None, docs, total, None, None, None)]
-            rows += [(block, term, None, None, *map(list, zip(*held[term], strict=True))) for term in sorted(held)]
-            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names)
+            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(block.row(number, folders), types, strict=True)], _names(_BLOCK))
 
         for batch in batches:
             for doc, text in zip(batch.column("id").to_pylist(), batch.column("text"), strict=True):
                 found = words_of(text.as_py())
                 if not found:
                     continue
-                counts = Counter(found)
-                docs, total, size = docs + 1, total + len(found), size + len(counts)
-                for term, tf in counts.items():
-                    held.setdefault(term, []).append((doc, tf, len(found)))
-                if docs >= block_docs or size >= block_postings:
+                block.add(doc, found)
+                if len(block.ids) >= block_docs or len(block.terms) >= block_postings:
                     yield closed()
-                    made, docs, total, size, held = made + 1, 0, 0, 0, {}
-        if docs:
+                    number, block = number + 1, _Block()
+        if block.ids:
             yield closed()
 
     return run
 
 
-def _weight(tf: Column, length: Column, mean: float) -> Column:
-    return tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / F.lit(mean)))
+def _weights(row: dict, mean: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of a block: the documents of all postings, what BM25 gives each before its idf, and where each term's postings end."""
+    places, tf = np.frombuffer(row["places"], np.uint32), np.frombuffer(row["tfs"], np.uint32).astype(np.float64)
+    length = np.asarray(row["lengths"], np.float64)[places]
+    return places, tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / mean)), np.cumsum(row["counts"])
+
+
+def _maxima(mean: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(batch.num_rows):
+                terms = batch.column("terms")[at].values
+                row = {c: batch.column(c)[at].as_py() for c in ("block", "lengths", "counts", "places", "tfs")}
+                _, weight, ends = _weights(row, mean)
+                most = np.maximum.reduceat(weight, ends - row["counts"])
+                yield pa.RecordBatch.from_arrays([terms, pa.array([row["block"]] * len(terms), pa.int64()), pa.array(most), pa.array(row["counts"], pa.int64())], _names(_MOST)[:4])
+
+    return run
 
 
 class KeywordIndex:
@@ -91,24 +137,23 @@ class KeywordIndex:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
         self.rows, self.mean, self.folders, self._id = spark.read.parquet(f"{path}/corpus").first()
-        self.postings = spark.read.schema(f"{_ROW.format(id=self._id)}, folder int").parquet(f"{path}/postings")
-        self.maxima = spark.read.schema("term string, block long, most double, n long, folder int").parquet(f"{path}/maxima")
+        self.blocks = spark.read.schema(_BLOCK.format(id=self._id)).parquet(f"{path}/blocks")
+        self.maxima = spark.read.schema(_MOST).parquet(f"{path}/maxima")
 
     @classmethod
     def build(cls, docs: DataFrame, path: str, id_col: str = "id", text_col: str = "content", block_docs: int = BLOCK_DOCS, block_postings: int = BLOCK_POSTINGS, folders: int = FOLDERS) -> KeywordIndex:
         """Index the texts of ``docs``; texts without a word count for nothing and are never found. Ids should differ."""
         spark, kind = docs.sparkSession, docs.schema[id_col].dataType
-        row = _ROW.format(id=kind.simpleString())
-        counted = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(_count(to_arrow_type(kind), block_docs, block_postings), row)
-        folder = F.when(F.col("term").isNull(), _STATS).otherwise(F.pmod(F.xxhash64("term"), F.lit(folders))).cast("int")
-        rows = counted.withColumn("folder", folder)
-        rows.hint("rebalance", "folder").sortWithinPartitions("folder", "term", "block").write.partitionBy("folder").parquet(f"{path}/postings")
-        held = spark.read.schema(f"{row}, folder int").parquet(f"{path}/postings")
-        n, total = (v or 0 for v in held.filter(F.col("folder") == _STATS).agg(F.sum("docs"), F.sum("words")).first())
+        row = _BLOCK.format(id=kind.simpleString())
+        texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+        made = texts.mapInArrow(_index(to_arrow_type(kind), block_docs, block_postings, folders), row)
+        made.write.partitionBy("folder").option("parquet.block.size", ROW_GROUP).parquet(f"{path}/blocks")
+        held = spark.read.schema(row).parquet(f"{path}/blocks")
+        n, total = (v or 0 for v in held.agg(F.sum(F.size("ids")), F.sum("words")).first())
         mean = total / n if n else 1.0
         spark.createDataFrame([(n, mean, folders, kind.simpleString())], "n long, mean double, folders int, id_type string").coalesce(1).write.parquet(f"{path}/corpus")
-        most = F.array_max(F.zip_with("tfs", "lengths", lambda tf, length: _weight(tf, length, mean)))
-        maxima = held.filter(F.col("folder") != _STATS).select("term", "block", most.alias("most"), F.size("ids").cast("long").alias("n"), "folder")
+        maxima = held.select("block", "lengths", "terms", "counts", "places", "tfs").mapInArrow(_maxima(mean), _MOST.rsplit(", ", 1)[0])
+        maxima = maxima.withColumn("folder", F.pmod(F.xxhash64("term"), F.lit(folders)).cast("int"))
         maxima.hint("rebalance", "folder").sortWithinPartitions("folder", "term").write.partitionBy("folder").parquet(f"{path}/maxima")
         return cls(spark, path)
 
@@ -138,22 +183,28 @@ class KeywordIndex:
             if names:
                 yield part, list(names), terms
 
-    def _blocks_of(self, rows: DataFrame, part: DataFrame) -> DataFrame:
-        """The part's rows of ``rows``, block by block within a task."""
-        here = self._of(rows, part).join(part.select("term", "folder").distinct(), ["term", "folder"], "left_semi").drop("folder")
+    def _maxima_of(self, part: DataFrame) -> DataFrame:
+        """The part's rows of the maxima, block by block within a task."""
+        here = self._of(self.maxima, part).join(part.select("term", "folder").distinct(), ["term", "folder"], "left_semi").drop("folder")
         tasks = int(self.spark.conf.get("spark.sql.shuffle.partitions"))  # named, or a later rule may deal the rows otherwise
-        return here.repartition(tasks, "block").sortWithinPartitions("block", "term")
+        return checkpointed(here.repartition(tasks, "block").sortWithinPartitions("block", "term"))
 
-    def open_blocks(self, part: DataFrame, names: list, terms: dict, k: int) -> tuple[DataFrame, list[float]]:
+    def opened(self, numbers: DataFrame) -> DataFrame:
+        """The blocks with these numbers (``block``, each once), a row each; folders without one of them are not listed."""
+        numbers = checkpointed(numbers.select("block", F.pmod(F.shiftright("block", 33), F.lit(self.folders)).cast("int").alias("folder")))
+        few = numbers.count() <= BROADCAST_BLOCKS
+        return self._of(self.blocks, numbers).join(F.broadcast(numbers.select("block")) if few else numbers.select("block"), "block", "left_semi")
+
+    def blocks_in_reach(self, part: DataFrame, names: list, terms: dict, k: int) -> tuple[DataFrame, list[float]]:
         """(block) where a document of the k best of some query may be, and for each query a score that k documents reach."""
-        maxima = self._blocks_of(self.maxima, part)
+        maxima = self._maxima_of(part)
         tops = maxima.mapInPandas(_best_blocks(terms, len(names)), "query long, bound double, block long")
         first = tops.groupBy("query").agg(F.max_by("block", F.struct("bound", "block")).alias("block")).collect()  # one row a query
         wanted: dict[int, set[int]] = {}
         for r in first:
             wanted.setdefault(r["block"], set()).add(r["query"])
-        chosen = self.postings.filter(F.col("block").isin(list(wanted)))
-        start = self._blocks_of(chosen, part).mapInPandas(_scores_of_blocks(terms, len(names), k, self.mean, wanted=wanted), f"query long, id {self._id}, score double")
+        chosen = self.opened(self.spark.createDataFrame([(b,) for b in wanted], "block long"))
+        start = chosen.mapInArrow(_scores_of_blocks(terms, len(names), k, self.mean, self.blocks.schema["ids"].dataType, wanted=wanted), f"query long, id {self._id}, score double")
         reached = start.groupBy("query").agg(F.min("score").alias("score"), F.count("*").alias("n")).filter(F.col("n") == k).collect()
         floors = [0.0] * len(names)
         for r in reached:
@@ -169,10 +220,8 @@ class KeywordIndex:
         kind = queries.schema["query_id"].dataType.simpleString()
         found = self.spark.createDataFrame([], f"query_id {kind}, id {self._id}, score double")
         for part, names, terms in self._parts(queries):
-            blocks, floors = self.open_blocks(part, names, terms, k)
-            # written before its blocks are brought together: over joins the planner may take another dealing for that by block
-            held = checkpointed(self._of(self.postings, part).join(checkpointed(blocks), "block", "left_semi"))
-            best = self._blocks_of(held, part).mapInPandas(_scores_of_blocks(terms, len(names), k, self.mean, floors), f"query long, id {self._id}, score double")
+            blocks, floors = self.blocks_in_reach(part, names, terms, k)
+            best = self.opened(blocks).mapInArrow(_scores_of_blocks(terms, len(names), k, self.mean, self.blocks.schema["ids"].dataType, floors), f"query long, id {self._id}, score double")
             numbers = self.spark.createDataFrame(list(enumerate(names)), f"query long, query_id {kind}")
             found = found.unionByName(best.join(F.broadcast(numbers), "query").select("query_id", "id", "score"))  # a row a query of the part
         best = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
@@ -231,25 +280,26 @@ def _blocks_in_reach(terms: dict, floors: list[float]):
     return run
 
 
-def _scores_of_blocks(terms: dict, n: int, k: int, mean: float, floors: list[float] | None = None, wanted: dict[int, set[int]] | None = None):
+def _scores_of_blocks(terms: dict, n: int, k: int, mean: float, ids_type: T.DataType, floors: list[float] | None = None, wanted: dict[int, set[int]] | None = None):
     """The k best documents a task has for each query; ``wanted`` names the queries of each block (None: all of all)."""
     by_query: list[list[tuple[str, float]]] = [[] for _ in range(n)]
     for term, asked in terms.items():
         for query, weight in asked:
             by_query[query].append((term, weight))
+    id_type = to_arrow_type(ids_type).value_type
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best: list[list[tuple]] = [[] for _ in range(n)]
-        least = list(floors or [0.0] * n)
-        for block, rows in _by_block(batches):
-            counts = rows["ids"].str.len().to_numpy()
-            places, ids = pd.factorize(np.concatenate(rows["ids"].to_numpy()))
-            tf, length = (np.concatenate(rows[c].to_numpy()).astype(np.float64) for c in ("tfs", "lengths"))
-            weight = tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / mean))
-            ends = np.cumsum(counts)
-            held = {t: (places[e - c : e], weight[e - c : e]) for t, c, e in zip(rows["term"], counts, ends, strict=True)}
+        least, names = list(floors or [0.0] * n), pa.array(list(terms), pa.string())
+        for row in (batch.slice(i, 1) for batch in batches for i in range(batch.num_rows)):
+            here = row.column("terms")[0].values
+            known = np.flatnonzero(pc.is_in(here, names).to_numpy(zero_copy_only=False))  # where the terms stand that are asked for
+            block = {c: row.column(c)[0].as_py() for c in ("block", "ids", "lengths", "counts", "places", "tfs")}
+            ids, counts = block["ids"], block["counts"]
+            places, weight, ends = _weights(block, mean)
+            held = {t: (places[ends[i] - counts[i] : ends[i]], weight[ends[i] - counts[i] : ends[i]]) for t, i in zip(here.take(pa.array(known)).to_pylist(), known, strict=True)}
             bounds = _bounds(terms, n, held, (w.max() for _, w in held.values()))
-            for query in sorted(wanted[block]) if wanted is not None else range(n):
+            for query in sorted(wanted[block["block"]]) if wanted is not None else range(n):
                 if bounds[query] * (1 + _SLACK) < least[query] or not bounds[query]:
                     continue
                 scores = np.zeros(len(ids))
@@ -260,11 +310,13 @@ def _scores_of_blocks(terms: dict, n: int, k: int, mean: float, floors: list[flo
                 some = np.flatnonzero((scores >= least[query]) & (scores > 0))
                 if len(some) > k:
                     some = some[scores[some] >= np.partition(scores[some], len(some) - k)[len(some) - k]]
-                best[query] = heapq.nsmallest(k, best[query] + list(zip((-scores[some]).tolist(), ids[some].tolist(), strict=True)))
+                more = [(-scores[i], ids[i] is not None, ids[i]) for i in some.tolist()]
+                best[query] = heapq.nsmallest(k, best[query] + more)
                 if len(best[query]) == k:
                     least[query] = max(least[query], -best[query][-1][0])
-        found = [(query, doc, -score) for query, rows in enumerate(best) for score, doc in rows]
-        yield pd.DataFrame(found, columns=["query", "id", "score"])
+        found = [(query, doc, -score) for query, rows in enumerate(best) for score, _, doc in rows]
+        columns = [[r[i] for r in found] for i in range(3)]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), id_type, pa.float64()), strict=True)], ["query", "id", "score"])
 
     return run
 
