@@ -22,7 +22,6 @@ from typing import Any
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -33,15 +32,15 @@ from vectorloom.errors import InvalidConfig
 from vectorloom.operators.shared import checkpointed
 
 K1, B = 1.2, 0.75
-BLOCK_DOCS = 1024
-BLOCK_POSTINGS = 1 << 19
+BLOCK_DOCS = 512
+BLOCK_POSTINGS = 1 << 17  # a row of about a megabyte
 FOLDERS = 64
 ASKED_ROWS = 1_000_000  # terms of the queries that every task gets at once
 BROADCAST_BLOCKS = 500_000  # numbers of blocks, 8 bytes each; a longer list is joined by a shuffle
-ROW_GROUP = 16 << 20  # bytes, so that one task's blocks are read by several
+ROW_GROUP = 8 << 20  # bytes, so that one task's blocks are read by several
 RANK_CONSTANT = 60
 _SLACK = 1e-9
-_BLOCK = "block long, words long, ids array<{id}>, lengths array<long>, terms array<string>, counts array<int>, places binary, tfs binary, folder int"
+_BLOCK = "block long, words long, ids array<{id}>, lengths array<long>, terms string, counts binary, places binary, tfs binary, folder int"
 _MOST = "term string, block long, most double, n long, folder int"
 _find = re.compile(r"[^\W_]+").findall
 
@@ -60,6 +59,15 @@ def _names(schema: str) -> list[str]:
     return [c.split()[0] for c in schema.split(", ")]
 
 
+def _packed(values: np.ndarray) -> bytes:
+    """Whole numbers, none below 0, in as few bytes each as the greatest needs."""
+    return values.astype(np.min_scalar_type(values.max())).tobytes()
+
+
+def _unpacked(raw: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(raw, f"u{len(raw) // n}")
+
+
 class _Block:
     """A block while a task fills it."""
 
@@ -81,14 +89,14 @@ class _Block:
         ranks[[self.numbers[t] for t in terms]] = np.arange(len(terms))
         of = ranks[self.terms]
         order = np.argsort(of, kind="stable")
-        places = np.repeat(np.arange(len(self.ids), dtype=np.uint32), self.distinct)[order]
+        places = np.repeat(np.arange(len(self.ids)), self.distinct)[order]
         counts = np.bincount(of, minlength=len(terms))
         # a task's blocks share a folder, so that none writes more than one file
-        return block, sum(self.lengths), self.ids, self.lengths, terms, counts, places.tobytes(), np.array(self.tfs, np.uint32)[order].tobytes(), (block >> 33) % folders
+        return block, sum(self.lengths), self.ids, self.lengths, "\n".join(terms), _packed(counts), _packed(places), _packed(np.array(self.tfs)[order]), (block >> 33) % folders
 
 
 def _index(id_type: pa.DataType, block_docs: int, block_postings: int, folders: int):
-    types = [pa.int64(), pa.int64(), pa.list_(id_type), pa.list_(pa.int64()), pa.list_(pa.string()), pa.list_(pa.int32()), pa.binary(), pa.binary(), pa.int32()]
+    types = [pa.int64(), pa.int64(), pa.list_(id_type), pa.list_(pa.int64()), pa.string(), pa.binary(), pa.binary(), pa.binary(), pa.int32()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, block = TaskContext.get().partitionId() << 33, _Block()
@@ -111,22 +119,28 @@ def _index(id_type: pa.DataType, block_docs: int, block_postings: int, folders:
     return run
 
 
-def _weights(row: dict, mean: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of a block: the documents of all postings, what BM25 gives each before its idf, and where each term's postings end."""
-    places, tf = np.frombuffer(row["places"], np.uint32), np.frombuffer(row["tfs"], np.uint32).astype(np.float64)
-    length = np.asarray(row["lengths"], np.float64)[places]
-    return places, tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / mean)), np.cumsum(row["counts"])
+def _rows(batches: Iterable[pa.RecordBatch]) -> Iterator[dict]:
+    for batch in batches:
+        for i in range(batch.num_rows):
+            yield batch.slice(i, 1).to_pylist()[0]
+
+
+def _postings(row: dict, mean: float) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of a block: its terms, how many documents have each, where its postings end, and all postings' documents and weights before idf."""
+    terms = row["terms"].split("\n")  # no term holds a line break
+    counts = _unpacked(row["counts"], len(terms)).astype(np.int64)
+    ends = np.cumsum(counts)
+    places, tf = (_unpacked(row[c], int(ends[-1])) for c in ("places", "tfs"))
+    tf, length = tf.astype(np.float64), np.asarray(row["lengths"], np.float64)[places]
+    return terms, counts, ends, places, tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / mean))
 
 
 def _maxima(mean: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(batch.num_rows):
-                terms = batch.column("terms")[at].values
-                row = {c: batch.column(c)[at].as_py() for c in ("block", "lengths", "counts", "places", "tfs")}
-                _, weight, ends = _weights(row, mean)
-                most = np.maximum.reduceat(weight, ends - row["counts"])
-                yield pa.RecordBatch.from_arrays([terms, pa.array([row["block"]] * len(terms), pa.int64()), pa.array(most), pa.array(row["counts"], pa.int64())], _names(_MOST)[:4])
+        for row in _rows(batches):
+            terms, counts, ends, _, weight = _postings(row, mean)
+            most = np.maximum.reduceat(weight, ends - counts)
+            yield pa.RecordBatch.from_arrays([pa.array(terms), pa.array(np.full(len(terms), row["block"])), pa.array(most), pa.array(counts)], _names(_MOST)[:4])
 
     return run
 
@@ -161,7 +175,7 @@ class KeywordIndex:
         """(query_id, term, folder, asked) of the terms that there are; ``asked`` is idf times occurrences in the query."""
         terms = queries.select("query_id", F.explode(words(F.col("query_text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
         terms = checkpointed(terms.withColumn("folder", F.pmod(F.xxhash64("term"), F.lit(self.folders)).cast("int")))
-        found = self._of(self.maxima, terms).join(terms.select("term", "folder").distinct(), ["term", "folder"], "left_semi")
+        found = self._having(self.maxima, terms)
         df = found.groupBy("term").agg(F.sum("n").alias("df"))
         idf = F.log(1 + (F.lit(self.rows) - F.col("df") + 0.5) / (F.col("df") + 0.5))
         return checkpointed(terms.join(df, "term").select("query_id", "term", "folder", (F.col("times") * idf).alias("asked")))
@@ -171,6 +185,12 @@ class KeywordIndex:
         opened = sorted(r[0] for r in asked.select("folder").distinct().collect())  # as many as there are folders at most
         return rows.filter(F.col("folder").isin(opened))
 
+    def _having(self, rows: DataFrame, asked: DataFrame) -> DataFrame:
+        """The rows whose term is asked for."""
+        few = asked.count() <= ASKED_ROWS
+        terms = asked.select("term", "folder").distinct()
+        return self._of(rows, asked).join(F.broadcast(terms) if few else terms, ["term", "folder"], "left_semi")
+
     def _parts(self, queries: DataFrame) -> Iterator[tuple[DataFrame, list, dict[str, list[tuple[int, float]]]]]:
         """The batch in parts whose terms every task can hold: the part's terms, its query ids, and by term (query, asked)."""
         asked = self._asked(queries)
@@ -185,7 +205,7 @@ class KeywordIndex:
 
     def _maxima_of(self, part: DataFrame) -> DataFrame:
         """The part's rows of the maxima, block by block within a task."""
-        here = self._of(self.maxima, part).join(part.select("term", "folder").distinct(), ["term", "folder"], "left_semi").drop("folder")
+        here = self._having(self.maxima, part).drop("folder")
         tasks = int(self.spark.conf.get("spark.sql.shuffle.partitions"))  # named, or a later rule may deal the rows otherwise
         return checkpointed(here.repartition(tasks, "block").sortWithinPartitions("block", "term"))
 
@@ -290,14 +310,12 @@ def _scores_of_blocks(terms: dict, n: int, k: int, mean: float, ids_type: T.Data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best: list[list[tuple]] = [[] for _ in range(n)]
-        least, names = list(floors or [0.0] * n), pa.array(list(terms), pa.string())
-        for row in (batch.slice(i, 1) for batch in batches for i in range(batch.num_rows)):
-            here = row.column("terms")[0].values
-            known = np.flatnonzero(pc.is_in(here, names).to_numpy(zero_copy_only=False))  # where the terms stand that are asked for
-            block = {c: row.column(c)[0].as_py() for c in ("block", "ids", "lengths", "counts", "places", "tfs")}
-            ids, counts = block["ids"], block["counts"]
-            places, weight, ends = _weights(block, mean)
-            held = {t: (places[ends[i] - counts[i] : ends[i]], weight[ends[i] - counts[i] : ends[i]]) for t, i in zip(here.take(pa.array(known)).to_pylist(), known, strict=True)}
+        least = list(floors or [0.0] * n)
+        for block in _rows(batches):
+            ids = block["ids"]
+            here, counts, ends, places, weight = _postings(block, mean)
+            known = [(i, t) for i, t in enumerate(here) if t in terms]
+            held = {t: (places[ends[i] - counts[i] : ends[i]], weight[ends[i] - counts[i] : ends[i]]) for i, t in known}
             bounds = _bounds(terms, n, held, (w.max() for _, w in held.values()))
             for query in sorted(wanted[block["block"]]) if wanted is not None else range(n):
                 if bounds[query] * (1 + _SLACK) < least[query] or not bounds[query]:
