@@ -307,6 +307,20 @@ def render_legal(turns):
     return all(r == ("user", "assistant")[k % 2] for k, r in enumerate(body))
 
 
+def test_chat_patterns_remembered_are_short():
+    rng = np.random.default_rng(8)
+    for n in (1, chat_repair._SHORT, chat_repair._SHORT + 1, 4096):
+        roles = bytes(rng.integers(0, 4, n).tolist())
+        held = chat_repair._known_way.cache_info().currsize, chat_repair._known_matrix.cache_info().currsize
+        costs = chat_repair.segment_matrix(roles)
+        leave = int(costs[chat_repair.START].argmin())
+        way = chat_repair.repair(roles, chat_repair.START, leave)
+        assert len(way) == n and sum(w[2] for w in way) == costs[chat_repair.START, leave] and way[-1][0] == leave
+        more = chat_repair._known_way.cache_info().currsize - held[0], chat_repair._known_matrix.cache_info().currsize - held[1]
+        assert more == ((1, 1) if n <= chat_repair._SHORT else (0, 0))
+    assert chat_repair._way(bytes([3] * chat_repair._SHORT), 0, 3).nbytes == 3 * chat_repair._SHORT
+
+
 @pytest.mark.parametrize("small", [False, True])
 def test_chat_repair(spark, monkeypatch, small):
     if small:

@@ -35,6 +35,7 @@ STATES = 4
 MERGE, RELABEL, INSERT = 2, 3, 4  # costs of a repair; keeping a turn costs nothing
 SEGMENT_TURNS, SEGMENT_ROWS = 4096, 8192
 _PATTERNS = 50_000  # role sequences whose costs a worker remembers; most conversations share a few
+_SHORT = 64  # turns of the longest one it remembers: under a kilobyte each, so that they take some 60 MB at most; longer ones are reckoned anew
 NEXT = {START: (SYSTEM, USER), SYSTEM: (USER,), USER: (ASSISTANT,), ASSISTANT: (USER,)}  # the legal turns
 _ALIASES = {"human": "user", "bot": "assistant", "model": "assistant", "gpt": "assistant"}
 _STATE = {"system": SYSTEM, "user": USER, "assistant": ASSISTANT}
@@ -76,8 +77,12 @@ def chain(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.minimum((a[:, :, None] + b[None, :, :]).min(axis=1), _INF)
 
 
-@lru_cache(maxsize=_PATTERNS)
-def segment_matrix(roles: tuple[int, ...]) -> np.ndarray:
+def segment_matrix(roles: bytes) -> np.ndarray:
+    """Least costs from each state before turns of these roles, a byte each, to each state after them."""
+    return _known_matrix(roles) if len(roles) <= _SHORT else _matrix(roles)
+
+
+def _matrix(roles: bytes) -> np.ndarray:
     total = np.full((STATES, STATES), _INF, np.int64)
     np.fill_diagonal(total, 0)
     for role in roles:
@@ -85,9 +90,12 @@ def segment_matrix(roles: tuple[int, ...]) -> np.ndarray:
     return total
 
 
-@lru_cache(maxsize=_PATTERNS)
-def repair(roles: tuple[int, ...], enter: int, leave: int) -> list[tuple[int, int, int]]:
-    """(state after, inserted state or 0, cost) of each turn on the cheapest way from ``enter`` to ``leave``."""
+def repair(roles: bytes, enter: int, leave: int) -> list[list[int]]:
+    """[state after, inserted state or 0, cost] of each turn on the cheapest way from ``enter`` to ``leave``."""
+    return (_known_way(roles, enter, leave) if len(roles) <= _SHORT else _way(roles, enter, leave)).tolist()
+
+
+def _way(roles: bytes, enter: int, leave: int) -> np.ndarray:
     best = np.full((len(roles) + 1, STATES), _INF, np.int64)
     best[len(roles), leave] = 0
     for k in range(len(roles) - 1, -1, -1):
@@ -99,7 +107,10 @@ def repair(roles: tuple[int, ...], enter: int, leave: int) -> list[tuple[int, in
                 out.append((after, gap, cost))
                 state = after
                 break
-    return out
+    return np.array(out, np.int8).reshape(-1, 3)  # a turn costs at most a few of each
+
+
+_known_matrix, _known_way = lru_cache(maxsize=_PATTERNS)(_matrix), lru_cache(maxsize=_PATTERNS)(_way)
 
 
 def role_state(role: Column) -> Column:
@@ -175,7 +186,7 @@ def _costs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for frame in _groups(batches, KEYS):
         ranges, states = _ranges(frame["_group"].to_numpy()), frame["state"].tolist()
         heads = frame.iloc[[a for a, _ in ranges]][KEYS]
-        yield heads.assign(costs=[segment_matrix(tuple(states[a:b])).ravel().tolist() for a, b in ranges])
+        yield heads.assign(costs=[segment_matrix(bytes(states[a:b])).ravel().tolist() for a, b in ranges])
 
 
 def _borders(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -208,7 +219,7 @@ def _repaired(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         enters, leaves, totals, places = (frame[c].tolist() for c in ("enter", "leave", "total", "place"))
         for a, b in _ranges(frame["_group"].to_numpy()):
             before = int(enters[a])
-            way = repair(tuple(int(x) for x in states[a + 1 : b]), before, int(leaves[a]))
+            way = repair(bytes(int(x) for x in states[a + 1 : b]), before, int(leaves[a]))
             keep += range(a + 1, b)
             for pos, (after, gap, cost) in enumerate(way):
                 merged = not gap and after == before and after != START
