@@ -27,8 +27,8 @@ from vectorloom.llm.common import cut
 RULES = (
     ("block", "com", "/en/"),
     ("allow", "example.com", "/en/7"),
-    ("block", "net", "/de/"),
-    ("allow", "example.net", "/de/8"),
+    ("allow", "net", "/de/"),
+    ("block", "example.net", "/de/8"),
     ("block", "org", "/es/"),
 )
 MIN_SUPPORT, MIN_CONFIDENCE = 0.02, 0.8
