@@ -69,6 +69,25 @@ def test_no_vector_scores_above_its_bound(metric):
         assert d.shape == (50,)
 
 
+@pytest.mark.parametrize("metric", list(M))
+def test_bounds_and_lists_of_many_queries_at_once(spark, tmp_path, metric):
+    rng = np.random.default_rng(5)
+    q, c = (rng.normal(size=(n, 6)) if metric is not M.COSINE else ivf._unit(rng.normal(size=(n, 6))) for n in (30, 7))
+    q[3] = c[2]
+    least = rng.random(7) / 2
+    most = least + rng.random(7) * 1e-3
+    bounds = ivf.highest_scores(metric, q, c, least, most)
+    for i in range(30):
+        for j in range(7):
+            one = ivf.highest_score(metric, q[i], c[j], least[j], most[j])
+            assert one - 1e-12 * abs(one) <= bounds[i, j] <= one + 1e-6 * max(1, abs(one))
+    lists = InvertedLists.build(frame(spark, clustered()), str(tmp_path / "ivf"), metric, lists=9)
+    asked = [np.array(v) for v in clustered(20, seed=3)] + [np.array([1.0])]
+    near = lists.nearest(asked, 2, 0)
+    assert near.shape == (21, len(lists.sizes)) and (near.sum(1)[:20] == 2).all() and near[20].all()
+    assert (lists.nearest(asked, None, 100)[:20] @ np.array([lists.sizes[i][0] for i in lists._real()]) >= 100).all()
+
+
 @pytest.mark.skipif(not os.path.exists(SMALL), reason="needs the driver's tables")
 @pytest.mark.parametrize("metric", list(M))
 def test_recall_of_probes_over_the_embeddings(spark, tmp_path, metric):

@@ -1,15 +1,21 @@
 import json
 import math
 import os
+import tracemalloc
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from vectorloom.errors import DocumentNotFound, EmbeddingError, InvalidConfig
 from vectorloom.functions.metadata import MetadataFilter
+from vectorloom.functions.vectors import similarity
 from vectorloom.operators import search
 from vectorloom.operators import store as store_module
+from vectorloom.operators.ivf import InvertedLists
+from vectorloom.operators.shared import shared_path
 from vectorloom.operators.store import DataFrameStore, FlatIndex
 from vectorloom.types import DOCUMENT
 from vectorloom.types import DistanceMetric as M
@@ -162,6 +168,54 @@ def test_equal_vectors_are_at_distance_zero(spark, scale):
     assert all(r["score"] == 1.0 for r in store.search_batch(queries, 1).collect())
 
 
+@pytest.mark.parametrize("metric", list(M))
+def test_scores_that_round_to_the_same_are_ranked_by_id(spark, metric):
+    """The later a document, the better its score, by less than six places show; every way keeps the least ids of equals."""
+    rows = [(i, [60.0 - i * 1e-5 if metric in (M.EUCLIDEAN, M.MANHATTAN) else 0.5 + i * 1e-9, 0.0 if metric is not M.COSINE else 1.0 - i * 1e-9]) for i in range(400)]
+    docs = spark.createDataFrame(rows, "id long, embedding array<double>").repartition(3)
+    queries = spark.createDataFrame([(0, [1.0, 0.0])], "query_id long, query_vec array<double>")
+    found = spark.createDataFrame([(i, v) for i, v in rows], "id long, v array<double>").select("id", F.round(similarity(metric, F.col("v"), F.array(F.lit(1.0), F.lit(0.0)), "double"), 6).alias("score"))
+    told = [(r["id"], r["score"]) for r in found.orderBy(F.desc("score"), "id").limit(5).collect()]
+    lists = InvertedLists.build(docs, shared_path(spark, "lists"), metric, lists=4)
+    ways = [w(docs, queries, 5, metric, kind="double", places=6) for w in (search.top_k_batch, search.top_k_scan, search.top_k_blocks, search.top_k_documents)] + [lists.search_batch(queries, 5, kind="double", places=6)]
+    for way in ways:
+        assert [(r["id"], r["score"]) for r in way.orderBy("rank").collect()] == told
+    assert [(r["id"], r["score"]) for r in search.top_k(docs, [1.0, 0.0], 5, metric, "double", 6).collect()] == told
+
+
+def test_batches_score_no_pair_in_a_join(spark):
+    """Only k rows a query leave a task; in single precision too they are what single queries give."""
+    rng = np.random.default_rng(3)
+    docs = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(rng.normal(size=(500, 16)).astype(np.float32))], "id long, embedding array<float>")
+    queries = docs.filter("id < 4").select(F.col("id").alias("query_id"), F.col("embedding").alias("query_vec"))
+    for metric in M:
+        found = search.top_k_batch(docs, queries, 3, metric)
+        assert "NestedLoop" not in found._jdf.queryExecution().executedPlan().toString()
+        got = {(r["query_id"], r["rank"]): (r["id"], r["score"]) for r in found.collect()}
+        for q in queries.collect():
+            assert [got[q["query_id"], n] for n in (1, 2, 3)] == [(r["id"], r["score"]) for r in search.top_k(docs, q["query_vec"], 3, metric).collect()]
+
+
+@pytest.mark.parametrize("metric", list(M))
+def test_memory_of_a_block_is_bounded(metric):
+    rng = np.random.default_rng(1)
+    x, q = rng.normal(size=(20_000, 8)).astype(np.float32), list(rng.normal(size=(600, 8)))
+    series, kept = pd.Series(list(x)), search.KeptBest(5, metric, list(range(600)), q)
+    tracemalloc.start()
+    kept.offer(np.arange(20_000), series)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 80e6
+
+
+def test_copies_keep_the_least_ids():
+    kept = search.KeptBest(3, M.COSINE, ["a", "b"], [np.array([1.0, 0.0]), np.array([0.0, 1.0])])
+    for part in (range(5000, 9000), range(5000)):
+        kept.offer(np.array(list(part)), pd.Series([np.array([1.0, 1.0])] * len(part)))
+    rows = pd.concat(list(kept.frames()))
+    assert rows["id"].tolist() == [0, 1, 2, 0, 1, 2]
+
+
 def test_many_queries_bring_their_documents(spark):
     store = filled(spark, TRI)
     queries = spark.createDataFrame([(i, [1.0, i / 100, 0.0]) for i in range(70)], "query_id long, query_vec array<float>")

@@ -39,7 +39,9 @@ CENTROID_VALUES = 16_000_000  # of all centroids together, which every task gets
 SAMPLE_QUERIES = 200  # indexed vectors by which the number of lists for a recall is measured
 OTHERS = -1  # the list of vectors that are compared with every query
 _SLACK = 1e-9
-_RUN_VALUES = 4_000_000  # distances of a run of vectors to all centroids
+_ROUNDING = 1e-6  # of scores, by their precision
+_RUN_VALUES = 1_000_000  # distances of a run of vectors to all centroids
+LISTS_OF_QUERIES = 64_000_000  # (query, list) pairs of which the driver and each task know at once whether the list is read
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -69,6 +71,20 @@ def highest_score(metric: DistanceMetric, query: np.ndarray, centroid: np.ndarra
     return (1 - gap**2 / 2 + _SLACK) if metric is DistanceMetric.COSINE else 1 / (1 + gap) * (1 + _SLACK)
 
 
+def highest_scores(metric: DistanceMetric, queries: np.ndarray, centroids: np.ndarray, least: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """The same for rows of queries and of centroids, by matrix products; where digits cancel out a little higher."""
+    if metric is DistanceMetric.DOT_PRODUCT:
+        size, middle = np.linalg.norm(queries, axis=1)[:, None], np.linalg.norm(centroids, axis=1)[None, :]
+        return queries @ centroids.T + size * (most + _SLACK * (middle + most))
+    way = distances(metric, queries, centroids)
+    near = far = way
+    if metric is not DistanceMetric.MANHATTAN:
+        error = 8 * (queries.shape[1] + 8) * np.finfo(float).eps * ((queries**2).sum(1)[:, None] + (centroids**2).sum(1)[None, :])
+        near, far = np.sqrt(np.maximum(way**2 - error, 0)), np.sqrt(way**2 + error)
+    gap = np.maximum(np.maximum(near - most, least - far) - _SLACK * (far + most), 0)
+    return (1 - gap**2 / 2 + _SLACK) if metric is DistanceMetric.COSINE else 1 / (1 + gap) * (1 + _SLACK)
+
+
 def _placed(vectors: pd.Series, size: int, metric: DistanceMetric) -> tuple[np.ndarray, np.ndarray]:
     """Which vectors have a place among the lists, and these as rows of doubles."""
     fits = np.array([v is not None and len(v) == size for v in vectors], bool)
@@ -142,7 +158,8 @@ class InvertedLists:
             fit = fit.filter(F.exists("embedding", lambda v: v != 0))
         centroids = train(fit, lists, metric, seed) if n and not fit.isEmpty() else np.zeros((1, size))
         schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema) + ", distance double, list int"
-        dealt = rows.mapInPandas(_deal(metric, centroids), schema)
+        spread = rows.repartition(2 * spark.sparkContext.defaultParallelism, "id")
+        dealt = spread.mapInPandas(_deal(metric, centroids), schema)
         # crowded lists are spread by distance, then by id
         sorted_rows = dealt.repartitionByRange("list", "distance", "id").sortWithinPartitions("list", "distance")
         sorted_rows.write.partitionBy("list").parquet(f"{path}/lists")
@@ -160,26 +177,39 @@ class InvertedLists:
     def _real(self) -> list[int]:
         return [i for i in self.sizes if i != OTHERS]
 
-    def nearest(self, query: np.ndarray, probes: int | None, rows: int) -> list[int]:
-        """The ``probes`` lists nearest to a query; without that as many as hold ``rows`` vectors. All for a query with no place."""
-        lists = self._real()
-        fits, x = _placed(pd.Series([query]), self.centroids.shape[1], self.metric)
-        if not fits[0] or not lists:
-            return lists
-        far = distances(self.metric, x, self.centroids[lists])[0] if self.metric is not DistanceMetric.DOT_PRODUCT else -(self.centroids[lists] @ x[0])
-        order = [lists[i] for i in np.argsort(far, kind="stable")]
-        if probes is not None:
-            return order[:probes]
-        held = np.cumsum([self.sizes[i][0] for i in order])
-        return order[: int(np.searchsorted(held, rows)) + 1]
-
-    def within_reach(self, query: np.ndarray, score: float) -> list[int]:
-        """The lists that may hold a vector of this score or a better one."""
-        lists = self._real()
-        fits, x = _placed(pd.Series([query]), self.centroids.shape[1], self.metric)
-        if not fits[0]:
-            return lists
-        return [i for i in lists if highest_score(self.metric, x[0], self.centroids[i], np.array(self.sizes[i][1]), np.array(self.sizes[i][2])) >= score]
+    def _by_runs(self, vectors: list[np.ndarray], choose) -> np.ndarray:
+        """A row a query, a column a list: which to read. ``choose`` says so of some queries that have a place; others read all."""
+        fits, x = _placed(pd.Series(vectors, dtype=object), self.centroids.shape[1], self.metric)
+        wanted = np.ones((len(vectors), len(self._real())), bool)
+        rows, step = np.flatnonzero(fits), max(1, _RUN_VALUES // max(1, wanted.shape[1]))
+        for i in range(0, len(rows) if wanted.shape[1] else 0, step):
+            wanted[rows[i : i + step]] = choose(x[i : i + step], rows[i : i + step])
+        return wanted
+
+    def _orders(self, x: np.ndarray) -> np.ndarray:
+        """Lists in the order of their nearness to each of some queries, as places among all lists."""
+        middle = self.centroids[self._real()]
+        far = distances(self.metric, x, middle) if self.metric is not DistanceMetric.DOT_PRODUCT else -(x @ middle.T)
+        return np.argsort(far, axis=1, kind="stable")
+
+    def nearest(self, vectors: list[np.ndarray], probes: int | None, rows: int) -> np.ndarray:
+        """Which lists to read: the ``probes`` nearest to each query; without that as many as hold ``rows`` vectors."""
+        sizes = np.array([self.sizes[i][0] for i in self._real()], np.int64)
+
+        def choose(x: np.ndarray, _: np.ndarray) -> np.ndarray:
+            order = self._orders(x)
+            n = np.full(len(x), probes) if probes is not None else (np.cumsum(sizes[order], axis=1) < rows).sum(1) + 1
+            out = np.zeros(order.shape, bool)
+            np.put_along_axis(out, order, np.arange(order.shape[1])[None, :] < n[:, None], 1)
+            return out
+
+        return self._by_runs(vectors, choose)
+
+    def within_reach(self, vectors: list[np.ndarray], scores: np.ndarray) -> np.ndarray:
+        """Which lists may hold a vector of each query's score or a better one."""
+        real = self._real()
+        least, most = (np.array([self.sizes[i][j] for i in real], np.float64) for j in (1, 2))
+        return self._by_runs(vectors, lambda x, rows: highest_scores(self.metric, x, self.centroids[real], least, most) >= scores[rows, None])
 
     def probes_for(self, recall: float = 0.93, k: int = 10, sample: int = SAMPLE_QUERIES) -> int:
         """How many lists a search for ``k`` vectors must read to find this share of them, measured on ``sample`` indexed vectors:
@@ -189,79 +219,79 @@ class InvertedLists:
         queries = self.spark.createDataFrame([(i, r["id"], r["embedding"]) for i, r in enumerate(some.collect())], f"query_id long, own {self._id.split(' ', 1)[1]}, query_vec array<float>")
         near = self.search_batch(queries.drop("own"), k + 1).join(queries.drop("query_vec"), "query_id").filter(F.col("id") != F.col("own"))
         rows = near.join(self.frame().select("id", "list"), "id").select("query_id", "list").collect()
-        order = {r["query_id"]: {n: place for place, n in enumerate(self.nearest(np.array(r["query_vec"], np.float64), len(self._real()), 0))} for r in queries.collect()}
+        asked = queries.collect()
+        fits, x = _placed(pd.Series([r["query_vec"] for r in asked], dtype=object), self.centroids.shape[1], self.metric)
+        orders = iter(self._orders(x) if self._real() else [])
+        order = {r["query_id"]: {self._real()[n]: place for place, n in enumerate(next(orders) if fit else range(len(self._real())))} for r, fit in zip(asked, fits, strict=True)}
         places = sorted(-1 if r["list"] == OTHERS else order[r["query_id"]][r["list"]] for r in rows)
         return places[math.ceil(recall * len(places)) - 1] + 1 if places and places[-1] >= 0 else 1
 
-    def _found(self, names: list, queries: list[np.ndarray], wanted: list[list[int]], floors: list[float], k: int, schema: str, without: DataFrame | None) -> DataFrame:
+    def _found(self, names: list, queries: list[np.ndarray], wanted: np.ndarray, floors: np.ndarray, k: int, schema: str, without: DataFrame | None, **ways) -> DataFrame:
         """(query_id, id, score): the k best of each task among each query's lists, none below its floor."""
-        by_list: dict[int, list[int]] = {OTHERS: list(range(len(names)))}
-        for column, lists in enumerate(wanted):
-            for i in lists:
-                by_list.setdefault(i, []).append(column)
-        rows = self.frame(by_list)
+        real = self._real()
+        read = np.flatnonzero(wanted.any(0))
+        by_list = {real[i]: np.packbits(wanted[:, i]) for i in read}
+        rows = self.frame([OTHERS, *by_list])
         if without is not None:
             rows = remove(rows, without)
-        return rows.select("id", "embedding", "distance", "list").mapInPandas(_scan_lists(self.metric, self.centroids, names, queries, by_list, floors, k), schema)
+        return rows.select("id", "embedding", "distance", "list").mapInPandas(_scan_lists(self.metric, self.centroids, names, queries, by_list, floors, k, **ways), schema)
 
-    def search_batch(self, queries: DataFrame, k: int, probes: int | None = None, kind: str = "float", without: DataFrame | None = None) -> DataFrame:
+    def search_batch(self, queries: DataFrame, k: int, probes: int | None = None, kind: str = "float", without: DataFrame | None = None, places: int | None = None) -> DataFrame:
         """(query_id, id, score, rank) for each row of ``queries`` (``query_id``, ``query_vec``): of the ``probes`` nearest lists,
-        or exact. ``without`` (``id``) names rows that are not to be found.
+        or exact. ``without`` (``id``) names rows that are not to be found. ``places``: scores are rounded to so many places
+        before they are ranked.
         """
         if k < 0 or (probes is not None and probes < 1):
             raise InvalidConfig("k must not be negative, and probes at least 1")
-        found = []
-        for part in search.query_blocks(queries):
+        schema = f"query_id {queries.schema['query_id'].dataType.simpleString()}, {self._id}, score {kind}"
+        near = self.spark.createDataFrame([], schema)
+        step = max(1, LISTS_OF_QUERIES // max(1, len(self._real())))
+        for part in search.query_blocks(queries) if k else []:
             names, vectors = search.asked_vectors(part)
-            found.append(self._part(names, vectors, k, probes, self._schema(queries, kind), without) if names and k else self.spark.createDataFrame([], self._schema(queries, kind)))
-        near = found[0]
-        for more in found[1:]:
-            near = near.unionByName(more)
+            for i in range(0, len(names), step):
+                near = near.unionByName(self._part(names[i : i + step], vectors[i : i + step], k, probes, schema, without, kind=kind, places=places))
         return search.ranked_best(near, k, kind)
 
-    def _schema(self, queries: DataFrame, kind: str) -> str:
-        return f"query_id {queries.schema['query_id'].dataType.simpleString()}, {self._id}, score {kind}"
-
-    def _part(self, names: list, vectors: list[np.ndarray], k: int, probes: int | None, schema: str, without: DataFrame | None) -> DataFrame:
-        none = [-np.inf] * len(names)
+    def _part(self, names: list, vectors: list[np.ndarray], k: int, probes: int | None, schema: str, without: DataFrame | None, **ways) -> DataFrame:
         if probes is not None:
-            return self._found(names, vectors, [self.nearest(v, probes, k) for v in vectors], none, k, schema, without)
-        wanted, floors, _ = self.plan_exact(vectors, k, without)
-        return self._found(names, vectors, wanted, floors, k, schema, without)
+            return self._found(names, vectors, self.nearest(vectors, probes, k), np.full(len(names), -np.inf), k, schema, without, **ways)
+        wanted, floors, _ = self.plan_exact(vectors, k, without, max(_ROUNDING, 10.0**-places) if (places := ways["places"]) is not None else _ROUNDING)
+        return self._found(names, vectors, wanted, floors, k, schema, without, **ways)
 
-    def plan_exact(self, vectors: list[np.ndarray], k: int, without: DataFrame | None = None) -> tuple[list[list[int]], list[float], float]:
-        """For exact results: each query's lists, the score that k vectors are known to reach (or minus infinity), and the share of
-        (query, vector) pairs that lie in lists out of reach.
+    def plan_exact(self, vectors: list[np.ndarray], k: int, without: DataFrame | None = None, rounding: float = _ROUNDING) -> tuple[np.ndarray, np.ndarray, float]:
+        """For exact results: which lists each query reads, a score that k vectors are known to reach (or minus infinity), and the
+        share of (query, vector) pairs that lie in lists out of reach.
         """
-        places = list(range(len(vectors)))
-        first = self._found(places, vectors, [self.nearest(v, None, k) for v in vectors], [-np.inf] * len(vectors), k, f"query_id long, {self._id}, score double", without)
-        best = search.ranked_best(first, k, "double").groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("score"))
-        reached = {r["query_id"]: r["score"] for r in best.filter(F.col("n") == k).collect()}  # one row a query
-        floors = [reached.get(i, -math.inf) for i in places]
-        floors = [f - _SLACK * abs(f) if f == f else -math.inf for f in floors]  # sums of another batch may differ in the last digit
-        wanted = [self.within_reach(v, f) for v, f in zip(vectors, floors, strict=True)]
-        pairs = len(vectors) * sum(self.sizes[i][0] for i in self._real())
-        kept = sum(self.sizes[i][0] for lists in wanted for i in lists)
-        return wanted, floors, 1 - kept / pairs if pairs else 0.0
-
-
-def _scan_lists(metric: DistanceMetric, centroids: np.ndarray, names: list, queries: list[np.ndarray], by_list: dict[int, list[int]], floors: list[float], k: int):
+        first = self._found(list(range(len(vectors))), vectors, self.nearest(vectors, None, k), np.full(len(vectors), -np.inf), k, f"query_id long, {self._id}, score double", without)
+        best = search.ranked_best(first, k, "double").groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("score"), F.max(F.isnan("score")).alias("odd"))
+        floors = np.full(len(vectors), -np.inf)
+        for r in best.filter((F.col("n") == k) & ~F.col("odd")).collect():  # one row a query
+            floors[r["query_id"]] = r["score"]
+        # sums of another batch may differ in the last digit, and rounding may lift a score
+        floors = np.where(np.isinf(floors), floors, floors - rounding * np.maximum(1, np.abs(floors)))
+        wanted = self.within_reach(vectors, floors)
+        sizes = np.array([self.sizes[i][0] for i in self._real()], np.int64)
+        pairs = len(vectors) * int(sizes.sum())
+        return wanted, floors, 1 - int((wanted.sum(0) * sizes).sum()) / pairs if pairs else 0.0
+
+
+def _scan_lists(metric: DistanceMetric, centroids: np.ndarray, names: list, queries: list[np.ndarray], by_list: dict[int, np.ndarray], floors: np.ndarray, k: int, **ways):
+    """``by_list``: the bits of the queries that read a list."""
     fits, placed = _placed(pd.Series(queries, dtype=object), centroids.shape[1], metric)
     at = np.cumsum(fits) - 1
 
-    def reach(column: int, number: int, least: float, most: float, kept: search.KeptBest) -> bool:
-        if number == OTHERS or not fits[column]:
-            return True
-        bar = max(floors[column], kept.least(column))
-        return bool(highest_score(metric, placed[at[column]], centroids[number], np.array(least), np.array(most)) >= bar)
-
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        kept = search.KeptBest(k, metric, names, queries)
+        kept = search.KeptBest(k, metric, names, queries, **ways)
         for batch in batches:
             for number, rows in batch.groupby("list"):
-                least, most = rows["distance"].min(), rows["distance"].max()
-                columns = [c for c in by_list.get(number, ()) if reach(c, number, least, most, kept)]
-                if columns:
+                columns = None
+                if number != OTHERS:
+                    columns = np.flatnonzero(np.unpackbits(by_list[number], count=len(names)))
+                    inner = columns[fits[columns]]
+                    bar = np.maximum(floors[inner], kept.unrounded(kept.least()[inner]))
+                    most = highest_scores(metric, placed[at[inner]], centroids[[number]], rows["distance"].min(), rows["distance"].max())[:, 0]
+                    columns = np.concatenate([columns[~fits[columns]], inner[most >= bar]])
+                if columns is None or len(columns):
                     kept.offer(rows["id"].to_numpy(), rows["embedding"], columns)
         yield from kept.frames()
 

@@ -149,9 +149,11 @@ class DataFrameStore(VectorStore):
     def search_with_filter(self, query: list[float], k: int, where: MetadataFilter, prefilter: bool = False) -> DataFrame:
         return search.top_k_filtered(self.frame, query, k, where, self._metric, prefilter)
 
-    def search_batch(self, queries: DataFrame, k: int) -> DataFrame:
-        """The k best rows of each query, with their documents: matrix products in double precision, whatever the batch's size."""
-        return search.top_k_documents(self.frame, queries, k, self._metric)
+    def search_batch(self, queries: DataFrame, k: int, places: int | None = None) -> DataFrame:
+        """The k best rows of each query, with their documents: sums in double precision, whatever the batch's size. ``places``:
+        scores are rounded to so many places before they are ranked.
+        """
+        return search.top_k_documents(self.frame, queries, k, self._metric, places=places)
 
     def get(self, id: str) -> Row | None:
         return self.frame.filter(F.col("id") == id).head()
