@@ -60,6 +60,36 @@ def test_search_and_pruning(spark, tmp_path, monkeypatch):
         index.search("x", 0)
 
 
+def watched(make, seen):
+    """What ``make`` makes, with the sizes of its batches written down."""
+
+    def made(*args, **named):
+        run = make(*args, **named)
+
+        def noted(batches):
+            for batch in batches:
+                with open(seen, "a") as out:
+                    out.write(f"{batch.num_rows}\n")
+                yield batch
+
+        return lambda batches: run(noted(batches))
+
+    return made
+
+
+def test_tasks_have_few_blocks_at_once(spark, tmp_path, monkeypatch):
+    """However many blocks a task reads, Python gets them by the few."""
+    seen = str(tmp_path / "seen")
+    monkeypatch.setattr(keyword, "BLOCKS_A_BATCH", 3, raising=False)
+    for name in ("_maxima", "_scores_of_blocks"):
+        monkeypatch.setattr(keyword, name, watched(getattr(keyword, name), seen))
+    index = KeywordIndex.build(spark.createDataFrame(texts(), "id string, content string").coalesce(1), str(tmp_path / "index"), block_docs=5, folders=2)
+    index.search_batch(spark.createDataFrame([(0, "kara"), (1, "lost nux")], "query_id long, query_text string"), 3).collect()
+    sizes = [int(n) for n in open(seen)]
+    assert sum(sizes) > index.blocks.count() > 10 and max(sizes) <= 3
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000"
+
+
 def test_empty_index(spark, tmp_path):
     index = KeywordIndex.build(spark.createDataFrame([], "id string, content string"), str(tmp_path / "index"))
     assert not index.search("kara", 3).collect()

@@ -29,13 +29,14 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from vectorloom.errors import InvalidConfig
-from vectorloom.operators.shared import checkpointed
+from vectorloom.operators.shared import checkpointed, rows_a_batch
 
 K1, B = 1.2, 0.75
 BLOCK_DOCS = 512
 BLOCK_POSTINGS = 1 << 17  # a row of about a megabyte
 FOLDERS = 64
 ASKED_ROWS = 1_000_000  # terms of the queries that every task gets at once
+TEXTS_A_BATCH, BLOCKS_A_BATCH = 500, 8  # rows that a task has in Python at once; a block is about a megabyte
 BROADCAST_BLOCKS = 500_000  # numbers of blocks, 8 bytes each; a longer list is joined by a shuffle
 ROW_GROUP = 8 << 20  # bytes, so that one task's blocks are read by several
 RANK_CONSTANT = 60
@@ -161,14 +162,16 @@ class KeywordIndex:
         row = _BLOCK.format(id=kind.simpleString())
         texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
         made = texts.mapInArrow(_index(to_arrow_type(kind), block_docs, block_postings, folders), row)
-        made.write.partitionBy("folder").option("parquet.block.size", ROW_GROUP).parquet(f"{path}/blocks")
+        with rows_a_batch(spark, TEXTS_A_BATCH):
+            made.write.partitionBy("folder").option("parquet.block.size", ROW_GROUP).parquet(f"{path}/blocks")
         held = spark.read.schema(row).parquet(f"{path}/blocks")
         n, total = (v or 0 for v in held.agg(F.sum(F.size("ids")), F.sum("words")).first())
         mean = total / n if n else 1.0
         spark.createDataFrame([(n, mean, folders, kind.simpleString())], "n long, mean double, folders int, id_type string").coalesce(1).write.parquet(f"{path}/corpus")
         maxima = held.select("block", "lengths", "terms", "counts", "places", "tfs").mapInArrow(_maxima(mean), _MOST.rsplit(", ", 1)[0])
         maxima = maxima.withColumn("folder", F.pmod(F.xxhash64("term"), F.lit(folders)).cast("int"))
-        maxima.hint("rebalance", "folder").sortWithinPartitions("folder", "term").write.partitionBy("folder").parquet(f"{path}/maxima")
+        with rows_a_batch(spark, BLOCKS_A_BATCH):
+            maxima.hint("rebalance", "folder").sortWithinPartitions("folder", "term").write.partitionBy("folder").parquet(f"{path}/maxima")
         return cls(spark, path)
 
     def _asked(self, queries: DataFrame) -> DataFrame:
@@ -225,7 +228,8 @@ class KeywordIndex:
             wanted.setdefault(r["block"], set()).add(r["query"])
         chosen = self.opened(self.spark.createDataFrame([(b,) for b in wanted], "block long"))
         start = chosen.mapInArrow(_scores_of_blocks(terms, len(names), k, self.mean, self.blocks.schema["ids"].dataType, wanted=wanted), f"query long, id {self._id}, score double")
-        reached = start.groupBy("query").agg(F.min("score").alias("score"), F.count("*").alias("n")).filter(F.col("n") == k).collect()
+        with rows_a_batch(self.spark, BLOCKS_A_BATCH):
+            reached = start.groupBy("query").agg(F.min("score").alias("score"), F.count("*").alias("n")).filter(F.col("n") == k).collect()
         floors = [0.0] * len(names)
         for r in reached:
             floors[r["query"]] = r["score"] * (1 - _SLACK)
@@ -242,6 +246,8 @@ class KeywordIndex:
         for part, names, terms in self._parts(queries):
             blocks, floors = self.blocks_in_reach(part, names, terms, k)
             best = self.opened(blocks).mapInArrow(_scores_of_blocks(terms, len(names), k, self.mean, self.blocks.schema["ids"].dataType, floors), f"query long, id {self._id}, score double")
+            with rows_a_batch(self.spark, BLOCKS_A_BATCH):
+                best = checkpointed(best)  # k rows a query and task
             numbers = self.spark.createDataFrame(list(enumerate(names)), f"query long, query_id {kind}")
             found = found.unionByName(best.join(F.broadcast(numbers), "query").select("query_id", "id", "score"))  # a row a query of the part
         best = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
