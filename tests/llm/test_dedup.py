@@ -224,6 +224,14 @@ def test_fingerprints(spark):
     assert len({r["fingerprint"] for r in same}) == 1
 
 
+def test_edited_texts_need_no_fingerprints(spark):
+    rows = odd_rows() + [(900 + i, prose(i, 50), "s") for i in range(20)]
+    found = fingerprints.edited_texts(frame(spark, rows))
+    assert "_s31" not in found._jdf.queryExecution().executedPlan().toString()
+    key = lambda r: (str(r["doc_id"]), r["n_chars"], r["edited_sha256"])
+    assert sorted(map(key, found.collect())) == sorted(map(key, fingerprints.fingerprint_documents(frame(spark, rows)).collect()))
+
+
 def test_fingerprints_of_buckets(spark, monkeypatch):
     monkeypatch.setattr(fingerprints, "_BUCKET_ROWS", 3)
     rows = [(i * i, prose(i, 9), "s") for i in range(40)] + [(None, "last words of all", "s"), (9, prose(3, 9), "s")]

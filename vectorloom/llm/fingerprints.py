@@ -155,16 +155,29 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     )
 
 
-def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(bucket, nth, id, n_chars, edited_sha256, fp, edited_fp, next_fp): each text, and its edited text, fingerprinted.
-
-    The edited text has the last quarter of the code points replaced by as many from the start of the next document.
+def _edits(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The rows of :func:`with_next` with ``n_chars``, ``edited``, the edited text (of ghosts: empty), and ``same``, how many code
+    points it begins with that are the text's.
     """
     rows = with_next(docs, id_col, text_col)
     same = F.expr("length(text) - cast(length(text) div 4 as int)")
     quarter = F.expr("cast(length(text) div 4 as int)")
     edited = F.when(F.col("ghost"), F.lit("")).otherwise(F.concat(F.substring(F.col("text"), F.lit(1), same), F.substring(F.coalesce("next_text", F.lit("")), F.lit(1), quarter)))
-    rows = rows.select("bucket", "nth", "id", "ghost", F.length("text").cast("long").alias("n_chars"), "text", F.when(F.col("ghost"), F.lit(0)).otherwise(same).alias("same"), edited.alias("edited"))
+    return rows.select("bucket", "nth", "id", "ghost", F.length("text").cast("long").alias("n_chars"), "text", F.when(F.col("ghost"), F.lit(0)).otherwise(same).alias("same"), edited.alias("edited"))
+
+
+def edited_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per input row: the id, ``n_chars`` and ``edited_sha256``, without fingerprints."""
+    rows = _edits(docs, id_col, text_col).filter(~F.col("ghost"))
+    return rows.select(F.col("id").alias(id_col), "n_chars", F.sha2("edited", 256).alias("edited_sha256"))
+
+
+def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(bucket, nth, id, n_chars, edited_sha256, fp, edited_fp, next_fp): each text, and its edited text, fingerprinted.
+
+    The edited text has the last quarter of the code points replaced by as many from the start of the next document.
+    """
+    rows = _edits(docs, id_col, text_col)
     keys = ["bucket", "nth", "id", "ghost", "n_chars", "edited_sha256"]
     # as bytes, half as long, while it is shuffled
     one = fingerprint_pairs(rows.withColumn("edited_sha256", F.unhex(F.sha2("edited", 256))), keys, "text", "edited", "same")
