@@ -50,6 +50,17 @@ def test_odd_vectors_hubs_and_equal_ones(spark, tmp_path, metric):
         NeighbourGraph.build(docs, str(tmp_path / "none"), degree=0)
 
 
+def test_rounds_send_no_table_through_the_driver(spark, tmp_path, monkeypatch):
+    rng = np.random.default_rng(6)
+    docs = spark.createDataFrame([(i, [float(x) for x in rng.normal(size=4)]) for i in range(300)], "id long, embedding array<float>")
+    plans, keep = [], graph.checkpointed
+    monkeypatch.setattr(graph, "checkpointed", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or keep(df))
+    index = NeighbourGraph.build(docs, str(tmp_path / "graph"), rounds=1)
+    monkeypatch.setattr(graph.search, "asked_vectors", lambda queries: pytest.fail("the batch came to the driver"))
+    index.search_batch(docs.limit(5).select(F.col("id").alias("query_id"), F.col("embedding").alias("query_vec")), 3).collect()
+    assert len(plans) > 5 and not any("BroadcastHashJoin" in p for p in plans)
+
+
 def test_an_empty_graph(spark, tmp_path):
     index = NeighbourGraph.build(spark.createDataFrame([], "id long, embedding array<float>"), str(tmp_path / "graph"))
     assert not index.search_batch(spark.createDataFrame([(0, [1.0])], "query_id long, query_vec array<float>"), 3).collect()

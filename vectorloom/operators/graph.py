@@ -8,7 +8,8 @@ ways. No vector ever has more than twice DEGREE links, and what is compared at o
 A batch of queries walks together, a round at a time: of each query's best vectors so far the best few that were not opened are
 joined with the graph, what they lead to is scored, and the best BREADTH stay. A query is done when all its best are opened.
 Results are approximate; :mod:`vectorloom.operators.ivf` has exact ones. All of it is joins and windows over tables in the
-shared folder; the driver sees how many rows a round has left and nothing else.
+shared folder; joins shuffle both sides, so that no round sends a table through the driver, which sees whether a round has
+rows left.
 
 Vectors of other lengths than the commonest one, and with parts that are not numbers (under the cosine also those of no length),
 are not in the graph; each query is compared with all of them.
@@ -124,7 +125,7 @@ class NeighbourGraph:
         links = checkpointed(_best_links(links, degree))
         for _ in range(rounds):
             around = links.select("id", "near").union(_backwards(links, degree).select("id", "near")).union(vectors.select("id", F.col("id").alias("near"))).distinct()
-            members = around.join(vectors.withColumnRenamed("id", "near"), "near")
+            members = around.hint("merge").join(vectors.withColumnRenamed("id", "near"), "near")
             members = members.groupBy("id").agg(F.collect_list(F.struct(F.col("near").alias("id"), "embedding")).alias("members"))  # at most twice the degree and one
             found = members.select("members").mapInPandas(compare, f"id {kind}, near {kind}, score double")
             links = checkpointed(_best_links(links.unionByName(found), degree))
@@ -150,7 +151,7 @@ class NeighbourGraph:
         kind, vector = (vectors.schema[c].dataType.simpleString() for c in ("id", "embedding"))
         placed = checkpointed(vectors.mapInPandas(sides, f"id {kind}, embedding {vector}, side long"))
         parts = placed.groupBy("side").agg(F.ceil(F.count("*") / (2 * GROUP)).alias("parts"))
-        placed = placed.join(parts, "side").withColumn("part", F.pmod(F.xxhash64("id", F.lit(seed)), F.col("parts")))
+        placed = placed.hint("merge").join(parts, "side").withColumn("part", F.pmod(F.xxhash64("id", F.lit(seed)), F.col("parts")))
         return placed.groupBy("side", "part").agg(F.collect_list(F.struct("id", "embedding")).alias("members")).select("members")
 
     def search_batch(self, queries: DataFrame, k: int, breadth: int = BREADTH, kind: str = "float") -> DataFrame:
@@ -168,11 +169,13 @@ class NeighbourGraph:
         turn = Window.partitionBy("query_id").orderBy(F.isnan("score"), F.desc("score"), "id")
         for _ in range(MOST_ROUNDS):
             opened = state.filter("open").withColumn("_n", F.row_number().over(turn)).filter(F.col("_n") <= OPENED).select("query_id", "id")
-            led = opened.join(self.links, "id").select("query_id", F.explode("near").alias("id")).distinct().join(state.select("query_id", "id"), ["query_id", "id"], "left_anti")
-            found = led.join(self.vectors, "id").join(asked, "query_id").select("query_id", "id", score.alias("score"), F.lit(True).alias("open"))
-            kept = state.join(opened.withColumn("_o", F.lit(True)), ["query_id", "id"], "left").select("query_id", "id", "score", (F.col("open") & F.col("_o").isNull()).alias("open"))
+            led = opened.hint("merge").join(self.links, "id").select("query_id", F.explode("near").alias("id")).distinct().hint("merge").join(state.select("query_id", "id"), ["query_id", "id"], "left_anti")
+            found = led.hint("merge").join(self.vectors, "id").hint("merge").join(asked, "query_id").select("query_id", "id", score.alias("score"), F.lit(True).alias("open"))
+            kept = state.hint("merge").join(opened.withColumn("_o", F.lit(True)), ["query_id", "id"], "left").select("query_id", "id", "score", (F.col("open") & F.col("_o").isNull()).alias("open"))
             state = checkpointed(kept.unionByName(found).withColumn("_n", F.row_number().over(best)).filter(F.col("_n") <= breadth).drop("_n"))
             if state.filter("open").isEmpty():
                 break
-        beside = search.top_k_scan(self.others, asked, k, self.metric, "double").drop("rank")
-        return search.ranked_best(state.drop("open").unionByName(beside).withColumn("score", F.col("score").cast(kind)), k, kind)
+        found = state.drop("open")
+        if not self.others.isEmpty():  # or the batch need not come to the driver
+            found = found.unionByName(search.top_k_scan(self.others, asked, k, self.metric, "double").drop("rank"))
+        return search.ranked_best(found.withColumn("score", F.col("score").cast(kind)), k, kind)
