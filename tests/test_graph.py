@@ -61,6 +61,20 @@ def test_rounds_send_no_table_through_the_driver(spark, tmp_path, monkeypatch):
     assert len(plans) > 5 and not any("BroadcastHashJoin" in p for p in plans)
 
 
+def test_estimates_are_not_squared_from_round_to_round(spark, tmp_path, monkeypatch):
+    """Spark estimates a plan's size in a number of any length, on the driver: a state joined with itself doubles its digits."""
+    rng = np.random.default_rng(7)
+    docs = spark.createDataFrame([(i, [float(x) for x in rng.normal(size=4)]) for i in range(300)], "id long, embedding array<float>")
+    index = NeighbourGraph.build(docs, str(tmp_path / "graph"), rounds=0)
+    monkeypatch.setattr(graph, "OPENED", 1)
+    monkeypatch.setattr(graph, "MOST_ROUNDS", 8)
+    bits, keep = [], graph.checkpointed
+    monkeypatch.setattr(graph, "checkpointed", lambda df: bits.append(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().bit_length()) or keep(df))
+    queries = docs.limit(5).select(F.col("id").alias("query_id"), F.col("embedding").alias("query_vec"))
+    assert index.search_batch(queries, 3).count() == 15
+    assert len(bits) == 11 and max(bits) < 200 * len(bits), bits
+
+
 def test_an_empty_graph(spark, tmp_path):
     index = NeighbourGraph.build(spark.createDataFrame([], "id long, embedding array<float>"), str(tmp_path / "graph"))
     assert not index.search_batch(spark.createDataFrame([(0, [1.0])], "query_id long, query_vec array<float>"), 3).collect()

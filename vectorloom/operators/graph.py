@@ -162,20 +162,25 @@ class NeighbourGraph:
         asked = checkpointed(queries.select("query_id", "query_vec"))
         score = similarity(self.metric, F.col("embedding"), F.col("query_vec"), "double")
         entries = checkpointed(self.vectors.orderBy(F.xxhash64("id"), "id").limit(ENTRIES))
-        best = Window.partitionBy("query_id").orderBy(F.isnan("score"), F.desc("score"), "id")
+        order = [F.isnan("score"), F.desc("score"), "id"]
+        best, turn = (Window.partitionBy(*by).orderBy(*order) for by in (["query_id"], ["query_id", "open"]))
+
+        def kept(state: DataFrame) -> DataFrame:
+            """Each query's best, and which of them are opened next: marked here, as a round that joined its state with a part of
+            it would square Spark's estimate of the state's size, a number of ever more digits that the driver computes."""
+            state = state.withColumn("_n", F.row_number().over(best)).filter(F.col("_n") <= breadth).drop("_n")
+            return checkpointed(state.withColumn("next", F.col("open") & (F.row_number().over(turn) <= OPENED)))
+
         near = F.broadcast(entries)  # at most ENTRIES vectors
-        state = asked.join(near).select("query_id", "id", score.alias("score"), F.lit(True).alias("open"))
-        state = checkpointed(state.withColumn("_n", F.row_number().over(best)).filter(F.col("_n") <= breadth).drop("_n"))
-        turn = Window.partitionBy("query_id").orderBy(F.isnan("score"), F.desc("score"), "id")
+        state = kept(asked.join(near).select("query_id", "id", score.alias("score"), F.lit(True).alias("open")))
         for _ in range(MOST_ROUNDS):
-            opened = state.filter("open").withColumn("_n", F.row_number().over(turn)).filter(F.col("_n") <= OPENED).select("query_id", "id")
-            led = opened.hint("merge").join(self.links, "id").select("query_id", F.explode("near").alias("id")).distinct().hint("merge").join(state.select("query_id", "id"), ["query_id", "id"], "left_anti")
+            led = state.filter("next").select("query_id", "id").hint("merge").join(self.links, "id").select("query_id", F.explode("near").alias("id")).distinct()
+            led = led.hint("merge").join(state.select("query_id", "id"), ["query_id", "id"], "left_anti")
             found = led.hint("merge").join(self.vectors, "id").hint("merge").join(asked, "query_id").select("query_id", "id", score.alias("score"), F.lit(True).alias("open"))
-            kept = state.hint("merge").join(opened.withColumn("_o", F.lit(True)), ["query_id", "id"], "left").select("query_id", "id", "score", (F.col("open") & F.col("_o").isNull()).alias("open"))
-            state = checkpointed(kept.unionByName(found).withColumn("_n", F.row_number().over(best)).filter(F.col("_n") <= breadth).drop("_n"))
+            state = kept(state.select("query_id", "id", "score", (F.col("open") & ~F.col("next")).alias("open")).unionByName(found))
             if state.filter("open").isEmpty():
                 break
-        found = state.drop("open")
+        found = state.drop("open", "next")
         if not self.others.isEmpty():  # or the batch need not come to the driver
             found = found.unionByName(search.top_k_scan(self.others, asked, k, self.metric, "double").drop("rank"))
         return search.ranked_best(found.withColumn("score", F.col("score").cast(kind)), k, kind)
